@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: A word is a run of characters other than the ASCII white space below.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Texts are lower-cased by these letters alone.
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import LOWER, UPPER, keep
 
 WORDS = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 #: Phrase and label.
@@ -37,7 +37,7 @@ THRESHOLD = 0.8
 
 
 def _tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0))
+    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORDS), F.lit(0))
 
 
 def _strings(values) -> Column:
