@@ -151,7 +151,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     roots = maps[-1].select("node", F.col("to").alias("root"))
     for point in reversed(maps[:-1]):
         on = roots.select(F.col("node").alias("_node"), "root")
-        roots = point.join(on, point.to == on._node, "left").select("node", F.coalesce("root", "to").alias("root"))
+        roots = point.join(on, F.col("to") == F.col("_node"), "left").select("node", F.coalesce("root", "to").alias("root"))
     return roots
 
 
