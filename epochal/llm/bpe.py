@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .bytebpe import ByteBpe, pieces
 
@@ -148,7 +149,7 @@ def encode(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame
     docs = docs.drop("token_ids", "n_tokens", "decoded")
     names = docs.columns
     at = names.index(text_col)
-    schema = docs.schema.add("token_ids", "binary").add("n_tokens", "long").add("decoded", "string")
+    schema = StructType([*docs.schema.fields]).add("token_ids", "binary").add("n_tokens", "long").add("decoded", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.get(tokenizer)
