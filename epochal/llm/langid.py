@@ -15,6 +15,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 WIDTHS, FILTERS, LENGTH = (2, 3, 4), 16, 192
 #: Bounds of the training sample: languages (the most frequent), documents of each, windows of a document.
@@ -167,4 +168,4 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                         langs[k], scores[k] = lang, score
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, docs.schema.add("lang_pred", "string").add("score", "double"))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("lang_pred", "string").add("score", "double"))
