@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import keep
 
 #: Bytes of text in a block, about.
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 8_000_000
 ADDED = 0.1
 LEVELS, LEAST_LOG = 4095, -9.0
 START, END = 0, 1  # numbers of words begin at 2
@@ -104,12 +104,13 @@ class EliasFano:
         low = np.maximum(start, np.where(g > 0, self.zeros[g - 1] - (g - 1), 0))
         high = np.where(ok, np.minimum(end, self.zeros[g] - g), low)
         want = x & ((1 << self.low_bits) - 1)
-        last = high
+        last = high.copy()
         open_ = np.flatnonzero(low < high)
         while len(open_):
             mid = (low[open_] + high[open_]) >> 1
             less = self._low(mid) < want[open_]
-            low[open_[less]], high = mid[less] + 1, _put(high, open_[~less], mid[~less])
+            low[open_[less]] = mid[less] + 1
+            high[open_[~less]] = mid[~less]
             open_ = open_[low[open_] < high[open_]]
         inside = np.flatnonzero(low < last)
         out = np.full(len(x), -1)
@@ -118,12 +119,6 @@ class EliasFano:
         return out
 
 
-def _put(a: np.ndarray, at: np.ndarray, values: np.ndarray) -> np.ndarray:
-    a = a.copy() if not a.flags.owndata else a
-    a[at] = values
-    return a
-
-
 def quantise(p: np.ndarray) -> np.ndarray:
     """1 to LEVELS by the logarithm; 0 for 0."""
     with np.errstate(divide="ignore"):
@@ -278,27 +273,38 @@ class Block:
             yield s, pack([np.diff(self.keys[rows], prepend=np.uint64(0)), count[rows]])
 
     def take_words(self, answers: dict[int, bytes], shards: int) -> None:
-        """number and count of each local word."""
+        """number and count of each local word, and whether the training texts hold it in this block alone (or not at all)."""
         self.number, self.count = np.zeros(len(self.keys), np.int64), np.zeros(len(self.keys), np.int64)
         shard = (self.keys % np.uint64(shards)).astype(np.int64)
         for s, rows in _groups(*(lambda o: (shard[o], o))(np.argsort(shard, kind="stable"))):
             number, count = unpack(answers[s])
             self.number[rows], self.count[rows] = number, count
+        self.own = self.count == np.bincount(self.tokens, self.trained(), len(self.keys)).astype(np.int64)
 
-    def grams(self, order: int, shards: int, total: int) -> Grams:
-        return Grams(self, order, shards, total)
+    def grams(self, highest: int, shards: int, total: int) -> Iterator[Grams]:
+        """Of orders 2 to highest."""
+        lower = None
+        for order in range(2, highest + 1):
+            lower = Grams(self, order, shards, total, lower)
+            yield lower
 
 
 def _groups(sorted_keys: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    cuts = np.flatnonzero(np.diff(sorted_keys, prepend=-1)) if len(rows) else []
+    cuts = np.flatnonzero(np.diff(sorted_keys, prepend=-2)) if len(rows) else []
     for s, e in zip(cuts, [*cuts[1:], len(rows)]):
         yield int(sorted_keys[s]), rows[s:e]
 
 
 class Grams:
-    """The distinct n-grams of a block, by contexts and shards. where: of each token its n-gram, -1 where it has none."""
+    """The distinct n-grams of a block, by contexts and shards. where: of each token its n-gram, -1 where it has none.
+
+    A context that holds a word of this block alone is seen nowhere else: it isn't asked about, but answered from a trie
+    of the block itself, shard OWN.
+    """
+
+    OWN = -1
 
-    def __init__(self, block: Block, order: int, shards: int, total: int):
+    def __init__(self, block: Block, order: int, shards: int, total: int, lower: Grams | None):
         n, words = len(block.tokens), len(block.keys) + 1  # one more for the start
         first = np.cumsum(block.lengths) - block.lengths
         place = np.arange(n) - np.repeat(first, block.lengths)
@@ -309,11 +315,7 @@ class Grams:
             prior[place < k] = 0
             shifted.insert(0, prior)
         has = np.flatnonzero(place >= order - 2)
-        gram = shifted[0][has]
-        for k in range(1, order):
-            gram = gram * words + shifted[k][has]
-            if k + 1 < order:
-                _, gram = np.unique(gram, return_inverse=True)
+        gram = (shifted[0][has] if lower is None else lower.where[has - 1]) * words + shifted[-1][has]
         distinct, first_at, inverse = np.unique(gram, return_index=True, return_inverse=True)
         self.where = np.full(n, -1)
         self.where[has] = inverse
@@ -327,7 +329,9 @@ class Grams:
         opens = np.flatnonzero(np.diff(prefix, prepend=-1))
         of = np.repeat(np.arange(len(opens)), np.diff(np.append(opens, len(prefix))))
         held = np.min([np.where(columns[k][opens] == START, 0, counts[shifted[k][rows[opens]]]) for k in range(order - 1)], axis=0)
-        pieces = np.maximum(1, -(-held * shards // max(1, total))).astype(np.int64)
+        own = np.concatenate([[False], block.own])
+        alone = np.any([own[shifted[k][rows[opens]]] for k in range(order - 1)], axis=0)
+        pieces = np.where(alone, 1, np.maximum(1, -(-held * shards // max(1, total)))).astype(np.int64)
         begins = np.cumsum(pieces) - pieces
         piece = (_mix(columns[-1]) % pieces[of].astype(np.uint64)).astype(np.int64)
         entry = begins[of] + piece
@@ -335,7 +339,7 @@ class Grams:
         owner = np.repeat(np.arange(len(opens)), pieces)
         root = [columns[k][opens][owner] for k in range(order - 1)]
         part = np.arange(len(owner)) - begins[owner]
-        shard = (_mix(*root, part, np.full(len(owner), order)) % np.uint64(shards)).astype(np.int64)
+        shard = np.where(alone[owner], self.OWN, (_mix(*root, part, np.full(len(owner), order)) % np.uint64(shards)).astype(np.int64))
         self.order, self.owner, self.entry, self.n_contexts = order, owner, entry, len(opens)
         self.context_of = of
         root[0] = root[0] << 16 | part
@@ -347,10 +351,13 @@ class Grams:
         self._root, self._last, self._count = root, columns[-1], count
         self._successors = np.bincount(entry, minlength=len(owner))
 
-    def asks(self) -> Iterator[tuple[int, bytes]]:
+    def asks(self, own: bool = False) -> Iterator[tuple[int, bytes]]:
+        """To the shards or, with own, the one that the block itself answers."""
         rows = dict(_groups(self._shard_of_row, self._rows))
         none = np.empty(0, np.int64)
         for s, entries in _groups(self._shard_of_entry, self._entries):
+            if (s == self.OWN) != own:
+                continue
             r = rows.get(s, none)
             yield s, pack([*(c[entries] for c in self._root), self._successors[entries].astype(np.uint32), self._last[r].astype(np.uint64), self._count[r]])
 
@@ -405,14 +412,14 @@ def _answer_grams(frame: pd.DataFrame) -> pd.DataFrame:
         new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
     at = np.flatnonzero(new)
     summed = np.add.reduceat(count[some], at) if len(at) else np.zeros(0, np.int64)
-    trie = Trie(Trie.to_map([c[at] for c in columns], summed))
-    context, _ = trie.find([*root, np.zeros(len(successors), np.int64)])
-    known = context >= 0
-    total, back = np.zeros(len(context), np.uint32), np.zeros(len(context), np.uint16)
-    total[known], back[known] = trie.total[context[known]], trie.back[context[known]]
-    _, leaf = trie.find([*(r[entry] for r in root), last])
-    share = np.zeros(len(leaf), np.uint16)
-    share[leaf >= 0] = trie.share[leaf[leaf >= 0]]
+    total, back, share = np.zeros(len(successors), np.uint32), np.zeros(len(successors), np.uint16), np.zeros(len(last), np.uint16)
+    if len(at):
+        trie = Trie(Trie.to_map([c[at] for c in columns], summed))
+        context, _ = trie.find([*root, np.zeros(len(successors), np.int64)])
+        known = context >= 0
+        total[known], back[known] = trie.total[context[known]], trie.back[context[known]]
+        _, leaf = trie.find([*(r[entry] for r in root), last])
+        share[leaf >= 0] = trie.share[leaf[leaf >= 0]]
     out, e, r = [], 0, 0
     for a in asked:
         n, m = len(a[order - 1]), len(a[order])
@@ -484,11 +491,12 @@ def score(docs: DataFrame, order: int = 3) -> DataFrame:
         for number, data in zip(state["block"], state["data"]):
             block = Block.unpack(data)
             block.take_words(dict(zip(answers["shard"], answers["data"])), shards)
-            for k in range(2, order + 1):
-                out += [(number, s, k, d) for s, d in block.grams(k, shards, total).asks()]
+            for grams in block.grams(order, shards, total):
+                out += [(number, s, grams.order, d) for s, d in grams.asks()]
         return pd.DataFrame(out, columns=["block", "shard", "gram", "data"])
 
-    asked = states.select("block", "data").groupBy("block").cogroup(words.groupBy("block")).applyInPandas(ask, answer)
+    # the same columns of the states as at the end, so that their shuffle is used again
+    asked = states.groupBy("block").cogroup(words.groupBy("block")).applyInPandas(ask, answer)
     told_back = asked.groupBy("shard", "gram").applyInPandas(_answer_grams, answer)
 
     def finish(state: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
@@ -502,9 +510,10 @@ def score(docs: DataFrame, order: int = 3) -> DataFrame:
             first = np.cumsum(block.lengths) - block.lengths
             per = lambda x: np.add.reduceat(x, first)  # noqa: E731, B023
             base_score, known = per(np.log10(p)), per((block.count > 0)[block.tokens].astype(np.int64))
-            for k in range(2, order + 1):
-                grams = block.grams(k, shards, total)
-                share, left = grams.take(of[k])
+            for grams in block.grams(order, shards, total):
+                own = pd.DataFrame([(0, s, grams.order, d) for s, d in grams.asks(own=True)], columns=["block", "shard", "gram", "data"])
+                found = of.get(grams.order, {}) | (dict(zip(own["shard"], _answer_grams(own)["data"])) if len(own) else {})
+                share, left = grams.take(found)
                 at = np.flatnonzero(grams.where >= 0)
                 gram = grams.where[at]
                 p[at] = share[gram] + left[gram] * p[at]
