@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.special import np_normal
 from ..plans.fitting import Fit, by_predictors, gram, maximise, summed
 from ..plans.iterate import settled
-from ..plans.ordered import bucket_of, cuts, matches, running
+from ..plans.ordered import bucket_of, cuts, matches, once, running
 
 
 def _x(columns: Sequence[str], constant: bool = True) -> list[Column]:
@@ -346,10 +346,10 @@ def fit_statistics(cells: DataFrame, parameters: int) -> DataFrame:
 
 def monotone(df: DataFrame, x: str, y: str, weight: str | None = None, by: Sequence[str] = (), rising: bool = True) -> DataFrame:
     """The best monotone fit: by, x, fitted. Values are first pooled by distinct x; adjacent violators are then pooled inside blocks of x, and the
-    few steps that are left of each block pooled again over the whole of a group."""
+    steps that are left of each block pooled again over the whole of a group, in one task: at most as many as distinct x."""
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     cells = df.dropna(subset=[x, y]).groupBy(*by, F.col(x).cast("double").alias("_x")).agg(F.sum(w * F.col(y)).alias("_s"), F.sum(w).alias("_w"))
-    cells = cells.select(*by, F.col("_x").alias("_low"), F.col("_x").alias("_high"), "_s", "_w", bucket_of(F.col("_x"), cuts(cells, F.col("_x"))).alias("_b"))
+    cells = once(cells).select(*by, F.col("_x").alias("_low"), F.col("_x").alias("_high"), "_s", "_w", bucket_of(F.col("_x"), cuts(cells, F.col("_x"))).alias("_b"))
     sign = 1 if rising else -1
 
     def pool(f: pd.DataFrame) -> pd.DataFrame:
@@ -365,7 +365,7 @@ def monotone(df: DataFrame, x: str, y: str, weight: str | None = None, by: Seque
         return g[list(f.columns)]
 
     first = cells.groupBy(*by, "_b").applyInPandas(pool, cells.schema)
-    steps = (first.groupBy(*by) if by else first.groupBy(F.lit(1))).applyInPandas(pool, cells.schema)
+    steps = first.groupBy(*(by or [F.lit(1).alias("_all")])).applyInPandas(pool, cells.schema)
     values = df.dropna(subset=[x, y]).select(*by, F.col(x).cast("double").alias("x")).distinct()
     marks = steps.select(*by, F.col("_low").alias("x"), (F.col("_s") / F.col("_w")).alias("_v"))
     joined = matches(values, marks, [*by, "x"], "left")

@@ -139,21 +139,19 @@ def clipped(df: DataFrame, rectangle: tuple[float, float, float, float]) -> Data
     """Polygons cut to a rectangle (xmin, ymin, xmax, ymax); those outside are left out. Side after side, edges are cut in built-in array functions."""
     xmin, ymin, xmax, ymax = (float(v) for v in rectangle)
 
-    def cut(shape: Column, axis: str, limit: float, above: bool) -> Column:
-        other = "y" if axis == "x" else "x"
-        ok = lambda v: v[axis] >= limit if above else v[axis] <= limit
-
-        def piece(e: Column) -> Column:
-            t = (limit - e["a"][axis]) / (e["b"][axis] - e["a"][axis])
-            at = {axis: F.lit(limit), other: e["a"][other] + t * (e["b"][other] - e["a"][other])}
-            meet = F.struct(at["x"].cast("double").alias("x"), at["y"].cast("double").alias("y"))
-            none = F.array().cast(SHAPE)
-            return F.when(ok(e["a"]) & ok(e["b"]), F.array(e["b"])).when(ok(e["a"]), F.array(meet)).when(ok(e["b"]), F.array(meet, e["b"])).otherwise(none)
-
-        return F.flatten(F.transform(_edges(shape, True), piece)).cast(SHAPE)
-
-    for axis, limit, above in (("x", xmin, True), ("x", xmax, False), ("y", ymin, True), ("y", ymax, False)):
-        df = df.withColumn("shape", cut(F.col("shape"), axis, limit, above))
+    of = lambda v, side: F.when(side["axis"] == "x", v["x"]).otherwise(v["y"])
+    ok = lambda v, side: F.when(side["above"], of(v, side) >= side["limit"]).otherwise(of(v, side) <= side["limit"])
+
+    def piece(e: Column, side: Column) -> Column:
+        a, b = e["a"], e["b"]
+        t = (side["limit"] - of(a, side)) / (of(b, side) - of(a, side))
+        meet = F.struct(F.when(side["axis"] == "x", side["limit"]).otherwise(a["x"] + t * (b["x"] - a["x"])).alias("x"), F.when(side["axis"] == "y", side["limit"]).otherwise(a["y"] + t * (b["y"] - a["y"])).alias("y"))
+        return F.when(ok(a, side) & ok(b, side), F.array(b)).when(ok(a, side), F.array(meet)).when(ok(b, side), F.array(meet, b)).otherwise(F.array().cast(SHAPE))
+
+    sides = F.array(*[F.struct(F.lit(x).alias("axis"), F.lit(v).alias("limit"), F.lit(up).alias("above")) for x, v, up in (("x", xmin, True), ("x", xmax, False), ("y", ymin, True), ("y", ymax, False))])
+    # a fold, so that each side is cut once from what the one before left
+    cut = lambda shape, side: F.flatten(F.transform(_edges(shape, True), lambda e: piece(e, side))).cast(SHAPE)
+    df = df.withColumn("shape", F.aggregate(sides, F.col("shape").cast(SHAPE), cut))
     return df.where(F.size("shape") > 2)
 
 

@@ -23,7 +23,7 @@ def _marks(episodes: DataFrame, by: Sequence[str], event: Column, weight: Column
 
 
 def product_limit(episodes: DataFrame, by: Sequence[str] = (), des: int | None = None, weight: str | None = None) -> DataFrame:
-    """Product-limit estimates at event times: by, time, events, censored (since the event time before), risk, survivor, se, cumulated_rate.
+    """Product-limit estimates at event times: by, time, events, censored (from the event time before on, up to this one), risk, survivor, se, cumulated_rate.
 
     Those at risk at t started before t and haven't ended before it. An event is an end in des (None: any state other than the origin); other ends
     censor. The survivor function stays 0 once all at risk have the event; its se is -1 then. Greenwood's formula gives se.
@@ -31,7 +31,8 @@ def product_limit(episodes: DataFrame, by: Sequence[str] = (), des: int | None =
     by, w = list(by), F.lit(1.0) if weight is None else F.col(weight).cast("double")
     event = F.col("des") != F.col("org") if des is None else (F.col("des") == des) & (F.col("des") != F.col("org"))
     marks = running(_marks(episodes, by, event, w), "time", {"_started": F.col("started"), "_ended": F.col("ended"), "_cens": F.col("ended") - F.col("events")}, by)
-    marks = marks.withColumn("risk", F.col("_started") - F.col("started") - F.col("_ended") + F.col("ended"))
+    own = F.col("ended") - F.col("events")
+    marks = marks.withColumns({"risk": F.col("_started") - F.col("started") - F.col("_ended") + F.col("ended"), "_cens": F.col("_cens") - own})
     at = marks.where(F.col("events") > 0)
     q = F.col("events") / F.col("risk")
     all_gone = F.col("events") >= F.col("risk") - 1e-12

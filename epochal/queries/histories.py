@@ -76,7 +76,7 @@ def spells_from_events(spark, sf_dir):
 
 
 @query(f"""
-    WITH e AS ({_EPISODES}), t AS (SELECT grp, tf AS time, sum(d)::DOUBLE AS events, count(*)::DOUBLE AS n FROM e GROUP BY ALL), r AS (SELECT *, sum(n) OVER (PARTITION BY grp ORDER BY time DESC) AS risk, sum(n - events) OVER (PARTITION BY grp ORDER BY time) AS cens FROM t),
+    WITH e AS ({_EPISODES}), t AS (SELECT grp, tf AS time, sum(d)::DOUBLE AS events, count(*)::DOUBLE AS n FROM e GROUP BY ALL), r AS (SELECT *, sum(n) OVER (PARTITION BY grp ORDER BY time DESC) AS risk, sum(n - events) OVER (PARTITION BY grp ORDER BY time) - (n - events) AS cens FROM t),
     s AS (SELECT *, sum(CASE WHEN events < risk THEN ln(1 - events / risk) ELSE 0 END) OVER w AS lg, max(CASE WHEN events >= risk THEN 1 ELSE 0 END) OVER w AS z, sum(CASE WHEN events < risk THEN events / (risk * (risk - events)) ELSE 0 END) OVER w AS g, cens - coalesce(lag(cens) OVER w, 0) AS censored FROM r WHERE events > 0 WINDOW w AS (PARTITION BY grp ORDER BY time))
     SELECT grp, time, events, censored, risk, round(CASE WHEN z > 0 THEN 0 ELSE exp(lg) END, 8) AS survivor, round(CASE WHEN z > 0 THEN -1 ELSE exp(lg) * sqrt(g) END, 8) AS se, round(CASE WHEN z = 0 THEN -lg END, 8) AS cumulated_rate FROM s""")
 def product_limit(spark, sf_dir):

@@ -157,7 +157,7 @@ def shortest_paths(spark, sf_dir):
     return plain(graphs.distances(tree(spark, sf_dir), spark.range(1).withColumnRenamed("id", "node")))
 
 
-@query(f"WITH RECURSIVE e AS ({_TREE}), d(node, parent, level) AS (SELECT 0, NULL, 0 UNION ALL SELECT e.j, e.i, d.level + 1 FROM d JOIN e ON e.i = d.node) SELECT node::BIGINT AS node, parent::BIGINT AS parent, level::BIGINT AS level FROM d")
+@query(f"WITH RECURSIVE e AS ({_TREE}), d(node, parent, level) AS (SELECT 0, NULL::INTEGER, 0 UNION ALL SELECT e.j, e.i::INTEGER, d.level + 1 FROM d JOIN e ON e.i = d.node) SELECT node::BIGINT AS node, parent::BIGINT AS parent, level::BIGINT AS level FROM d")
 def tree_levels(spark, sf_dir):
     return plain(graphs.levels(tree(spark, sf_dir), 0))
 
@@ -345,9 +345,9 @@ def kronecker_product(spark, sf_dir):
     return plain(matrices.kronecker(table_matrix(spark, sf_dir), n, 2, 2), 2)
 
 
-@query("WITH v AS (SELECT o_orderkey AS i, o_totalprice AS a, o_custkey % 3 AS w FROM orders) SELECT i, round(coalesce(sum(a * w) OVER x / nullif(sum(w) OVER x, 0), a), 2) AS v FROM v WINDOW x AS (ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)")
+@query("WITH v AS (SELECT o_orderkey AS i, o_totalprice AS a, o_custkey % 3 AS w FROM orders) SELECT i, round(coalesce(sum(a * w) OVER x / nullif(sum(w) OVER x, 0), a), 1) AS v FROM v WINDOW x AS (ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)")
 def tail_means(spark, sf_dir):
-    return plain(matrices.tail_means(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i"), F.col("o_totalprice").alias("a"), (F.col("o_custkey") % 3).alias("w"))), 2)
+    return plain(matrices.tail_means(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i"), F.col("o_totalprice").alias("a"), (F.col("o_custkey") % 3).alias("w"))), 1)
 
 
 @query(f"WITH m AS ({_MATRIX}), r AS (SELECT i, sum(v) AS r FROM m GROUP BY i), c AS (SELECT j, sum(v) AS c FROM m GROUP BY j) SELECT r.i, c.j, round(r * c / (SELECT sum(v) FROM m), 4) AS v FROM r, c")
@@ -356,9 +356,9 @@ def fitted_margins(spark, sf_dir):
     return plain(matrices.fitted_to_margins(m.withColumn("v", F.lit(1.0)), matrices.row_sums(m), matrices.column_sums(m)), 4)
 
 
-@query("WITH t AS (SELECT s_suppkey % 3 AS g, s_nationkey AS item, max(s_acctbal) AS r FROM supplier WHERE s_nationkey < 8 GROUP BY ALL), p AS (SELECT x.g, x.item AS p, y.item AS q, sign(x.r - y.r) AS s FROM t x JOIN t y ON x.g = y.g AND x.item < y.item) SELECT u.g AS a, w.g AS b, sum(abs(u.s - w.s))::BIGINT AS distance FROM p u JOIN p w ON u.p = w.p AND u.q = w.q AND u.g < w.g GROUP BY ALL")
+@query("WITH t AS (SELECT c_custkey % 3 AS g, c_nationkey AS item, max(c_acctbal) AS r FROM customer WHERE c_nationkey < 8 GROUP BY ALL), p AS (SELECT x.g, x.item AS p, y.item AS q, sign(x.r - y.r) AS s FROM t x JOIN t y ON x.g = y.g AND x.item < y.item) SELECT u.g AS a, w.g AS b, sum(abs(u.s - w.s))::BIGINT AS distance FROM p u JOIN p w ON u.p = w.p AND u.q = w.q AND u.g < w.g GROUP BY ALL")
 def rank_order_distances(spark, sf_dir):
-    t = table(spark, sf_dir, "supplier").where("s_nationkey < 8").groupBy((F.col("s_suppkey") % 3).alias("g"), F.col("s_nationkey").alias("item")).agg(F.max("s_acctbal").alias("r"))
+    t = table(spark, sf_dir, "customer").where("c_nationkey < 8").groupBy((F.col("c_custkey") % 3).alias("g"), F.col("c_nationkey").alias("item")).agg(F.max("c_acctbal").alias("r"))
     return matrices.rank_distances(t, "g", "item", "r")
 
 
