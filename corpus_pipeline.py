@@ -20,8 +20,7 @@ LEAST_SCORE = 0.4
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    names = docs.columns
-    return quality.judged(docs).where("kept").select(*names)
+    return quality.accepted(docs)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

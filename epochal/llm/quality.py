@@ -114,5 +114,11 @@ def judged(docs: DataFrame, text: str = "text", rules: dict[str, Rule] = RULES)
     out = measures(filled, text)
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     out = out.withColumn("base_failed", base)
-    out = out.withColumn("kept", ~F.col("base_failed") & F.col("failed_rule").isNull())
+    # were it deterministic, a filter by kept would be pushed below the measures, and all of them copied into it over and over
+    out = out.withColumn("kept", ~F.col("base_failed") & F.col("failed_rule").isNull() & (F.monotonically_increasing_id() >= 0))
     return out.select(*names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "failed_rule", "kept")
+
+
+def accepted(docs: DataFrame, text: str = "text", rules: dict[str, Rule] = RULES) -> DataFrame:
+    """The rows of docs, with its own columns, that judged() keeps."""
+    return judged(docs, text, rules).where("kept").select(*docs.columns)
