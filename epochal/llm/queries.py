@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, langid, licenses, mixing, ngram_trie, quality, simhash, token_counts, topk, urls
-from .common import read
+from .common import LOWER, UPPER, read
 
 
 def tokenizer() -> str:
@@ -70,7 +71,7 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality.judged(docs).drop("text")
+    return quality.judged(docs).drop("text", "failed_rule")  # which rule came first depends on what the sample cost
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -78,14 +79,44 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+def _license_sql() -> str:
+    sets = [(label, sorted(set(text.split()))) for label, text in licenses.TEMPLATES]
+    words = lambda x: f"regexp_extract_all(translate({x}, '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    rows = ", ".join(f"('{label}', {s!r}, {math.ceil(licenses.THRESHOLD * len(s) - 1e-9)})" for label, s in sets)
+    phrase = lambda p: " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p.split()))
+    base = " UNION ALL ".join(f"SELECT r, i - 1 AS p, '{label}' AS label FROM pl WHERE {phrase(p)}" for p, label in licenses.PHRASES)
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), m AS (SELECT r, doc_id, t, {words('t')} AS w FROM d),
+        pl AS (SELECT r, w, unnest(generate_series(1, len(w))) AS i FROM m WHERE len(w) > 0), b AS ({base}), bb AS (SELECT r, count(*) AS n, min(p) AS first, max(p) AS last FROM b GROUP BY r),
+        l AS (SELECT DISTINCT r, list_distinct({words('line')}) AS s FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)), t AS (SELECT * FROM (VALUES {rows}) v(label, s, least)),
+        h AS (SELECT l.r, t.label, len(list_intersect(t.s, l.s)) / len(t.s) AS share FROM l, t WHERE len(list_intersect(t.s, l.s)) >= t.least), hh AS (SELECT r, max(share) AS score FROM h GROUP BY r),
+        bl AS (SELECT r, string_agg(label, ',' ORDER BY label) AS x FROM (SELECT DISTINCT r, label FROM b) GROUP BY r), al AS (SELECT r, string_agg(label, ',' ORDER BY label) AS x FROM (SELECT r, label FROM b UNION SELECT r, label FROM h) GROUP BY r)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(bb.n, 0)::BIGINT AS n_base, bb.first::BIGINT AS first_word, bb.last::BIGINT AS last_word, coalesce(bl.x, '') AS base_labels, coalesce(al.x, '') AS labels, coalesce(hh.score, 0)::DOUBLE AS score
+        FROM m LEFT JOIN bb USING (r) LEFT JOIN bl USING (r) LEFT JOIN al USING (r) LEFT JOIN hh USING (r)"""
+
+
+_QUALITY_SQL = r"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+    m AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+    g AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT r, w, unnest(generate_series(1, len(w) - 7)) AS i FROM m WHERE len(w) >= 8)),
+    c AS (SELECT r, count(DISTINCT i + k) AS c FROM (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, g) > 1), (SELECT unnest(generate_series(0, 7)) AS k) GROUP BY r),
+    x AS (SELECT doc_id, t, len(w)::BIGINT AS n, length(array_to_string(w, ''))::BIGINT AS chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS s, (len(l) - len(list_distinct(l)))::BIGINT AS dup, len(l) AS lines, coalesce(c, 0)::BIGINT AS c,
+      len(regexp_extract_all(t, '!')) AS marks, len(regexp_extract_all(t, '\p{Lu}')) AS up, len(regexp_extract_all(t, '\p{L}')) AS letters, len(list_filter(w, lambda x: length(x) > 40)) AS long FROM m LEFT JOIN c USING (r)),
+    y AS (SELECT *, n < 20 OR 100 * c > 30 * n AS base_failed FROM x)
+    SELECT doc_id, n AS n_words, chars AS word_chars, s AS n_symbols, dup AS n_dup_lines, c AS n_repeat_words, base_failed,
+      NOT (base_failed OR s > 0.1::DOUBLE * n OR dup > 0.3::DOUBLE * lines OR marks > 0.3::DOUBLE * n OR up > 0.5::DOUBLE * letters OR letters < 0.5::DOUBLE * chars OR long > 0.1::DOUBLE * n) AS kept FROM y"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op8_license_scan": _license_sql(),
+        "op10_quality_rules": _QUALITY_SQL,
         "op5_top_k": """
             WITH v AS (
-              SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
-              WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+              SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+              WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
             ), s AS (
-              SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), z -> z[1] * z[2])) AS BIGINT) AS score
+              SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
               FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
             ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
             SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
