@@ -19,9 +19,9 @@ from pyspark.sql.types import StructType
 from .bytebpe import ByteBpe, pieces
 
 #: Pieces whose ids a worker keeps; it starts anew when full, which changes no result.
-KEPT_PIECES = 1_000_000
+KEPT_PIECES = 300_000
 #: Characters of text that are encoded together.
-BLOCK = 16_000_000
+BLOCK = 4_000_000
 _encoders: dict[str, Encoder] = {}
 
 
