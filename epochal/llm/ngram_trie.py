@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import keep
 
 #: Bytes of text in a block, about.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 4_000_000
 ADDED = 0.1
 LEVELS, LEAST_LOG = 4095, -9.0
 START, END = 0, 1  # numbers of words begin at 2
@@ -283,10 +283,12 @@ class Block:
 
     def grams(self, highest: int, shards: int, total: int) -> Iterator[Grams]:
         """Of orders 2 to highest."""
-        lower = None
+        below = None
         for order in range(2, highest + 1):
-            lower = Grams(self, order, shards, total, lower)
-            yield lower
+            grams = Grams(self, order, shards, total, below)
+            yield grams
+            below = grams.where
+            del grams
 
 
 def _groups(sorted_keys: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -296,7 +298,7 @@ def _groups(sorted_keys: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np
 
 
 class Grams:
-    """The distinct n-grams of a block, by contexts and shards. where: of each token its n-gram, -1 where it has none.
+    """The distinct n-grams of a block, by contexts and shards. where: of each token its n-gram, -1 where it has none; below: those of the order below.
 
     A context that holds a word of this block alone is seen nowhere else: it isn't asked about, but answered from a trie
     of the block itself, shard OWN.
@@ -304,7 +306,7 @@ class Grams:
 
     OWN = -1
 
-    def __init__(self, block: Block, order: int, shards: int, total: int, lower: Grams | None):
+    def __init__(self, block: Block, order: int, shards: int, total: int, below: np.ndarray | None):
         n, words = len(block.tokens), len(block.keys) + 1  # one more for the start
         first = np.cumsum(block.lengths) - block.lengths
         place = np.arange(n) - np.repeat(first, block.lengths)
@@ -315,7 +317,7 @@ class Grams:
             prior[place < k] = 0
             shifted.insert(0, prior)
         has = np.flatnonzero(place >= order - 2)
-        gram = (shifted[0][has] if lower is None else lower.where[has - 1]) * words + shifted[-1][has]
+        gram = (shifted[0][has] if below is None else below[has - 1]) * words + shifted[-1][has]
         distinct, first_at, inverse = np.unique(gram, return_index=True, return_inverse=True)
         self.where = np.full(n, -1)
         self.where[has] = inverse
