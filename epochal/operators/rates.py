@@ -104,8 +104,15 @@ def _log_normal(xa, xb, d, ts, tf):
     return d * (density - survive(tf)) + survive(tf) - survive(ts)
 
 
+def _mixed(xa, xb, d, ts, tf):
+    v = np.exp(xb)
+    grown = lambda t: np.log1p(v * np.exp(xa) * t)
+    return d * (xa - grown(tf)) - (grown(tf) - grown(ts)) / v
+
+
 #: Name: number of predictors, log-likelihood. The second parameter of log_normal is the log of the standard deviation.
 FAMILIES = {
+    "exponential_mixture": (2, _mixed),  # constant rates a, multiplied by a gamma variable of mean 1 and variance b
     "weibull": (2, _weibull),  # S = exp(-(a t)^b)
     "log_logistic": (2, _log_logistic),  # S = 1 / (1 + (a t)^b)
     "log_logistic_2": (3, _log_logistic2),  # S = (1 + (a t)^b)^(-c / a), c = exp
@@ -125,7 +132,7 @@ def parametric(episodes: DataFrame, family: str, columns: Sequence[Sequence[str]
         if start is None:
             one = rows.agg(F.sum("_d").alias("e"), F.sum(F.col("tf") - F.col("ts")).alias("x"), F.avg(F.log("tf")).alias("m"), F.stddev_samp(F.log("tf")).alias("s")).first()
             rate = np.log(max(one.e, 0.5) / one.x)
-            first = {"weibull": [rate, 0.0], "log_logistic": [rate, 0.0], "log_logistic_2": [rate, 0.0, rate], "gompertz_makeham": [rate - 2, rate, -1e-3 * np.exp(rate)], "gompertz": [rate, 0.0], "sickle": [2 * rate, -rate], "log_normal": [one.m, np.log(max(one.s or 1.0, 0.1))]}[family]
+            first = {"exponential_mixture": [rate, -1.0], "weibull": [rate, 0.0], "log_logistic": [rate, 0.0], "log_logistic_2": [rate, 0.0, rate], "gompertz_makeham": [rate - 2, rate, -1e-3 * np.exp(rate)], "gompertz": [rate, 0.0], "sickle": [2 * rate, -rate], "log_normal": [one.m, np.log(max(one.s or 1.0, 0.1))]}[family]
             start = [v for k, d in enumerate(designs) for v in [first[k], *([0.0] * len(d))]]
         names = [f"{t}:{n}" for t, d in zip("ABC", designs) for n in ["constant", *d]]
         with np.errstate(all="ignore"):
@@ -134,6 +141,33 @@ def parametric(episodes: DataFrame, family: str, columns: Sequence[Sequence[str]
         rows.unpersist()
 
 
+_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(24)
+
+
+def polynomial(episodes: DataFrame, columns: Sequence[str] = (), degree: int = 1, exponent: bool = False, des: int | None = None) -> Fit:
+    """r = a + sum of c_k t^k or, with exponent, exp(x coef_A + sum of c_k t^k), whose integral is taken by Gauss and Legendre's rule over each episode."""
+
+    def loglik(*args):
+        (xa, *c), (d, ts, tf) = args[:-3], args[-3:]
+        if not exponent:
+            a = np.exp(xa)
+            rate = a + sum(b * tf**k for k, b in enumerate(c, 1))
+            return d * np.log(rate) - a * (tf - ts) - sum(b * (tf ** (k + 1) - ts ** (k + 1)) / (k + 1) for k, b in enumerate(c, 1))
+        line = lambda t: xa + sum(b * t**k for k, b in enumerate(c, 1))
+        half = (tf - ts) / 2
+        return d * line(tf) - half * sum(w * np.exp(line(ts + half * (1 + x))) for x, w in zip(_NODES, _WEIGHTS))
+
+    rows = episodes.withColumn("_d", _event(des)).persist()
+    try:
+        one = rows.agg(F.sum("_d").alias("e"), F.sum(F.col("tf") - F.col("ts")).alias("x")).first()
+        start = [np.log(max(one.e, 0.5) / one.x), *([0.0] * (len(columns) + degree))]
+        names = ["constant", *columns, *[f"time_{k}" for k in range(1, degree + 1)]]
+        with np.errstate(all="ignore"):
+            return maximise(by_predictors(rows, [list(columns), *([[]] * degree)], loglik, ["_d", "ts", "tf"]), start, names, steps=100)
+    finally:
+        rows.unpersist()
+
+
 def discrete_time(episodes: DataFrame, columns: Sequence[str] = (), degree: int = 1, link: str = "logit", des: int | None = None) -> Fit:
     """Whole times: each episode becomes a row for each time at risk, fitted by a logit or cloglog with a polynomial of the time."""
     times = F.explode(F.sequence((F.col("ts") + 1).cast("long"), F.col("tf").cast("long"))).alias("_t")

@@ -168,6 +168,18 @@ def weibull_model(spark, sf_dir):
     return plain(rates.parametric(e, "weibull", [["q"], []]).table(spark), 4)
 
 
+@query(f"SELECT 'constant' AS term, round(ln(sum(d) / (sum(ceil(tf / 100)) - sum(d))), 5) AS coef FROM ({_EPISODES})")
+def discrete_time_model(spark, sf_dir):
+    e = shipping(spark, sf_dir).withColumn("tf", F.ceil(F.col("tf") / 100).cast("double"))
+    return plain(rates.discrete_time(e, degree=0).table(spark).select("term", "coef"), 5)
+
+
+@query()
+def polynomial_model(spark, sf_dir):
+    e = shipping(spark, sf_dir).withColumn("tf", F.col("tf") / 1000)
+    return plain(rates.polynomial(e, exponent=True).table(spark), 3)
+
+
 @query()
 def proportional_hazards(spark, sf_dir):
     e = shipping(spark, sf_dir).withColumn("q", F.col("l_quantity") / 50)

@@ -95,6 +95,19 @@ def test_parametric_models(spark):
     assert fit.coef == pytest.approx([np.log(0.2), 0.4], abs=0.12)
 
 
+def test_polynomials_and_mixture(spark):
+    rng = np.random.default_rng(8)
+    n, x = 4000, np.zeros(4000)
+    e = -np.log(rng.random(n))
+    fit = rates.polynomial(simulated(spark, (-0.2 + np.sqrt(0.04 + 0.4 * e)) / 0.2, x))
+    assert (np.exp(fit.coef[0]), fit.coef[1]) == pytest.approx((0.2, 0.2), abs=0.05)
+    fit = rates.polynomial(simulated(spark, np.log(1 + e * 0.4 / 0.2) / 0.4, x), exponent=True)
+    assert fit.coef == pytest.approx([np.log(0.2), 0.4], abs=0.12)
+    frail = rng.gamma(1 / 0.8, 0.8, n)
+    fit = rates.parametric(simulated(spark, e / (0.5 * frail), x), "exponential_mixture", [[], []])
+    assert (np.exp(fit.coef[0]), np.exp(fit.coef[1])) == pytest.approx((0.5, 0.8), abs=0.15)
+
+
 def test_discrete_time(spark):
     rng = np.random.default_rng(3)
     p = 1 / (1 + np.exp(2.0))
