@@ -58,14 +58,19 @@ def masks(radius: int, family: int = 0) -> list[int]:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """The id and the fingerprint (long, as signed) of every row."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return _fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), shingle).withColumnRenamed("id", id_col)
+
+
+def _fingerprints(rows: DataFrame, shingle: int) -> DataFrame:
+    """rows: id, text and others, which are kept; fp takes the place of text."""
+    names = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = np.array([fingerprint(t.as_py() or "", shingle) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f)], names=["id", "fp"])
+            f = np.array([fingerprint(t.as_py() or "", shingle) for t in b.column("text")], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(f)], names=[*names, "fp"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names) + ", fp long")
 
 
 def _tree(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -171,13 +176,31 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rad
     return fps.join(each, fps.fp == each._fp).select(id_col, "fp", "component_id")
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """One row of docs for each component: that of the smallest id; of rows alike in it, one."""
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle: int = 4) -> DataFrame:
+    """One row of docs for each component: that of the smallest id (nulls last) and, of rows alike in it, of the least
+    hash of the text; of rows alike in both, one. Ids don't join components: rows that share one, or have none, each stay
+    if their texts aren't linked.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
+    fps = keep(_fingerprints(rows, shingle))
+    each = keep(fps.groupBy("fp").agg(first_row()))
+    roots = components(links(each.select("fp"), radius))
+    top = each.join(roots, each.fp == roots.node, "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    return chosen(docs, fps, keep(top.select("first.*")), id_col, text_col)
+
+
+def first_row():
+    """Of rows with an id and a hash of the text, which one stays."""
+    return F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("first")
+
+
+def chosen(docs: DataFrame, rows: DataFrame, first: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs whose id and hash of the text are in first, one of each; rows: id and hash of every row of docs."""
     names = docs.columns
-    of = classes(docs, id_col, text_col, **how).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct()
-    out = docs.join(of, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    first = out.groupBy(id_col).agg(F.count("*").alias("_n")).where("_n > 1")
-    if first.isEmpty():
+    first = first.select(F.col("id").alias("_id"), F.col("hash").alias("_first"))
+    out = docs.withColumn("_hash", F.xxhash64(text_col)).join(first, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_first")), "left_semi")
+    alike = rows.join(first, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_first")), "left_semi").groupBy("id", "hash").count().where("count > 1")
+    if alike.isEmpty():
         return out.select(*names)
-    pick = Window.partitionBy(id_col).orderBy(*[F.xxhash64(text_col)])
+    pick = Window.partitionBy(id_col, "_hash").orderBy("_hash")
     return out.withColumn("_row", F.row_number().over(pick)).where("_row = 1").select(*names)
