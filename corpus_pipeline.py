@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epochal.llm import bpe, langid, mixing, quality, simhash
+from epochal.llm import bpe, langid, mixing, near, quality
 from epochal.llm.common import read, shared_dir
 from epochal.llm.queries import tokenizer
 
@@ -32,8 +32,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: that of the smallest doc_id."""
-    return simhash.representatives(docs)
+    """One document of each component of texts whose distinct runs of five words have a Jaccard similarity of 0.8 or more stays: that of the smallest doc_id."""
+    return near.representatives(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,123 @@
+"""Near-duplicates by the Jaccard similarity of word shingles: min-hash bands, then exact.
+
+Texts of equal shingles are one set. Each of BANDS tables hashes the least hashes of a set under
+ROWS permutations; sets that share a bucket are candidates, and a pair is linked only if its exact
+similarity reaches the limit. A pair of similarity s shares a bucket with probability
+1 - (1 - s^ROWS)^BANDS: 0.9997 at 0.8, more above.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import keep
+from .simhash import chosen, components, first_row
+
+BANDS, ROWS = 20, 5
+#: A bucket with more sets is compared in pairs of pieces of about as many.
+BUCKET = 1000
+_SEED = np.random.default_rng(20).integers(1, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
+_MULTIPLY, _ADD = _SEED[0] | np.uint64(1), _SEED[1]
+
+
+def shingles(text: str, size: int = 5) -> np.ndarray:
+    """Sorted distinct XXH64 hashes of the runs of size words; of the whole text if it has fewer, none if it has no words."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    whole = b" ".join(words)
+    if len(words) <= size:
+        return np.array([xxhash.xxh64_intdigest(whole)], np.uint64)
+    ends = np.flatnonzero(np.frombuffer(whole, np.uint8) == 32)
+    starts = [0, *(ends + 1).tolist()]
+    ends = [*ends.tolist(), len(whole)][size - 1 :]
+    return np.unique(np.array([xxhash.xxh64_intdigest(whole[s:e]) for s, e in zip(starts, ends)], np.uint64))
+
+
+def bands(h: np.ndarray) -> np.ndarray:
+    """The key of a set in each table."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for s in range(0, len(h), 1024):
+        x = h[s : s + 1024, None] * _MULTIPLY + _ADD
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        least = np.minimum(least, x.min(0))
+    out = np.zeros(BANDS, np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        out = (out ^ column) * np.uint64(0xBF58476D1CE4E5B9)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def tree(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Edges that connect whatever the pairs of at least similarity connect."""
+    size, part, out = np.array([len(s) for s in sets]), np.arange(len(sets)), []
+    for i in range(len(sets) - 1):
+        least, most = np.minimum(size[i], size[i + 1 :]), np.maximum(size[i], size[i + 1 :])
+        for j in i + 1 + np.flatnonzero((part[i + 1 :] != part[i]) & (least >= similarity * most)):
+            if part[j] == part[i]:
+                continue
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if both >= similarity * (size[i] + size[j] - both) - 1e-9:
+                part[part == part[j]] = part[i]
+                out.append((i, int(j)))
+    return out
+
+
+def _sets(rows: DataFrame, size: int, signed: bool) -> DataFrame:
+    """rows: id, text, hash. key names the set; with signed its bands, else the set itself."""
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t.as_py() or "", size) for t in b.column("text")]
+            key = pa.array([int(np.int64(np.uint64(xxhash.xxh64_intdigest(h.tobytes())).view(np.int64))) for h in sets], pa.int64())
+            if signed:
+                more = pa.array([bands(h).view(np.int64) if len(h) else np.zeros(0, np.int64) for h in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("hash"), key, more], names=["id", "hash", "key", "bands"])
+            else:
+                yield pa.RecordBatch.from_arrays([key, pa.array([h.tobytes() for h in sets], pa.binary())], names=["key", "set"])
+
+    return rows.mapInArrow(run, f"id {kind}, hash long, key long, bands array<long>" if signed else "key long, set binary")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """One row of docs for each component of pairs of at least similarity: chosen as by simhash.representatives.
+
+    Texts without words are alike. Each link is exact; a pair goes unseen with the probability above.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
+    made = keep(_sets(rows, shingle, True))
+    each = keep(made.groupBy("key").agg(first_row(), F.first("bands").alias("bands")))
+    table = each.select("key", F.posexplode("bands").alias("band", "bucket"))
+    buckets = table.groupBy("band", "bucket").agg(F.sort_array(F.collect_list("key")).alias("keys")).where(F.size("keys") > 1)
+    buckets = keep(buckets.select("keys").distinct().select(F.monotonically_increasing_id().alias("bucket"), "keys"))
+    # large buckets in pieces, each with itself and every later one
+    pieces = F.ceil(F.size("keys") / F.lit(BUCKET))
+    members = buckets.select("bucket", pieces.alias("n"), F.explode("keys").alias("key")).withColumn("piece", F.pmod(F.xxhash64("key"), F.col("n")))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda k: F.struct(F.least(k, "piece").alias("a"), F.greatest(k, "piece").alias("b")))
+    members = members.select("key", F.explode(pairs).alias("p"), "bucket").select("key", F.xxhash64("bucket", "p.a", "p.b").alias("bucket"))
+    # one text of each set that is a candidate
+    wanted = buckets.select(F.explode("keys").alias("key")).distinct().join(each.select("key", "first.hash"), "key").select(F.col("hash").alias("_hash"))
+    texts = rows.join(wanted, F.col("hash") == F.col("_hash"), "left_semi").select("id", "text", "hash").dropDuplicates(["hash"])
+    sets = keep(_sets(texts, shingle, False))
+    groups = members.join(sets, "key").groupBy("bucket").agg(F.collect_list(F.struct("key", "set")).alias("of")).select("of")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            edges = []
+            for group in b.column(0):
+                group = group.as_py()
+                found = tree([np.frombuffer(g["set"], np.uint64) for g in group], similarity)
+                edges += [(group[i]["key"], group[j]["key"]) for i, j in found]
+            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
+
+    roots = components(groups.mapInArrow(compare, "a long, b long").distinct())
+    top = each.select("key", "first").join(roots, each.key == roots.node, "left").groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("first").alias("first"))
+    return chosen(docs, made, keep(top.select("first.*")), id_col, text_col)

@@ -2,17 +2,74 @@
 
 import random
 
-from epochal.llm import simhash
+import pytest
+
+from epochal.llm import near, simhash
 
 
 def prose(rng, n):
     return " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
 
 
-def test_ids_do_not_join_components(spark):
+@pytest.mark.parametrize("representatives", [simhash.representatives, near.representatives])
+def test_ids_do_not_join_components(spark, representatives):
     rng = random.Random(1)
     a, b, c, d, e, f = (prose(rng, 60) for _ in range(6))
     rows = [(None, a), (None, b), (7, c), (7, d), (7, d), (3, e), (9, e), (9, f), (None, e), (None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted(map(repr, (tuple(r) for r in simhash.representatives(df).collect())))
+    got = sorted(map(repr, (tuple(r) for r in representatives(df).collect())))
     assert got == sorted(map(repr, [(None, a), (None, b), (7, c), (7, d), (3, e), (9, f), (None, None)]))
+
+
+def brute_kept(docs):
+    """Ids that stay, by all pairs, and the number of pairs that aren't equal."""
+    sets = []
+    for _, t in docs:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    root, pairs = list(range(len(docs))), 0
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(docs)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if a == b or (min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and len(a & b) >= 0.8 * len(a | b) - 1e-9):
+                pairs += a != b
+                root[top(i)] = top(j)
+    least = {}
+    for i, (d, _) in enumerate(docs):
+        least[top(i)] = min(d, least.get(top(i), d))
+    return sorted(least.values()), pairs
+
+
+@pytest.mark.parametrize("bucket", [1000, 8])
+def test_pipeline_links_changed_words(spark, monkeypatch, bucket):
+    import corpus_pipeline
+
+    monkeypatch.setattr(near, "BUCKET", bucket)
+    rng = random.Random(5)
+    docs = []
+    for k in range(30):
+        words = prose(rng, 200).split()
+        docs.append((len(docs), " ".join(words)))
+        for _ in range(20 if k == 0 else 2):
+            changed = list(words)
+            for at in rng.sample(range(200), rng.randint(1, 7)):
+                changed[at] = "changed"
+            docs.append((len(docs), " ".join(changed)))
+    want, pairs = brute_kept(docs)
+    assert pairs > 50
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()) == want
+
+
+def test_near_duplicates_of_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    want, pairs = brute_kept([tuple(r) for r in docs.collect()])
+    got = sorted(r.doc_id for r in near.representatives(docs).collect())
+    print("pairs", pairs, "kept", len(got), "brute", len(want), "simhash", simhash.representatives(docs).count())
+    assert got == want
