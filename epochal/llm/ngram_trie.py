@@ -7,9 +7,10 @@ Texts are gathered into blocks of words. Blocks ask shards, shards answer blocks
    the context builds a trie from all blocks' counts and answers from it.
 A shard's trie has one level for each word of the n-gram. The numbers of a level, and the pointers
 from a level to the ranges of its successors in the next, are monotone sequences in Elias-Fano
-form; probabilities are quantised. All lie in one memory map. A query goes down by searching
+form; the counts lie beside them in one memory map. A query goes down by searching
 the range that belongs to the context, where successors are stored relative to what precedes the range.
-Probabilities are discounted relative frequencies (three discounts, from counts of counts), interpolated
+Probabilities are discounted relative frequencies (three discounts for each order, from the counts of counts
+of all training n-grams), quantised once all shards have told those, and interpolated
 with the next lower order, down to the add-0.1 distribution of single words.
 A context that holds more than a shard's share of all words is parted by its successors.
 """
@@ -129,9 +130,14 @@ def quantise(p: np.ndarray) -> np.ndarray:
 VALUES = np.concatenate([[0.0], 10.0 ** (LEAST_LOG * (1 - np.arange(LEVELS) / (LEVELS - 1)))])
 
 
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """What is taken off counts of 1, 2, and 3 or more, at places 1 to 3."""
-    n = np.bincount(np.minimum(counts, 5), minlength=6).astype(float)
+def counts_of_counts(counts: np.ndarray) -> np.ndarray:
+    """How many of counts are 1, 2 and so on to 5."""
+    return np.bincount(np.minimum(counts, 6), minlength=7)[1:6].astype(np.int64)
+
+
+def discounts(seen: np.ndarray) -> np.ndarray:
+    """What is taken off counts of 1, 2, and 3 or more, at places 1 to 3; seen: counts_of_counts of all n-grams of an order."""
+    n = np.concatenate([[0], seen]).astype(float)
     out = np.array([0, 0.75, 1.0, 1.25])
     if n[1] and n[2]:
         y = n[1] / (n[1] + 2 * n[2])
@@ -163,8 +169,9 @@ class Trie:
             self.pointers.append(sequence(*sizes[8 * k + 4 : 8 * k + 8]) if k + 1 < order else None)
         contexts, leaves = self.levels[-2].n, self.levels[-1].n
         self.total = np.frombuffer(buffer, np.uint32, contexts, at)
-        self.back = np.frombuffer(buffer, np.uint16, contexts, at + 4 * contexts)
-        self.share = np.frombuffer(buffer, np.uint16, leaves, at + 6 * contexts)
+        # successors seen once, twice, and more often
+        self.kinds = np.frombuffer(buffer, np.uint32, 3 * contexts, at + 4 * contexts).reshape(3, contexts)
+        self.count = np.frombuffer(buffer, np.uint32, leaves, at + 16 * contexts)
 
     @staticmethod
     def to_map(columns: list[np.ndarray], count: np.ndarray) -> mmap.mmap:
@@ -192,11 +199,8 @@ class Trie:
             if k == order - 2:
                 parent = np.cumsum(new) - 1
         contexts = int(parent[-1]) + 1 if n else 0
-        take = discounts(count)[np.minimum(count, 3)]
-        total = np.bincount(parent, count, contexts) if n else np.zeros(0)
-        rest = np.bincount(parent, take, contexts) if n else np.zeros(0)
-        share = (count - take) / total[parent] if n else np.zeros(0)
-        tail = [total.astype(np.uint32), quantise(rest / np.maximum(total, 1)), quantise(share)]
+        kinds = [np.bincount(parent, np.minimum(count, 3) == k, contexts) for k in (1, 2, 3)]
+        tail = [x.astype(np.uint32) for x in (np.bincount(parent, count, contexts), *kinds, count)]
         # sizes of a level and then of the pointers from it
         heads = sizes + [0] * (8 * order - len(sizes))
         raw = [struct.pack("<I", order), struct.pack(f"<{8 * order}Q", *heads), *(p.tobytes() for p in parts), *(t.tobytes() for t in tail)]
@@ -273,13 +277,14 @@ class Block:
             yield s, pack([np.diff(self.keys[rows], prepend=np.uint64(0)), count[rows]])
 
     def take_words(self, answers: dict[int, bytes], shards: int) -> None:
-        """number and count of each local word, and whether the training texts hold it in this block alone (or not at all)."""
+        """number and count of each local word, and whether no other block holds it, held-out texts included (or no training text)."""
         self.number, self.count = np.zeros(len(self.keys), np.int64), np.zeros(len(self.keys), np.int64)
+        self.own = np.zeros(len(self.keys), bool)
         shard = (self.keys % np.uint64(shards)).astype(np.int64)
         for s, rows in _groups(*(lambda o: (shard[o], o))(np.argsort(shard, kind="stable"))):
-            number, count = unpack(answers[s])
-            self.number[rows], self.count[rows] = number, count
-        self.own = self.count == np.bincount(self.tokens, self.trained(), len(self.keys)).astype(np.int64)
+            number, count, alone = unpack(answers[s])
+            self.number[rows], self.count[rows], self.own[rows] = number, count, alone > 0
+        self.own |= self.count == 0
 
     def grams(self, highest: int, shards: int, total: int) -> Iterator[Grams]:
         """Of orders 2 to highest."""
@@ -363,21 +368,26 @@ class Grams:
             r = rows.get(s, none)
             yield s, pack([*(c[entries] for c in self._root), self._successors[entries].astype(np.uint32), self._last[r].astype(np.uint64), self._count[r]])
 
-    def take(self, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Of each n-gram the discounted share, and the share left to the lower order (1 if the context is unknown)."""
-        total, back = np.zeros(len(self.owner)), np.zeros(len(self.owner))
-        share = np.zeros(len(self.entry))
+    def own_counts(self) -> np.ndarray:
+        """counts_of_counts of the n-grams that the block itself answers."""
+        count = self._count[self._rows[self._shard_of_row == self.OWN]].astype(np.int64)
+        return counts_of_counts(count[count > 0])
+
+    def take(self, answers: dict[int, bytes], off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each n-gram the discounted share, and the share left to the lower order (1 if the context is unknown). off: discounts()."""
+        total, kinds = np.zeros(len(self.owner)), np.zeros((3, len(self.owner)))
+        count = np.zeros(len(self.entry), np.int64)
         rows = dict(_groups(self._shard_of_row, self._rows))
         for s, entries in _groups(self._shard_of_entry, self._entries):
-            t, b, h = unpack(answers[s])
-            total[entries], back[entries] = t, VALUES[b]
+            t, *k, c = unpack(answers[s])
+            total[entries] = t
+            kinds[:, entries] = k
             if s in rows:
-                share[rows[s]] = VALUES[h]
+                count[rows[s]] = c
         whole = np.bincount(self.owner, total, self.n_contexts)
-        left = np.bincount(self.owner, total * back, self.n_contexts)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            hi = share * total[self.entry] / whole[self.context_of]
-            low = left[self.context_of] / whole[self.context_of]
+        rest = sum(d * np.bincount(self.owner, k, self.n_contexts) for d, k in zip(off[1:], kinds))
+        low = VALUES[quantise(rest / np.maximum(whole, 1))][self.context_of]
+        hi = VALUES[quantise((count - off[np.minimum(count, 3)]) / np.maximum(whole, 1)[self.context_of])]
         seen = whole[self.context_of] > 0
         return np.where(seen, hi, 0.0), np.where(seen, low, 1.0)
 
@@ -388,19 +398,23 @@ def _answer_words(frame: pd.DataFrame, shards: int) -> pd.DataFrame:
     keys = [np.cumsum(a[0], dtype=np.uint64) for a in asked]
     distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     count = np.bincount(inverse, np.concatenate([a[1] for a in asked]), len(distinct)).astype(np.int64)
+    alone = (np.bincount(inverse, minlength=len(distinct)) == 1).astype(np.uint8)  # a block asks once
     rank = np.empty(len(distinct), np.int64)
     rank[np.lexsort((distinct, -count))] = np.arange(len(distinct))
     number = rank * shards + shard + 2
     number[distinct == np.uint64(_END_KEY)] = END
     cuts = np.cumsum([len(k) for k in keys])[:-1]
-    data = [pack([number[i].astype(np.uint64), count[i].astype(np.uint32)]) for i in np.split(inverse, cuts)]
+    data = [pack([number[i].astype(np.uint64), count[i].astype(np.uint32), alone[i]]) for i in np.split(inverse, cuts)]
     data.append(struct.pack("<q", int((count > 0).sum())))
     return pd.DataFrame({"block": [*frame["block"], -1], "shard": shard, "gram": 1, "data": data})
 
 
 def _answer_grams(frame: pd.DataFrame) -> pd.DataFrame:
+    """Answers to the blocks, and for block -1 the counts_of_counts; of a gram below 0, what blocks tell of their own, the sum."""
     order = int(frame["gram"].iloc[0])
     asked = [unpack(d) for d in frame["data"]]
+    if order < 0:
+        return pd.DataFrame({"block": [-1], "shard": frame["shard"].iloc[:1].to_list(), "gram": [-order], "data": [pack([sum(a[0] for a in asked)])]})
     root = [np.concatenate([a[k] for a in asked]) for k in range(order - 1)]
     successors = np.concatenate([a[order - 1] for a in asked])
     last, count = (np.concatenate([a[k] for a in asked]).astype(np.int64) for k in (order, order + 1))
@@ -414,20 +428,21 @@ def _answer_grams(frame: pd.DataFrame) -> pd.DataFrame:
         new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
     at = np.flatnonzero(new)
     summed = np.add.reduceat(count[some], at) if len(at) else np.zeros(0, np.int64)
-    total, back, share = np.zeros(len(successors), np.uint32), np.zeros(len(successors), np.uint16), np.zeros(len(last), np.uint16)
+    total, kinds, number = np.zeros(len(successors), np.uint32), np.zeros((3, len(successors)), np.uint32), np.zeros(len(last), np.uint32)
     if len(at):
         trie = Trie(Trie.to_map([c[at] for c in columns], summed))
         context, _ = trie.find([*root, np.zeros(len(successors), np.int64)])
         known = context >= 0
-        total[known], back[known] = trie.total[context[known]], trie.back[context[known]]
+        total[known], kinds[:, known] = trie.total[context[known]], trie.kinds[:, context[known]]
         _, leaf = trie.find([*(r[entry] for r in root), last])
-        share[leaf >= 0] = trie.share[leaf[leaf >= 0]]
+        number[leaf >= 0] = trie.count[leaf[leaf >= 0]]
     out, e, r = [], 0, 0
     for a in asked:
         n, m = len(a[order - 1]), len(a[order])
-        out.append(pack([total[e : e + n], back[e : e + n], share[r : r + m]]))
+        out.append(pack([total[e : e + n], *kinds[:, e : e + n], number[r : r + m]]))
         e, r = e + n, r + m
-    return pd.DataFrame({"block": frame["block"], "shard": frame["shard"], "gram": order, "data": out})
+    out.append(pack([counts_of_counts(summed)]))
+    return pd.DataFrame({"block": [*frame["block"], -1], "shard": int(frame["shard"].iloc[0]), "gram": order, "data": out})
 
 
 def score(docs: DataFrame, order: int = 3) -> DataFrame:
@@ -495,11 +510,17 @@ def score(docs: DataFrame, order: int = 3) -> DataFrame:
             block.take_words(dict(zip(answers["shard"], answers["data"])), shards)
             for grams in block.grams(order, shards, total):
                 out += [(number, s, grams.order, d) for s, d in grams.asks()]
+                out.append((number, number % shards, -grams.order, pack([grams.own_counts()])))
         return pd.DataFrame(out, columns=["block", "shard", "gram", "data"])
 
     # the same columns of the states as at the end, so that their shuffle is used again
     asked = states.groupBy("block").cogroup(words.groupBy("block")).applyInPandas(ask, answer)
-    told_back = asked.groupBy("shard", "gram").applyInPandas(_answer_grams, answer)
+    told_back = keep(asked.groupBy("shard", "gram").applyInPandas(_answer_grams, answer))
+    seen = {k: np.zeros(5, np.int64) for k in range(2, order + 1)}
+    for r in told_back.where("block = -1").select("gram", "data").toLocalIterator():
+        seen[r.gram] += unpack(r.data)[0]
+    off = {k: discounts(n) for k, n in seen.items()}
+    told_back = told_back.where("block >= 0")
 
     def finish(state: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         frames = []
@@ -515,7 +536,7 @@ def score(docs: DataFrame, order: int = 3) -> DataFrame:
             for grams in block.grams(order, shards, total):
                 own = pd.DataFrame([(0, s, grams.order, d) for s, d in grams.asks(own=True)], columns=["block", "shard", "gram", "data"])
                 found = of.get(grams.order, {}) | (dict(zip(own["shard"], _answer_grams(own)["data"])) if len(own) else {})
-                share, left = grams.take(found)
+                share, left = grams.take(found, off[grams.order])
                 at = np.flatnonzero(grams.where >= 0)
                 gram = grams.where[at]
                 p[at] = share[gram] + left[gram] * p[at]
