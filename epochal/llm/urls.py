@@ -53,7 +53,8 @@ def _strength(groups: DataFrame, mean: str) -> float:
 
 def reputations(outcomes: DataFrame, z: float = 1.645) -> tuple[DataFrame, DataFrame, DataFrame, tuple[float, float]]:
     """outcomes: host, bad (0 or 1; null is no outcome). Tables of hosts (_bare, n, bad, rate, bound), domains and
-    suffixes (with the mean that a host without outcomes takes), and the whole's rate and the hosts' strength.
+    suffixes (with the mean that a host without outcomes takes, and its bound), the whole's rate, and the bound of
+    a host without outcomes in the whole.
     """
     hosts = keep(outcomes.where("bad is not null").select(*[c.alias(k) for k, c in _levels(F.col("host")).items()], "bad").groupBy("_suffix", "_domain", "_bare").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")))
     root = hosts.agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("p")).first().p
@@ -61,14 +62,27 @@ def reputations(outcomes: DataFrame, z: float = 1.645) -> tuple[DataFrame, DataF
     add = lambda df, keys: df.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     shrunk = lambda mean, m: (F.col("bad") + m * F.col(mean)) / (F.col("n") + m)
     suffixes = add(hosts, ["_suffix"]).withColumn("_root", F.lit(root))
-    suffixes = suffixes.select("_suffix", shrunk("_root", _strength(suffixes, "_root")).alias("_suffix_rate"))
+    at_suffix = _strength(suffixes, "_root")
+    suffixes = suffixes.select("_suffix", shrunk("_root", at_suffix).alias("_suffix_rate"))
     domains = add(hosts, ["_suffix", "_domain"]).join(suffixes, "_suffix")
-    domains = domains.select("_domain", shrunk("_suffix_rate", _strength(domains, "_suffix_rate")).alias("_domain_rate"))
+    at_domain = _strength(domains, "_suffix_rate")
+    domains = domains.select("_domain", shrunk("_suffix_rate", at_domain).alias("_domain_rate"))
     hosts = hosts.join(domains, "_domain")
     m = _strength(hosts, "_domain_rate")
     hosts = hosts.withColumn("bad_rate", shrunk("_domain_rate", m)).withColumn("_n", F.col("n") + m)
-    bound = F.col("bad_rate") - z * F.sqrt(F.col("bad_rate") * (1 - F.col("bad_rate")) / (F.col("_n") + 1))
-    return hosts.select("_bare", F.col("n").alias("n_labelled"), "bad_rate", F.greatest(bound, F.lit(0.0)).alias("bad_bound")), domains, suffixes, (root, m)
+    bound = lambda rate, n: F.greatest(rate - z * F.sqrt(rate * (1 - rate) / (n + 1)), F.lit(0.0))
+    # a host without outcomes spreads around a known level as all levels below it do together
+    below_suffix = _together(m, at_domain)
+    none = _together(below_suffix, at_suffix)
+    domains = domains.withColumn("_domain_bound", bound(F.col("_domain_rate"), m))
+    suffixes = suffixes.withColumn("_suffix_bound", bound(F.col("_suffix_rate"), below_suffix))
+    hosts = hosts.select("_bare", F.col("n").alias("n_labelled"), "bad_rate", bound(F.col("bad_rate"), F.col("_n")).alias("bad_bound"))
+    return hosts, domains, suffixes, (root, max(0.0, root - z * (root * (1 - root) / (none + 1)) ** 0.5))
+
+
+def _together(a: float, b: float) -> float:
+    """The strength of a prior whose mean has a prior of its own."""
+    return 1 / (1 - (a / (a + 1)) * (b / (b + 1))) - 1
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], limit: float = 0.5, z: float = 1.645) -> DataFrame:
@@ -76,17 +90,19 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], l
     page_id, host, path, rule, verdict, n_labelled, bad_rate, bad_bound.
 
     A rule's verdict holds where one fits; else a host is blocked if bad_bound is above limit.
-    Hosts without outcomes take the rate of the whole and are allowed. Null urls and urls without
+    Hosts without outcomes take rate and bound from their domain, else their suffix, else the whole. Null urls and urls without
     :// have an empty host and path. A page with several outcomes counts once, as bad if any is;
     outcomes of unknown pages don't count. Empty tables give empty results.
     """
     host, path = host_and_path(F.col("_url"))
     pages = pages.select("page_id", F.col("url").alias("_url")).select("page_id", host.alias("host"), path.alias("path"))
     known = outcomes.where("page_id is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
-    hosts, _, _, (root, m) = reputations(pages.join(known, "page_id").select("host", "bad"), z)
+    hosts, domains, suffixes, (root, none) = reputations(pages.join(known, "page_id").select("host", "bad"), z)
     name, says = rule_of(F.col("host"), F.col("path"), rules)
-    pages = pages.withColumns({"rule": name, "_says": says, "_bare": _levels(F.col("host"))["_bare"]}).join(hosts, "_bare", "left")
-    none = max(0.0, root - z * (root * (1 - root) / (m + 1)) ** 0.5)
-    bound = F.coalesce("bad_bound", F.lit(none))
-    verdict = F.coalesce("_says", F.when(F.col("n_labelled").isNotNull() & (bound > limit), "block").otherwise("allow"))
-    return pages.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.coalesce("n_labelled", F.lit(0)).alias("n_labelled"), F.coalesce("bad_rate", F.lit(root)).alias("bad_rate"), bound.alias("bad_bound"))
+    of = _levels(F.col("host"))
+    pages = pages.withColumns({"rule": name, "_says": says, "_bare": of["_bare"]})
+    every = pages.select(*[c.alias(k) for k, c in of.items()]).distinct().join(hosts, "_bare", "left").join(domains, "_domain", "left").join(suffixes, "_suffix", "left")
+    rate, bound = F.coalesce("bad_rate", "_domain_rate", "_suffix_rate", F.lit(root)), F.coalesce("bad_bound", "_domain_bound", "_suffix_bound", F.lit(none))
+    every = every.select("_bare", F.coalesce("n_labelled", F.lit(0)).alias("n_labelled"), rate.alias("bad_rate"), bound.alias("bad_bound"))
+    verdict = F.coalesce("_says", F.when(F.col("bad_bound") > limit, "block").otherwise("allow"))
+    return pages.join(every, "_bare").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "n_labelled", "bad_rate", "bad_bound")
