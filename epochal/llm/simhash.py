@@ -4,6 +4,7 @@ Each of the 64 bit places gets a nonzero vector of radius + 1 bits. For every no
 table masks a fingerprint to the places whose vector has an odd product with v. The vectors
 of up to radius differing places span no more than radius dimensions, so some v is
 orthogonal to all of them: in that table the pair collides. No pair within the radius is missed.
+A radius over 5 is shared out over parts of the fingerprint: a pair within it is within its share in one part at least.
 """
 
 from __future__ import annotations
@@ -24,35 +25,45 @@ BUCKET = 1000
 _SPREAD = (1, 11, 23, 37, 53)
 
 
-def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
-    """A bit is set if it is in over half of the XXH64 hashes of the text's shingles; 0 for a text without words."""
+def shingles(text: str, shingle: int = 4, seed: int = 42) -> np.ndarray:
+    """XXH64 of each run of shingle words, repeats included; of all words if there are fewer, none if there is none."""
     words = text.encode("utf-8", "surrogatepass").lower().split()  # of bytes, both go by ASCII alone
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     whole = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        hashes = [digest(whole, seed)]
-    else:
-        ends = np.flatnonzero(np.frombuffer(whole, np.uint8) == 32)
-        starts = [0, *(ends + 1).tolist()]
-        ends = [*ends.tolist(), len(whole)][shingle - 1 :]
-        hashes = [digest(whole[s:e], seed) for s, e in zip(starts, ends)]
-    h = np.array(hashes, np.uint64)
+        return np.array([digest(whole, seed)], np.uint64)
+    ends = np.flatnonzero(np.frombuffer(whole, np.uint8) == 32)
+    starts = [0, *(ends + 1).tolist()]
+    ends = [*ends.tolist(), len(whole)][shingle - 1 :]
+    return np.array([digest(whole[s:e], seed) for s, e in zip(starts, ends)], np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """A bit is set if it is in over half of the hashes; 0 for none."""
     counts = np.zeros(64, np.int64)
     for s in range(0, len(h), 1 << 16):
         counts += np.unpackbits(h[s : s + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
+    return majority(shingles(text, shingle, seed))
+
+
 def masks(radius: int, family: int = 0) -> list[int]:
-    """2^(radius+1) - 1 masks of 64 bits, signed; every set of up to radius places is outside one of them."""
-    n = (1 << radius + 1) - 1
-    vectors = [1 + (_SPREAD[family % len(_SPREAD)] * (i + family * i * i)) % n for i in range(64)]
-    out = []
-    for v in range(1, n + 1):
-        mask = sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() % 2)
-        out.append(mask - (1 << 64) if mask >> 63 else mask)
+    """Masks of 64 bits, signed; every set of up to radius places is outside one of them. Of each part: 2^(its share + 1) - 1."""
+    parts = -(-(radius + 1) // 6)
+    share = -(-(radius + 1) // parts) - 1
+    n, spread, out = (1 << share + 1) - 1, _SPREAD[family % len(_SPREAD)], []
+    dealt = range(64) if parts == 1 else [i * spread % 64 for i in range(64)]
+    for part in range(parts):
+        places = dealt[part * 64 // parts : (part + 1) * 64 // parts]
+        vectors = [1 + (spread * (i + family * i * i)) % n for i in range(len(places))]
+        for v in range(1, n + 1):
+            mask = sum(1 << at for at, m in zip(places, vectors) if (m & v).bit_count() % 2)
+            out.append(mask - (1 << 64) if mask >> 63 else mask)
     return out
 
 
@@ -102,8 +113,8 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     """
 
     def table(df: DataFrame, family: int) -> DataFrame:
-        of = F.explode(F.array(*[F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for k, m in enumerate(masks(radius, family))])).alias("_x")
-        return df.select("key", "fp", of).select(F.xxhash64("key", "_x.t", "_x.k").alias("key"), "fp")
+        of = F.array(*[F.lit(m).cast("long") for m in masks(radius, family)])
+        return df.select("key", "fp", F.posexplode(of).alias("_t", "_m")).select(F.xxhash64("key", "_t", F.col("fp").bitwiseAND(F.col("_m"))).alias("key"), "fp")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -112,7 +123,7 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
 
     rows, out = fps.withColumn("key", F.lit(0).cast("long")), None
     for family in range(len(_SPREAD)):
-        rows = keep(table(rows, family))
+        rows = table(rows, family)
         large = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET)
         large = keep(large)
         last = family == len(_SPREAD) - 1 or large.isEmpty()
@@ -122,7 +133,7 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
         out = found if out is None else out.union(found)
         if last:
             break
-        rows = rows.join(large.select("key"), "key")
+        rows = keep(rows.join(large.select("key"), "key"))
     return out.distinct()
 
 
@@ -171,22 +182,80 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rad
     each = keep(fps.groupBy("fp").agg(F.min(id_col).alias("least")))
     roots = components(links(each.select("fp"), radius))
     each = each.join(roots, each.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    top = each.groupBy("root").agg(F.min("least").alias("component_id"))
+    top = keep(each.groupBy("root").agg(F.min("least").alias("component_id")))  # so that a join by a common root can be split
     each = each.join(top, "root").select(F.col("fp").alias("_fp"), "component_id")
     return fps.join(each, fps.fp == each._fp).select(id_col, "fp", "component_id")
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle: int = 4) -> DataFrame:
-    """One row of docs for each component: that of the smallest id (nulls last) and, of rows alike in it, of the least
-    hash of the text; of rows alike in both, one. Ids don't join components: rows that share one, or have none, each stay
-    if their texts aren't linked.
+def _resembling(sets: list[np.ndarray], fps: np.ndarray, radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Edges that connect whatever the pairs of at least similarity connect of those whose fingerprints are within radius."""
+    size, part, out = np.array([len(s) for s in sets]), np.arange(len(sets)), []
+    for i in range(len(sets) - 1):
+        least, most = np.minimum(size[i], size[i + 1 :]), np.maximum(size[i], size[i + 1 :])
+        near = np.bitwise_count((fps[i + 1 :] ^ fps[i]).view(np.uint64)) <= radius
+        for j in i + 1 + np.flatnonzero(near & (part[i + 1 :] != part[i]) & (least >= similarity * most)):
+            if part[j] == part[i]:
+                continue
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if both >= similarity * (size[i] + size[j] - both) - 1e-9:
+                part[part == part[j]] = part[i]
+                out.append((i, int(j)))
+    return out
+
+
+def _sets(rows: DataFrame, shingle: int, whole: bool) -> DataFrame:
+    """rows: id, text, hash. key names a text's set of shingles and fp is the fingerprint of the set; with whole also the set."""
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingles(t.as_py() or "", shingle)) for t in b.column("text")]
+            key = pa.array([np.uint64(xxhash.xxh64_intdigest(h.tobytes())).view(np.int64) for h in sets], pa.int64())
+            if whole:
+                yield pa.RecordBatch.from_arrays([key, pa.array([h.tobytes() for h in sets], pa.binary())], names=["key", "set"])
+            else:
+                fps = pa.array(np.array([majority(h) for h in sets], np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("hash"), key, fps], names=["id", "hash", "key", "fp"])
+
+    return rows.mapInArrow(run, "key long, set binary" if whole else f"id {kind}, hash long, key long, fp long")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 11, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of docs for each component of near-duplicates: texts whose sets of shingles have fingerprints within radius bits
+    and a Jaccard similarity of at least similarity, exactly.
+
+    The row that stays has the smallest id (nulls last) and, of rows alike in it, the least hash of the text; of rows alike in
+    both, one. Ids don't join components: rows that share one, or have none, each stay if their texts aren't linked. Texts
+    without words (null or empty too) are alike. Extra columns stay as they are; an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
-    fps = keep(_fingerprints(rows, shingle))
-    each = keep(fps.groupBy("fp").agg(first_row()))
-    roots = components(links(each.select("fp"), radius))
-    top = each.join(roots, each.fp == roots.node, "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-    return chosen(docs, fps, keep(top.select("first.*")), id_col, text_col)
+    made = keep(_sets(rows, shingle, False))
+    each = keep(made.groupBy("key").agg(first_row(), F.first("fp").alias("fp")))
+    # whatever the radius connects is a superset: only there are sets compared
+    roots = keep(components(links(each.select("fp").distinct(), radius)))
+    group = each.join(roots, each.fp == roots.node, "left").select("key", "first", "fp", F.coalesce("root", "fp").alias("root"))
+    several = group.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select(F.col("root").alias("_root"), F.ceil(F.col("n") / BUCKET).alias("n"))
+    group = keep(group.join(several, F.col("root") == F.col("_root")).select("key", "first.hash", "fp", "root", "n"))
+    # large groups in pieces, each with itself and every later one
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda k: F.struct(F.least(k, "piece").alias("a"), F.greatest(k, "piece").alias("b")))
+    members = group.withColumn("piece", F.pmod(F.xxhash64("key"), F.col("n"))).select("key", "fp", "root", F.explode(pairs).alias("p")).select("key", "fp", F.xxhash64("root", "p.a", "p.b").alias("bucket"))
+    wanted = group.select(F.col("hash").alias("_hash")).distinct()
+    texts = rows.join(wanted, F.col("hash") == F.col("_hash"), "left_semi").select("id", "text", "hash").dropDuplicates(["hash"])
+    sets = keep(_sets(texts, shingle, True))
+    groups = members.join(sets, "key").groupBy("bucket").agg(F.collect_list(F.struct("key", "fp", "set")).alias("of")).select("of")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            edges = []
+            for group in b.column(0):
+                group = group.as_py()
+                found = _resembling([np.frombuffer(g["set"], np.uint64) for g in group], np.array([g["fp"] for g in group], np.int64), radius, similarity)
+                edges += [(group[i]["key"], group[j]["key"]) for i, j in found]
+            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
+
+    roots = components(groups.mapInArrow(compare, "a long, b long").distinct())
+    top = each.select("key", "first").join(roots, each.key == roots.node, "left").groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("first").alias("first"))
+    return chosen(docs, made, keep(top.select("first.*")), id_col, text_col)
 
 
 def first_row():

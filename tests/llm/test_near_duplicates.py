@@ -3,31 +3,35 @@
 import random
 
 import pytest
+import xxhash
 
-from epochal.llm import near, simhash
+from epochal.llm import simhash
 
 
 def prose(rng, n):
     return " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
 
 
-@pytest.mark.parametrize("representatives", [simhash.representatives, near.representatives])
-def test_ids_do_not_join_components(spark, representatives):
+def test_ids_do_not_join_components(spark):
     rng = random.Random(1)
     a, b, c, d, e, f = (prose(rng, 60) for _ in range(6))
     rows = [(None, a), (None, b), (7, c), (7, d), (7, d), (3, e), (9, e), (9, f), (None, e), (None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted(map(repr, (tuple(r) for r in representatives(df).collect())))
+    got = sorted(map(repr, (tuple(r) for r in simhash.representatives(df).collect())))
     assert got == sorted(map(repr, [(None, a), (None, b), (7, c), (7, d), (3, e), (9, f), (None, None)]))
 
 
-def brute_kept(docs):
-    """Ids that stay, by all pairs, and the number of pairs that aren't equal."""
+def brute(docs, radius=11):
+    """Ids that stay, by all pairs within the radius; pairs of different texts, and how many of them the radius has."""
     sets = []
     for _, t in docs:
         w = (t or "").lower().split()
-        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
-    root, pairs = list(range(len(docs))), 0
+        sets.append({" ".join(w[k : k + 5]).encode() for k in range(max(1, len(w) - 4))} if w else set())
+    fps = []
+    for s in sets:
+        h = [xxhash.xxh64_intdigest(x, 42) for x in s]
+        fps.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
+    root, pairs, within = list(range(len(docs))), 0, 0
 
     def top(i):
         while root[i] != i:
@@ -38,19 +42,21 @@ def brute_kept(docs):
         for j in range(i):
             a, b = sets[i], sets[j]
             if a == b or (min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and len(a & b) >= 0.8 * len(a | b) - 1e-9):
-                pairs += a != b
-                root[top(i)] = top(j)
+                near = (fps[i] ^ fps[j]).bit_count() <= radius
+                pairs, within = pairs + (a != b), within + (a != b and near)
+                if near:
+                    root[top(i)] = top(j)
     least = {}
     for i, (d, _) in enumerate(docs):
         least[top(i)] = min(d, least.get(top(i), d))
-    return sorted(least.values()), pairs
+    return sorted(least.values()), pairs, within
 
 
 @pytest.mark.parametrize("bucket", [1000, 8])
 def test_pipeline_links_changed_words(spark, monkeypatch, bucket):
     import corpus_pipeline
 
-    monkeypatch.setattr(near, "BUCKET", bucket)
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
     rng = random.Random(5)
     docs = []
     for k in range(30):
@@ -61,15 +67,28 @@ def test_pipeline_links_changed_words(spark, monkeypatch, bucket):
             for at in rng.sample(range(200), rng.randint(1, 7)):
                 changed[at] = "changed"
             docs.append((len(docs), " ".join(changed)))
-    want, pairs = brute_kept(docs)
-    assert pairs > 50
+    want, pairs, within = brute(docs)
+    assert pairs > 50 and within > 0.8 * pairs
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()) == want
 
 
+def test_masks_cover():
+    """Whatever places differ, up to the radius, some mask has none of them."""
+    rng = random.Random(2)
+    for radius in (0, 4, 11, 14):
+        for family in (0, 1, 2):
+            found = simhash.masks(radius, family)
+            assert all(m for m in found)
+            for _ in range(300):
+                differ = sum(1 << k for k in rng.sample(range(64), radius))
+                assert any(not m & differ for m in found), (radius, family)
+
+
 def test_near_duplicates_of_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
-    want, pairs = brute_kept([tuple(r) for r in docs.collect()])
-    got = sorted(r.doc_id for r in near.representatives(docs).collect())
-    print("pairs", pairs, "kept", len(got), "brute", len(want), "simhash", simhash.representatives(docs).count())
+    want, pairs, within = brute([tuple(r) for r in docs.collect()])
+    got = sorted(r.doc_id for r in simhash.representatives(docs).collect())
+    print("pairs", pairs, "within the radius", within, "kept", len(got))
     assert got == want
+    assert within >= 0.8 * pairs
