@@ -9,23 +9,38 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-_erfc = np.frompyfunc(math.erfc, 1, 1)
-_lgamma = np.frompyfunc(lambda x: math.lgamma(x) if x > 0 else math.nan, 1, 1)
+#: Coefficients of Stirling's series: 1/12, -1/360, 1/1260, -1/1680, 1/1188, -691/360360, 1/156
+_STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188, -691 / 360360, 1 / 156)
 
 
 def np_log_gamma(x) -> np.ndarray:
-    return np.asarray(_lgamma(np.asarray(x, float)), float)
+    """Stirling's series from 8 on, and the recurrence below; nan where x isn't positive."""
+    x = np.asarray(x, float)
+    with np.errstate(all="ignore"):
+        y, down = np.where(x > 0, x, np.nan), np.zeros(x.shape)
+        for _ in range(8):
+            low = y < 8
+            down = down + np.where(low, np.log(y), 0.0)
+            y = y + low
+        series = sum(c / y ** (2 * k + 1) for k, c in enumerate(_STIRLING))
+        return np.where(np.isinf(x) & (x > 0), np.inf, (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + series - down)
 
 
 def np_normal(x) -> np.ndarray:
     """The normal distribution function."""
-    return 0.5 * np.asarray(_erfc(-np.asarray(x, float) / math.sqrt(2)), float)
+    x = np.asarray(x, float)
+    lower, upper = _gamma_sides(np.full(x.shape, 0.5), x * x / 2)
+    return np.where(x < 0, upper / 2, 0.5 + lower / 2)
 
 
 def np_incomplete_gamma(a, x) -> np.ndarray:
-    """The regularised lower incomplete gamma function: its series below a + 1, its continued fraction above."""
-    a, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float))
-    out = np.full(a.shape, np.nan)
+    """The regularised lower incomplete gamma function."""
+    return _gamma_sides(*np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float)))[0]
+
+
+def _gamma_sides(a: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lower and the upper function: the series of the first below a + 1, the continued fraction of the second above."""
+    lower, upper = np.full(a.shape, np.nan), np.full(a.shape, np.nan)
     ok = (a > 0) & (x >= 0)
     low, high = ok & (x < a + 1), ok & (x >= a + 1)
     with np.errstate(all="ignore"):
@@ -37,7 +52,8 @@ def np_incomplete_gamma(a, x) -> np.ndarray:
                 total = total + term
                 if np.all(term <= total * 1e-16):
                     break
-            out[low] = np.where(y > 0, total * np.exp(-y + b * np.log(y) - np_log_gamma(b)), 0.0)
+            lower[low] = np.where(y > 0, total * np.exp(-y + b * np.log(y) - np_log_gamma(b)), 0.0)
+            upper[low] = 1 - lower[low]
         if high.any():
             b, y = a[high], x[high]
             c, d = np.full(b.shape, 1e300), 1 / (y + 1 - b)
@@ -49,8 +65,9 @@ def np_incomplete_gamma(a, x) -> np.ndarray:
                 h = h * c * d
                 if np.all(np.abs(c * d - 1) < 1e-15):
                     break
-            out[high] = 1 - h * np.exp(-y + b * np.log(y) - np_log_gamma(b))
-    return out
+            upper[high] = np.where(np.isinf(y), 0.0, h * np.exp(-y + b * np.log(y) - np_log_gamma(b)))
+            lower[high] = 1 - upper[high]
+    return lower, upper
 
 
 def np_incomplete_beta(a, b, x) -> np.ndarray:
@@ -74,6 +91,17 @@ def np_incomplete_beta(a, b, x) -> np.ndarray:
     return np.where((a > 0) & (b > 0) & (x >= 0) & (x <= 1), out, np.nan)
 
 
+def np_beta_quantile(p, a, b) -> np.ndarray:
+    """Where the regularised incomplete beta function reaches p, by halving."""
+    p, a, b = np.broadcast_arrays(*(np.asarray(v, float) for v in (p, a, b)))
+    low, high = np.zeros(p.shape), np.ones(p.shape)
+    for _ in range(60):
+        mid = (low + high) / 2
+        less = np_incomplete_beta(a, b, mid) < p
+        low, high = np.where(less, mid, low), np.where(less, high, mid)
+    return np.where((a > 0) & (b > 0), (low + high) / 2, np.nan)
+
+
 def np_normal_quantile(p) -> np.ndarray:
     """By halving, to the last bit: 60 steps over [-40, 40]."""
     p = np.asarray(p, float)
@@ -148,4 +176,5 @@ chi2 = _two(np_chi2)
 student = _two(np_student)
 incomplete_beta = _three(np_incomplete_beta)
 fisher = _three(np_fisher)
+beta_quantile = _three(np_beta_quantile)
 bivariate_normal = _three(np_bivariate_normal)
