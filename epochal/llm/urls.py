@@ -3,7 +3,7 @@
 Labelled outcomes of pages are counted by host. Beta-binomial priors shrink a suffix to the
 whole, a registered domain to its suffix and a host to its domain; how strongly is found
 from the spread at each level. A host is blocked if the lower bound of its posterior share
-of bad pages is above a limit.
+of bad pages, a quantile of the beta distribution, is above a limit.
 """
 
 from __future__ import annotations
@@ -11,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.special import beta_quantile, np_beta_quantile
 from .common import LOWER, UPPER, keep
 
-#: Suffixes of two labels under which names are registered.
+#: Suffixes of two labels under which names are registered; a fuller list can be given to judge().
 TWO_LABEL_SUFFIXES = ("ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp", "or.jp", "com.br", "com.cn", "co.in", "co.kr", "co.za", "com.mx", "com.tr")
 
 
@@ -35,11 +36,11 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
     return name, verdict
 
 
-def _levels(host: Column) -> dict[str, Column]:
+def _levels(host: Column, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> dict[str, Column]:
     bare = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$|\.+$", "")
     two = F.substring_index(bare, ".", -2)
-    suffix = F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(bare, ".", -1))
-    domain = F.when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(bare, ".", -3)).otherwise(two)
+    suffix = F.when(two.isin(*suffixes), two).otherwise(F.substring_index(bare, ".", -1))
+    domain = F.when(two.isin(*suffixes), F.substring_index(bare, ".", -3)).otherwise(two)
     return {"_bare": bare, "_domain": domain, "_suffix": suffix}
 
 
@@ -51,12 +52,12 @@ def _strength(groups: DataFrame, mean: str) -> float:
     return 1 / rho - 1
 
 
-def reputations(outcomes: DataFrame, z: float = 1.645) -> tuple[DataFrame, DataFrame, DataFrame, tuple[float, float]]:
+def reputations(outcomes: DataFrame, level: float = 0.05, two_label: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> tuple[DataFrame, DataFrame, DataFrame, tuple[float, float]]:
     """outcomes: host, bad (0 or 1; null is no outcome). Tables of hosts (_bare, n, bad, rate, bound), domains and
     suffixes (with the mean that a host without outcomes takes, and its bound), the whole's rate, and the bound of
     a host without outcomes in the whole.
     """
-    hosts = keep(outcomes.where("bad is not null").select(*[c.alias(k) for k, c in _levels(F.col("host")).items()], "bad").groupBy("_suffix", "_domain", "_bare").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")))
+    hosts = keep(outcomes.where("bad is not null").select(*[c.alias(k) for k, c in _levels(F.col("host"), two_label).items()], "bad").groupBy("_suffix", "_domain", "_bare").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")))
     root = hosts.agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("p")).first().p
     root = 0.5 if root is None else root
     add = lambda df, keys: df.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
@@ -70,14 +71,14 @@ def reputations(outcomes: DataFrame, z: float = 1.645) -> tuple[DataFrame, DataF
     hosts = hosts.join(domains, "_domain")
     m = _strength(hosts, "_domain_rate")
     hosts = hosts.withColumn("bad_rate", shrunk("_domain_rate", m)).withColumn("_n", F.col("n") + m)
-    bound = lambda rate, n: F.greatest(rate - z * F.sqrt(rate * (1 - rate) / (n + 1)), F.lit(0.0))
+    bound = lambda rate, n: beta_quantile(F.lit(level), rate * n, (1 - rate) * n)
     # a host without outcomes spreads around a known level as all levels below it do together
     below_suffix = _together(m, at_domain)
     none = _together(below_suffix, at_suffix)
-    domains = domains.withColumn("_domain_bound", bound(F.col("_domain_rate"), m))
-    suffixes = suffixes.withColumn("_suffix_bound", bound(F.col("_suffix_rate"), below_suffix))
+    domains = domains.withColumn("_domain_bound", bound(F.col("_domain_rate"), F.lit(m)))
+    suffixes = suffixes.withColumn("_suffix_bound", bound(F.col("_suffix_rate"), F.lit(below_suffix)))
     hosts = hosts.select("_bare", F.col("n").alias("n_labelled"), "bad_rate", bound(F.col("bad_rate"), F.col("_n")).alias("bad_bound"))
-    return hosts, domains, suffixes, (root, max(0.0, root - z * (root * (1 - root) / (none + 1)) ** 0.5))
+    return hosts, domains, suffixes, (root, float(np_beta_quantile(level, root * none, (1 - root) * none)))
 
 
 def _together(a: float, b: float) -> float:
@@ -85,11 +86,12 @@ def _together(a: float, b: float) -> float:
     return 1 / (1 - (a / (a + 1)) * (b / (b + 1))) - 1
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], limit: float = 0.5, z: float = 1.645) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], limit: float = 0.5, level: float = 0.05, two_label: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """pages: page_id, url. outcomes: page_id, bad (0 or 1). One row for each row of pages:
     page_id, host, path, rule, verdict, n_labelled, bad_rate, bad_bound.
 
-    A rule's verdict holds where one fits; else a host is blocked if bad_bound is above limit.
+    A rule's verdict holds where one fits; else a host is blocked if bad_bound, which its share of bad pages exceeds with a
+    probability of 1 - level, is above limit.
     Hosts without outcomes take rate and bound from their domain, else their suffix, else the whole. Null urls and urls without
     :// have an empty host and path. A page with several outcomes counts once, as bad if any is;
     outcomes of unknown pages don't count. Empty tables give empty results.
@@ -97,9 +99,9 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], l
     host, path = host_and_path(F.col("_url"))
     pages = pages.select("page_id", F.col("url").alias("_url")).select("page_id", host.alias("host"), path.alias("path"))
     known = outcomes.where("page_id is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
-    hosts, domains, suffixes, (root, none) = reputations(pages.join(known, "page_id").select("host", "bad"), z)
+    hosts, domains, suffixes, (root, none) = reputations(pages.join(known, "page_id").select("host", "bad"), level, two_label)
     name, says = rule_of(F.col("host"), F.col("path"), rules)
-    of = _levels(F.col("host"))
+    of = _levels(F.col("host"), two_label)
     pages = pages.withColumns({"rule": name, "_says": says, "_bare": of["_bare"]})
     every = pages.select(*[c.alias(k) for k, c in of.items()]).distinct().join(hosts, "_bare", "left").join(domains, "_domain", "left").join(suffixes, "_suffix", "left")
     rate, bound = F.coalesce("bad_rate", "_domain_rate", "_suffix_rate", F.lit(root)), F.coalesce("bad_bound", "_domain_bound", "_suffix_bound", F.lit(none))
