@@ -10,6 +10,7 @@ outwards from the query's own distance and stopped by the same bound.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import keep
 
-#: Pivots and annuli of each; their product bounds the cells, whose outlines are sent to the tasks.
-PIVOTS, ANNULI = 24, 16
+#: Bounds of the number of pivots and of annuli of each, which follow the number of vectors; their product bounds the cells, whose
+#: outlines are sent to the tasks.
+PIVOTS, ANNULI = (8, 256), (4, 64)
 #: Vectors and queries at most that meet in one group, about; larger cells are parted by hashes.
 CHUNK, QUERIES = 8192, 2048
 BLOCK = 256
@@ -29,10 +31,11 @@ BLOCK = 256
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """id and the components times 256, rounded down (array of double). Rows with a null id or vector, or with null
-    or non-finite components, are left out. Shorter vectors count as filled up with zeros."""
-    d = F.transform(F.col(vector_col), lambda x: F.floor(256 * x.cast("double")).cast("double"))
-    ok = F.forall(F.col(vector_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < 1e15))
-    return vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & ok).select(F.col(id_col).alias("id"), d.alias("v"))
+    or non-finite components (times 256, as doubles), are left out. Shorter vectors count as filled up with zeros."""
+    big = lambda x: 256 * x.cast("double")
+    whole = lambda x: F.when(F.abs(big(x)) < 2.0**53, F.floor(big(x)).cast("double")).otherwise(big(x))  # noqa: E731  beyond, all doubles are whole
+    ok = F.forall(F.col(vector_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(big(x)) < float("inf")))
+    return vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & ok).select(F.col(id_col).alias("id"), F.transform(F.col(vector_col), whole).alias("v"))
 
 
 def _matrix(column: pa.Array | pd.Series, dim: int) -> np.ndarray:
@@ -45,6 +48,14 @@ def _matrix(column: pa.Array | pd.Series, dim: int) -> np.ndarray:
     return out
 
 
+def _scores(part: np.ndarray, q: np.ndarray, exact: bool) -> np.ndarray:
+    """Inner products; where doubles don't hold them, whole numbers of any size."""
+    if exact:
+        return np.rint(part @ q)
+    whole = np.frompyfunc(int, 1, 1)
+    return whole(part) @ whole(q) if len(part) else np.empty(0, object)
+
+
 def _search(vid: np.ndarray, vec: np.ndarray, dist: np.ndarray, qid: np.ndarray, q: np.ndarray, qdist: np.ndarray, floor: np.ndarray, m2: float, k: int) -> pd.DataFrame:
     """The k best of these vectors for each query, floor: a score that k vectors of other cells reach."""
     order = np.lexsort((vid, dist))
@@ -55,6 +66,7 @@ def _search(vid: np.ndarray, vec: np.ndarray, dist: np.ndarray, qid: np.ndarray,
     for i in range(len(qid)):
         gap = np.maximum(0, np.maximum(lows - qdist[i], qdist[i] - highs))
         q2 = float(q[i] @ q[i])
+        exact = q2 * m2 < 2.0**104  # no sum of products is beyond 2^52
         # |q - x|^2 = q2 + m2 - 2 score is at least gap^2; the margin is for rounding
         most = (q2 + m2 - np.maximum(0, gap - 1e-6 * (1 + gap)) ** 2) / 2 + 1e-6 * (1 + m2)
         best_s, best_v, need = np.empty(0), np.empty(0, np.int64), floor[i]
@@ -62,7 +74,7 @@ def _search(vid: np.ndarray, vec: np.ndarray, dist: np.ndarray, qid: np.ndarray,
             if most[b] < need:
                 break
             part = slice(starts[b], starts[b] + BLOCK)
-            s, v = np.rint(vec[part] @ q[i]), vid[part]
+            s, v = _scores(vec[part], q[i], exact), vid[part]
             ok = (s >= need) & (v != qid[i])
             if ok.any():
                 s, v = np.concatenate([best_s, s[ok]]), np.concatenate([best_v, v[ok]])
@@ -70,7 +82,7 @@ def _search(vid: np.ndarray, vec: np.ndarray, dist: np.ndarray, qid: np.ndarray,
                 best_s, best_v = s[keep_], v[keep_]
                 if len(best_s) == k:
                     need = max(need, best_s[-1])
-        out.append((np.full(len(best_v), qid[i]), best_v, best_s.astype(np.int64)))
+        out.append((np.full(len(best_v), qid[i]), best_v, np.clip(best_s, -(1 << 63), (1 << 63) - 1).astype(np.int64) if not exact else best_s.astype(np.int64)))
     cols = [np.concatenate([o[c] for o in out]) if out else np.empty(0, np.int64) for c in range(3)]
     return pd.DataFrame({"query_id": cols[0].astype(np.int64), "vec_id": cols[1].astype(np.int64), "score": cols[2]})
 
@@ -79,17 +91,20 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """vectors and queries as usable() gives them. query_id, rank, vec_id, score: each query's k highest inner products
     (all, if fewer), ties to the smaller id; a vector is no candidate for the query of its own id.
 
-    Sums of products up to 2^53 are exact. Without vectors or queries the result is empty. Repeated rows are
-    candidates each.
+    Scores are exact and in exact order; one beyond the range of long is given as its end. Without vectors or queries the result
+    is empty. Repeated rows are candidates each; of several queries of one id the smallest vector is asked.
     """
     spark = vectors.sparkSession
     shape = "query_id long, rank int, vec_id long, score long"
-    facts = vectors.agg(F.max(F.size("v")).alias("dim"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("m2")).first()
-    n_queries = queries.count()
-    if facts.dim is None or not n_queries:
+    facts = vectors.agg(F.max(F.size("v")).alias("dim"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("m2"), F.count("*").alias("n")).first()
+    queries = queries.groupBy("id").agg(F.min("v").alias("v"))
+    widest = queries.agg(F.max(F.size("v"))).first()[0]
+    if facts.dim is None or widest is None:
         return spark.createDataFrame([], shape)
-    dim, m2 = max(facts.dim, queries.agg(F.max(F.size("v"))).first()[0], 1), facts.m2
-    pivots = _matrix(pd.Series([r.v for r in vectors.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).collect()]), dim)
+    dim, m2 = max(facts.dim, widest, 1), facts.m2
+    n_pivots = min(max(math.isqrt(facts.n) // 8, PIVOTS[0]), PIVOTS[1])
+    annuli = min(max(facts.n // (n_pivots * CHUNK // 4), ANNULI[0]), ANNULI[1])
+    pivots = _matrix(pd.Series([r.v for r in vectors.orderBy(F.xxhash64("id"), "id").limit(n_pivots).collect()]), dim)
     pivots = np.hstack([pivots, np.sqrt(np.maximum(0, m2 - (pivots**2).sum(1)))[:, None]])
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,18 +116,24 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near, pa.int32()), pa.array(d[np.arange(len(x)), near])], names=["id", "v", "pivot", "dist"])
 
     index = keep(vectors.select("id", "v").mapInArrow(keyed, "id long, v array<double>, pivot int, dist double"))
-    cuts = {r.pivot: sorted(set(r.cuts)) for r in index.groupBy("pivot").agg(F.percentile_approx("dist", [i / ANNULI for i in range(1, ANNULI)], 1000).alias("cuts")).collect()}
-    ring = F.lit(0)
-    for p, c in cuts.items():
-        ring = F.when(F.col("pivot") == p, sum((F.when(F.col("dist") > x, 1).otherwise(0) for x in c), F.lit(0))).otherwise(ring)
-    index = index.withColumn("cell", F.col("pivot") * ANNULI + ring)
+    found = index.groupBy("pivot").agg(F.percentile_approx("dist", [i / annuli for i in range(1, annuli)], 1000).alias("cuts")).collect()  # as many as pivots
+    cuts = {r.pivot: np.unique(r.cuts) for r in found}
+
+    def celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pivot, dist = b.column(2).to_numpy(), b.column(3).to_numpy()
+            ring = np.zeros(len(pivot), np.int64)
+            for p in np.unique(pivot):
+                ring[pivot == p] = np.searchsorted(cuts[int(p)], dist[pivot == p], "right")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(pivot * annuli + ring, pa.int32())], names=["id", "v", "dist", "cell"])
+
+    index = index.mapInArrow(celled, "id long, v array<double>, dist double, cell int")
     cells = index.groupBy("cell").agg(F.count("*").alias("n"), F.min("dist").alias("low"), F.max("dist").alias("high")).orderBy("cell").collect()
     of, low, high = (np.array([r[c] for r in cells]) for c in ("cell", "low", "high"))
     parts = np.array([-(-r.n // CHUNK) for r in cells])
-    apart = -(-n_queries // QUERIES)
-    pivot_of = of // ANNULI
-    chunks = F.create_map(*[F.lit(int(x)) for pair in zip(of, parts) for x in pair])
-    index = index.withColumn("chunk", F.pmod(F.xxhash64("id", "dist"), F.element_at(chunks, F.col("cell")).cast("long")).cast("int"))
+    pivot_of = of // annuli
+    outlines = spark.createDataFrame([(int(c), int(p)) for c, p in zip(of, parts)], "cell int, chunks int")  # at most as many as pivots times annuli
+    index = index.join(F.broadcast(outlines), "cell").withColumn("chunk", F.pmod(F.xxhash64("id", "dist"), F.col("chunks").cast("long")).cast("int")).drop("chunks")
 
     def places(home: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,11 +150,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                     hit = most >= np.array(b.column(2).to_pylist(), np.float64)[:, None]
                     hit[np.arange(len(q)), own] = False
                     i, c = np.nonzero(hit)
-                each = np.repeat(np.arange(len(i)), parts[c])
-                chunk = np.concatenate([np.arange(x) for x in parts[c]]) if len(c) else np.empty(0, np.int64)
-                i, c = i[each], c[each]
                 take = pa.array(i)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), b.column(2).take(take), pa.array(of[c], pa.int32()), pa.array(chunk, pa.int32()), pa.array(d[i, c], pa.float64())], names=["id", "v", "floor", "cell", "chunk", "dist"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), b.column(2).take(take), pa.array(of[c], pa.int32()), pa.array(d[i, c], pa.float64())], names=["id", "v", "floor", "cell", "dist"])
 
         return run
 
@@ -143,14 +161,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         return _search(left["id"].to_numpy(), _matrix(left["v"], dim), left["dist"].to_numpy(), right["id"].to_numpy(), _matrix(right["v"], dim), right["dist"].to_numpy(), right["floor"].to_numpy(), m2, k)
 
     def searched(asked: DataFrame, home: bool) -> DataFrame:
-        to = asked.mapInArrow(places(home), "id long, v array<double>, floor double, cell int, chunk int, dist double")
-        to = to.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(apart)).cast("int"))
-        ready = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(apart - 1)))) if apart > 1 else index.withColumn("part", F.lit(0))
-        return ready.groupBy("cell", "chunk", "part").cogroup(to.groupBy("cell", "chunk", "part")).applyInPandas(meet, "query_id long, vec_id long, score long")
+        """A cell's vectors meet the queries that ask for the cell, in as many parts as these need."""
+        to = keep(asked.mapInArrow(places(home), "id long, v array<double>, floor double, cell int, dist double"))
+        plan = to.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts")).join(F.broadcast(outlines), "cell")
+        plan = F.broadcast(plan)
+        ready = index.join(plan.select("cell", "parts"), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        to = to.join(plan, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int"))
+        to = to.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        one = lambda df, *more: df.select("id", "v", "dist", *more, "cell", "chunk", "part").groupBy("cell", "chunk", "part")
+        return one(ready).cogroup(one(to, "floor")).applyInPandas(meet, "query_id long, vec_id long, score long")
 
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = lambda df: df.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    queries = queries.select("id", "v").dropDuplicates(["id"]).withColumn("floor", F.lit(float("-inf")))
+    queries = keep(queries.withColumn("floor", F.lit(float("-inf"))))
     first = keep(ranked(searched(queries, True)).select("query_id", "vec_id", "score"))
     floors = first.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score").cast("double")).alias("f"))
     asked = queries.join(floors, F.col("id") == F.col("query_id"), "left").select("id", "v", F.coalesce("f", "floor").alias("floor"))
