@@ -3,6 +3,7 @@
 Each source gets a target number of words; every document of a source then expects the same
 number of copies. Along the source's documents, ordered by size, expected copies are summed,
 one offset per source is added, and a document is emitted once per integer boundary crossed.
+Only ids, sources and sizes are ranked; texts meet their copies at the end.
 """
 
 from __future__ import annotations
@@ -10,10 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, keep
 
-#: Documents that are ranked together; a larger group is salted. It changes the order of equals only.
-GROUP_ROWS = 20_000
+#: The order along a source: CLASSES of sizes for each doubling, SALTS of each class by a hash, then size. Ranks are
+#: taken inside a salt, and added to the rows before it.
+CLASSES, SALTS = 16, 64
 
 
 def n_words(text: str = "text"):
@@ -42,39 +44,48 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: f
     return out.select("source", "source_size", "weight", target.alias("target"))
 
 
-def with_copies(docs: DataFrame, size: str = "size", source: str = "source", key: str = "doc_id", seed: int = 7, **mix) -> DataFrame:
-    """docs with source_size, target (of its source) and copies (times that the mix emits it).
+def with_copies(docs: DataFrame, size: str = "size", source: str = "source", key: tuple[str, ...] = ("doc_id",), seed: int = 7, **mix) -> DataFrame:
+    """docs with source_size, target (of its source) and copies (times that the mix emits it). docs is written once and
+    should have no texts.
 
     Needs a long column size. Null sources are a source of their own. A source of no words
     gets no copies. Rows alike in key and size may change places. Columns named source_size,
-    target or copies are replaced. An empty table gives an empty result. No source is handled
-    in one task: within it, ranks are taken in groups of sizes, salted, and offset by group counts.
+    target or copies are replaced. An empty table gives an empty result. No source is ranked in one task, nor documents of
+    one size; rows of one key are.
     """
-    docs = docs.drop("source_size", "target", "copies")
-    names = docs.columns
-    docs = docs.withColumns({"_class": F.floor(F.log2(F.col(size) + 1.0) * 4).cast("int"), "_hash": F.xxhash64(F.lit(seed), F.col(key).cast("string"))})
-    cells = docs.groupBy(F.col(source).alias("source"), "_class").agg(F.count("*").alias("_rows"), F.sum(size).alias("_size"))
-    sources = targets(cells.groupBy("source").agg(F.sum("_size").alias("source_size")), **mix)
-    cells = cells.withColumn("_salts", F.ceil(F.col("_rows") / GROUP_ROWS).cast("long")).drop("_rows", "_size").alias("c")
-    cells = cells.join(sources.alias("s"), F.col("c.source").eqNullSafe(F.col("s.source"))).select("c.source", "c._class", "c._salts", "s.source_size", "s.target")
-    cells = cells.select(F.col("source").alias("_source"), F.col("_class").alias("_c"), "_salts", "source_size", "target")
-    docs = docs.join(cells, F.col(source).eqNullSafe(F.col("_source")) & (F.col("_class") == F.col("_c"))).drop("_source", "_c")
-    docs = docs.withColumn("_salt", F.pmod(F.col("_hash"), F.col("_salts")))
-    group = [F.col(source), F.col("_class"), F.col("_salt")]
-    counts = docs.groupBy(*group).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(source).orderBy("_class", "_salt").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(F.col(source).alias("_source"), F.col("_class").alias("_c"), F.col("_salt").alias("_s"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    docs = docs.join(counts, F.col(source).eqNullSafe(F.col("_source")) & (F.col("_class") == F.col("_c")) & (F.col("_salt") == F.col("_s")))
-    rank = F.col("_before") + F.row_number().over(Window.partitionBy(*group).orderBy(F.col(size), F.col("_hash"), F.col(key)))
+    names = [c for c in docs.columns if c not in ("source_size", "target", "copies")]
+    hashed = F.xxhash64(F.lit(seed), *(F.col(k).cast("string") for k in key))
+    docs = docs.select(F.struct(*names).alias("_row"), F.col(source).alias("source"), F.col(size).alias("size"), F.struct(*key).alias("key"), F.floor(F.log2(F.col(size) + 1.0) * CLASSES).cast("int").alias("class"), hashed.alias("hash"))
+    docs = keep(docs.withColumn("salt", F.pmod("hash", F.lit(SALTS)).cast("int")))
+    cells = keep(docs.groupBy("source", "class", "salt").agg(F.count("*").alias("rows"), F.sum("size").alias("sizes")))  # a bounded number for each source
+    sources = targets(cells.groupBy("source").agg(F.sum("sizes").alias("source_size")), **mix)
+    before = Window.partitionBy("source").orderBy("class", "salt").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0))).alias("c").join(sources.alias("s"), F.col("c.source").eqNullSafe(F.col("s.source")))
+    cells = cells.select(F.col("c.source").alias("_source"), F.col("c.class").alias("_class"), F.col("c.salt").alias("_salt"), "before", "source_size", "target")
+    docs = docs.join(cells, F.col("source").eqNullSafe(F.col("_source")) & (F.col("class") == F.col("_class")) & (F.col("salt") == F.col("_salt")))
+    rank = F.col("before") + F.row_number().over(Window.partitionBy("source", "class", "salt").orderBy("size", "hash", "key"))
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    offset = F.pmod(F.xxhash64(F.lit(seed), F.lit("offset"), F.col(source)), F.lit(1 << 40)) / float(1 << 40)
-    docs = docs.withColumns({"_rank": rank, "_each": each, "_offset": offset})
-    copies = F.floor(F.col("_each") * F.col("_rank") + F.col("_offset")) - F.floor(F.col("_each") * (F.col("_rank") - 1) + F.col("_offset"))
-    return docs.withColumn("copies", copies.cast("long")).select(*names, "source_size", "target", "copies")
+    offset = F.pmod(F.xxhash64(F.lit(seed), F.lit("offset"), F.col("source")), F.lit(1 << 40)) / float(1 << 40)
+    docs = docs.select("_row", "source_size", "target", rank.alias("rank"), each.alias("each"), offset.alias("offset"))
+    copies = F.floor(F.col("each") * F.col("rank") + F.col("offset")) - F.floor(F.col("each") * (F.col("rank") - 1) + F.col("offset"))
+    return docs.select("_row.*", "source_size", "target", copies.cast("long").alias("copies"))
 
 
-def mix(docs: DataFrame, text: str = "text", **how) -> DataFrame:
-    """The mixed documents themselves: every row of docs as often as the mix emits it."""
-    names = docs.columns
-    out = with_copies(docs.withColumn("_words", n_words(text)), size="_words", **how)
-    return out.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*names)
+def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **how) -> DataFrame:
+    """The mixed documents themselves: every row of docs as often as the mix emits it, with its own columns.
+
+    Null texts have no words and are emitted like any text. Of rows alike in key and text one stands for all,
+    as often as they are emitted together. Reruns agree. An empty table gives an empty result.
+    """
+    name = lambda c: F.col(c).alias("key")
+    hashed = F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())
+    narrow = docs.select(name(key), F.col(source).alias("source"), n_words(text).alias("size"), hashed.alias("hash"))
+    emitted = keep(with_copies(narrow, key=("key", "hash"), **how).select("key", "hash", "copies"))
+    several = keep(emitted.groupBy("key", "hash").count().where("count > 1"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), name(key), hashed.alias("hash"))
+    same = lambda a, b: a["key"].eqNullSafe(b["key"]) & (a["hash"] == b["hash"])
+    if not several.isEmpty():
+        once = rows.join(several, same(rows, several), "left_semi").groupBy("key", "hash").agg(F.first("_row").alias("_row")).select("_row", "key", "hash")
+        rows = rows.join(several, same(rows, several), "left_anti").union(once)
+    out = emitted.where("copies > 0").select("key", "hash", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy"))
+    return rows.join(out, same(rows, out)).select("_row.*")
