@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from .common import WORD
 
 SYMBOLS = r"[#*$%&|<>]"
-#: Rows of the sample at most, and the share of rows that it is drawn from.
-SAMPLE_ROWS, SAMPLE_SHARE = 2000, 0.1
+#: Rows of the sample, about, at any size of the table, and the partitions that they are spread over.
+SAMPLE_ROWS, SAMPLE_PARTS = 2000, 8
 
 Rule = Callable[[str], Column]
 
@@ -44,7 +44,8 @@ RULES: dict[str, Rule] = {
 
 def plan(docs: DataFrame, rules: dict[str, Rule] = RULES, text: str = "text", seed: int = 11) -> list[tuple[str, float, float]]:
     """(name, seconds on the sample, share rejected), by rejection per cost. The sample serves the order only."""
-    sample = docs.select(F.coalesce(text, F.lit("")).alias("t")).sample(SAMPLE_SHARE, seed).limit(SAMPLE_ROWS).persist()
+    share = min(1.0, SAMPLE_ROWS / max(1, docs.count()))
+    sample = docs.select(F.coalesce(text, F.lit("")).alias("t")).sample(share, seed).repartition(SAMPLE_PARTS).persist()
     try:
         rows = max(1, sample.count())
         took = []
@@ -120,5 +121,7 @@ def judged(docs: DataFrame, text: str = "text", rules: dict[str, Rule] = RULES)
 
 
 def accepted(docs: DataFrame, text: str = "text", rules: dict[str, Rule] = RULES) -> DataFrame:
-    """The rows of docs, with its own columns, that judged() keeps."""
-    return judged(docs, text, rules).where("kept").select(*docs.columns)
+    """The rows of docs, with its own columns, that judged() keeps: whatever these are called. Null, empty and wordless texts
+    go; repeated rows stay or go together; an empty table gives an empty result."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("text"))  # no name of docs can clash
+    return judged(rows, "text", rules).where("kept").select("_row.*")

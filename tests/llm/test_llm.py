@@ -199,6 +199,18 @@ def test_top_k(spark, monkeypatch):
         order = sorted((j for j in range(700) if j != i), key=lambda j: (-s[j], j))[:5]
         want += [(i, k + 1, j, int(s[j])) for k, j in enumerate(order)]
     assert got == sorted(want)
+    # components far beyond what doubles add up exactly, and repeated rows
+    large = np.rint(rng.normal(0, 1, (60, 4)) * 2.0 ** rng.integers(0, 34, (60, 4)))
+    large[7] = large[50]
+    rows = [(i, [float(x) / 256 for x in r]) for i, r in enumerate(large)] + [(50, [float(x) / 256 for x in large[50]]), (90, [1e16, 1.0, 0.0, 0.0])]
+    use_large = topk.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    got = sorted(tuple(r) for r in topk.top_k(use_large, use_large.where("id % 50 = 0"), 5).collect())
+    want = []
+    for i in (0, 50):
+        s = sorted(((-sum(a * b for a, b in zip(v, whole[i][1])), j) for j, v in whole if j != i))[:5]
+        want += [(i, k + 1, j, max(min(-x, 2**63 - 1), -(2**63))) for k, (x, j) in enumerate(s)]
+    assert got == sorted(want)
     few = use.where("id < 3 or id = 50")
     assert topk.top_k(few, few.where("id = 50"), 5).count() == 3
     assert topk.top_k(use.limit(0), use.limit(0), 5).count() == 0
@@ -323,7 +335,16 @@ def test_mixing(docs):
     again = mixing.with_copies(d.repartition(7)).collect()
     assert sorted((str(r.doc_id), r.copies) for r in again) == sorted((str(r.doc_id), r.copies) for r in out)
     assert mixing.with_copies(d.limit(0)).count() == 0
-    assert mixing.mix(docs).columns == docs.columns
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    hashed = F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull()).alias("hash")
+    sized = mixing.with_copies(docs.select("doc_id", "source", "text", mixing.n_words().alias("size"), hashed), key=("doc_id", "hash")).collect()
+    want = Counter({(str(r.doc_id), r.text): 0 for r in sized})
+    for r in sized:
+        want[str(r.doc_id), r.text] += r.copies
+    got = mixed.collect()
+    assert Counter((str(r.doc_id), r.text) for r in got) == +want
+    assert {r.copies for r in got} == {"?"}  # the caller's column
 
 
 def brute_quality(t):
