@@ -3,16 +3,20 @@
 Texts are gathered into blocks of words. Blocks ask shards, shards answer blocks:
 1. of its distinct words a block tells their training counts; the word's shard answers
    with the word's number and total count;
-2. of its distinct n-grams (orders 2 up to the model's) a block tells the training counts; the shard of
-   the context builds a trie from all blocks' counts and answers from it.
-A shard's trie has one level for each word of the n-gram. The numbers of a level, and the pointers
-from a level to the ranges of its successors in the next, are monotone sequences in Elias-Fano
-form; the counts lie beside them in one memory map. A query goes down by searching
+2. of its distinct n-grams of the model's order a block tells the training counts. They go to the shard of
+   the context's last word, which so knows all contexts that end in it, of every order: it builds
+   a trie for each order from all blocks' counts and answers from them.
+3. A context word that holds more than a shard's share of all words is heavy. Its n-grams of each order go to the
+   shard of their whole context. A context of heavy words alone is parted by its successors; what its parts
+   know is added up in a shard of its own, which answers the blocks that hold the context.
+
+A trie has one level for each word: the context from its last word backwards, and then the successor. The
+numbers of a level, and the pointers from a level to the ranges of its successors in the next, are monotone sequences
+in Elias-Fano form with a select directory; the counts lie beside them in one memory map. A query goes down by searching
 the range that belongs to the context, where successors are stored relative to what precedes the range.
 Probabilities are discounted relative frequencies (three discounts for each order, from the counts of counts
 of all training n-grams), quantised once all shards have told those, and interpolated
 with the next lower order, down to the add-0.1 distribution of single words.
-A context that holds more than a shard's share of all words is parted by its successors.
 """
 
 from __future__ import annotations
@@ -37,6 +41,18 @@ ADDED = 0.1
 LEVELS, LEAST_LOG = 4095, -9.0
 START, END = 0, 1  # numbers of words begin at 2
 _END_KEY = xxhash.xxh64_intdigest(b" end")
+#: Kinds of messages: about words, n-grams by the last context word, counts of counts. Of heavy contexts of order k: 4 k and
+#: WHOLE, PARTED, or STATS.
+WORDS, LIGHT, SEEN = 1, 2, 3
+WHOLE, PARTED, STATS = 0, 1, 2
+#: In place of a block's number: sums for the driver, and parts of a context for its shard.
+_SUMS, _PART = -1, -2
+
+
+def small(a: np.ndarray) -> np.ndarray:
+    """The same numbers, none below 0, in as few bytes each as they need."""
+    most = int(a.max()) if len(a) else 0
+    return a.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64)
 
 
 def pack(arrays: list[np.ndarray]) -> bytes:
@@ -62,13 +78,39 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def steps(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Rows sorted by the first column, then the second and so on, as what each adds to the row before; whole numbers behind a change further left."""
+    out, changed = [], np.zeros(len(columns[0]), bool)
+    changed[:1] = True
+    for c in columns:
+        d = np.diff(c, prepend=0)
+        out.append(small(np.where(changed, c, d)))
+        changed |= d != 0
+    return out
+
+
+def walked(columns: list[np.ndarray], starts: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The columns that steps() took apart, of many messages that begin at starts; and for each where it or one further left changes."""
+    out, flags, changed = [], [], np.zeros(len(columns[0]), bool)
+    changed[starts] = True
+    for d in columns:
+        d = d.astype(np.int64)
+        at = np.flatnonzero(changed)
+        total = np.cumsum(d)
+        out.append(total - np.repeat(total[at] - d[at], np.diff(np.append(at, len(d)))))
+        changed = changed | (d != 0)
+        flags.append(changed)
+    return out, flags
+
+
 class EliasFano:
-    """A non-decreasing sequence: low bits packed, high bits in unary."""
+    """A non-decreasing sequence: low bits packed, high bits in unary, with the number of ones before each 64 of them."""
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        bits = np.unpackbits(high, bitorder="little")
-        self.ones, self.zeros = np.flatnonzero(bits)[:n], np.flatnonzero(bits == 0)
+        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high.view(np.uint64)
+        self.ones = np.zeros(len(self.high) + 1, np.uint32)
+        np.cumsum(np.bitwise_count(self.high), out=self.ones[1:])
+        self.zeros = (64 * np.arange(len(self.ones)) - self.ones).astype(np.uint32)
 
     @staticmethod
     def build(values: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray]:
@@ -80,7 +122,8 @@ class EliasFano:
         if bits and n:
             parts = [np.packbits((values[s : s + (1 << 16), None] >> np.arange(bits, dtype=np.uint64) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little") for s in range(0, n, 1 << 16)]
             low = np.concatenate([*parts, low])
-        high = np.zeros((n + (top >> bits) + 16) // 8 + 1, np.uint8)
+        low = np.concatenate([low, np.zeros(-len(low) % 8, np.uint8)])
+        high = np.zeros(((n + (top >> bits)) // 64 + 2) * 8, np.uint8)
         places = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
         np.bitwise_or.at(high, places >> 3, (1 << (places & 7)).astype(np.uint8))
         return n, bits, low, high
@@ -94,16 +137,30 @@ class EliasFano:
             out |= self.low[first + b].astype(np.uint64) << np.uint64(8 * b)
         return ((out >> (at & 7).astype(np.uint64)) & np.uint64((1 << self.low_bits) - 1)).astype(np.int64)
 
+    def _select(self, i: np.ndarray, before: np.ndarray, flip: bool) -> np.ndarray:
+        """Places of the i-th ones or, with flip, zeros of the high bits."""
+        at = np.searchsorted(before, i.astype(np.uint32), "right") - 1
+        word = ~self.high[at] if flip else self.high[at]
+        rest = (i - before[at]).astype(np.uint8)
+        place = at.astype(np.int64) << 6
+        for half in (32, 16, 8, 4, 2, 1):
+            lower = np.bitwise_count(word & np.uint64((1 << half) - 1))
+            up = rest >= lower
+            rest -= np.where(up, lower, 0).astype(np.uint8)
+            word = word >> np.where(up, half, 0).astype(np.uint64)
+            place += np.where(up, half, 0)
+        return place
+
     def get(self, i: np.ndarray) -> np.ndarray:
-        return (self.ones[i] - i << self.low_bits) | self._low(i)
+        return (self._select(i, self.ones, False) - i << self.low_bits) | self._low(i)
 
     def find(self, x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Places of x in the ranges from start to end, -1 where x isn't there."""
         h = x >> self.low_bits
-        ok = (x >= 0) & (h < len(self.zeros))
+        ok = (x >= 0) & (h < int(self.zeros[-1]))
         g = np.where(ok, h, 0)
-        low = np.maximum(start, np.where(g > 0, self.zeros[g - 1] - (g - 1), 0))
-        high = np.where(ok, np.minimum(end, self.zeros[g] - g), low)
+        low = np.maximum(start, np.where(g > 0, self._select(np.maximum(g - 1, 0), self.zeros, True) - (g - 1), 0))
+        high = np.where(ok, np.minimum(end, self._select(g, self.zeros, True) - g), low)
         want = x & ((1 << self.low_bits) - 1)
         last = high.copy()
         open_ = np.flatnonzero(low < high)
@@ -153,9 +210,9 @@ class Trie:
     def __init__(self, buffer):
         """Opens what to_map() made; the arrays are views of the buffer."""
         self.buffer, at = buffer, 0
-        (order,) = struct.unpack_from("<I", buffer, at)
-        sizes = struct.unpack_from(f"<{8 * order}Q", buffer, 4)
-        at = 4 + 64 * order
+        (order,) = struct.unpack_from("<Q", buffer, at)
+        sizes = struct.unpack_from(f"<{8 * order}Q", buffer, 8)
+        at = 8 + 64 * order
         self.levels, self.pointers = [], []
 
         def sequence(n, bits, low, high):
@@ -203,24 +260,27 @@ class Trie:
         tail = [x.astype(np.uint32) for x in (np.bincount(parent, count, contexts), *kinds, count)]
         # sizes of a level and then of the pointers from it
         heads = sizes + [0] * (8 * order - len(sizes))
-        raw = [struct.pack("<I", order), struct.pack(f"<{8 * order}Q", *heads), *(p.tobytes() for p in parts), *(t.tobytes() for t in tail)]
+        raw = [struct.pack("<Q", order), struct.pack(f"<{8 * order}Q", *heads), *(p.tobytes() for p in parts), *(t.tobytes() for t in tail)]
         out = mmap.mmap(-1, max(1, sum(map(len, raw))))
         for r in raw:
             out.write(r)
         return out
 
-    def find(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the contexts (all columns but the last) and of the n-grams, -1 where there is none."""
-        n = len(columns[0])
-        at = self.levels[0].find(columns[0].astype(np.int64), np.zeros(n, np.int64), np.full(n, self.levels[0].n))
-        for k in range(1, len(columns)):
+    def find(self, nodes: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """nodes: for each level the place of each asked node's parent among those asked of the level above, and its word.
+        Places in the trie of the contexts (the level before the last) and of the n-grams, -1 where there is none."""
+        value = nodes[0][1]
+        at = self.levels[0].find(value.astype(np.int64), np.zeros(len(value), np.int64), np.full(len(value), self.levels[0].n))
+        context = at
+        for k, (parent, value) in enumerate(nodes[1:], 1):
             context = at
-            known = np.flatnonzero(at >= 0)
-            at = np.full(n, -1)
-            if len(known):
-                start, end = self.pointers[k - 1].get(context[known]), self.pointers[k - 1].get(context[known] + 1)
-                before = np.where(start > 0, self.levels[k].get(np.maximum(start - 1, 0)) + 1, 0)
-                at[known] = self.levels[k].find(columns[k][known].astype(np.int64) + before, start, end)
+            known = np.maximum(context, 0)
+            start, end = self.pointers[k - 1].get(known), self.pointers[k - 1].get(known + 1)
+            before = np.where(start > 0, self.levels[k].get(np.maximum(start - 1, 0)) + 1, 0)
+            at = np.full(len(value), -1)
+            ask = np.flatnonzero(context[parent] >= 0)
+            of = parent[ask]
+            at[ask] = self.levels[k].find(value[ask].astype(np.int64) + before[of], start[of], end[of])
         return context, at
 
 
@@ -235,14 +295,30 @@ def _mix(*columns: np.ndarray) -> np.ndarray:
     return h
 
 
+def _deal(shards: int, *columns: np.ndarray) -> np.ndarray:
+    return (_mix(*columns) % np.uint64(shards)).astype(np.int64)
+
+
+def _groups(sorted_keys: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    cuts = np.flatnonzero(np.diff(sorted_keys, prepend=-2)) if len(rows) else []
+    for s, e in zip(cuts, [*cuts[1:], len(rows)]):
+        yield int(sorted_keys[s]), rows[s:e]
+
+
+def distinct(a: np.ndarray) -> np.ndarray:
+    a = np.sort(a)
+    return a[np.diff(a, prepend=a[:1] - 1) != 0]
+
+
 class Block:
-    """Tokens of texts as local word numbers, words by the keys of their shards."""
+    """Tokens of texts as local word numbers, frequent words first; home: the shard of each word."""
 
-    def __init__(self, tokens: np.ndarray, lengths: np.ndarray, train: np.ndarray, keys: np.ndarray):
-        self.tokens, self.lengths, self.train, self.keys = tokens, lengths, train, keys
+    def __init__(self, tokens: np.ndarray, lengths: np.ndarray, train: np.ndarray, home: np.ndarray):
+        self.tokens, self.lengths, self.train, self.home = tokens, lengths, train, home
 
     @classmethod
-    def of(cls, texts: list[str], train: list[bool]) -> Block:
+    def of(cls, texts: list[str], train: list[bool], shards: int) -> tuple[Block, bytes]:
+        """And what it asks about its words: their keys and training counts."""
         words, lengths = [], []
         for t in texts:
             w = t.encode("utf-8", "surrogatepass").lower().split()
@@ -252,144 +328,178 @@ class Block:
         known = {w: k for k, w in enumerate(dict.fromkeys(words))}
         tokens = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         keys = np.fromiter((_END_KEY if w == b" " else xxhash.xxh64_intdigest(w) for w in known), np.uint64, len(known))
-        order = np.argsort(keys)
+        order = np.lexsort((keys, -np.bincount(tokens)))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        return cls(place[tokens], np.array(lengths, np.int64), np.array(train, bool), keys[order])
+        tokens, keys = place[tokens], keys[order]
+        out = cls(tokens, np.array(lengths, np.int64), np.array(train, bool), (keys % np.uint64(shards)).astype(np.int64))
+        return out, pack([np.diff(keys, prepend=np.uint64(0)), small(np.bincount(tokens, out.trained(), len(keys)).astype(np.int64))])
 
     def pack(self) -> bytes:
-        steps = np.diff(self.keys, prepend=np.uint64(0))
-        return pack([self.tokens.astype(np.uint32), self.lengths.astype(np.uint32), self.train.astype(np.uint8), steps])
+        return pack([small(self.tokens), small(self.lengths), self.train.astype(np.uint8), small(self.home)])
 
     @classmethod
     def unpack(cls, data: bytes) -> Block:
-        tokens, lengths, train, steps = unpack(data)
-        return cls(tokens.astype(np.int64), lengths.astype(np.int64), train.astype(bool), np.cumsum(steps, dtype=np.uint64))
+        tokens, lengths, train, home = unpack(data)
+        return cls(tokens.astype(np.int64), lengths.astype(np.int64), train.astype(bool), home.astype(np.int64))
 
     def trained(self) -> np.ndarray:
         return np.repeat(self.train, self.lengths)
 
-    def word_asks(self, shards: int) -> Iterator[tuple[int, bytes]]:
-        count = np.bincount(self.tokens, self.trained(), len(self.keys)).astype(np.uint32)
-        shard = (self.keys % np.uint64(shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        for s, rows in _groups(shard[order], order):
-            yield s, pack([np.diff(self.keys[rows], prepend=np.uint64(0)), count[rows]])
-
-    def take_words(self, answers: dict[int, bytes], shards: int) -> None:
+    def take_words(self, answers: dict[int, bytes]) -> None:
         """number and count of each local word, and whether no other block holds it, held-out texts included (or no training text)."""
-        self.number, self.count = np.zeros(len(self.keys), np.int64), np.zeros(len(self.keys), np.int64)
-        self.own = np.zeros(len(self.keys), bool)
-        shard = (self.keys % np.uint64(shards)).astype(np.int64)
-        for s, rows in _groups(*(lambda o: (shard[o], o))(np.argsort(shard, kind="stable"))):
+        self.number, self.count = np.zeros(len(self.home), np.int64), np.zeros(len(self.home), np.int64)
+        self.own = np.zeros(len(self.home), bool)
+        order = np.argsort(self.home, kind="stable")
+        for s, rows in _groups(self.home[order], order):
             number, count, alone = unpack(answers[s])
             self.number[rows], self.count[rows], self.own[rows] = number, count, alone > 0
         self.own |= self.count == 0
 
-    def grams(self, highest: int, shards: int, total: int) -> Iterator[Grams]:
-        """Of orders 2 to highest."""
-        below = None
-        for order in range(2, highest + 1):
-            grams = Grams(self, order, shards, total, below)
-            yield grams
-            below = grams.where
-            del grams
 
+def word_asks(words: bytes, shards: int) -> Iterator[tuple[int, bytes]]:
+    gaps, count = unpack(words)
+    keys = np.cumsum(gaps, dtype=np.uint64)
+    home = (keys % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(home, kind="stable")
+    for s, rows in _groups(home[order], order):
+        yield s, pack([np.diff(keys[rows], prepend=np.uint64(0)), count[rows]])
 
-def _groups(sorted_keys: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    cuts = np.flatnonzero(np.diff(sorted_keys, prepend=-2)) if len(rows) else []
-    for s, e in zip(cuts, [*cuts[1:], len(rows)]):
-        yield int(sorted_keys[s]), rows[s:e]
+
+class Order:
+    """The distinct n-grams of one order in a block, sorted by home and then by the context, nearest word first, and the last word."""
+
+    def __init__(self, columns: list[np.ndarray], context: np.ndarray, home: np.ndarray, count: np.ndarray, where: np.ndarray, valid: np.ndarray):
+        self.columns, self.home, self.count, self.where, self.valid = columns, home, count, where, valid
+        self.opens = np.flatnonzero(np.diff(context, prepend=-1))
+        self.context_of = np.repeat(np.arange(len(self.opens)), np.diff(np.append(self.opens, len(context))))
 
 
 class Grams:
-    """The distinct n-grams of a block, by contexts and shards. where: of each token its n-gram, -1 where it has none; below: those of the order below.
+    """The distinct n-grams of a block of orders 2 and above, and where they go.
 
-    A context that holds a word of this block alone is seen nowhere else: it isn't asked about, but answered from a trie
-    of the block itself, shard OWN.
+    A context whose last word only this block holds is seen nowhere else: it isn't asked about, but answered from tries
+    of the block itself, shard OWN. Places before a text's beginning hold START; n-grams of an order above 2 with
+    more than one carry lower orders to their shard, but don't count themselves (valid).
     """
 
     OWN = -1
 
-    def __init__(self, block: Block, order: int, shards: int, total: int, below: np.ndarray | None):
-        n, words = len(block.tokens), len(block.keys) + 1  # one more for the start
-        first = np.cumsum(block.lengths) - block.lengths
-        place = np.arange(n) - np.repeat(first, block.lengths)
-        shifted = [block.tokens + 1]  # 0 is the start
+    def __init__(self, block: Block, order: int, shards: int, total: int):
+        n, words = len(block.tokens), len(block.home) + 1  # one more for the start
+        place = np.arange(n) - np.repeat(np.cumsum(block.lengths) - block.lengths, block.lengths)
+        back = [block.tokens + 1]  # 0 is the start
         for k in range(1, order):
             prior = np.zeros(n, np.int64)
             prior[k:] = block.tokens[: n - k] + 1
             prior[place < k] = 0
-            shifted.insert(0, prior)
-        has = np.flatnonzero(place >= order - 2)
-        gram = (shifted[0][has] if below is None else below[has - 1]) * words + shifted[-1][has]
-        distinct, first_at, inverse = np.unique(gram, return_index=True, return_inverse=True)
-        self.where = np.full(n, -1)
-        self.where[has] = inverse
-        count = np.bincount(inverse, block.trained()[has], len(distinct)).astype(np.uint32)
-        rows = has[first_at]
+            back.append(prior)
         number = np.concatenate([[START], block.number])
-        counts = np.concatenate([[int(block.train.sum())], block.count])
-        columns = [number[c[rows]] for c in shifted]
-        # contexts, which stand together
-        prefix = distinct // words
-        opens = np.flatnonzero(np.diff(prefix, prepend=-1))
-        of = np.repeat(np.arange(len(opens)), np.diff(np.append(opens, len(prefix))))
-        held = np.min([np.where(columns[k][opens] == START, 0, counts[shifted[k][rows[opens]]]) for k in range(order - 1)], axis=0)
+        held = np.concatenate([block.count[block.number == END][:1], block.count])  # a start for each end
         own = np.concatenate([[False], block.own])
-        alone = np.any([own[shifted[k][rows[opens]]] for k in range(order - 1)], axis=0)
-        pieces = np.where(alone, 1, np.maximum(1, -(-held * shards // max(1, total)))).astype(np.int64)
-        begins = np.cumsum(pieces) - pieces
-        piece = (_mix(columns[-1]) % pieces[of].astype(np.uint64)).astype(np.int64)
-        entry = begins[of] + piece
-        # an entry for each piece of a context, whether an n-gram of this block falls in it or not
-        owner = np.repeat(np.arange(len(opens)), pieces)
-        root = [columns[k][opens][owner] for k in range(order - 1)]
-        part = np.arange(len(owner)) - begins[owner]
-        shard = np.where(alone[owner], self.OWN, (_mix(*root, part, np.full(len(owner), order)) % np.uint64(shards)).astype(np.int64))
-        self.order, self.owner, self.entry, self.n_contexts = order, owner, entry, len(opens)
-        self.context_of = of
-        root[0] = root[0] << 16 | part
-        self._entries = np.argsort(shard, kind="stable")
-        rank = np.empty(len(owner), np.int64)
-        rank[self._entries] = np.arange(len(owner))
-        self._rows = np.argsort(rank[entry], kind="stable")
-        self._shard_of_entry, self._shard_of_row = shard[self._entries], shard[entry[self._rows]]
-        self._root, self._last, self._count = root, columns[-1], count
-        self._successors = np.bincount(entry, minlength=len(owner))
-
-    def asks(self, own: bool = False) -> Iterator[tuple[int, bytes]]:
-        """To the shards or, with own, the one that the block itself answers."""
-        rows = dict(_groups(self._shard_of_row, self._rows))
-        none = np.empty(0, np.int64)
-        for s, entries in _groups(self._shard_of_entry, self._entries):
-            if (s == self.OWN) != own:
-                continue
-            r = rows.get(s, none)
-            yield s, pack([*(c[entries] for c in self._root), self._successors[entries].astype(np.uint32), self._last[r].astype(np.uint64), self._count[r]])
+        self.held, self.shards, self.total, self.order = held, shards, total, order
+        self.heavy = ~own & (held * shards > total)
+        home = np.where(own, self.OWN, np.where(self.heavy, shards, _deal(shards, number)))
+        by_home, by_number = np.lexsort((number, home)), np.argsort(number)
+        first, rank = np.empty(words, np.int64), np.empty(words, np.int64)
+        first[by_home], rank[by_number] = np.arange(words), np.arange(words)
+        trained, context, self.orders = block.trained(), first[back[1]], {}
+        for k in range(2, order + 1):
+            if k > 2:
+                context = np.unique(context * words + rank[back[k - 1]], return_inverse=True)[1]
+            found, where = np.unique(context * words + rank[back[0]], return_inverse=True)
+            at = np.empty(len(found), np.int64)
+            at[where] = np.arange(n)  # one of its tokens
+            local = [back[j][at] for j in range(1, k)]
+            count = np.bincount(where, trained, len(found)).astype(np.int64)
+            valid = local[-2] != 0 if k > 2 else np.ones(len(found), bool)
+            self.orders[k] = Order([*(number[c] for c in local), number[back[0][at]]], found // words, home[local[0]], count, where, valid)
+            # the parts of heavy contexts
+            of = self.orders[k]
+            of.heavy = np.flatnonzero((of.home == shards) & valid)
+            least = np.min([held[c[of.opens]] for c in local], axis=0)
+            of.pieces = np.maximum(1, -(-least * shards // max(1, total)))
+
+    def asks(self, own: bool = False) -> Iterator[tuple[int, int, bytes]]:
+        """(kind, shard, message): to the shards or, with own, the one that the block itself answers."""
+        top = self.orders[self.order]
+        for s, rows in _groups(top.home, np.arange(len(top.home))):
+            if s == self.OWN if own else 0 <= s < self.shards:
+                yield LIGHT, s, pack([*steps([c[rows] for c in top.columns]), small(top.count[rows])])
+        if own:
+            return
+        for k, of in self.orders.items():
+            for kind in (WHOLE, PARTED):
+                for s, rows in self._dealt(k, kind):
+                    yield 4 * k + kind, s, pack([*steps([c[rows] for c in of.columns]), small(of.count[rows])])
+            for s, rows in self._parted(k):
+                yield 4 * k + STATS, s, pack(steps([c[of.opens[rows]] for c in of.columns[:-1]]))
+
+    def _dealt(self, k: int, kind: int) -> Iterator[tuple[int, np.ndarray]]:
+        """n-grams of heavy contexts of order k by shards."""
+        of = self.orders[k]
+        pieces = of.pieces[of.context_of[of.heavy]]
+        rows = of.heavy[(pieces > 1) == (kind == PARTED)]
+        columns = [c[rows] for c in of.columns]
+        part = (_mix(columns[-1]) % of.pieces[of.context_of[rows]].astype(np.uint64)).astype(np.int64)
+        shard = _deal(self.shards, *columns[:-1], part, np.full(len(rows), k))
+        order = np.argsort(shard, kind="stable")
+        return _groups(shard[order], rows[order])
+
+    def _parted(self, k: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Contexts of order k that are parted, by the shards that add them up."""
+        of = self.orders[k]
+        rows = np.unique(of.context_of[of.heavy])
+        rows = rows[of.pieces[rows] > 1]
+        shard = _deal(self.shards, *(c[of.opens[rows]] for c in of.columns[:-1]))
+        order = np.argsort(shard, kind="stable")
+        return _groups(shard[order], rows[order])
 
     def own_counts(self) -> np.ndarray:
-        """counts_of_counts of the n-grams that the block itself answers."""
-        count = self._count[self._rows[self._shard_of_row == self.OWN]].astype(np.int64)
-        return counts_of_counts(count[count > 0])
-
-    def take(self, answers: dict[int, bytes], off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each n-gram the discounted share, and the share left to the lower order (1 if the context is unknown). off: discounts()."""
-        total, kinds = np.zeros(len(self.owner)), np.zeros((3, len(self.owner)))
-        count = np.zeros(len(self.entry), np.int64)
-        rows = dict(_groups(self._shard_of_row, self._rows))
-        for s, entries in _groups(self._shard_of_entry, self._entries):
-            t, *k, c = unpack(answers[s])
-            total[entries] = t
-            kinds[:, entries] = k
-            if s in rows:
-                count[rows[s]] = c
-        whole = np.bincount(self.owner, total, self.n_contexts)
-        rest = sum(d * np.bincount(self.owner, k, self.n_contexts) for d, k in zip(off[1:], kinds))
-        low = VALUES[quantise(rest / np.maximum(whole, 1))][self.context_of]
-        hi = VALUES[quantise((count - off[np.minimum(count, 3)]) / np.maximum(whole, 1)[self.context_of])]
-        seen = whole[self.context_of] > 0
-        return np.where(seen, hi, 0.0), np.where(seen, low, 1.0)
+        """counts_of_counts, order by order, of the n-grams that the block itself answers."""
+        of = self.orders.values()
+        return np.concatenate([counts_of_counts(o.count[(o.home == self.OWN) & o.valid & (o.count > 0)]) for o in of])
+
+    def take(self, answers: dict[tuple[int, int], bytes], off: dict[int, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each order and token the discounted share, and the share left to the lower order (1 if the context is unknown). off: discounts()."""
+        got = {k: (np.zeros((4, len(o.opens)), np.int64), np.zeros(len(o.home), np.int64)) for k, o in self.orders.items()}
+        top = self.orders[self.order]
+        for s, _ in _groups(top.home, np.arange(len(top.home))):
+            if s >= self.shards:
+                continue
+            arrays = unpack(answers[LIGHT, s])
+            for j, (k, of) in enumerate(self.orders.items()):
+                stats, count = got[k]
+                low, high = np.searchsorted(of.home, [s, s + 1])
+                at = slice(*np.searchsorted(of.opens, [low, high]))
+                stats[:, at], count[low:high] = _stats(arrays[5 * j : 5 * j + 4]), arrays[5 * j + 4]
+        for k, of in self.orders.items():
+            stats, count = got[k]
+            for kind in (WHOLE, PARTED):
+                for s, rows in self._dealt(k, kind):
+                    *told, c = unpack(answers[4 * k + kind, s])
+                    count[rows] = c
+                    if kind == WHOLE:
+                        at = of.context_of[rows]
+                        stats[:, at[np.diff(at, prepend=-1) != 0]] = _stats(told)
+            for s, rows in self._parted(k):
+                stats[:, rows] = _stats(unpack(answers[4 * k + STATS, s]))
+            whole = np.maximum(stats[0], 1)
+            left = VALUES[quantise(off[k][1:] @ stats[1:] / whole)][of.context_of]
+            share = VALUES[quantise((count - off[k][np.minimum(count, 3)]) / whole[of.context_of])]
+            known = (stats[0] > 0)[of.context_of] & of.valid
+            yield np.where(known, share, 0.0)[of.where], np.where(known, left, 1.0)[of.where]
+
+
+def _residual(stats: np.ndarray) -> np.ndarray:
+    """Rows total, seen once, twice and more: of the total what these don't say."""
+    return np.stack([stats[0] - stats[1] - 2 * stats[2] - 3 * stats[3], *stats[1:]])
+
+
+def _stats(told: list[np.ndarray]) -> np.ndarray:
+    stats = np.stack([x.astype(np.int64) for x in told])
+    stats[0] += stats[1] + 2 * stats[2] + 3 * stats[3]
+    return stats
 
 
 def _answer_words(frame: pd.DataFrame, shards: int) -> pd.DataFrame:
@@ -404,45 +514,104 @@ def _answer_words(frame: pd.DataFrame, shards: int) -> pd.DataFrame:
     number = rank * shards + shard + 2
     number[distinct == np.uint64(_END_KEY)] = END
     cuts = np.cumsum([len(k) for k in keys])[:-1]
-    data = [pack([number[i].astype(np.uint64), count[i].astype(np.uint32), alone[i]]) for i in np.split(inverse, cuts)]
-    data.append(struct.pack("<q", int((count > 0).sum())))
-    return pd.DataFrame({"block": [*frame["block"], -1], "shard": shard, "gram": 1, "data": data})
-
-
-def _answer_grams(frame: pd.DataFrame) -> pd.DataFrame:
-    """Answers to the blocks, and for block -1 the counts_of_counts; of a gram below 0, what blocks tell of their own, the sum."""
-    order = int(frame["gram"].iloc[0])
-    asked = [unpack(d) for d in frame["data"]]
-    if order < 0:
-        return pd.DataFrame({"block": [-1], "shard": frame["shard"].iloc[:1].to_list(), "gram": [-order], "data": [pack([sum(a[0] for a in asked)])]})
-    root = [np.concatenate([a[k] for a in asked]) for k in range(order - 1)]
-    successors = np.concatenate([a[order - 1] for a in asked])
-    last, count = (np.concatenate([a[k] for a in asked]).astype(np.int64) for k in (order, order + 1))
-    entry = np.repeat(np.arange(len(successors)), successors)
-    some = np.flatnonzero(count > 0)
-    sort = np.lexsort((last[some], *(r[entry[some]] for r in reversed(root))))
-    some = some[sort]
-    columns = [*(r[entry[some]] for r in root), last[some]]
-    new = np.ones(len(some), bool)
-    if len(some):
-        new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
-    at = np.flatnonzero(new)
-    summed = np.add.reduceat(count[some], at) if len(at) else np.zeros(0, np.int64)
-    total, kinds, number = np.zeros(len(successors), np.uint32), np.zeros((3, len(successors)), np.uint32), np.zeros(len(last), np.uint32)
-    if len(at):
-        trie = Trie(Trie.to_map([c[at] for c in columns], summed))
-        context, _ = trie.find([*root, np.zeros(len(successors), np.int64)])
-        known = context >= 0
-        total[known], kinds[:, known] = trie.total[context[known]], trie.kinds[:, context[known]]
-        _, leaf = trie.find([*(r[entry] for r in root), last])
-        number[leaf >= 0] = trie.count[leaf[leaf >= 0]]
-    out, e, r = [], 0, 0
-    for a in asked:
-        n, m = len(a[order - 1]), len(a[order])
-        out.append(pack([total[e : e + n], *kinds[:, e : e + n], number[r : r + m]]))
-        e, r = e + n, r + m
-    out.append(pack([counts_of_counts(summed)]))
-    return pd.DataFrame({"block": [*frame["block"], -1], "shard": int(frame["shard"].iloc[0]), "gram": order, "data": out})
+    data = [pack([small(number[i]), small(count[i]), alone[i]]) for i in np.split(inverse, cuts)]
+    return pd.DataFrame({"block": [*frame["block"], _SUMS], "shard": shard, "kind": WORDS, "data": [*data, b""], "seen": [None] * len(data) + [[int((count > 0).sum())]]})
+
+
+def _answer_grams(frame: pd.DataFrame, order: int, shards: int) -> pd.DataFrame:
+    """Answers to the blocks, and for block _SUMS the counts_of_counts. What is asked of parted contexts goes on as it is, beside the parts."""
+    kind, shard = int(frame["kind"].iloc[0]), int(frame["shard"].iloc[0])
+    if kind == SEEN:
+        seen = np.sum([unpack(d)[0].astype(np.int64) for d in frame["data"]], axis=0)
+        return pd.DataFrame({"block": [_SUMS], "shard": shard, "kind": kind, "data": [b""], "seen": [seen.tolist()]})
+    if kind > SEEN and kind % 4 == STATS:
+        return frame.assign(seen=None)
+    orders = list(range(2, order + 1)) if kind == LIGHT else [kind // 4]
+    data, seen, parts = _answers([unpack(d) for d in frame["data"]], orders, parted=kind != LIGHT and kind % 4 == PARTED)
+    told = np.zeros((order - 1, 5), np.int64)
+    told[np.array(orders) - 2] = seen
+    block, to, kinds = [*frame["block"], _SUMS], [shard] * (len(data) + 1), [kind] * (len(data) + 1)
+    out = [*data, b""]
+    if parts:
+        of, stats = parts
+        to_shard = _deal(shards, *of)
+        sort = np.argsort(to_shard, kind="stable")
+        for s, rows in _groups(to_shard[sort], sort):
+            block.append(_PART)
+            to.append(s)
+            kinds.append(kind - PARTED + STATS)
+            out.append(pack([*steps([c[rows] for c in of]), *(small(x[rows]) for x in stats)]))
+    return pd.DataFrame({"block": block, "shard": to, "kind": kinds, "data": out, "seen": [None] * len(data) + [told.ravel().tolist()] + [None] * (len(out) - len(data) - 1)})
+
+
+def _answers(asked: list[list[np.ndarray]], orders: list[int], parted: bool = False):
+    """Answers to messages of n-grams of the highest of orders, about each order; counts_of_counts of each; with parted, contexts and what is known of them."""
+    starts = np.cumsum([0, *(len(a[0]) for a in asked)])[:-1]
+    told = [np.concatenate([a[k] for a in asked]) for k in range(len(asked[0]))]
+    columns, changes = walked(told[:-1], starts)
+    count, top = told[-1].astype(np.int64), len(columns)
+    universe, ranks = np.unique(np.concatenate(columns), return_inverse=True)
+    ranks, words = ranks.reshape(top, -1), len(universe)
+    # contexts of each length, by their nearest word first
+    node, nodes = np.zeros(len(count), np.int64), []
+    for k in range(top - 1):
+        found, node = np.unique(node * words + ranks[k], return_inverse=True)
+        nodes.append((found // words, universe[found % words], node))
+    out, seen, parts = [[] for _ in asked], [], None
+    for k in orders:
+        of = nodes[k - 2][2]
+        found, gram = np.unique(of * words + ranks[-1], return_inverse=True)
+        parent, last = found // words, universe[found % words]
+        summed = np.bincount(gram, count, len(found)).astype(np.int64)
+        chain, at = [], parent
+        for up, value, _ in reversed(nodes[: k - 1]):
+            chain.insert(0, value[at])
+            at = up[at]
+        learned = np.flatnonzero((summed > 0) & (chain[k - 3] != START if k > 2 else True))
+        stats, number = np.zeros((4, len(nodes[k - 2][0])), np.int64), np.zeros(len(found), np.int64)
+        if len(learned):
+            trie = Trie(Trie.to_map([*(c[learned] for c in chain), last[learned]], summed[learned]))
+            context, leaf = trie.find([*((p, v) for p, v, _ in nodes[: k - 1]), (parent, last)])
+            known = context >= 0
+            stats[0, known], stats[1:, known] = trie.total[context[known]], trie.kinds[:, context[known]]
+            number[leaf >= 0] = trie.count[leaf[leaf >= 0]]
+        seen.append(counts_of_counts(summed[learned]))
+        message = np.repeat(np.arange(len(asked)), np.diff(np.append(starts, len(count))))
+        pick = np.flatnonzero(changes[k - 2])
+        for r in _residual(stats):
+            for m, x in enumerate(np.split(r[of[pick]], np.searchsorted(pick, starts[1:]))):
+                out[m].append(small(x))
+        if k < top:  # some n-grams of the message are one of this order
+            each = distinct(message * len(found) + gram)
+            gram, bounds = each % len(found), np.searchsorted(each // len(found), np.arange(1, len(asked)))
+        else:
+            bounds = starts[1:]
+        for m, x in enumerate(np.split(number[gram], bounds)):
+            out[m].append(small(x))
+        if parted:
+            up, value, _ = nodes[k - 2]
+            of, at = [value], up
+            for more, value, _ in reversed(nodes[: k - 2]):
+                of.insert(0, value[at])
+                at = more[at]
+            parts = of, stats
+    return [pack(a) for a in out], seen, parts
+
+
+def _add_up(frame: pd.DataFrame) -> pd.DataFrame:
+    """Answers about parted contexts: the sums of their parts."""
+    told = [(b, unpack(d)) for b, d in zip(frame["block"], frame["data"])]
+    width = min(len(a) for _, a in told) if any(b >= 0 for b, _ in told) else len(told[0][1]) - 4
+    starts = np.cumsum([0, *(len(a[0]) for _, a in told)])
+    columns, _ = walked([np.concatenate([a[k] for _, a in told]) for k in range(width)], starts[:-1])
+    stats = [np.concatenate([a[width + r].astype(np.int64) if b == _PART else np.zeros(len(a[0]), np.int64) for b, a in told]) for r in range(4)]
+    node = np.zeros(starts[-1], np.int64)
+    for c in columns:
+        rank = np.unique(c, return_inverse=True)[1]
+        node = np.unique(node * (int(rank.max(initial=0)) + 1) + rank, return_inverse=True)[1]
+    sums = np.stack([np.bincount(node, r).astype(np.int64) for r in stats])
+    asks = [(b, slice(s, e)) for (b, _), s, e in zip(told, starts, starts[1:]) if b >= 0]
+    return pd.DataFrame({"block": [b for b, _ in asks], "shard": int(frame["shard"].iloc[0]), "kind": int(frame["kind"].iloc[0]), "data": [pack([small(r) for r in _residual(sums[:, node[at]])]) for _, at in asks]})
 
 
 def score(docs: DataFrame, order: int = 3) -> DataFrame:
@@ -456,99 +625,83 @@ def score(docs: DataFrame, order: int = 3) -> DataFrame:
     docs = docs.select("doc_id", "text", F.coalesce("held_out", F.lit(False)).alias("held_out"))
     size = docs.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     shards = max(1, -(-size // BLOCK_BYTES))
-    kind = docs.schema["doc_id"].dataType
-    parts = f"block long, shard long, gram int, data binary, ids array<{kind.simpleString()}>, held array<boolean>"
+    kind_of_id = docs.schema["doc_id"].dataType.simpleString()
+    limit = BLOCK_BYTES
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, ids, texts, held, n = 0, [], [], [], 0
-        kind_of = None
+        made, ids, texts, held, n, kind = 0, [], [], [], 0, None
 
         def flush():
-            nonlocal made, ids, texts, held, n
+            block, words = Block.of(texts, [not h for h in held], shards)
             number = (TaskContext.get().partitionId() << 24) | made
-            made += 1
-            block = Block.of(texts, [not h for h in held])
-            asks = list(block.word_asks(shards))
-            rows = 1 + len(asks)
-            out = pa.RecordBatch.from_arrays(
-                [
-                    pa.array([number] * rows, pa.int64()), pa.array([-1, *(s for s, _ in asks)], pa.int64()), pa.array([0] + [1] * len(asks), pa.int32()),
-                    pa.array([block.pack(), *(d for _, d in asks)], pa.binary()), pa.array([ids] + [None] * len(asks), pa.list_(kind_of)), pa.array([held] + [None] * len(asks), pa.list_(pa.bool_())),
-                ],
-                names=["block", "shard", "gram", "data", "ids", "held"],
-            )
-            ids, texts, held, n = [], [], [], 0
-            return out
+            arrays = [pa.array([number], pa.int64()), pa.array([block.pack()], pa.binary()), pa.array([words], pa.binary()), pa.array([ids], pa.list_(kind)), pa.array([held], pa.list_(pa.bool_())), pa.array([int(block.trained().sum())], pa.int64())]
+            return pa.RecordBatch.from_arrays(arrays, names=["block", "data", "words", "ids", "held", "trained"])
 
         for b in batches:
-            kind_of = b.column(0).type
+            kind = b.column(0).type
             for i, t, h in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
                 t = t.as_py() or ""
                 ids.append(i)
                 texts.append(t)
                 held.append(h)
                 n += len(t) + 16
-                if n >= BLOCK_BYTES:
+                if n >= limit:
                     yield flush()
+                    made, ids, texts, held, n = made + 1, [], [], [], 0
         if texts:
             yield flush()
 
-    told = keep(docs.mapInArrow(gather, parts))
-    states = told.where("gram = 0").select("block", "data", "ids", "held")
-    answer = "block long, shard long, gram int, data binary"
-    words = told.where("gram = 1").select("block", "shard", "gram", "data")
-    words = keep(words.groupBy("shard").applyInPandas(lambda f: _answer_words(f, shards), answer))
-    distinct = sum(struct.unpack("<q", r.data)[0] for r in words.where("block = -1").select("data").toLocalIterator())
-    words = words.where("block >= 0")
-    # the end's count is the number of training texts; all counts together are those of the training tokens
-    total = told.where("gram = 0").select("data").mapInArrow(_train_tokens, "n long").agg(F.sum("n")).first()[0] or 0
+    blocks = keep(docs.mapInArrow(gather, f"block long, data binary, words binary, ids array<{kind_of_id}>, held array<boolean>, trained long"))
+    total = blocks.agg(F.sum("trained")).first()[0] or 0
+
+    def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for number, words in zip(b.column(0).to_pylist(), b.column(1)):
+                asks = list(word_asks(words.as_py(), shards))
+                yield pa.RecordBatch.from_arrays([pa.array([number] * len(asks), pa.int64()), pa.array([s for s, _ in asks], pa.int64()), pa.array([d for _, d in asks], pa.binary())], names=["block", "shard", "data"])
+
+    message = "block long, shard long, kind int, data binary"
+    words = blocks.select("block", "words").mapInArrow(ask_words, "block long, shard long, data binary")
+    words = keep(words.groupBy("shard").applyInPandas(lambda f: _answer_words(f, shards), f"{message}, seen array<long>"))
+    vocabulary = words.where(F.col("block") == _SUMS).agg(F.sum(F.col("seen")[0])).first()[0] or 0
+    words = words.where("block >= 0").select("block", "shard", "kind", "data")
 
     def ask(state: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out = []
         for number, data in zip(state["block"], state["data"]):
             block = Block.unpack(data)
-            block.take_words(dict(zip(answers["shard"], answers["data"])), shards)
-            for grams in block.grams(order, shards, total):
-                out += [(number, s, grams.order, d) for s, d in grams.asks()]
-                out.append((number, number % shards, -grams.order, pack([grams.own_counts()])))
-        return pd.DataFrame(out, columns=["block", "shard", "gram", "data"])
-
-    # the same columns of the states as at the end, so that their shuffle is used again
-    asked = states.groupBy("block").cogroup(words.groupBy("block")).applyInPandas(ask, answer)
-    told_back = keep(asked.groupBy("shard", "gram").applyInPandas(_answer_grams, answer))
-    seen = {k: np.zeros(5, np.int64) for k in range(2, order + 1)}
-    for r in told_back.where("block = -1").select("gram", "data").toLocalIterator():
-        seen[r.gram] += unpack(r.data)[0]
-    off = {k: discounts(n) for k, n in seen.items()}
-    told_back = told_back.where("block >= 0")
+            block.take_words(dict(zip(answers["shard"], answers["data"])))
+            grams = Grams(block, order, shards, total)
+            out += [(number, s, kind, d) for kind, s, d in grams.asks()]
+            out.append((number, number % shards, SEEN, pack([grams.own_counts()])))
+        return pd.DataFrame(out, columns=["block", "shard", "kind", "data"])
+
+    asked = blocks.select("block", "data").groupBy("block").cogroup(words.groupBy("block")).applyInPandas(ask, message)
+    told = keep(asked.groupBy("shard", "kind").applyInPandas(lambda f: _answer_grams(f, order, shards), f"{message}, seen array<long>"))
+    sums = told.where(F.col("block") == _SUMS).agg(*[F.sum(F.col("seen")[k]) for k in range(5 * (order - 1))]).first()
+    off = {k: discounts(np.array([x or 0 for x in sums[5 * (k - 2) : 5 * (k - 1)]])) for k in range(2, order + 1)}
+    told = told.select("block", "shard", "kind", "data")
+    stats = (F.col("kind") > SEEN) & (F.col("kind") % 4 == STATS)
+    added = told.where(stats).groupBy("shard", "kind").applyInPandas(_add_up, message)
 
     def finish(state: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         frames = []
         for data, ids, held in zip(state["data"], state["ids"], state["held"]):
             block = Block.unpack(data)
-            of = {k: dict(zip(g["shard"], g["data"])) for k, g in answers.groupby("gram")}
-            block.take_words(of[1], shards)
-            base = (block.count + ADDED) / (total + ADDED * (distinct + 1))
-            p = base[block.tokens]
+            of = dict(zip(zip(answers["kind"], answers["shard"]), answers["data"]))
+            block.take_words({s: d for (k, s), d in of.items() if k == WORDS})
+            p = ((block.count + ADDED) / (total + ADDED * (vocabulary + 1)))[block.tokens]
             first = np.cumsum(block.lengths) - block.lengths
             per = lambda x: np.add.reduceat(x, first)  # noqa: E731, B023
             base_score, known = per(np.log10(p)), per((block.count > 0)[block.tokens].astype(np.int64))
-            for grams in block.grams(order, shards, total):
-                own = pd.DataFrame([(0, s, grams.order, d) for s, d in grams.asks(own=True)], columns=["block", "shard", "gram", "data"])
-                found = of.get(grams.order, {}) | (dict(zip(own["shard"], _answer_grams(own)["data"])) if len(own) else {})
-                share, left = grams.take(found, off[grams.order])
-                at = np.flatnonzero(grams.where >= 0)
-                gram = grams.where[at]
-                p[at] = share[gram] + left[gram] * p[at]
+            grams = Grams(block, order, shards, total)
+            for kind, s, d in grams.asks(own=True):
+                of[kind, s] = _answers([unpack(d)], list(range(2, order + 1)))[0][0]
+            for share, left in grams.take(of, off):
+                p = share + left * p
             frames.append(pd.DataFrame({"doc_id": ids, "held_out": held, "n_tokens": block.lengths, "n_known": known, "train_tokens": total, "base_score": base_score, "score": per(np.log10(p))}))
         return pd.concat(frames)
 
-    answers = words.union(told_back)
-    shape = f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return states.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(finish, shape)
-
-
-def _train_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        blocks = [unpack(d.as_py()) for d in b.column(0)]
-        yield pa.RecordBatch.from_arrays([pa.array([int(x[1][x[2] > 0].sum()) for x in blocks], pa.int64())], names=["n"])
+    answers = words.union(told.where((F.col("block") >= 0) & ~stats)).union(added)
+    shape = f"doc_id {kind_of_id}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return blocks.select("block", "data", "ids", "held").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(finish, shape)
