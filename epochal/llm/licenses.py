@@ -1,8 +1,9 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with templates.
 
-Tokens of the templates are ordered by how many documents hold them, rarest first. A block
-(a line) contains a template if it holds enough of its distinct tokens; such a block must
-hold one of the template's first tokens (prefix filter), have enough tokens (length filter)
+Tokens of the templates are ordered by how many documents hold them, rarest first. Blocks are lines
+and, as long notices are wrapped, overlapping windows of words: twice as many as the longest template has, beginning
+every so many as it has. A block contains a template if it holds enough of its distinct tokens; windows are compared
+with templates of LONG tokens and more. A block with a template must hold one of the template's first tokens (prefix filter), have enough tokens (length filter)
 and enough room behind the first shared one (positional filter). What passes is verified.
 DataFrame functions only; templates are a bounded list.
 """
@@ -34,6 +35,8 @@ TEMPLATES = (
     ("cc-by-sa", "licensed under cc by sa 4 0"),
 )
 THRESHOLD = 0.8
+#: Distinct tokens of a template that is also looked for across lines.
+LONG = 12
 
 
 def _tokens(text: Column) -> Column:
@@ -49,7 +52,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
 
     n_base counts the places of the phrases, first_word and last_word are their smallest and
     largest starts (null if none). labels joins the phrases' labels with those of the templates
-    that a line contains; score is the largest containment reached, 0 if none. Labels are
+    that a block contains; score is the largest containment reached, 0 if none. Labels are
     distinct, sorted and comma-joined, empty if there are none. A null text counts as empty.
     Repeated rows get the same; other columns are ignored; an empty table gives an empty result.
     """
@@ -70,29 +73,34 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
         hits = hits | _all(F.array_contains("_words", w) for w in p.split())
     n = F.size("_words")
     places = F.when(hits, F.filter(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("at"), F.array(*[F.when(c, label) for c, (_, label) in zip(fits(i), phrases)]).alias("of"))), lambda x: F.exists(x["of"], lambda y: y.isNotNull())))
-    step = step.select("_id", n.cast("long").alias("n_words"), places.alias("_places"), "_present", F.when(can, F.filter(F.split("_text", "\n"), lambda x: x != "")).alias("_blocks"), F.xxhash64("_text").alias("_hash"))
+    step = step.select("_id", n.cast("long").alias("n_words"), places.alias("_places"), "_present", F.when(can, F.col("_text")).alias("_text"), F.xxhash64("_text").alias("_hash"))
     found = F.flatten(F.transform("_places", lambda x: F.filter(x["of"], lambda y: y.isNotNull())))
     at = F.transform("_places", lambda x: x["at"])
     step = step.select(
         "_id", "n_words", F.coalesce(F.size(found), F.lit(0)).cast("long").alias("n_base"), F.array_min(at).cast("long").alias("first_word"), F.array_max(at).cast("long").alias("last_word"),
-        F.coalesce(F.array_sort(F.array_distinct(found)), _strings([])).alias("_base"), "_present", "_blocks", "_hash",
+        F.coalesce(F.array_sort(F.array_distinct(found)), _strings([])).alias("_base"), "_present", "_text", "_hash",
     ).withColumn("n_base", F.when(F.col("n_base") < 0, 0).otherwise(F.col("n_base")))
     kept = keep(step)
 
     held = {r[0]: r[1] for r in kept.select(F.explode("_present").alias("t")).groupBy("t").count().collect()}  # as many as the templates have tokens
     order = sorted(universe, key=lambda t: (held.get(t, 0), t))
     place = {t: k for k, t in enumerate(order)}
-    index = [(t, k, i, label, len(s), least, sorted(s, key=place.get)) for k, ((label, s), least) in enumerate(zip(sets, need)) for i, t in enumerate(sorted(s, key=place.get)[: len(s) - least + 1])]
-    prefixes = docs.sparkSession.createDataFrame(index or [("", 0, 0, "", 1, 1, [""])], "_token string, _template int, _i int, _label string, _size int, _least int, _set array<string>")
-    blocks = kept.where("_blocks is not null").select("_id", "_hash", F.explode("_blocks").alias("_block"))
-    blocks = blocks.withColumn("_all", F.array_distinct(_tokens(F.col("_block")))).withColumn("_ordered", F.array_intersect(_strings(order), F.col("_all")))
-    blocks = blocks.select("_id", "_hash", F.size("_all").alias("_n"), "_ordered", F.posexplode("_ordered").alias("_j", "_token"))
+    index = [(t, k, i, label, len(s), least, sorted(s, key=place.get), len(s) >= LONG) for k, ((label, s), least) in enumerate(zip(sets, need)) for i, t in enumerate(sorted(s, key=place.get)[: len(s) - least + 1])]
+    prefixes = docs.sparkSession.createDataFrame(index or [("", 0, 0, "", 1, 1, [""], False)], "_token string, _template int, _i int, _label string, _size int, _least int, _set array<string>, _long boolean")
+    longest = max((len(text.split()) for _, text in templates), default=1)
+    block = lambda tokens, window: F.struct(F.array_distinct(tokens).alias("all"), F.lit(window).alias("window"))
+    lines = F.transform(F.filter(F.split("_text", "\n"), lambda x: x != ""), lambda x: block(_tokens(x), False))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("_words"), F.lit(1)), F.lit(longest))
+    windows = F.transform(starts, lambda i: block(F.slice("_words", i, 2 * longest), True))
+    blocks = kept.where("_text is not null").select("_id", "_hash", "_text", _tokens(F.col("_text")).alias("_words")).select("_id", "_hash", F.explode(F.concat(lines, windows)).alias("_block"))
+    blocks = blocks.select("_id", "_hash", F.col("_block.all").alias("_all"), F.col("_block.window").alias("_window")).withColumn("_ordered", F.array_intersect(_strings(order), F.col("_all")))
+    blocks = blocks.select("_id", "_hash", "_window", F.size("_all").alias("_n"), "_ordered", F.posexplode("_ordered").alias("_j", "_token"))
     near = blocks.join(F.broadcast(prefixes), "_token")  # as many rows as the templates have prefix tokens
-    near = near.where((F.col("_n") >= F.col("_least")) & (1 + F.least(F.col("_size") - F.col("_i"), F.size("_ordered") - F.col("_j")) - 1 >= F.col("_least")))
+    near = near.where(F.col("_long") | ~F.col("_window")).where((F.col("_n") >= F.col("_least")) & (1 + F.least(F.col("_size") - F.col("_i"), F.size("_ordered") - F.col("_j")) - 1 >= F.col("_least")))
     near = near.withColumn("_share", F.size(F.array_intersect("_ordered", "_set"))).where("_share >= _least")
     near = near.groupBy("_id", "_hash").agg(F.collect_set("_label").alias("_more"), F.max(F.col("_share") / F.col("_size")).alias("score"))
     near = near.select(F.col("_id").alias("_id2"), F.col("_hash").alias("_hash2"), "_more", "score")
-    out = kept.drop("_present", "_blocks").join(near, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_hash") == F.col("_hash2")), "left")
+    out = kept.drop("_present", "_text").join(near, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_hash") == F.col("_hash2")), "left")
     labels = F.array_sort(F.array_union("_base", F.coalesce("_more", _strings([]))))
     return out.select(F.col("_id").alias(id_col), "n_words", "n_base", "first_word", "last_word", F.array_join("_base", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
