@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 WIDTHS, FILTERS, LENGTH = (2, 3, 4), 16, 192
-#: Bounds of the training sample: languages (the most frequent), documents of each, windows of a document.
-LANGUAGES, DOCUMENTS, WINDOWS = 64, 500, 3
+#: Bounds of the training sample: languages (the most frequent; rarer labels are taken for noise), documents of each, all documents
+#: (each language has its equal part, 20 at least), windows of a document.
+LANGUAGES, DOCUMENTS, ALL_DOCUMENTS, WINDOWS = 1000, 500, 32_000, 3
+#: Bytes of texts that are cut into windows at once; a longer text is by itself.
+SLICE = 1_000_000
 STEPS, BATCH, RATE = 260, 96, 0.02
 _LETTER = regex.compile(r"\p{L}")
 
@@ -94,23 +97,22 @@ def fit(windows: list[bytes], languages: list[str], labels: np.ndarray, seed: in
 
 def train(labelled: DataFrame, seed: int = 5) -> Model:
     """labelled: doc_id, text, lang. Fits on a bounded sample, alike on every run: of each of the LANGUAGES most
-    frequent languages about DOCUMENTS documents by a hash of the id, WINDOWS windows spread over each text.
+    frequent languages as many documents as the bounds above give it, by a hash of the id, WINDOWS windows spread over each text.
     Rows of null text, null lang or no letter don't count; without any other row the model knows no language."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
     counts = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).collect()
     languages = sorted(r["lang"] for r in counts)
     if not languages:
         return Model([], [], np.zeros((0, 0)), np.zeros(0))
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, 2.0 * DOCUMENTS / r["count"])).otherwise(share)
+    each = max(20, min(DOCUMENTS, ALL_DOCUMENTS // len(languages)))
+    share = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2.0 * each / r["count"]))]), F.col("lang"))
     draw = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), "lang")
     picked = rows.where(F.pmod(draw, F.lit(1 << 30)) < share * (1 << 30))
     n = F.length("text")
     parts = F.array(*[F.substring("text", (1 + F.floor(F.greatest(n - LENGTH, F.lit(0)) * k / max(1, WINDOWS - 1))).cast("int"), F.lit(LENGTH)) for k in range(WINDOWS)])
     picked = picked.select("lang", draw.alias("draw"), F.array_distinct(parts).alias("parts"))
     first = Window.partitionBy("lang").orderBy("draw", "parts")
-    picked = picked.withColumn("row", F.row_number().over(first)).where(F.col("row") <= DOCUMENTS).orderBy("lang", "row").collect()
+    picked = picked.withColumn("row", F.row_number().over(first)).where(F.col("row") <= each).orderBy("lang", "row").collect()
     windows = [(_bytes(p), languages.index(r.lang)) for r in picked for p in r.parts]
     return fit([w for w, _ in windows], languages, np.array([y for _, y in windows]), seed)
 
@@ -145,27 +147,39 @@ class Predictor:
         return [m.languages[k] for k in best], p[np.arange(len(p)), best].tolist()
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score (0 to 1, the share that the softmax gives it). Only the text is looked at, all of it.
+def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    begin = size = 0
+    for k, t in enumerate(texts):
+        if k > begin and (size + len(t or "") > SLICE or k - begin >= 256):
+            yield begin, k - begin
+            begin, size = k, 0
+        size += len(t or "")
+    yield begin, len(texts) - begin
 
-    lang_pred is und, with score 0, where text is null or has no letter, and everywhere if the model knows
+
+def predict(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with two more columns, called names: the language and its score (0 to 1, the share that the softmax gives it). Only
+    the text is looked at, all of it, so repeated rows get the same.
+
+    The language is und, with score 0, where text is null or has no letter, and everywhere if the model knows
     no language. Columns of docs of these two names are replaced; an empty table gives an empty result.
     """
-    docs = docs.drop("lang_pred", "score")
+    lang_name, score_name = names
+    docs = docs.drop(lang_name, score_name)
     names, at = docs.columns, docs.columns.index(text_col)
     given = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ask = Predictor(given.value) if given.value.languages else None
         for whole in batches:
-            for s in range(0, max(1, whole.num_rows), 256):
-                batch = whole.slice(s, 256)
-                texts = batch.column(at).to_pylist()
+            every = whole.column(at).to_pylist()
+            for begin, size in _slices(every):
+                batch, texts = whole.slice(begin, size), every[begin : begin + size]
                 named = [k for k, t in enumerate(texts) if t and ask and _LETTER.search(t)]
                 langs, scores = ["und"] * len(texts), [0.0] * len(texts)
                 if named:
                     for k, lang, score in zip(named, *ask([texts[k] for k in named])):
                         langs[k], scores[k] = lang, score
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, lang_name, score_name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("lang_pred", "string").add("score", "double"))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(lang_name, "string").add(score_name, "double"))
