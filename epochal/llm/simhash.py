@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep
@@ -265,11 +265,9 @@ def first_row():
 
 def chosen(docs: DataFrame, rows: DataFrame, first: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of docs whose id and hash of the text are in first, one of each; rows: id and hash of every row of docs."""
-    names = docs.columns
     first = first.select(F.col("id").alias("_id"), F.col("hash").alias("_first"))
-    out = docs.withColumn("_hash", F.xxhash64(text_col)).join(first, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_first")), "left_semi")
-    alike = rows.join(first, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_first")), "left_semi").groupBy("id", "hash").count().where("count > 1")
-    if alike.isEmpty():
-        return out.select(*names)
-    pick = Window.partitionBy(id_col, "_hash").orderBy("_hash")
-    return out.withColumn("_row", F.row_number().over(pick)).where("_row = 1").select(*names)
+    this = F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_first"))
+    out = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash")).join(first, this, "left_semi")
+    if not rows.join(first, this, "left_semi").groupBy("id", "hash").count().where("count > 1").isEmpty():
+        out = out.groupBy("id", "hash").agg(F.first("_row").alias("_row"))
+    return out.select("_row.*")

@@ -27,7 +27,9 @@ def texts():
     base = " ".join(rng.choice(words) for _ in range(60))
     return [
         None, "", " ", "\n\n", "a", "  two  spaces \t tab\r\n", base, base, base + " tail", base.replace("haus", "HAUS"), long_, "MIT License\nmit license MIT-LICENSE", "same line here\nsame line here\nother\nsame line here",
-        "Released under the MIT License.\nGNU General Public License version 3", " nbsp em \x1c fs", "<|endoftext|>a <|endoftext|>", "x" * 5000, " ".join(["one two three four five six seven eight"] * 6), *some,
+        "Released under the MIT License.\nGNU General Public License version 3", " nbsp em \x1c fs", "<|endoftext|>a <|endoftext|>", "x" * 5000, " ".join(["one two three four five six seven eight"] * 6),
+        # a notice wrapped over lines
+        "some code of ours\n\nPermission is hereby granted, free of charge,\nto any person obtaining a copy of\nthis software and associated\ndocumentation files\n" + "and more words follow here " * 30, *some,
     ]
 
 
@@ -145,14 +147,60 @@ def test_language_model(docs, monkeypatch):
     assert ngram_trie.score(rows.limit(0)).count() == 0
 
 
-def test_language_model_is_a_distribution(spark):
-    """Over all words seen and one that isn't, shares given a context add up to about 1."""
-    rows = [(k, t, False) for k, t in enumerate(["a b a c", "a b b", "c a b"])]
-    words = ["a", "b", "c", ""]
-    probes = [(100 + k, f"a b {w}".strip(), True) for k, w in enumerate([*words, "zz"])]
-    out = {r.doc_id: r for r in ngram_trie.score(spark.createDataFrame(rows + probes, "doc_id long, text string, held_out boolean")).collect()}
-    first = [out[100 + k].score for k in range(5)]
-    assert first[1] > first[4]
+def brute_model(docs, order=3):
+    """log10 probability of a text by dictionaries: discounted shares, quantised like the trie's, mixed with lower orders."""
+    train = [[*brute_tokens(t), "\0end"] for t, held in docs if not held]
+    words = Counter(w for t in train for w in t)
+    n, v = sum(words.values()), len(words)
+    counts, off = {}, {}
+    for k in range(2, order + 1):
+        counts[k] = Counter()
+        for t in train:
+            padded = ["\0start", *t]
+            counts[k].update(tuple(padded[i : i + k]) for i in range(len(padded) - k + 1))
+        off[k] = ngram_trie.discounts(ngram_trie.counts_of_counts(np.array(list(counts[k].values()) or [0])))
+    follow = {k: {} for k in counts}
+    for k in counts:
+        for g, c in counts[k].items():
+            follow[k].setdefault(g[:-1], []).append(c)
+    rounded = lambda p: float(ngram_trie.VALUES[ngram_trie.quantise(np.array([p]))][0])
+
+    def p_of(history, w):
+        p = (words[w] + 0.1) / (n + 0.1 * (v + 1))
+        for k in range(2, order + 1):
+            context = tuple(history[-(k - 1) :])
+            seen = follow[k].get(context)
+            if len(context) == k - 1 and seen:
+                c = counts[k][(*context, w)]
+                share = rounded((c - off[k][min(c, 3)]) / sum(seen)) if c else 0.0
+                p = share + rounded(sum(off[k][min(x, 3)] for x in seen) / sum(seen)) * p
+        return p
+
+    def score(t):
+        history, total = ["\0start"], 0.0
+        for w in [*brute_tokens(t), "\0end"]:
+            total += math.log10(p_of(history, w))
+            history.append(w)
+        return total
+
+    return score, p_of, [*words, "\0unseen"]
+
+
+@pytest.mark.parametrize("size", [10**9, 3000])
+def test_language_model_against_dictionaries(docs, monkeypatch, size):
+    monkeypatch.setattr(ngram_trie, "BLOCK_BYTES", size)
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
+    few = docs.where(F.coalesce(F.length("text"), F.lit(0)) < 10_000)
+    rows = few.select("doc_id", "text", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False)).alias("held_out"))
+    score, p_of, words = brute_model([(t, held(i)) for i, t in both(few)])
+    want = sorted((str(i), round(score(t), 6)) for i, t in both(few))
+    for parts in (1, 2, 8):
+        got = sorted((str(r.doc_id), round(r.score, 6)) for r in ngram_trie.score(rows.repartition(parts)).collect())
+        assert [g[0] for g in got] == [w[0] for w in want]
+        assert max(abs(g[1] - w[1]) for g, w in zip(got, want)) < 2e-6
+    # the probabilities of all words and an unseen one, given a context, add up to 1 but for the rounding of shares
+    for history in (["\0start"], ["\0start", "the"], ["haus", "baum"], ["nowhere", "of"]):
+        assert abs(sum(p_of(history, w) for w in words) - 1) < 0.01
 
 
 def test_language_model_held_out(spark):
@@ -161,6 +209,26 @@ def test_language_model_held_out(spark):
     assert out.s > 0.95 * out.b
 
 
+def test_convolutions_by_hand():
+    """The answers through tables of byte pairs are those of plain convolutions."""
+    rng = np.random.default_rng(1)
+    filters = [rng.normal(0, 1, (w, 256, langid.FILTERS)).astype(np.float32) for w in langid.WIDTHS]
+    model = langid.Model(["a", "b", "c"], filters, rng.normal(0, 0.1, (langid.FILTERS * 3, 3)).astype(np.float32), rng.normal(0, 1, 3).astype(np.float32))
+    words = ["short", "x", "Über " * 30, "more than one window " * 40, "é" * 500]
+    langs, scores = langid.Predictor(model)(words)
+    for text, lang, score in zip(words, langs, scores):
+        raw, z, weights = text.lower().encode(), [], []
+        for s in range(0, len(raw), langid.LENGTH):
+            part = raw[s : s + langid.LENGTH]
+            weights.append(len(part) / langid.LENGTH)
+            part = part.ljust(langid.LENGTH, b"\0")
+            hidden = np.concatenate([np.max([sum(f[j][part[i + j]].astype(float) for j in range(len(f))) for i in range(langid.LENGTH - len(f) + 1)], axis=0) for f in filters])
+            z.append(np.maximum(hidden, 0) @ model.weights + model.bias)
+        z = np.average(z, axis=0, weights=weights)
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert lang == model.languages[int(p.argmax())] and abs(score - p.max()) < 1e-4
+
+
 def test_urls(spark):
     pages = [
         (1, "http://Example.ORG/es/x?q#f"), (2, "https://a.example.org/en/12"), (3, "http://other.org/es/1"), (4, "ftp://x.com/fr/"), (5, "http://x.com/de/5#a"), (6, None), (7, "no scheme"), (8, "http://notexample.org/es/"), (9, "http://"), (10, "http://bad.net/a"), (11, "http://bad.net/b"),
@@ -283,10 +351,15 @@ def brute_license(t):
 
 def brute_templates(t):
     labels, best = set(), 0.0
-    for line in t.split("\n"):
-        have = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line.translate(UPPER)))
+    words = lambda x: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", x.translate(UPPER))
+    longest = max(len(x.split()) for _, x in licenses.TEMPLATES)
+    w = words(t)
+    blocks = [(set(words(line)), False) for line in t.split("\n")] + [(set(w[k : k + 2 * longest]), True) for k in range(0, len(w), longest)]
+    for have, across in blocks:
         for lab, text in licenses.TEMPLATES:
             s = set(text.split())
+            if across and len(s) < licenses.LONG:
+                continue
             share = len(s & have) / len(s)
             if len(s & have) >= math.ceil(0.8 * len(s) - 1e-9):
                 labels.add(lab)
@@ -303,6 +376,7 @@ def test_licenses(docs):
     out = licenses.scan(docs)
     got = [(str(r.doc_id), r.n_words, r.n_base, str(r.first_word), str(r.last_word), r.base_labels, r.labels, round(r.score, 9)) for r in out.collect()]
     assert sorted(got) == sorted(want)
+    assert [g for g in got if g[6] == "mit" and g[5] == ""]  # the wrapped one
     assert licenses.scan(docs.limit(0)).count() == 0
 
 

@@ -43,3 +43,25 @@ def test_empty(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = spark.createDataFrame([], docs.schema)
         assert stage(spark, docs, SF).count() == 0, name
+
+
+def test_columns_that_clash_keep_their_values(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    mine = ["kept", "n_words", "_words", "_lines", "score", "lang_pred", "_hash", "_row", "key", "hash", "copies", "size", "target", "id", "fp"]
+    docs = docs.withColumns({c: F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")) for c in mine})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c} of {r.doc_id}" for r in rows for c in mine), name
+
+
+def test_run(spark):
+    """The whole is what the stages give one after the other."""
+    out = corpus_pipeline.run(spark, SF)
+    got = sorted((r.doc_id, r.n_tokens, r.round_trip) for r in out.collect())
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+    assert got == sorted((r.doc_id, r.n_tokens, r.round_trip) for r in docs.collect())
+    assert all(r[2] for r in got)
