@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epochal.llm import bpe, langid, mixing, quality, simhash
-from epochal.llm.common import read, shared_dir
+from epochal.llm.common import free, read, shared_dir
 from epochal.llm.queries import tokenizer
 
 #: A language is believed from this score on; documents without letters or below it go.
@@ -20,28 +20,39 @@ LEAST_SCORE = 0.4
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that no quality rule rejects: null, empty and wordless texts go, texts of any length are judged whole,
+    repeated rows stay or go together, all columns keep their values, and an empty table gives an empty result."""
     return quality.accepted(docs)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the rows of its own input; documents of no language that it has learned go."""
+    """Learns from the rows of its own input; documents of no language that it has learned go, and texts that are null or
+    have no letter. Repeated rows stay or go together; all columns keep their values; an empty table gives an empty result."""
     names = docs.columns
     model = langid.train(docs.where("lang is not null").select("doc_id", "text", "lang"))
-    out = langid.predict(docs, model)
-    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*names)
+    lang, score = free("lang_pred", names), free("score", names)
+    out = langid.predict(docs, model, names=(lang, score))
+    return out.where((F.col(lang) != "und") & (F.col(score) >= LEAST_SCORE)).select(*names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts whose distinct runs of five words have a Jaccard similarity of 0.8 or more stays: that of the smallest doc_id."""
+    """One document of each component of near-duplicates stays: that of the smallest doc_id. Texts are linked if their SimHash
+    fingerprints differ in 11 bits or fewer and their distinct runs of five words have a Jaccard similarity of 0.8 or more. Texts
+    without words are alike, null ones too; rows of a null or repeated doc_id each stay if their texts aren't linked."""
     return simhash.representatives(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix emits it, by the weights of its source (null is a source of its own). Rows alike in
+    doc_id and text are emitted together as often as all of them; texts without words go by their source's share."""
     return mixing.mix(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode(docs, tokenizer()).drop("decoded")
+    """The documents with token_ids, n_tokens and round_trip: whether the ids decode to the text. A null text is an empty one;
+    columns of docs that have one of these names are replaced; an empty table gives an empty result."""
+    out = bpe.encode(docs, tokenizer())
+    return out.withColumn("round_trip", F.col("decoded") == F.coalesce("text", F.lit(""))).drop("decoded")
 
 
 STAGES = [("quality", quality_rules), ("language", language), ("near_duplicates", near_duplicates), ("mix", source_mix), ("bpe", tokens)]
