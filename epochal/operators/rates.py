@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.special import _gamma_sides, np_log_gamma
 from ..plans.fitting import Fit, by_predictors, maximise
 from ..plans.iterate import settled
 from ..plans.ordered import running
@@ -110,8 +111,72 @@ def _mixed(xa, xb, d, ts, tf):
     return d * (xa - grown(tf)) - (grown(tf) - grown(ts)) / v
 
 
+#: Logarithm of the rate, and the cumulative rate, of families that can be mixed.
+_RATES = {
+    "weibull": (lambda t, xa, xb: xb + np.exp(xb) * xa + (np.exp(xb) - 1) * np.log(t), lambda t, xa, xb: _power(t, xa, xb)),
+    "log_logistic": (lambda t, xa, xb: xb + np.exp(xb) * xa + (np.exp(xb) - 1) * np.log(t) - np.log1p(_power(t, xa, xb)), lambda t, xa, xb: np.log1p(_power(t, xa, xb))),
+    "sickle": (lambda t, xa, xb: xa + np.log(t) - t / np.exp(xb), lambda t, xa, xb: np.exp(xa + xb) * (np.exp(xb) - (t + np.exp(xb)) * np.exp(-t / np.exp(xb)))),
+}
+
+
+def _power(t, xa, xb):
+    """(a t)^b, 0 at 0."""
+    return np.where(t > 0, np.exp(np.exp(xb) * (np.log(np.where(t > 0, t, 1.0)) + xa)), 0.0)
+
+
+def _mixture(family: str):
+    """The family's rates multiplied by a gamma variable of mean 1 and variance exp(xc): S = (1 + variance H)^(-1 / variance)."""
+    log_rate, whole = _RATES[family]
+
+    def loglik(xa, xb, xc, d, ts, tf):
+        v = np.exp(xc)
+        grown = lambda t: np.log1p(v * whole(t, xa, xb))
+        return d * (log_rate(tf, xa, xb) - grown(tf)) - (grown(tf) - grown(ts)) / v
+
+    return loglik
+
+
+def _inverse_gaussian(a, xb, d, ts, tf):
+    b = np.exp(xb)
+
+    def survive(t):
+        root = np.sqrt(np.where(t > 0, t, 1.0))
+        first = _log_normal_cdf(-(a * t - 1) / (b * root))
+        second = 2 * a / (b * b) + _log_normal_cdf(-(a * t + 1) / (b * root))
+        return np.where(t > 0, first + np.log1p(-np.exp(second - first)), 0.0)
+
+    z = (a * tf - 1) / (b * np.sqrt(tf))
+    density = -z * z / 2 - 0.5 * np.log(2 * np.pi) - xb - 1.5 * np.log(tf)
+    return d * (density - survive(tf)) + survive(tf) - survive(ts)
+
+
+def _generalised_gamma(k: float):
+    root, log_gamma = np.sqrt(k), float(np_log_gamma(k))
+
+    def loglik(xa, xb, d, ts, tf):
+        b = np.exp(xb)
+
+        def survive(t):
+            q = np.where(t > 0, k * np.exp((np.log(np.where(t > 0, t, 1.0)) - xa) / (b * root)), 0.0)
+            x = np.real(q)
+            out = _gamma_sides(np.full(x.shape, k), x)[1]
+            slope = np.where(x > 0, np.exp((k - 1) * np.log(np.where(x > 0, x, 1.0)) - x - log_gamma), 0.0)
+            return np.log(out - 1j * np.imag(q) * slope) if np.iscomplexobj(q) else np.log(out)  # along the imaginary axis to first order
+
+        z = (np.log(tf) - xa) / b
+        density = (k - 0.5) * np.log(k) + root * z - k * np.exp(z / root) - log_gamma - xb - np.log(tf)
+        return d * (density - survive(tf)) + survive(tf) - survive(ts)
+
+    return loglik
+
+
 #: Name: number of predictors, log-likelihood. The second parameter of log_normal is the log of the standard deviation.
 FAMILIES = {
+    "weibull_mixture": (3, _mixture("weibull")),
+    "log_logistic_mixture": (3, _mixture("log_logistic")),
+    "sickle_mixture": (3, _mixture("sickle")),
+    "inverse_gaussian": (2, _inverse_gaussian),  # first passages of a Wiener process with drift xa (not its exponential) and standard deviation b over a distance of 1
+    "generalised_gamma": (2, _generalised_gamma),  # S = Q(k, k exp((ln t - xa) / (b sqrt k))), k fixed
     "exponential_mixture": (2, _mixed),  # constant rates a, multiplied by a gamma variable of mean 1 and variance b
     "weibull": (2, _weibull),  # S = exp(-(a t)^b)
     "log_logistic": (2, _log_logistic),  # S = 1 / (1 + (a t)^b)
@@ -123,16 +188,18 @@ FAMILIES = {
 }
 
 
-def parametric(episodes: DataFrame, family: str, columns: Sequence[Sequence[str]] = ((), (), ()), des: int | None = None, weight: str | None = None, start: Sequence[float] | None = None) -> Fit:
-    """A model of FAMILIES with covariates for each of its terms. Likelihood, gradient and information are summed in numpy over Arrow batches."""
+def parametric(episodes: DataFrame, family: str, columns: Sequence[Sequence[str]] = ((), (), ()), des: int | None = None, weight: str | None = None, start: Sequence[float] | None = None, shape: float = 1.0) -> Fit:
+    """A model of FAMILIES with covariates for each of its terms; shape is the k of generalised_gamma. Likelihood, gradient and information are summed in numpy over Arrow batches."""
     terms, f = FAMILIES[family]
+    f = f(shape) if family == "generalised_gamma" else f
     designs = [list(c) for c in list(columns)[:terms]] + [[]] * (terms - len(columns))
     rows = episodes.withColumn("_d", _event(des)).persist()
     try:
         if start is None:
-            one = rows.agg(F.sum("_d").alias("e"), F.sum(F.col("tf") - F.col("ts")).alias("x"), F.avg(F.log("tf")).alias("m"), F.stddev_samp(F.log("tf")).alias("s")).first()
+            one = rows.agg(F.sum("_d").alias("e"), F.sum(F.col("tf") - F.col("ts")).alias("x"), F.avg(F.log("tf")).alias("m"), F.stddev_samp(F.log("tf")).alias("s"), F.avg(1 / F.col("tf")).alias("h"), F.avg("tf").alias("w")).first()
             rate = np.log(max(one.e, 0.5) / one.x)
-            first = {"exponential_mixture": [rate, -1.0], "weibull": [rate, 0.0], "log_logistic": [rate, 0.0], "log_logistic_2": [rate, 0.0, rate], "gompertz_makeham": [rate - 2, rate, -1e-3 * np.exp(rate)], "gompertz": [rate, 0.0], "sickle": [2 * rate, -rate], "log_normal": [one.m, np.log(max(one.s or 1.0, 0.1))]}[family]
+            spread = np.log(max(one.s or 1.0, 0.1))
+            first = {"inverse_gaussian": [rate, 0.5 * np.log(max(one.h - 1 / one.w, 1e-6))], "generalised_gamma": [one.m, spread], "weibull_mixture": [rate, 0.0, -1.0], "log_logistic_mixture": [rate, 0.0, -1.0], "sickle_mixture": [2 * rate, -rate, -1.0], "exponential_mixture": [rate, -1.0], "weibull": [rate, 0.0], "log_logistic": [rate, 0.0], "log_logistic_2": [rate, 0.0, rate], "gompertz_makeham": [rate - 2, rate, -1e-3 * np.exp(rate)], "gompertz": [rate, 0.0], "sickle": [2 * rate, -rate], "log_normal": [one.m, spread]}[family]
             start = [v for k, d in enumerate(designs) for v in [first[k], *([0.0] * len(d))]]
         names = [f"{t}:{n}" for t, d in zip("ABC", designs) for n in ["constant", *d]]
         with np.errstate(all="ignore"):

@@ -108,6 +108,55 @@ def test_polynomials_and_mixture(spark):
     assert (np.exp(fit.coef[0]), np.exp(fit.coef[1])) == pytest.approx((0.5, 0.8), abs=0.15)
 
 
+def test_gamma_and_wiener_times(spark):
+    rng = np.random.default_rng(11)
+    n, x = 4000, rng.integers(0, 2, 4000).astype(float)
+    # ln t = a + b sqrt(k) (ln g - ln k), g from a gamma distribution of shape k
+    for k in (1.0, 2.5):
+        t = np.exp(0.3 + 0.4 * x + 0.7 * np.sqrt(k) * (np.log(rng.gamma(k, 1.0, n)) - np.log(k)))
+        fit = rates.parametric(simulated(spark, t, x), "generalised_gamma", [["x"], []], shape=k)
+        assert fit.coef == pytest.approx([0.3, 0.4, np.log(0.7)], abs=0.08)
+    t = rng.wald(1 / (0.6 + 0.3 * x), 1 / 0.8**2)
+    fit = rates.parametric(simulated(spark, t, x), "inverse_gaussian", [["x"], []])
+    assert fit.coef == pytest.approx([0.6, 0.3, np.log(0.8)], abs=0.08)
+
+
+def test_mixed_families(spark):
+    rng = np.random.default_rng(12)
+    n, x = 6000, np.zeros(6000)
+    for v in (0.5, 1.0):
+        e = -np.log(rng.random(n)) / rng.gamma(1 / v, v, n)  # cumulative rate at the event
+        fit = rates.parametric(simulated(spark, e ** (1 / 1.8) / 0.6, x), "weibull_mixture")
+        assert np.exp(fit.coef) == pytest.approx([0.6, 1.8, v], rel=0.3)
+        with np.errstate(over="ignore"):
+            t = np.expm1(e) ** (1 / 2.5) / 0.7
+        fit = rates.parametric(simulated(spark, np.where(np.isfinite(t), t, 1e9), x), "log_logistic_mixture")
+        # its likelihood is flat in one direction: the survivor function is what is known
+        a, b, w = np.exp(fit.coef)
+        for at in (0.5, 1.0, 2.0, 4.0):
+            assert (1 + w * np.log1p((a * at) ** b)) ** (-1 / w) == pytest.approx(np.mean(t > at), abs=0.03)
+        grid = np.linspace(0, 60, 20001)
+        whole = 0.8 * 1.5 * (1.5 - (grid + 1.5) * np.exp(-grid / 1.5))
+        t = np.where(e < whole[-1], np.interp(e, whole, grid), 1e9)
+        fit = rates.parametric(simulated(spark, t, x), "sickle_mixture")
+        a, b, w = np.exp(fit.coef)
+        for at in (0.5, 1.0, 2.0, 4.0):
+            assert (1 + w * a * b * (b - (at + b) * np.exp(-at / b))) ** (-1 / w) == pytest.approx(np.mean(t > at), abs=0.03)
+
+
+def test_least_absolute_deviations(spark):
+    rng = np.random.default_rng(4)
+    x = rng.integers(1, 50, 800).astype(float)
+    y = 3 * x + rng.standard_t(2, 800) * 20
+    fit = regression.median_regression(spark.createDataFrame(list(zip(x.tolist(), y.tolist())), "x double, y double"), "y", ["x"])
+    at = lambda m: np.abs(y - m * x - np.median(y - m * x)).sum()
+    low, high = -10.0, 20.0
+    for _ in range(100):  # convex in the slope
+        a, b = low + (high - low) / 3, high - (high - low) / 3
+        low, high = (low, b) if at(a) < at(b) else (a, high)
+    assert -fit.loglik == pytest.approx(at((low + high) / 2), rel=1e-6)
+
+
 def test_discrete_time(spark):
     rng = np.random.default_rng(3)
     p = 1 / (1 + np.exp(2.0))
