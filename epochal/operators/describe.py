@@ -65,7 +65,8 @@ def quantiles(df: DataFrame, column: str, shares: Sequence[float] = (0.1, 0.2, 0
 
 
 def frequencies(df: DataFrame, columns: Sequence[str], weight: str | None = None) -> DataFrame:
-    """The joint table of columns: n (sum of weights), percent, cumulated and cumulated_percent in the order of the columns."""
+    """The joint table of columns: n (sum of weights), percent, cumulated and cumulated_percent in the order of the columns.
+    Rows whose first column is null are left out, of the shares too."""
     first, rest = columns[0], list(columns[1:])
     cells = df.groupBy(*columns).agg((F.count("*") if weight is None else F.sum(_w(weight))).alias("n"))
     heads = cells.groupBy(first).agg(F.sum("n").alias("_n"))

@@ -16,7 +16,7 @@ from .survival import product_limit
 
 def from_rows(df: DataFrame, order: str, columns: Sequence[str]) -> DataFrame:
     """Rows in the order of a column, a column of the matrix for each of columns."""
-    rows = positions(df.select(order, *[F.col(c).cast("double").alias(c) for c in columns]), order, "i")
+    rows = positions(df.select(F.col(order).alias("_order"), *[F.col(c).cast("double").alias(c) for c in columns]), "_order", "i")
     cells = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("j"), F.col(c).alias("v")) for k, c in enumerate(columns, 1)])).alias("_x")
     return rows.select("i", cells).select("i", "_x.j", "_x.v")
 

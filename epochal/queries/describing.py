@@ -88,13 +88,15 @@ def binned(spark, sf_dir):
     return plain(describe.binned(table(spark, sf_dir, "orders"), "o_totalprice", [0, 50000, 100000, 200000, 500000], "o_custkey", drop_empty=True), 4)
 
 
-@query("""
-    SELECT 'l_quantity' AS x, 'l_quantity' AS y, round(covar_samp(l_quantity, l_quantity), 4) AS covariance, 1.0::DOUBLE AS correlation FROM lineitem
-    UNION ALL SELECT 'l_extendedprice', 'l_quantity', round(covar_samp(l_extendedprice, l_quantity), 2), round(corr(l_extendedprice, l_quantity), 6) FROM lineitem
-    UNION ALL SELECT 'l_discount', 'l_quantity', round(covar_samp(l_discount, l_quantity), 6), round(corr(l_discount, l_quantity), 6) FROM lineitem""")
+#: Decimal places at which sums of different orders agree, by columns.
+_MEASURES = {"l_quantity": 4, "l_extendedprice": 0, "l_discount": 6}
+_PAIRS = [(a, b, min(_MEASURES[a], _MEASURES[b]) if a != b else _MEASURES[a]) for k, a in enumerate(_MEASURES) for b in list(_MEASURES)[: k + 1]]
+
+
+@query(" UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, round(covar_samp({a}, {b}), {k}) AS covariance, round(corr({a}, {b}), 6) AS correlation FROM lineitem" for a, b, k in _PAIRS))
 def covariances(spark, sf_dir):
-    out = describe.covariances(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"]).where("y = 'l_quantity'")
-    digits = F.when(F.col("x") == "l_extendedprice", F.round("covariance", 2)).when(F.col("x") == "l_quantity", F.round("covariance", 4)).otherwise(F.round("covariance", 6))
+    out = describe.covariances(table(spark, sf_dir, "lineitem"), list(_MEASURES))
+    digits = F.coalesce(*[F.when((F.col("x") == a) & (F.col("y") == b), F.round("covariance", k)) for a, b, k in _PAIRS])
     return plain(out.withColumn("covariance", digits))
 
 

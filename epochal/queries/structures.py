@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import clusters, graphs, intervals, joins, matrices, regression, sequences, smoothing, spatial
+from ..plans import ordered
 from .histories import _KINDS, kinds
 from .registry import plain, query, table
 
@@ -77,8 +78,8 @@ def dummy_variables(spark, sf_dir):
 # graphs: parts and their suppliers as edges; parts are odd nodes, suppliers even ones
 
 _EDGES = "SELECT l_partkey * 2 + 1 AS i, l_suppkey * 2 AS j, sum(l_quantity) AS v FROM lineitem GROUP BY ALL"
-#: A sparse graph of small components.
-_SPARSE = "SELECT DISTINCT least(a, b) AS i, greatest(a, b) AS j FROM (SELECT o_orderkey % 3001 AS a, (o_orderkey * 31 + o_custkey) % 3001 AS b FROM orders WHERE o_orderkey % 4 = 0) WHERE a <> b"
+#: A sparse graph that grows with the orders: each is linked to one of the 32 keys around it.
+_SPARSE = "SELECT DISTINCT least(a, b) AS i, greatest(a, b) AS j FROM (SELECT o_orderkey AS a, o_orderkey // 32 * 32 + (o_orderkey * 31 + o_custkey) % 32 AS b FROM orders) WHERE a <> b"
 
 
 def trade(spark, sf_dir):
@@ -87,7 +88,7 @@ def trade(spark, sf_dir):
 
 def sparse(spark, sf_dir):
     k = F.col("o_orderkey")
-    rows = table(spark, sf_dir, "orders").where(k % 4 == 0).select((k % 3001).alias("i"), ((k * 31 + F.col("o_custkey")) % 3001).alias("j")).where("i <> j")
+    rows = table(spark, sf_dir, "orders").select(k.alias("i"), (F.floor(k / 32) * 32 + (k * 31 + F.col("o_custkey")) % 32).alias("j")).where("i <> j")
     return graphs.define(rows, directed=False)
 
 
@@ -120,9 +121,9 @@ def united_graphs(spark, sf_dir):
     return plain(graphs.union(e.where("v > 30"), e.where("v < 60")), 4)
 
 
-@query("WITH e AS (SELECT DISTINCT o_custkey % 40 AS i, o_orderkey % 41 AS j FROM orders WHERE o_orderkey % 3 = 0) SELECT i, j FROM e WHERE NOT EXISTS (SELECT 1 FROM e x WHERE x.i = e.j AND x.j = e.i)")
+@query("WITH e AS (SELECT DISTINCT o_custkey AS i, o_orderkey AS j FROM orders) SELECT i, j FROM e WHERE NOT EXISTS (SELECT 1 FROM e x WHERE x.i = e.j AND x.j = e.i)")
 def asymmetric_edges(spark, sf_dir):
-    e = graphs.define(table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select((F.col("o_custkey") % 40).alias("i"), (F.col("o_orderkey") % 41).alias("j")))
+    e = graphs.define(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("i"), F.col("o_orderkey").alias("j")))
     return graphs.asymmetric(e).select("i", "j")
 
 
@@ -134,10 +135,10 @@ def neighbourhoods(spark, sf_dir):
 
 
 @query(f"""
-    WITH RECURSIVE e AS (SELECT * FROM ({_SPARSE}) WHERE i % 3 = j % 3), b AS (SELECT i, j FROM e UNION SELECT j, i FROM e), r(node, root) AS (SELECT DISTINCT i, i FROM b UNION SELECT b.j, r.root FROM r JOIN b ON b.i = r.node WHERE r.root <= b.j OR TRUE)
+    WITH RECURSIVE e AS ({_SPARSE}), b AS (SELECT i, j FROM e UNION SELECT j, i FROM e), r(node, root) AS (SELECT DISTINCT i, i FROM b UNION SELECT b.j, r.root FROM r JOIN b ON b.i = r.node)
     SELECT node, min(root) AS component FROM r GROUP BY node""")
 def connected_components(spark, sf_dir):
-    return graphs.components(sparse(spark, sf_dir).where("i % 3 = j % 3"))
+    return graphs.components(sparse(spark, sf_dir))
 
 
 _TREE = "SELECT 0 AS i, 100 + r_regionkey AS j, 1.0 + r_regionkey AS v FROM region UNION ALL SELECT 100 + n_regionkey, 1000 + n_nationkey, 2.0 + n_nationkey % 4 FROM nation UNION ALL SELECT 1000 + s_nationkey, 100000 + s_suppkey, 0.5 + s_suppkey % 3 FROM supplier"
@@ -172,9 +173,9 @@ def topological_order(spark, sf_dir):
     return plain(graphs.topological(tree(spark, sf_dir)))
 
 
-@query(f"WITH RECURSIVE e AS (SELECT i, j, v FROM ({_TREE}) WHERE j < 100000), p(nodes, last, length, value) AS (SELECT i || '-' || j, j, 1, v::DOUBLE FROM e UNION ALL SELECT p.nodes || '-' || e.j, e.j, p.length + 1, p.value + e.v FROM p JOIN e ON e.i = p.last WHERE p.length < 3) SELECT nodes, length::BIGINT AS length, round(value, 6)::DOUBLE AS value FROM p")
+@query(f"WITH RECURSIVE e AS ({_TREE}), p(nodes, last, length, value) AS (SELECT i || '-' || j, j, 1, v::DOUBLE FROM e UNION ALL SELECT p.nodes || '-' || e.j, e.j, p.length + 1, p.value + e.v FROM p JOIN e ON e.i = p.last WHERE p.length < 3) SELECT nodes, length::BIGINT AS length, round(value, 6)::DOUBLE AS value FROM p")
 def directed_paths(spark, sf_dir):
-    out = graphs.paths(tree(spark, sf_dir).where("j < 100000"), 3)
+    out = graphs.paths(tree(spark, sf_dir), 3)
     return plain(out.select(F.array_join(F.transform("nodes", lambda x: x.cast("string")), "-").alias("nodes"), "length", "value"))
 
 
@@ -219,7 +220,7 @@ def common_neighbours(spark, sf_dir):
 
 @query()
 def integrated_shares(spark, sf_dir):
-    e = tree(spark, sf_dir).where("j < 100000").withColumn("v", F.lit(0.4))
+    e = tree(spark, sf_dir).withColumn("v", F.lit(0.4))
     return plain(graphs.integrated(e))
 
 
@@ -253,7 +254,7 @@ def averaged_ends(spark, sf_dir):
 @query()
 def self_consistent_distribution(spark, sf_dir):
     s = spans(spark, sf_dir).select((F.col("lo") / 50).cast("long").alias("lo"), (F.col("hi") / 50).cast("long").alias("hi"))
-    return plain(intervals.self_consistent(s, rounds=20), 5)
+    return plain(intervals.self_consistent(s), 5)
 
 
 # smoothing
@@ -356,9 +357,9 @@ def fitted_margins(spark, sf_dir):
     return plain(matrices.fitted_to_margins(m.withColumn("v", F.lit(1.0)), matrices.row_sums(m), matrices.column_sums(m)), 4)
 
 
-@query("WITH t AS (SELECT c_custkey % 3 AS g, c_nationkey AS item, max(c_acctbal) AS r FROM customer WHERE c_nationkey < 8 GROUP BY ALL), p AS (SELECT x.g, x.item AS p, y.item AS q, sign(x.r - y.r) AS s FROM t x JOIN t y ON x.g = y.g AND x.item < y.item) SELECT u.g AS a, w.g AS b, sum(abs(u.s - w.s))::BIGINT AS distance FROM p u JOIN p w ON u.p = w.p AND u.q = w.q AND u.g < w.g GROUP BY ALL")
+@query("WITH t AS (SELECT c_custkey % 3 AS g, c_nationkey AS item, max(c_acctbal) AS r FROM customer GROUP BY ALL), p AS (SELECT x.g, x.item AS p, y.item AS q, sign(x.r - y.r) AS s FROM t x JOIN t y ON x.g = y.g AND x.item < y.item) SELECT u.g AS a, w.g AS b, sum(abs(u.s - w.s))::BIGINT AS distance FROM p u JOIN p w ON u.p = w.p AND u.q = w.q AND u.g < w.g GROUP BY ALL")
 def rank_order_distances(spark, sf_dir):
-    t = table(spark, sf_dir, "customer").where("c_nationkey < 8").groupBy((F.col("c_custkey") % 3).alias("g"), F.col("c_nationkey").alias("item")).agg(F.max("c_acctbal").alias("r"))
+    t = table(spark, sf_dir, "customer").groupBy((F.col("c_custkey") % 3).alias("g"), F.col("c_nationkey").alias("item")).agg(F.max("c_acctbal").alias("r"))
     return matrices.rank_distances(t, "g", "item", "r")
 
 
@@ -400,7 +401,7 @@ def monotone_regression(spark, sf_dir):
 
 @query()
 def median_regression(spark, sf_dir):
-    return plain(regression.median_regression(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_quantity"], steps=15).table(spark).select("term", "coef"), 0)
+    return plain(regression.median_regression(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_quantity"]).table(spark).select("term", "coef"), 0)
 
 
 @query()
@@ -409,24 +410,27 @@ def partition_by_means(spark, sf_dir):
     return plain(rows.select("c_custkey", "cluster"))
 
 
-_NEAR = "SELECT a.s_suppkey AS i, b.s_suppkey AS j, abs(a.s_acctbal - b.s_acctbal) AS v FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND b.s_suppkey < 80"
+_NEAR = "SELECT a.s_suppkey AS i, b.s_suppkey AS j, abs(a.s_acctbal - b.s_acctbal) AS v FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey"
 
 
-def apart(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").where("s_suppkey < 80").select("s_suppkey", "s_acctbal")
-    return joins.distances(s, "s_suppkey", ["s_acctbal"], "city").select(F.col("a").alias("i"), F.col("b").alias("j"), F.col("distance").alias("v"))
+def apart(spark, sf_dir, steps: int):
+    """Distances of suppliers to the next ones in the order of their balance, which hold the nearest."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", (F.col("s_acctbal") * 1e7 + F.col("s_suppkey")).alias("order"))
+    s = ordered.neighbours(s, "order", {f"{c}{k}": (c, k) for k in range(1, steps + 1) for c in ("s_suppkey", "s_acctbal")})
+    pairs = F.array(*[F.struct(F.col(f"s_suppkey{k}").alias("j"), F.abs(F.col(f"s_acctbal{k}") - F.col("s_acctbal")).alias("v")) for k in range(1, steps + 1)])
+    return s.select(F.col("s_suppkey").alias("i"), F.explode(pairs).alias("p")).select("i", "p.*").where("j is not null")
 
 
 @query(f"""
-    WITH s AS (SELECT s_suppkey, s_acctbal, CASE WHEN s_acctbal - lag(s_acctbal) OVER (ORDER BY s_acctbal) <= 150 THEN 0 ELSE 1 END AS cut FROM supplier WHERE s_suppkey < 80), g AS (SELECT *, sum(cut) OVER (ORDER BY s_acctbal) AS part FROM s)
+    WITH s AS (SELECT s_suppkey, s_acctbal, CASE WHEN s_acctbal - lag(s_acctbal) OVER (ORDER BY s_acctbal) <= 150 THEN 0 ELSE 1 END AS cut FROM supplier), g AS (SELECT *, sum(cut) OVER (ORDER BY s_acctbal) AS part FROM s)
     SELECT s_suppkey AS node, min(s_suppkey) OVER (PARTITION BY part) AS component FROM g""")
 def single_linkage(spark, sf_dir):
-    return clusters.single_linkage(apart(spark, sf_dir), 150.0)
+    return clusters.single_linkage(apart(spark, sf_dir, 1), 150.0)
 
 
 @query(f"WITH e AS ({_NEAR}), b AS (SELECT i, j, v FROM e UNION ALL SELECT j, i, v FROM e) SELECT i, j, round(v, 6) AS v FROM b QUALIFY row_number() OVER (PARTITION BY i ORDER BY v, j) <= 2")
 def nearest_rows(spark, sf_dir):
-    return plain(clusters.nearest(apart(spark, sf_dir), 2))
+    return plain(clusters.nearest(apart(spark, sf_dir, 2), 2))
 
 
 @query(f"WITH s AS ({_KINDS}), c AS (SELECT id, t, state, lag(state) OVER (PARTITION BY id ORDER BY t) AS before FROM s) SELECT id, t, before::BIGINT AS org, state::BIGINT AS des FROM c WHERE before >= 0 AND state >= 0 AND before <> state")
