@@ -4,7 +4,7 @@ Each of the 64 bit places gets a nonzero vector of radius + 1 bits. For every no
 table masks a fingerprint to the places whose vector has an odd product with v. The vectors
 of up to radius differing places span no more than radius dimensions, so some v is
 orthogonal to all of them: in that table the pair collides. No pair within the radius is missed.
-A radius over 5 is shared out over parts of the fingerprint: a pair within it is within its share in one part at least.
+A radius over 4 is shared out over parts of the fingerprint: a pair within it is within its share in one part at least.
 """
 
 from __future__ import annotations
@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from .common import keep
 
 #: A bucket with more fingerprints is parted by a second family of tables, as often as needed.
-BUCKET = 1000
+BUCKET = 16_384
+#: Sets of shingles that are compared in one group, about.
+SETS = 1000
 #: Places of a family are dealt out in this order for the second and later ones.
 _SPREAD = (1, 11, 23, 37, 53)
 
@@ -54,7 +56,7 @@ def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
 
 def masks(radius: int, family: int = 0) -> list[int]:
     """Masks of 64 bits, signed; every set of up to radius places is outside one of them. Of each part: 2^(its share + 1) - 1."""
-    parts = -(-(radius + 1) // 6)
+    parts = -(-(radius + 1) // 5)
     share = -(-(radius + 1) // parts) - 1
     n, spread, out = (1 << share + 1) - 1, _SPREAD[family % len(_SPREAD)], []
     dealt = range(64) if parts == 1 else [i * spread % 64 for i in range(64)]
@@ -86,22 +88,19 @@ def _fingerprints(rows: DataFrame, shingle: int) -> DataFrame:
 
 def _tree(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Edges that connect whatever the pairs within the radius connect; one fewer than nodes at most."""
-    n = len(fps)
-    root = np.arange(n)
-    out = []
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for s in range(0, n, 512):
-        near = np.bitwise_count((fps[s : s + 512, None] ^ fps[None, :]).view(np.uint64)) <= radius
-        for i, j in zip(*np.nonzero(near)):
-            if j > s + i and (a := top(s + i)) != (b := top(j)):
-                root[b] = a
-                out.append((int(fps[s + i]), int(fps[j])))
+    near = lambda a, b: np.bitwise_count((a ^ b).view(np.uint64)) <= radius
+    out, left = [], np.arange(len(fps))
+    if len(fps) <= 512:  # most of the fingerprints have no neighbour
+        left = np.flatnonzero(near(fps[:, None], fps[None, :]).sum(1) > 1)
+    while len(left):
+        found, left = [left[0]], left[1:]
+        while found and len(left):
+            k = found.pop()
+            hit = near(fps[left], fps[k])
+            if hit.any():
+                new, left = left[hit], left[~hit]
+                found.extend(new)
+                out += [(int(fps[k]), int(fps[j])) for j in new]
     return out
 
 
@@ -121,7 +120,9 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
             edges = [e for fp in b.column(0) for e in _tree(np.array(fp.as_py(), np.int64), radius)]
             yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
 
-    rows, out = fps.withColumn("key", F.lit(0).cast("long")), None
+    # each fingerprint becomes as many rows as there are tables
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows, out = fps.repartition(parts, "fp").withColumn("key", F.lit(0).cast("long")), None
     for family in range(len(_SPREAD)):
         rows = table(rows, family)
         large = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET)
@@ -234,7 +235,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # whatever the radius connects is a superset: only there are sets compared
     roots = keep(components(links(each.select("fp").distinct(), radius)))
     group = each.join(roots, each.fp == roots.node, "left").select("key", "first", "fp", F.coalesce("root", "fp").alias("root"))
-    several = group.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select(F.col("root").alias("_root"), F.ceil(F.col("n") / BUCKET).alias("n"))
+    several = group.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select(F.col("root").alias("_root"), F.ceil(F.col("n") / SETS).alias("n"))
     group = keep(group.join(several, F.col("root") == F.col("_root")).select("key", "first.hash", "fp", "root", "n"))
     # large groups in pieces, each with itself and every later one
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda k: F.struct(F.least(k, "piece").alias("a"), F.greatest(k, "piece").alias("b")))

@@ -57,6 +57,7 @@ def test_pipeline_links_changed_words(spark, monkeypatch, bucket):
     import corpus_pipeline
 
     monkeypatch.setattr(simhash, "BUCKET", bucket)
+    monkeypatch.setattr(simhash, "SETS", bucket)
     rng = random.Random(5)
     docs = []
     for k in range(30):
