@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.iterate import settled
+from ..plans.iterate import discard, settled
 
 
 def define(edges: DataFrame, i: str = "i", j: str = "j", v: str | None = None, directed: bool = True, merge: str = "sum", least: float | None = None) -> DataFrame:
@@ -117,7 +117,7 @@ def components(edges: DataFrame, all_nodes: DataFrame | None = None, rounds: int
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u")
-        e = settled(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small_least.select("u", "m")).where("u <> v").distinct())
+        e = settled(instead_of=e, df=small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small_least.select("u", "m")).where("u <> v").distinct())
         now = signature(e)
         if now == was:
             break
@@ -134,11 +134,12 @@ def distances(edges: DataFrame, sources: DataFrame, directed: bool = True, weigh
     e = (edges if directed else both_ways(edges)).select("i", "j", (F.col("v") if weighted else F.lit(1.0)).cast("double").alias("v"))
     e = settled(e.groupBy("i", "j").agg(F.min("v").alias("v")))
     best = settled(sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("distance")).distinct())
-    front = best
+    last = front = best
     for _ in range(most):
         step = front.join(e, front.node == e.i).groupBy("source", F.col("j").alias("node")).agg(F.min(F.col("distance") + F.col("v")).alias("_d"))
         both = best.join(step, ["source", "node"], "full_outer")
-        both = settled(both.select("source", "node", F.least("distance", "_d").alias("distance"), (F.col("distance").isNull() | (F.col("_d") < F.col("distance"))).alias("_new")))
+        both = settled(both.select("source", "node", F.least("distance", "_d").alias("distance"), (F.col("distance").isNull() | (F.col("_d") < F.col("distance"))).alias("_new")), last)
+        last = both
         best, front = both.drop("_new"), both.where("_new").drop("_new")
         if front.isEmpty():
             return best
@@ -159,6 +160,7 @@ def closure(edges: DataFrame, rounds: int = 64) -> DataFrame:
         e2 = settled(e.union(longer).groupBy("i", "j").agg(F.min("steps").alias("steps")))
         now = e2.agg(F.count("*"), F.sum("steps")).first()
         same = (now[0], now[1]) == (n, e.agg(F.sum("steps")).first()[0])
+        discard(e)
         e, n = e2, now[0]
         if same:
             return e
@@ -166,10 +168,38 @@ def closure(edges: DataFrame, rounds: int = 64) -> DataFrame:
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
-    """node and component: the smallest node that it reaches and that reaches it. Uses the transitive closure."""
-    c = closure(edges)
-    mutual = c.select("i", "j").join(c.select(F.col("j").alias("i"), F.col("i").alias("j")), ["i", "j"]).groupBy(F.col("i").alias("node")).agg(F.min("j").alias("m"))
-    return nodes(edges).join(mutual, "node", "left").select("node", F.least("node", "m").alias("component"))
+    """node and component: the smallest node that it reaches and that reaches it.
+
+    Each node takes the smallest node that reaches it as its colour. What reaches that node inside its colour is a
+    component, whose smallest node it is; the rest goes on with the edges inside colours.
+    """
+    left = settled(nodes(edges).select("node"))
+    e = settled(edges.where("i <> j").select("i", "j").distinct())
+    found = None
+    while not left.isEmpty():
+        colour = _spread(left.withColumn("c", F.col("node")), e)
+        of = lambda side, name: colour.select(F.col("node").alias(side), F.col("c").alias(name))  # noqa: E731, B023
+        e = settled(e.join(of("i", "_a"), "i").join(of("j", "_b"), "j").where("_a = _b").select("i", "j"), e)
+        # backwards from each colour's own node; other nodes begin with no label, the largest of all
+        marked = colour.select("node", F.when(F.col("node") == F.col("c"), F.col("c")).alias("c"))
+        part = _spread(marked, e.select(F.col("j").alias("i"), F.col("i").alias("j"))).where("c is not null")
+        found = part if found is None else found.union(part)
+        rest = settled(left.join(part.select("node"), "node", "left_anti"), left)
+        e = settled(e.join(rest.withColumnRenamed("node", "i"), "i", "left_semi").join(rest.withColumnRenamed("node", "j"), "j", "left_semi"), e)
+        left = rest
+    if found is None:
+        return nodes(edges).withColumn("component", F.col("node"))
+    return found.select("node", F.col("c").alias("component"))
+
+
+def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """node and c: the smallest label (nulls don't count) of all nodes from which a path leads to it, its own included."""
+    now = settled(labels.select("node", "c", F.col("c").isNotNull().alias("_new")))
+    while not now.where("_new").isEmpty():
+        sent = edges.join(now.where("_new").select(F.col("node").alias("i"), "c"), "i").groupBy(F.col("j").alias("node")).agg(F.min("c").alias("_c"))
+        both = now.join(sent, "node", "left").select("node", F.least("c", "_c").alias("c"), F.coalesce(F.col("_c") < F.col("c"), F.col("_c").isNotNull() & F.col("c").isNull()).alias("_new"))
+        now = settled(both, now)
+    return now.select("node", "c")
 
 
 def topological(edges: DataFrame, most: int = 10_000) -> DataFrame:
@@ -182,8 +212,8 @@ def topological(edges: DataFrame, most: int = 10_000) -> DataFrame:
         if free.isEmpty():
             break
         done = free if done is None else done.union(free)
-        left = settled(left.join(free, "node", "left_anti"))
-        e = settled(e.join(free.select(F.col("node").alias("i")), "i", "left_anti"))
+        left = settled(left.join(free, "node", "left_anti"), left)
+        e = settled(e.join(free.select(F.col("node").alias("i")), "i", "left_anti"), e)
     if done is None:
         return all_.withColumn("level", F.lit(None).cast("int"))
     return all_.join(done, "node", "left")
@@ -199,8 +229,8 @@ def spanning_tree(edges: DataFrame, largest: bool = False) -> DataFrame:
         best = settled(ends.groupBy("p").agg(F.min("x").alias("x")).select("x.*").distinct())
         taken = best.select("i", "j", "v") if taken is None else taken.union(best.select("i", "j", "v"))
         parts = components(best.select(F.col("a").alias("i"), F.col("b").alias("j"), "v"))
-        e = e.join(parts.select(F.col("node").alias("a"), F.col("component").alias("_a")), "a", "left").join(parts.select(F.col("node").alias("b"), F.col("component").alias("_b")), "b", "left")
-        e = settled(e.select("i", "j", "v", F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).where("a <> b"))
+        joined = e.join(parts.select(F.col("node").alias("a"), F.col("component").alias("_a")), "a", "left").join(parts.select(F.col("node").alias("b"), F.col("component").alias("_b")), "b", "left")
+        e = settled(joined.select("i", "j", "v", F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).where("a <> b"), e)
     if taken is None:
         return edges.select("i", "j", "v").limit(0)
     return taken.distinct().select("i", "j", (-F.col("v") if largest else F.col("v")).alias("v"))
@@ -250,7 +280,7 @@ def leading_eigenvector(edges: DataFrame, rounds: int = 100, eps: float = 1e-9,
         if not norm:
             return 0.0, x
         y = y.withColumn("value", F.col("value") / norm)
-        x = settled(y)
+        x = settled(y, x)
         new = norm - 1
         if k and abs(new - value) <= eps * (1 + abs(new)):
             return new, x
@@ -262,11 +292,11 @@ def integrated(edges: DataFrame, eps: float = 1e-9, rounds: int = 200) -> DataFr
     """i, j, v: the sum of all powers of the edges' matrix, which counts direct and indirect shares; entries below eps are dropped on the way."""
     a = settled(edges.groupBy("i", "j").agg(F.sum("v").alias("v")))
     power = total = a
-    for _ in range(rounds):
-        power = settled(power.select("i", F.col("j").alias("k"), F.col("v").alias("p")).join(a.select(F.col("i").alias("k"), "j", "v"), "k").groupBy("i", "j").agg(F.sum(F.col("p") * F.col("v")).alias("v")).where(F.abs("v") >= eps))
+    for k in range(rounds):
+        power = settled(instead_of=power if k else None, df=power.select("i", F.col("j").alias("k"), F.col("v").alias("p")).join(a.select(F.col("i").alias("k"), "j", "v"), "k").groupBy("i", "j").agg(F.sum(F.col("p") * F.col("v")).alias("v")).where(F.abs("v") >= eps))
         if power.isEmpty():
             return total
-        total = settled(total.union(power).groupBy("i", "j").agg(F.sum("v").alias("v")))
+        total = settled(total.union(power).groupBy("i", "j").agg(F.sum("v").alias("v")), total if k else None)
     raise RuntimeError("the powers don't vanish")
 
 

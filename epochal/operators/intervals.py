@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.fitting import gram
-from ..plans.iterate import settled
+from ..plans.iterate import discard, settled
 from ..plans.ordered import neighbours, running
 
 
@@ -52,7 +52,7 @@ def self_consistent(df: DataFrame, lo: str = "lo", hi: str = "hi", rounds: int =
     if not total:
         return df.sparkSession.createDataFrame([], "value long, share double")
     spread = rows.select("w", F.explode(F.sequence("a", "b")).alias("value"), (F.col("b") - F.col("a") + 1).alias("k"))
-    p = settled(spread.groupBy("value").agg((F.sum(F.col("w") / F.col("k")) / total).alias("share")))
+    last = p = settled(spread.groupBy("value").agg((F.sum(F.col("w") / F.col("k")) / total).alias("share")))
     for _ in range(rounds):
         c = settled(running(p, "value", {"_c": F.col("share")}))
         upto = c.select(F.col("value").alias("b"), F.col("_c").alias("_up"))
@@ -61,7 +61,9 @@ def self_consistent(df: DataFrame, lo: str = "lo", hi: str = "hi", rounds: int =
         marks = mass.select(F.col("a").alias("value"), F.col("_r").alias("d")).union(mass.select(F.col("b") + 1, -F.col("_r"))).groupBy("value").agg(F.sum("d").alias("d"))
         marks = marks.unionByName(p.select("value", F.lit(0.0).alias("d"))).groupBy("value").agg(F.sum("d").alias("d"))
         factor = running(marks, "value", {"_f": F.col("d")}).select("value", "_f")
-        new = settled(p.join(factor, "value").select("value", (F.col("share") * F.col("_f") / total).alias("new"), "share"))
+        new = settled(p.join(factor, "value").select("value", (F.col("share") * F.col("_f") / total).alias("new"), "share"), last)
+        discard(c)
+        last = new
         moved = new.agg(F.max(F.abs(F.col("new") - F.col("share")))).first()[0]
         p = new.select("value", F.col("new").alias("share"))
         if moved <= eps:
@@ -74,11 +76,12 @@ def set_distribution(df: DataFrame, sets: str, rounds: int = 500, eps: float = 1
     rows = settled(df.where(F.size(sets) > 0).select(F.array_sort(F.array_distinct(sets)).alias("s")).groupBy("s").agg(F.count("*").cast("double").alias("w")).withColumn("k", F.xxhash64("s")))
     total = rows.agg(F.sum("w")).first()[0]
     each = settled(rows.select("k", "w", F.size("s").alias("n"), F.explode("s").alias("value")))
-    p = settled(each.groupBy("value").agg((F.sum(F.col("w") / F.col("n")) / total).alias("share")))
+    last = p = settled(each.groupBy("value").agg((F.sum(F.col("w") / F.col("n")) / total).alias("share")))
     for _ in range(rounds):
         held = each.join(p, "value")
         whole = held.groupBy("k").agg(F.sum("share").alias("_t"))
-        new = settled(held.join(whole, "k").groupBy("value").agg((F.sum(F.col("w") * F.col("share") / F.col("_t")) / total).alias("new"), F.first("share").alias("share")))
+        new = settled(held.join(whole, "k").groupBy("value").agg((F.sum(F.col("w") * F.col("share") / F.col("_t")) / total).alias("new"), F.first("share").alias("share")), last)
+        last = new
         moved = new.agg(F.max(F.abs(F.col("new") - F.col("share")))).first()[0]
         p = new.select("value", F.col("new").alias("share"))
         if moved <= eps:

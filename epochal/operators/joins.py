@@ -57,15 +57,17 @@ def overlapped(a: DataFrame, b: DataFrame, id: str = "id", ts: str = "ts", tf: s
 
     The union of all starts and ends of an id cuts its time into elementary intervals; one row for each of them and each level holds the
     level-th record of either file that covers it (in the order of starts, ends and states), MISSING where there is none. Intervals that
-    nothing covers are left out. A record meets only the breakpoints of its own id.
+    nothing covers are left out. A record meets only the elementary intervals that it covers.
     """
     both = a.select(F.col(id).alias("id"), F.col(ts).cast("double").alias("ts"), F.col(tf).cast("double").alias("tf"), F.col(state).cast("double").alias("state"), F.lit(1).alias("file"))
     both = both.unionByName(b.select(F.col(id).alias("id"), F.col(ts).cast("double").alias("ts"), F.col(tf).cast("double").alias("tf"), F.col(state).cast("double").alias("state"), F.lit(2).alias("file"))).where("ts < tf and id is not null")
     size = both.groupBy("id").agg(F.count("*").alias("records"))
     marks = both.select("id", F.explode(F.array("ts", "tf")).alias("t")).distinct()
     w = Window.partitionBy("id").orderBy("t")
-    cuts = marks.select("id", F.col("t").alias("_a"), F.lead("t").over(w).alias("_b"), F.row_number().over(w).alias("_k")).where("_b is not null")
-    span = both.join(cuts, "id").where((F.col("ts") <= F.col("_a")) & (F.col("_a") < F.col("tf")))
+    cuts = marks.select("id", F.col("t").alias("_a"), F.lead("t").over(w).alias("_b"), F.row_number().over(w).alias("_k"))
+    at = lambda t, k: cuts.select("id", F.col("_a").alias(t), F.col("_k").alias(k))
+    span = both.join(at("ts", "_first"), ["id", "ts"]).join(at("tf", "_end"), ["id", "tf"])
+    span = span.select("id", "ts", "tf", "state", "file", F.explode(F.sequence(F.col("_first"), F.col("_end") - 1)).alias("_k")).join(cuts, ["id", "_k"])
     level = F.row_number().over(Window.partitionBy("id", "_k", "file").orderBy("ts", "tf", "state"))
     span = span.withColumn("level", level)
     out = span.groupBy("id", "_k", "_a", "_b", "level").agg(F.max(F.when(F.col("file") == 1, F.col("state"))).alias("state1"), F.max(F.when(F.col("file") == 2, F.col("state"))).alias("state2"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.columns import folded
-from ..plans.ordered import neighbours
+from ..plans.ordered import matches, neighbours, once
 
 
 def moving_average(df: DataFrame, x: str, weights: Sequence[float], order: str, name: str, by: Sequence[str] = (), ends: str = "shrink") -> DataFrame:
@@ -101,19 +101,50 @@ def exponential(df: DataFrame, x: str, share: float, order: str, name: str, by:
     return folded(df, lambda last, r: F.coalesce(share * r[x] + (1 - share) * last, r[x]), started, order, [x], name, by)
 
 
-def spline(df: DataFrame, x: str, y: str, by: Sequence[str], smoothing: float = 1.0) -> DataFrame:
-    """Penalised cubic regression spline over up to 30 knots at the quantiles of a series: by, x, y, smooth. A series is handled in one task."""
+def _basis(t: np.ndarray, knots: np.ndarray) -> np.ndarray:
+    return np.column_stack([np.ones(len(t)), t, t**2, t**3, np.clip(t[:, None] - knots, 0, None) ** 3])
 
-    def one(f: pd.DataFrame) -> pd.DataFrame:
-        xs, ys = f[x].to_numpy(float), f[y].to_numpy(float)
-        knots = np.unique(np.quantile(xs, np.linspace(0, 1, min(30, len(xs)))))[1:-1]
-        span = max(np.ptp(xs), 1e-12)
-        t, k = (xs - xs.min()) / span, (knots - xs.min()) / span
-        basis = np.column_stack([np.ones(len(t)), t, t**2, t**3, np.clip(t[:, None] - k, 0, None) ** 3])
-        penalty = np.diag([0.0] * 4 + [smoothing * 1e-4 * len(t)] * len(k))
-        b = np.linalg.lstsq(basis.T @ basis + penalty, basis.T @ ys, rcond=None)[0]
-        return f.assign(smooth=basis @ b)
-
-    rows = df.dropna(subset=[x, y]).select(*by, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y))
-    return rows.groupBy(*by).applyInPandas(one, StructType([*rows.schema.fields]).add("smooth", "double"))
 
+def spline(df: DataFrame, x: str, y: str, by: Sequence[str], smoothing: float = 1.0) -> DataFrame:
+    """Penalised cubic regression spline over up to 28 knots at the quantiles of a series: by, x, y, smooth.
+
+    Knots are one aggregate, the products of the basis another, which batches add up first; a series' small system is solved
+    in one task, its rows are not gathered.
+    """
+    by = list(by)
+    rows = df.dropna(subset=[x, y]).select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    ends = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.min("_x").alias("_low"), F.max("_x").alias("_high"), F.percentile_approx("_x", [k / 29 for k in range(1, 29)], 10_000).alias("_q"))
+    span = F.greatest(F.col("_high") - F.col("_low"), F.lit(1e-12))
+    inner = F.filter(F.array_distinct("_q"), lambda q: (q > F.col("_low")) & (q < F.col("_high")))
+    knots = once(ends.select(*by, "_n", "_low", span.alias("_span"), F.transform(inner, lambda q: (q - F.col("_low")) / span).alias("_k")))
+    joined = matches(rows, knots, by) if by else rows.join(F.broadcast(knots))  # one row
+
+    def products(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for key, part in f.groupby(by, dropna=False, sort=False) if by else [((), f)]:
+                b = _basis((part["_x"] - part["_low"]).to_numpy() / part["_span"].to_numpy(), part["_k"].iloc[0])
+                v = np.concatenate([(b.T @ b).ravel(), b.T @ part["_y"].to_numpy()])
+                out = pd.DataFrame({c: [k] * len(v) for c, k in zip(by, key)} | {"_p": np.arange(len(v)), "_v": v})
+                yield out.where(out.notna(), None) if by else out
+
+    types = [rows.schema[c] for c in by]
+    sums = joined.select(*by, "_x", "_y", "_low", "_span", "_k").mapInPandas(products, StructType(types).add("_p", "int").add("_v", "double")).groupBy(*by, "_p").agg(F.sum("_v").alias("_v"))
+    sums = sums.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_p", "_v"))).alias("_s"))  # of bounded length
+    sums = matches(sums, knots, by) if by else sums.join(F.broadcast(knots))
+    sums = sums.select(*by, "_n", "_low", "_span", "_k", F.transform("_s", lambda e: e["_v"]).alias("_s"))
+
+    def solved(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            coef = []
+            for n, k, s in zip(f["_n"], f["_k"], f["_s"]):
+                m = 4 + len(k)
+                penalty = np.diag([0.0] * 4 + [smoothing * 1e-4 * n] * len(k))
+                coef.append(np.linalg.lstsq(np.reshape(s[: m * m], (m, m)) + penalty, np.asarray(s[m * m :]), rcond=None)[0].tolist())
+            yield f.assign(_b=coef)[[*by, "_low", "_span", "_k", "_b"]]
+
+    fits = sums.mapInPandas(solved, StructType(types).add("_low", "double").add("_span", "double").add("_k", "array<double>").add("_b", "array<double>"))
+    out = matches(rows, once(fits), by) if by else rows.join(F.broadcast(once(fits)))
+    t = (F.col("_x") - F.col("_low")) / F.col("_span")
+    cubes = F.aggregate(F.zip_with("_k", F.slice("_b", F.lit(5), F.size("_k")), lambda k, c: c * F.pow(F.greatest(t - k, F.lit(0.0)), F.lit(3.0))), F.lit(0.0), lambda s, v: s + v)
+    line = sum((F.get("_b", F.lit(p)) * F.pow(t, F.lit(float(p))) for p in range(1, 4)), F.get("_b", F.lit(0)))
+    return out.select(*by, F.col("_x").alias(x), F.col("_y").alias(y), (line + cubes).alias("smooth"))

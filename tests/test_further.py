@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from epochal.functions import columns
-from epochal.operators import episodes, joins, matrices, sequences, spatial
+from epochal.operators import episodes, graphs, joins, matrices, sequences, smoothing, spatial
+from epochal.plans import ordered
 from epochal.sources import sinks, text
 
 
@@ -91,3 +92,52 @@ def test_parts_and_bytes(spark, tmp_path):
     assert sorted(x for p in parts for x in p.read_text().splitlines()) == sorted(f"line {k}" for k in range(25))
     (tmp_path / "b").write_bytes(bytes(range(100)))
     assert text.hex_dump(spark, str(tmp_path / "b"), 10, 5).first().hex == "0A0B0C0D0E"
+
+
+@pytest.mark.parametrize("by", [(), ("g",)])
+def test_running_sums_over_many_buckets(spark, monkeypatch, by):
+    """With buckets of few rows each level cuts those of the one before: some thousand buckets give the same sums."""
+    rng = np.random.default_rng(6)
+    f = pd.DataFrame({"g": rng.integers(0, 3, 5000), "x": rng.permutation(5000).astype(float), "v": rng.integers(0, 9, 5000)})
+    monkeypatch.setattr(ordered, "ROWS", 3)
+    df = spark.createDataFrame(f)
+    assert ordered.bucketed(df, "x", 12)[0].select("_bucket").distinct().count() > 1000
+    got = ordered.running(df, "x", {"s": F.col("v")}, by, buckets=12).toPandas().sort_values("x")
+    f = f.sort_values("x")
+    want = f.groupby("g")["v"].cumsum() if by else f["v"].cumsum()
+    assert got["s"].tolist() == want.tolist()
+    got = ordered.running(df, "x", {"s": F.col("v")}, by, descending=True, exclusive=True, buckets=12).toPandas().sort_values("x", ascending=False)
+    f = f.sort_values("x", ascending=False)
+    want = (f.groupby("g")["v"].cumsum() if by else f["v"].cumsum()) - f["v"]
+    assert got["s"].tolist() == want.tolist()
+
+
+def test_strong_components(spark):
+    rng = np.random.default_rng(2)
+    edges = sorted({(int(a), int(b)) for a, b in rng.integers(0, 60, (110, 2))})
+    reach = np.eye(60, dtype=bool)
+    for a, b in edges:
+        reach[a, b] = True
+    for k in range(60):
+        reach |= reach[:, k : k + 1] & reach[k]
+    held = {x for e in edges for x in e}
+    want = {n: int(np.flatnonzero(reach[n] & reach[:, n])[0]) for n in held}
+    got = {r.node: r.component for r in graphs.strong_components(spark.createDataFrame(edges, "i long, j long")).collect()}
+    assert got == want and len(set(want.values())) < len(held)
+
+
+def test_splines_against_dense_solutions(spark):
+    rng = np.random.default_rng(5)
+    f = pd.DataFrame({"g": np.repeat([0, 1, 2], [400, 90, 3]), "x": rng.permutation(493) / 7.0})
+    f["y"] = np.sin(f.x / 9) + rng.normal(0, 0.1, len(f))
+    df = spark.createDataFrame(f).repartition(5)
+    got = smoothing.spline(df, "x", "y", ["g"]).toPandas()
+    whole = smoothing.spline(df, "x", "y", []).toPandas()
+    for part, out in [*((f[f.g == g], got[got.g == g]) for g in range(3)), (f, whole)]:
+        q = {float(np.sort(part.x)[max(0, int(np.ceil(k / 29 * len(part))) - 1)]) for k in range(1, 29)}
+        low, span = part.x.min(), max(np.ptp(part.x), 1e-12)
+        knots = np.array(sorted((k - low) / span for k in q if part.x.min() < k < part.x.max()))
+        basis = smoothing._basis((part.x.to_numpy() - low) / span, knots)
+        b = np.linalg.lstsq(basis.T @ basis + np.diag([0.0] * 4 + [1e-4 * len(part)] * len(knots)), basis.T @ part.y.to_numpy(), rcond=None)[0]
+        want = dict(zip(part.x, basis @ b))
+        assert len(out) == len(part) and max(abs(want[r.x] - r.smooth) for r in out.itertuples()) < 1e-5
