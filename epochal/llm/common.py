@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.iterate import shared_dir
+
 #: A word is a run of characters other than the ASCII white space below.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts are lower-cased by these letters alone.
@@ -26,17 +27,6 @@ def free(name: str, taken: list[str]) -> str:
     return name
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; one is set only where the cluster names none."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='epochal-')}"
-        spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
 def keep(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: what follows doesn't depend on any executor's disk.
 
