@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from ..functions.columns import folded
 from ..plans.ordered import matches, neighbours, once
@@ -128,7 +128,7 @@ def spline(df: DataFrame, x: str, y: str, by: Sequence[str], smoothing: float =
                 yield out.where(out.notna(), None) if by else out
 
     types = [rows.schema[c] for c in by]
-    sums = joined.select(*by, "_x", "_y", "_low", "_span", "_k").mapInPandas(products, StructType(types).add("_p", "int").add("_v", "double")).groupBy(*by, "_p").agg(F.sum("_v").alias("_v"))
+    sums = joined.select(*by, "_x", "_y", "_low", "_span", "_k").mapInPandas(products, StructType([*types]).add("_p", "integer").add("_v", "double")).groupBy(*by, "_p").agg(F.sum("_v").alias("_v"))
     sums = sums.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_p", "_v"))).alias("_s"))  # of bounded length
     sums = matches(sums, knots, by) if by else sums.join(F.broadcast(knots))
     sums = sums.select(*by, "_n", "_low", "_span", "_k", F.transform("_s", lambda e: e["_v"]).alias("_s"))
@@ -142,7 +142,7 @@ def spline(df: DataFrame, x: str, y: str, by: Sequence[str], smoothing: float =
                 coef.append(np.linalg.lstsq(np.reshape(s[: m * m], (m, m)) + penalty, np.asarray(s[m * m :]), rcond=None)[0].tolist())
             yield f.assign(_b=coef)[[*by, "_low", "_span", "_k", "_b"]]
 
-    fits = sums.mapInPandas(solved, StructType(types).add("_low", "double").add("_span", "double").add("_k", "array<double>").add("_b", "array<double>"))
+    fits = sums.mapInPandas(solved, StructType([*types]).add("_low", "double").add("_span", "double").add("_k", ArrayType(DoubleType())).add("_b", ArrayType(DoubleType())))
     out = matches(rows, once(fits), by) if by else rows.join(F.broadcast(once(fits)))
     t = (F.col("_x") - F.col("_low")) / F.col("_span")
     cubes = F.aggregate(F.zip_with("_k", F.slice("_b", F.lit(5), F.size("_k")), lambda k, c: c * F.pow(F.greatest(t - k, F.lit(0.0)), F.lit(3.0))), F.lit(0.0), lambda s, v: s + v)
