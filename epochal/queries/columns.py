@@ -122,7 +122,10 @@ def counted(spark, sf_dir):
     return plain(columns.counted(table(spark, sf_dir, "lineitem").select("l_linenumber", "l_quantity"), "l_linenumber", "l_quantity").select("n_eq", "n_ne", "n_lt", "n_gt", "n_le", "n_ge").distinct())
 
 
-@query()
+@query("""
+    WITH RECURSIVE e AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events WHERE value IS NOT NULL),
+    r(user_id, k, event_id, s) AS (SELECT user_id, k, event_id, 0.3::DOUBLE * value FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.k, e.event_id, 0.3::DOUBLE * e.value + 0.7::DOUBLE * r.s FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+    SELECT event_id, user_id, round(s, 6) AS smooth FROM r""")
 def smoothed_recursively(spark, sf_dir):
     rows = table(spark, sf_dir, "events").where("value is not null").select("event_id", "user_id", "value")
     return plain(columns.folded(rows, lambda last, r: 0.3 * r["value"] + 0.7 * last, F.lit(0.0), "event_id", ["value"], "smooth", ["user_id"]).drop("value"))

@@ -218,7 +218,7 @@ def common_neighbours(spark, sf_dir):
     return plain(graphs.common_neighbours(sparse(spark, sf_dir)), 8)
 
 
-@query()
+@query(f"WITH RECURSIVE e AS ({_TREE}), c(i, j, steps) AS (SELECT i, j, 1 FROM e UNION ALL SELECT c.i, e.j, c.steps + 1 FROM c JOIN e ON e.i = c.j) SELECT i::BIGINT AS i, j::BIGINT AS j, round(0.4::DOUBLE ** steps, 6) AS v FROM c")
 def integrated_shares(spark, sf_dir):
     e = tree(spark, sf_dir).withColumn("v", F.lit(0.4))
     return plain(graphs.integrated(e))
@@ -394,7 +394,10 @@ def loglinear_model(spark, sf_dir):
     return plain(regression.loglinear(table(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"], [["o_orderstatus"], ["o_orderpriority"]]), 4)
 
 
-@query()
+@query("""
+    WITH g AS (SELECT l_quantity AS x, sum(l_extendedprice) AS s, count(*) AS w FROM lineitem GROUP BY 1), c AS (SELECT *, sum(s) OVER (ORDER BY x) AS cs, sum(w) OVER (ORDER BY x) AS cw FROM g),
+    m AS (SELECT a.x AS low, b.x AS high, (b.cs - a.cs + a.s) / (b.cw - a.cw + a.w) AS mean FROM c a JOIN c b ON a.x <= b.x), f AS (SELECT g.x, low, min(mean) AS least FROM g JOIN m ON low <= g.x AND high >= g.x GROUP BY g.x, low)
+    SELECT x, round(max(least), 2) AS fitted FROM f GROUP BY x""")
 def monotone_regression(spark, sf_dir):
     return plain(regression.monotone(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice"), 2)
 
