@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,3 +94,57 @@ def leaves_at(edges: DataFrame, root: float, depth: int) -> DataFrame:
         now = settled(now)
         part = part.union(now)
     return part.join(inner, "node", "left_anti")
+
+
+#: Linkage: the weights of the two joined clusters' distances, of the distance between them, and of the difference of the two, by sizes p, q and the other's r.
+LINKAGES = {
+    "single": lambda p, q, r: (0.5, 0.5, 0.0, -0.5),
+    "complete": lambda p, q, r: (0.5, 0.5, 0.0, 0.5),
+    "average": lambda p, q, r: (p / (p + q), q / (p + q), 0.0, 0.0),
+    "weighted": lambda p, q, r: (0.5, 0.5, 0.0, 0.0),
+    "centroid": lambda p, q, r: (p / (p + q), q / (p + q), -p * q / (p + q) ** 2, 0.0),
+    "median": lambda p, q, r: (0.5, 0.5, -0.25, 0.0),
+    "ward": lambda p, q, r: ((p + r) / (p + q + r), (q + r) / (p + q + r), -r / (p + q + r), 0.0),
+}
+
+
+def hierarchical(edges: DataFrame, linkage: str = "average", by: Sequence[str] = (), most: int = 5000) -> DataFrame:
+    """Joins of clusters of each block of dissimilarities (by, i, j, v, for every pair): by, step, a, b, v, size.
+
+    a and b name clusters by their smallest node, a < b; ties go to the smallest. centroid, median and ward take squared distances. A block is
+    one matrix in one task and may have at most that many nodes; single linkage of any number is single_linkage().
+    """
+    weights = LINKAGES[linkage]
+
+    def one(f: pd.DataFrame) -> pd.DataFrame:
+        nodes = np.unique(np.concatenate([f["i"], f["j"]]))
+        n = len(nodes)
+        if n > most:
+            raise ValueError(f"a block of {n} nodes is beyond most ({most})")
+        d = np.full((n, n), np.inf)
+        i, j = np.searchsorted(nodes, f["i"]), np.searchsorted(nodes, f["j"])
+        d[i, j] = d[j, i] = f["v"].to_numpy(float)
+        np.fill_diagonal(d, np.inf)
+        size, open_, out = np.ones(n), np.ones(n, bool), []
+        for step in range(1, n):
+            a, b = np.unravel_index(d.argmin(), d.shape)
+            if not np.isfinite(d[a, b]):
+                break
+            v = d[a, b]
+            out.append((step, nodes[a], nodes[b], v, int(size[a] + size[b])))
+            p, q, between, apart = weights(size[a], size[b], size)
+            with np.errstate(invalid="ignore"):
+                new = p * d[a] + q * d[b] + between * v + (apart * np.abs(d[a] - d[b]) if apart else 0.0)
+            open_[b], size[a] = False, size[a] + size[b]
+            new[~open_ | np.isnan(new)] = np.inf
+            new[a] = np.inf
+            d[a], d[:, a], d[b], d[:, b] = new, new, np.inf, np.inf
+        got = pd.DataFrame(out, columns=["step", "a", "b", "v", "size"])
+        for c in reversed(by):
+            got.insert(0, c, f[c].iloc[0])
+        return got
+
+    rows = edges.where("i <> j").select(*by, "i", "j", F.col("v").cast("double").alias("v"))
+    kind = rows.schema["i"].dataType.simpleString()
+    shape = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by), f"step int, a {kind}, b {kind}, v double, size int"])
+    return rows.groupBy(*(by or [F.lit(1).alias("_all")])).applyInPandas(one, shape)

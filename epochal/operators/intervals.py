@@ -121,3 +121,50 @@ def averaged_ends(df: DataFrame, lo: str = "lo", hi: str = "hi") -> DataFrame:
         out = out.join(up, "b").join(down, "a").withColumn(name, F.when(F.col("_un") > F.col("_dn"), (F.col("_us") - F.col("_ds")) / (F.col("_un") - F.col("_dn")))).drop("_un", "_us", "_dn", "_ds")
     return out.withColumnsRenamed({"a": "lo", "b": "hi"})
 
+
+
+def variance_bounds(df: DataFrame, lo: str = "lo", hi: str = "hi", rounds: int = 50) -> DataFrame:
+    """One row: n, mean_lo, mean_hi, the variances (by n) of all lower and of all upper ends, the least variance, the mean at it, and the most.
+
+    The least is that of values as near to one mean as their intervals let them: the mean where the sum of what they lack changes its
+    sign, found by running sums over distinct ends. For the most, values go to the end away from the mean: an interval whose middle is
+    outside the range of the mean has its end fixed, which narrows the range, an aggregate a round. Where intervals stay open the
+    most is null.
+    """
+    spark = df.sparkSession
+    rows = df.where(F.col(lo) <= F.col(hi)).select(F.col(lo).cast("double").alias("a"), F.col(hi).cast("double").alias("b"))
+    one = rows.agg(F.count("*").alias("n"), F.avg("a").alias("ma"), F.avg("b").alias("mb"), F.var_pop("a").alias("va"), F.var_pop("b").alias("vb"), F.sum("a").alias("sa")).first()
+    shape = "n long, mean_lo double, mean_hi double, variance_lo double, variance_hi double, variance_least double, mean_least double, variance_most double"
+    if not one.n:
+        return spark.createDataFrame([], shape)
+    ends = rows.select(F.col("a").alias("x"), F.lit(1).alias("na"), F.lit(0).alias("nb")).union(rows.select("b", F.lit(0), F.lit(1))).groupBy("x").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
+    at = running(ends, "x", {"_na": F.col("na"), "_sa": F.col("na") * F.col("x"), "_nb": F.col("nb"), "_sb": F.col("nb") * F.col("x")})
+    fixed, held = F.col("_nb") + one.n - F.col("_na"), F.col("_sb") + one.sa - F.col("_sa")  # upper ends up to x, lower ends above it
+    best = at.where(F.col("x") * fixed - held <= 1e-12 * (1 + F.abs(held))).agg(F.max(F.struct("x", fixed.alias("n"), held.alias("s"))).alias("m")).first().m
+    mean = best.s / best.n if best.n else best.x
+    off = F.greatest(F.col("a") - mean, mean - F.col("b"), F.lit(0.0))
+    least = rows.agg(F.avg(off * off)).first()[0]
+    low, high, most = one.ma, one.mb, None
+    for _ in range(rounds):
+        middle = (F.col("a") + F.col("b")) / 2
+        down, up = middle <= low, middle >= high
+        first, last = F.when(up & ~down, F.col("b")).otherwise(F.col("a")), F.when(down, F.col("a")).otherwise(F.col("b"))
+        got = rows.agg(F.avg(first).alias("low"), F.avg(last).alias("high"), F.count_if(~down & ~up).alias("open"), F.var_pop(first).alias("v")).first()
+        if not got.open:
+            most = got.v
+            break
+        if (got.low, got.high) == (low, high):
+            break
+        low, high = got.low, got.high
+    return spark.createDataFrame([(one.n, one.ma, one.mb, one.va, one.vb, least, mean, most)], shape)
+
+
+def means_above(df: DataFrame, lo: str = "lo", hi: str = "hi") -> DataFrame:
+    """x and mean: for each distinct lower end the mean of what lies above it, values being spread evenly over their intervals; null
+    where nothing does. Sums from the far end over the lines of the mean distribution."""
+    d = settled(distribution_bounds(df, lo, hi).select("x", F.col("mean").alias("f")))
+    d = neighbours(d, "x", {"_x": ("x", 1), "_f": ("f", 1)})
+    part = F.coalesce((F.col("_f") - F.col("f")) * (F.col("_x") + F.col("x")) / 2, F.lit(0.0))
+    above = running(d.select("x", "f", part.alias("p")), "x", {"_s": F.col("p")}, descending=True)
+    lower = df.where(F.col(lo) <= F.col(hi)).select(F.col(lo).cast("double").alias("x")).distinct()
+    return lower.join(above, "x").select("x", F.when(1 - F.col("f") > 1e-12, F.col("_s") / (1 - F.col("f"))).alias("mean"))

@@ -38,6 +38,31 @@ def least_squares(df: DataFrame, y: str, columns: Sequence[str], weight: str | N
     return Fit((["constant"] if constant else []) + list(columns), b, inverse * max(rss, 0) / max(1, n - rank), -rss, 1)
 
 
+def constrained_least_squares(df: DataFrame, y: str, columns: Sequence[str], at_least: tuple[np.ndarray, np.ndarray], weight: str | None = None, constant: bool = True, rounds: int = 100_000) -> Fit:
+    """Least squares with A coef >= c, at_least = (A, c). One aggregate gives the products; the multipliers of the constraints, few as
+    they are, are then found one by one in turn until none moves. No covariance is given; loglik is minus the residual sum of squares."""
+    df = df.dropna(subset=[y, *columns])
+    s = gram(df, [*_x(columns, constant), F.col(y).cast("double")], None if weight is None else F.col(weight))
+    xx, xy, yy = s[:-1, :-1], s[:-1, -1], s[-1, -1]
+    a, c = np.atleast_2d(at_least[0]).astype(float), np.atleast_1d(at_least[1]).astype(float)
+    inverse = np.linalg.pinv(xx)
+    free, push = inverse @ xy, a @ inverse @ a.T
+    short, u = c - a @ free, np.zeros(len(c))
+    for k in range(1, rounds + 1):
+        moved = 0.0
+        for i in range(len(c)):
+            if push[i, i] > 0:
+                new = max(0.0, u[i] + (short[i] - push[i] @ u) / push[i, i])
+                moved, u[i] = max(moved, abs(new - u[i]) * push[i, i]), new
+        if moved <= 1e-12 * (1 + np.abs(short).max()):
+            break
+    else:
+        raise RuntimeError("the constraints' multipliers have not settled: they may contradict each other")
+    b = free + inverse @ a.T @ u
+    rss = float(yy - 2 * b @ xy + b @ xx @ b)
+    return Fit((["constant"] if constant else []) + list(columns), b, np.full((len(b), len(b)), np.nan), -rss, k)
+
+
 def fitted(df: DataFrame, fit: Fit, columns: Sequence[str], name: str = "fitted") -> DataFrame:
     value = F.lit(0.0)
     for n, b in zip(fit.names, fit.coef):
@@ -385,3 +410,18 @@ def monotone(df: DataFrame, x: str, y: str, weight: str | None = None, by: Seque
     tops = count.where("_v is not null").select(*by, "_k", F.col("_v").alias("fitted"))
     return matches(count.drop("_v"), tops, [*by, "_k"]).select(*by, "x", "fitted")
 
+
+def monotone_projection(df: DataFrame, order: str, y: str, ties: str = "secondary", name: str = "fitted") -> DataFrame:
+    """df with the nearest values of y that don't fall along order. Among rows of one order, secondary ties get one value; primary
+    ones are put in the order of y first, so that they need not be equal."""
+    df = df.where(F.col(order).isNotNull() & F.col(y).isNotNull())
+    if ties == "secondary":
+        fit = monotone(df, order, y)
+        return matches(df.withColumn("_o", F.col(order).cast("double")), fit.select(F.col("x").alias("_o"), F.col("fitted").alias(name)), ["_o"]).drop("_o")
+    if ties != "primary":
+        raise ValueError("ties are primary or secondary")
+    groups = running(df.groupBy(F.col(order).cast("double").alias("_o")).agg(F.count("*").alias("_n")), "_o", {"_before": F.col("_n")}, exclusive=True)
+    rank = F.col("_before") + F.row_number().over(Window.partitionBy("_o").orderBy(y))
+    ranked = settled(matches(df.withColumn("_o", F.col(order).cast("double")), groups.select("_o", "_before"), ["_o"]).withColumn("_k", rank.cast("double")).drop("_o", "_before"))
+    fit = monotone(ranked, "_k", y)
+    return matches(ranked, fit.select(F.col("x").alias("_k"), F.col("fitted").alias(name)), ["_k"]).drop("_k")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from epochal.functions import columns
-from epochal.operators import episodes, graphs, joins, matrices, sequences, smoothing, spatial
+from epochal.operators import clusters, episodes, graphs, intervals, joins, matrices, regression, sequences, smoothing, spatial
 from epochal.plans import ordered
 from epochal.sources import sinks, text
 
@@ -141,3 +141,102 @@ def test_splines_against_dense_solutions(spark):
         b = np.linalg.lstsq(basis.T @ basis + np.diag([0.0] * 4 + [1e-4 * len(part)] * len(knots)), basis.T @ part.y.to_numpy(), rcond=None)[0]
         want = dict(zip(part.x, basis @ b))
         assert len(out) == len(part) and max(abs(want[r.x] - r.smooth) for r in out.itertuples()) < 1e-5
+
+
+def test_variance_of_intervals(spark):
+    rng = np.random.default_rng(9)
+    for wide in (0.05, 0.5, 3.0):
+        a = np.round(rng.normal(size=60), 3)
+        b = a + np.round(rng.random(60) * wide, 3) + 0.001
+        got = intervals.variance_bounds(spark.createDataFrame(list(zip(a.tolist(), b.tolist())), "lo double, hi double")).first()
+        grid = np.linspace(a.min(), b.max(), 200_001)
+        step = lambda m: np.maximum(0, np.maximum(a - m, m - b))
+        low, high = a.min(), b.max()
+        for _ in range(200):
+            p, q = low + (high - low) / 3, high - (high - low) / 3
+            low, high = (low, q) if (step(p) ** 2).sum() < (step(q) ** 2).sum() else (p, high)
+        assert got.variance_least == pytest.approx((step(low) ** 2).mean(), abs=1e-9) and len(grid)
+        assert (got.mean_lo, got.mean_hi, got.variance_lo, got.variance_hi) == pytest.approx((a.mean(), b.mean(), a.var(), b.var()))
+        if got.variance_most is not None:  # no single change of an end does better
+            x = np.where((a + b) / 2 < got.mean_lo, a, b)
+            better = True
+            while better:
+                better = False
+                for k in range(60):
+                    y = x.copy()
+                    y[k] = a[k] + b[k] - x[k]
+                    if y.var() > x.var() + 1e-12:
+                        x, better = y, True
+            assert got.variance_most >= x.var() - 1e-9
+        else:
+            assert wide > 0.05
+    assert intervals.variance_bounds(spark.createDataFrame([], "lo double, hi double")).count() == 0
+
+
+def test_means_above(spark):
+    rows = [(0.0, 4.0), (1.0, 2.0), (1.0, 5.0), (3.0, 3.5)]
+    got = {r.x: r.mean for r in intervals.means_above(spark.createDataFrame(rows, "lo double, hi double")).collect()}
+    for x in (0.0, 1.0, 3.0):
+        share = [max(0.0, b - max(a, x)) / (b - a) for a, b in rows]
+        want = sum(s * (max(a, x) + b) / 2 for s, (a, b) in zip(share, rows)) / sum(share)
+        assert got[x] == pytest.approx(want)
+    assert set(got) == {0.0, 1.0, 3.0}
+
+
+def test_constrained_least_squares(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 3))
+    y = x @ [1.0, -0.5, 0.2] + 2 + rng.normal(0, 0.3, 300)
+    df = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y)], "a double, b double, c double, y double")
+    least = (np.array([[0, 0, 1, 0], [0, -1, 0, 0], [0, 1, 1, 1]], float), np.array([0.0, -0.8, 0.9]))
+    fit = regression.constrained_least_squares(df, "y", ["a", "b", "c"], least)
+    full = np.column_stack([np.ones(300), x])
+    slack = least[0] @ fit.coef - least[1]
+    assert slack.min() > -1e-8
+    pull = full.T @ (full @ fit.coef - y)  # is a combination of the binding constraints, none with a weight below 0
+    binding = least[0][slack < 1e-7]
+    weight, *_ = np.linalg.lstsq(binding.T, pull, rcond=None)
+    assert np.allclose(binding.T @ weight, pull, atol=1e-5) and weight.min() > -1e-6
+    assert regression.constrained_least_squares(df, "y", ["a"], (np.array([[0.0, 1.0]]), np.array([-9.0]))).coef == pytest.approx(regression.least_squares(df, "y", ["a"]).coef)
+
+
+def test_projections_with_ties(spark):
+    df = spark.createDataFrame(list(zip(range(6), [1, 1, 2, 3, 3, 3], [5.0, 3.0, 4.0, 6.0, 2.0, 7.0])), "id long, t int, x double")
+    got = {r.id: r.fitted for r in regression.monotone_projection(df, "t", "x", "primary").collect()}
+    # in the order 3 5 4 2 6 7: the middle three are pooled
+    assert got == pytest.approx({1: 3.0, 0: 11 / 3, 2: 11 / 3, 4: 11 / 3, 3: 6.0, 5: 7.0})
+    got = {r.id: r.fitted for r in regression.monotone_projection(df, "t", "x").collect()}
+    assert got == pytest.approx({0: 4.0, 1: 4.0, 2: 4.0, 3: 5.0, 4: 5.0, 5: 5.0})
+
+
+@pytest.mark.parametrize("linkage", sorted(clusters.LINKAGES))
+def test_linkages(spark, linkage):
+    """Joins by definition: distances between the members of clusters, or between their centres."""
+    rng = np.random.default_rng(7)
+    points = {g: rng.normal(size=(9, 2)) for g in (1, 2)}
+    squared = linkage in ("centroid", "median", "ward")
+    rows = [(g, i, j, float(((p[i] - p[j]) ** 2).sum() ** (1.0 if squared else 0.5))) for g, p in points.items() for i in range(9) for j in range(i)]
+    out = clusters.hierarchical(spark.createDataFrame(rows, "g int, i int, j int, v double"), linkage, ["g"]).toPandas()
+    for g, p in points.items():
+        parts, centre = {k: [k] for k in range(9)}, {k: p[k] for k in range(9)}
+        dist = {(min(i, j), max(i, j)): v for h, i, j, v in rows if h == g}
+
+        def between(a, b):
+            pairs = [dist[min(i, j), max(i, j)] for i in parts[a] for j in parts[b]]
+            if linkage in ("single", "complete", "average"):
+                return {"single": min, "complete": max, "average": np.mean}[linkage](pairs)
+            c = ((np.mean(p[parts[a]], axis=0) - np.mean(p[parts[b]], axis=0)) ** 2).sum()
+            if linkage == "centroid":
+                return c
+            if linkage == "ward":
+                return 2 * len(parts[a]) * len(parts[b]) / (len(parts[a]) + len(parts[b])) * c
+            return ((centre[a] - centre[b]) ** 2).sum()
+
+        for r in out[out.g == g].sort_values("step").itertuples():
+            if linkage != "weighted":
+                best = min((between(a, b), a, b) for a in parts for b in parts if a < b)
+                assert (r.a, r.b) == best[1:] and r.v == pytest.approx(best[0])
+            centre[r.a] = (centre[r.a] + centre[r.b]) / 2
+            parts[r.a] = parts[r.a] + parts.pop(r.b)
+            assert r.size == len(parts[r.a])
+        assert len(parts) == 1
