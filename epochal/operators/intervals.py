@@ -162,9 +162,12 @@ def variance_bounds(df: DataFrame, lo: str = "lo", hi: str = "hi", rounds: int =
 def means_above(df: DataFrame, lo: str = "lo", hi: str = "hi") -> DataFrame:
     """x and mean: for each distinct lower end the mean of what lies above it, values being spread evenly over their intervals; null
     where nothing does. Sums from the far end over the lines of the mean distribution."""
-    d = settled(distribution_bounds(df, lo, hi).select("x", F.col("mean").alias("f")))
-    d = neighbours(d, "x", {"_x": ("x", 1), "_f": ("f", 1)})
-    part = F.coalesce((F.col("_f") - F.col("f")) * (F.col("_x") + F.col("x")) / 2, F.lit(0.0))
+    rows = df.where(F.col(lo) <= F.col(hi))
+    points = rows.where(F.col(lo) == F.col(hi)).groupBy(F.col(lo).cast("double").alias("x")).agg(F.count("*").alias("_p"))  # known values are steps
+    d = distribution_bounds(df, lo, hi).select("x", F.col("mean").alias("f")).join(points, "x", "left").join(F.broadcast(rows.agg(F.count("*").alias("_n"))))
+    d = settled(d.select("x", "f", (F.coalesce("_p", F.lit(0)) / F.col("_n")).alias("j")))
+    d = neighbours(d, "x", {"_x": ("x", 1), "_f": ("f", 1), "_j": ("j", 1)})
+    part = F.coalesce((F.col("_f") - F.col("_j") - F.col("f")) * (F.col("_x") + F.col("x")) / 2 + F.col("_j") * F.col("_x"), F.lit(0.0))
     above = running(d.select("x", "f", part.alias("p")), "x", {"_s": F.col("p")}, descending=True)
-    lower = df.where(F.col(lo) <= F.col(hi)).select(F.col(lo).cast("double").alias("x")).distinct()
+    lower = rows.select(F.col(lo).cast("double").alias("x")).distinct()
     return lower.join(above, "x").select("x", F.when(1 - F.col("f") > 1e-12, F.col("_s") / (1 - F.col("f"))).alias("mean"))

@@ -188,22 +188,31 @@ FAMILIES = {
 }
 
 
+def _alike(episodes: DataFrame, des: int | None, columns: Sequence[str], weight: str | None = None) -> DataFrame:
+    """ts, tf, _d and columns of episodes that are alike in them, once, with the sum of their weights: every step reads these."""
+    kept = list(dict.fromkeys(columns))
+    cells = episodes.select(F.col("ts").cast("double").alias("ts"), F.col("tf").cast("double").alias("tf"), _event(des).alias("_d"), *[F.col(c).cast("double").alias(c) for c in kept], (F.lit(1.0) if weight is None else F.col(weight).cast("double")).alias("_w"))
+    return cells.groupBy("ts", "tf", "_d", *kept).agg(F.sum("_w").alias("_w"))
+
+
 def parametric(episodes: DataFrame, family: str, columns: Sequence[Sequence[str]] = ((), (), ()), des: int | None = None, weight: str | None = None, start: Sequence[float] | None = None, shape: float = 1.0) -> Fit:
     """A model of FAMILIES with covariates for each of its terms; shape is the k of generalised_gamma. Likelihood, gradient and information are summed in numpy over Arrow batches."""
     terms, f = FAMILIES[family]
     f = f(shape) if family == "generalised_gamma" else f
     designs = [list(c) for c in list(columns)[:terms]] + [[]] * (terms - len(columns))
-    rows = episodes.withColumn("_d", _event(des)).persist()
+    rows = _alike(episodes, des, [c for d in designs for c in d], weight).persist()
     try:
         if start is None:
-            one = rows.agg(F.sum("_d").alias("e"), F.sum(F.col("tf") - F.col("ts")).alias("x"), F.avg(F.log("tf")).alias("m"), F.stddev_samp(F.log("tf")).alias("s"), F.avg(1 / F.col("tf")).alias("h"), F.avg("tf").alias("w")).first()
+            n, t = F.col("_w"), F.col("tf")
+            mean = lambda v: F.sum(n * v) / F.sum(n)
+            one = rows.agg(F.sum(n * F.col("_d")).alias("e"), F.sum(n * (t - F.col("ts"))).alias("x"), mean(F.log(t)).alias("m"), F.sqrt(F.greatest(mean(F.log(t) * F.log(t)) - mean(F.log(t)) * mean(F.log(t)), F.lit(0.0))).alias("s"), mean(1 / t).alias("h"), mean(t).alias("w")).first()
             rate = np.log(max(one.e, 0.5) / one.x)
             spread = np.log(max(one.s or 1.0, 0.1))
             first = {"inverse_gaussian": [rate, 0.5 * np.log(max(one.h - 1 / one.w, 1e-6))], "generalised_gamma": [one.m, spread], "weibull_mixture": [rate, 0.0, -1.0], "log_logistic_mixture": [rate, 0.0, -1.0], "sickle_mixture": [2 * rate, -rate, -1.0], "exponential_mixture": [rate, -1.0], "weibull": [rate, 0.0], "log_logistic": [rate, 0.0], "log_logistic_2": [rate, 0.0, rate], "gompertz_makeham": [rate - 2, rate, -1e-3 * np.exp(rate)], "gompertz": [rate, 0.0], "sickle": [2 * rate, -rate], "log_normal": [one.m, spread]}[family]
             start = [v for k, d in enumerate(designs) for v in [first[k], *([0.0] * len(d))]]
         names = [f"{t}:{n}" for t, d in zip("ABC", designs) for n in ["constant", *d]]
         with np.errstate(all="ignore"):
-            return maximise(by_predictors(rows, designs, f, ["_d", "ts", "tf"], weight), start, names, steps=100)
+            return maximise(by_predictors(rows, designs, f, ["_d", "ts", "tf"], "_w"), start, names, steps=100)
     finally:
         rows.unpersist()
 
@@ -224,13 +233,13 @@ def polynomial(episodes: DataFrame, columns: Sequence[str] = (), degree: int = 1
         half = (tf - ts) / 2
         return d * line(tf) - half * sum(w * np.exp(line(ts + half * (1 + x))) for x, w in zip(_NODES, _WEIGHTS))
 
-    rows = episodes.withColumn("_d", _event(des)).persist()
+    rows = _alike(episodes, des, columns).persist()
     try:
-        one = rows.agg(F.sum("_d").alias("e"), F.sum(F.col("tf") - F.col("ts")).alias("x")).first()
+        one = rows.agg(F.sum(F.col("_w") * F.col("_d")).alias("e"), F.sum(F.col("_w") * (F.col("tf") - F.col("ts"))).alias("x")).first()
         start = [np.log(max(one.e, 0.5) / one.x), *([0.0] * (len(columns) + degree))]
         names = ["constant", *columns, *[f"time_{k}" for k in range(1, degree + 1)]]
         with np.errstate(all="ignore"):
-            return maximise(by_predictors(rows, [list(columns), *([[]] * degree)], loglik, ["_d", "ts", "tf"]), start, names, steps=100)
+            return maximise(by_predictors(rows, [list(columns), *([[]] * degree)], loglik, ["_d", "ts", "tf"], "_w"), start, names, steps=100)
     finally:
         rows.unpersist()
 

@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from .iterate import settled
 
-#: Buckets; what the driver sees of the order is one number fewer. Where they would hold more rows than ROWS, each is cut
-#: into as many again, and so on: the cuts of later levels stay in a table of one row for each bucket.
-BUCKETS, ROWS = 64, 4_000_000
+#: Buckets at most, and rows that need no second one; what the driver sees of the order is one number fewer. Where buckets would hold
+#: more rows than ROWS, each is cut into as many again, and so on: the cuts of later levels stay in a table of one row for each bucket.
+BUCKETS, LEAST, ROWS = 64, 20_000, 4_000_000
 
 
 def number(df: DataFrame, name: str) -> Column:
@@ -68,19 +68,21 @@ def once(df: DataFrame) -> DataFrame:
     return settled(df) if re.search(r"Exchange|Aggregate|Join|Window|Generate|Sort|Map|Python|Arrow|Pandas|Union", plan.getvalue()) else df
 
 
-def bucketed(df: DataFrame, order: str, buckets: int) -> tuple[DataFrame, bool]:
-    """df with _bucket, which rises with the order; and whether buckets are as few as the first level has."""
+def bucketed(df: DataFrame, order: str, buckets: int) -> tuple[DataFrame, int]:
+    """df with _bucket, which rises with the order; and how many buckets there are at most, as many as its rows need."""
     value, shares = number(df, order), [i / buckets for i in range(1, buckets)]
     one = df.agg(F.count("*").alias("n"), *([F.percentile_approx(value, shares, 20 * buckets).alias("ends")] if shares else [])).first()
-    df = df.withColumn("_bucket", bucket_of(value, sorted(set(one["ends"] or []))) if shares else F.lit(0))
-    rows, level = one["n"] / buckets, 0
+    want = min(buckets, max(1, -(-one["n"] // LEAST)))
+    ends = sorted({one["ends"][round(k * buckets / want) - 1] for k in range(1, want)}) if want > 1 and one["ends"] else []
+    df = df.withColumn("_bucket", bucket_of(value, ends))
+    found, rows = want, one["n"] / want
     while rows > ROWS and shares:
         ends = df.groupBy("_bucket").agg(F.array_distinct(F.percentile_approx(value, shares, 20 * buckets)).alias("_ends"))
         ends = settled(ends.withColumnRenamed("_bucket", "_of"))
         below = F.aggregate("_ends", F.lit(0), lambda n, x: n + F.when(x < value, 1).otherwise(0))
         df = df.join(ends, F.col("_bucket") == F.col("_of")).withColumn("_bucket", F.col("_bucket").cast("long") * buckets + below).drop("_of", "_ends")
-        rows, level = rows / buckets, level + 1
-    return df, level == 0
+        found, rows = found * buckets, rows / buckets
+    return df, found
 
 
 def running(df: DataFrame, order: str, sums: dict[str, Column | str], by: Sequence[str] = (), descending: bool = False, exclusive: bool = False, buckets: int = BUCKETS) -> DataFrame:
@@ -89,15 +91,17 @@ def running(df: DataFrame, order: str, sums: dict[str, Column | str], by: Sequen
     exclusive leaves the row itself out. Rows of a null order are left out of the result.
     """
     by, df = list(by), once(df.where(F.col(order).isNotNull()))
-    df, few = bucketed(df, order, buckets)
+    df, found = bucketed(df, order, buckets)
     turn = (lambda c: F.col(c).desc()) if descending else F.col
     inside = Window.partitionBy(*by, "_bucket").orderBy(turn(order)).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
     before = Window.partitionBy(*by).orderBy(turn("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
     expr = {k: F.col(v) if isinstance(v, str) else v for k, v in sums.items()}
+    if found == 1:
+        return df.withColumns({k: F.coalesce(F.sum(v).over(inside), F.lit(0)) for k, v in expr.items()}).drop("_bucket")
     totals = df.groupBy(*by, "_bucket").agg(*[F.sum(v).alias(f"_t_{k}") for k, v in expr.items()])
     totals = totals.select(*by, "_bucket", *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_b_{k}") for k in expr])
     df = df.withColumns({f"_i_{k}": F.coalesce(F.sum(v).over(inside), F.lit(0)) for k, v in expr.items()})
-    out = df.join(F.broadcast(totals), "_bucket") if few and not by else matches(df, totals, [*by, "_bucket"])  # no more rows than buckets of one level
+    out = df.join(F.broadcast(totals), "_bucket") if found <= BUCKETS and not by else matches(df, totals, [*by, "_bucket"])  # no more rows than buckets of one level
     return out.withColumns({k: F.col(f"_i_{k}") + F.col(f"_b_{k}") for k in expr}).drop("_bucket", *[f"_{s}_{k}" for s in "bi" for k in expr])
 
 

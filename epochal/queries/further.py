@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import clusters, graphs, joins, matrices, sequences, spatial
+from ..operators import clusters, graphs, intervals, joins, matrices, sequences, spatial
 from .histories import _KINDS, kinds
 from .registry import plain, query, table
-from .structures import _MATRIX, _TREE, table_matrix, tree
+from .structures import _MATRIX, _TREE, spans, table_matrix, tree
 
 
 @query("""
@@ -140,3 +140,21 @@ def state_indicators(spark, sf_dir):
 def event_risks(spark, sf_dir):
     s = kinds(spark, sf_dir)
     return plain(sequences.event_risks(s, {"own": s}, 4, 2))
+
+
+@query("""
+    WITH s AS (SELECT floor(o_totalprice / 1000) AS lo, floor(o_totalprice / 1000) + o_orderkey % 7 AS hi FROM orders), c AS (SELECT lo, hi, count(*) AS c FROM s GROUP BY ALL), e AS (SELECT lo AS x FROM c UNION SELECT hi FROM c),
+    k AS (SELECT x, sum(CASE WHEN hi <= x OR lo > x THEN c ELSE 0 END) AS n, sum(CASE WHEN hi <= x THEN hi * c WHEN lo > x THEN lo * c ELSE 0 END) AS s FROM e CROSS JOIN c GROUP BY x), u AS (SELECT CASE WHEN n > 0 THEN s / n ELSE x END AS u FROM k WHERE x * n - s <= 0 ORDER BY x DESC LIMIT 1)
+    SELECT count(*) AS n, round(avg(lo), 6) AS mean_lo, round(avg(hi), 6) AS mean_hi, round(var_pop(lo), 4) AS variance_lo, round(var_pop(hi), 4) AS variance_hi, round(avg(greatest(lo - u, u - hi, 0) ** 2), 4) AS variance_least, round(any_value(u), 6) AS mean_least FROM s, u""")
+def variance_of_intervals(spark, sf_dir):
+    out = intervals.variance_bounds(spans(spark, sf_dir)).drop("variance_most")
+    return plain(out.select("n", "mean_lo", "mean_hi", *[F.round(c, 4).alias(c) for c in ("variance_lo", "variance_hi", "variance_least")], "mean_least"))
+
+
+@query("""
+    WITH s AS (SELECT floor(o_totalprice / 1000) AS lo, floor(o_totalprice / 1000) + o_orderkey % 7 AS hi FROM orders), c AS (SELECT lo, hi, count(*) AS c FROM s GROUP BY ALL), x AS (SELECT DISTINCT lo AS x FROM c),
+    p AS (SELECT x, sum(c * CASE WHEN hi > lo THEN (hi - greatest(lo, x)) / (hi - lo) ELSE 1 END) AS w, sum(c * CASE WHEN hi > lo THEN (hi - greatest(lo, x)) / (hi - lo) * (hi + greatest(lo, x)) / 2 ELSE hi END) AS m FROM x JOIN c ON hi > x GROUP BY x)
+    SELECT x.x, round(m / w, 4) AS mean FROM x LEFT JOIN p ON p.x = x.x""")
+def interval_means_above(spark, sf_dir):
+    wide = spans(spark, sf_dir)
+    return plain(intervals.means_above(wide), 4)
