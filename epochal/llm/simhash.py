@@ -86,55 +86,72 @@ def _fingerprints(rows: DataFrame, shingle: int) -> DataFrame:
     return rows.mapInArrow(run, ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names) + ", fp long")
 
 
-def _tree(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Edges that connect whatever the pairs within the radius connect; one fewer than nodes at most."""
-    near = lambda a, b: np.bitwise_count((a ^ b).view(np.uint64)) <= radius
-    out, left = [], np.arange(len(fps))
-    if len(fps) <= 512:  # most of the fingerprints have no neighbour
-        left = np.flatnonzero(near(fps[:, None], fps[None, :]).sum(1) > 1)
+def _tree(of: dict[str, np.ndarray], radius: int, second: int = 64, similarity: float = 0.0) -> list[tuple[int, int]]:
+    """Edges between ids that connect whatever the near pairs connect; one fewer than nodes at most. of: id, fp and, where they count, fp2 and n."""
+    bits = lambda c, i, j: np.bitwise_count((of[c][i] ^ of[c][j]).view(np.uint64))
+
+    def near(i, j):
+        ok = bits("fp", i, j) <= radius
+        if "n" in of:
+            a, b = of["n"][i], of["n"][j]
+            ok &= (bits("fp2", i, j) <= second) & (np.minimum(a, b) >= similarity * np.maximum(a, b))
+        return ok
+
+    ids, out = of["id"], []
+    left = np.arange(len(ids))
+    if len(ids) <= 512:  # most have no neighbour
+        left = np.flatnonzero(near(left[:, None], left[None, :]).sum(1) > 1)
     while len(left):
         found, left = [left[0]], left[1:]
         while found and len(left):
             k = found.pop()
-            hit = near(fps[left], fps[k])
+            hit = near(left, k)
             if hit.any():
                 new, left = left[hit], left[~hit]
                 found.extend(new)
-                out += [(int(fps[k]), int(fps[j])) for j in new]
+                out += [(int(ids[k]), int(ids[j])) for j in new]
     return out
 
 
-def links(fps: DataFrame, radius: int = 4) -> DataFrame:
+def links(fps: DataFrame, radius: int = 4, second: int = 64, similarity: float = 0.0) -> DataFrame:
     """fps: distinct fp. Pairs (a, b) whose connected components are those of all pairs within radius.
 
-    Buckets of a table are compared inside a task, and only the edges of a tree leave it. Buckets
-    over BUCKET fingerprints are parted by further families of tables, in which no pair is missed either.
+    Or fps: id, fp, fp2, n, with ids as a and b: pairs must then also be within second bits of their other fingerprints fp2, and
+    the smaller n at least similarity times the larger. Buckets of a table are compared inside a task, and only the edges of a tree
+    leave it. Buckets over BUCKET fingerprints are parted by further families of tables, in which no pair is missed either.
     """
+    if "id" not in fps.columns:
+        fps = fps.select(F.col("fp").alias("id"), "fp")
+    names = fps.columns
 
     def table(df: DataFrame, family: int) -> DataFrame:
         of = F.array(*[F.lit(m).cast("long") for m in masks(radius, family)])
-        return df.select("key", "fp", F.posexplode(of).alias("_t", "_m")).select(F.xxhash64("key", "_t", F.col("fp").bitwiseAND(F.col("_m"))).alias("key"), "fp")
+        return df.select("key", *names, F.posexplode(of).alias("_t", "_m")).select(F.xxhash64("key", "_t", F.col("fp").bitwiseAND(F.col("_m"))).alias("key"), *names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            edges = [e for fp in b.column(0) for e in _tree(np.array(fp.as_py(), np.int64), radius)]
+            rows, edges = b.column(0).flatten(), []
+            ends = np.cumsum([0, *b.column(0).value_lengths().to_pylist()])
+            every = {c: rows.field(c).to_numpy() for c in names}
+            for s, e in zip(ends, ends[1:]):
+                edges += _tree({c: v[s:e] for c, v in every.items()}, radius, second, similarity)
             yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
 
     # each fingerprint becomes as many rows as there are tables
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows, out = fps.repartition(parts, "fp").withColumn("key", F.lit(0).cast("long")), None
+    rows, out = fps.repartition(parts, "id").withColumn("key", F.lit(0).cast("long")), None
     for family in range(len(_SPREAD)):
         rows = table(rows, family)
-        large = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET)
+        large = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET).select("key")
         large = keep(large)
         last = family == len(_SPREAD) - 1 or large.isEmpty()
         small = rows if last else rows.join(large, "key", "left_anti")
-        buckets = small.groupBy("key").agg(F.collect_list("fp").alias("fp")).where(F.size("fp") > 1).select("fp")
+        buckets = small.groupBy("key").agg(F.collect_list(F.struct(*names)).alias("of")).where(F.size("of") > 1).select("of")
         found = buckets.mapInArrow(compare, "a long, b long")
         out = found if out is None else out.union(found)
         if last:
             break
-        rows = keep(rows.join(large.select("key"), "key"))
+        rows = keep(rows.join(large, "key"))
     return out.distinct()
 
 
@@ -204,8 +221,15 @@ def _resembling(sets: list[np.ndarray], fps: np.ndarray, radius: int, similarity
     return out
 
 
+def _again(h: np.ndarray) -> np.ndarray:
+    """Other hashes of the same shingles."""
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
 def _sets(rows: DataFrame, shingle: int, whole: bool) -> DataFrame:
-    """rows: id, text, hash. key names a text's set of shingles and fp is the fingerprint of the set; with whole also the set."""
+    """rows: id, text, hash. key names a text's set of shingles, of n; fp and fp2 are fingerprints of the set. With whole: key and the set."""
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,15 +239,16 @@ def _sets(rows: DataFrame, shingle: int, whole: bool) -> DataFrame:
             if whole:
                 yield pa.RecordBatch.from_arrays([key, pa.array([h.tobytes() for h in sets], pa.binary())], names=["key", "set"])
             else:
-                fps = pa.array(np.array([majority(h) for h in sets], np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("hash"), key, fps], names=["id", "hash", "key", "fp"])
+                fps = [pa.array(np.array([majority(f(h)) for h in sets], np.uint64).view(np.int64)) for f in (lambda h: h, _again)]
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("hash"), key, *fps, pa.array([len(h) for h in sets], pa.int64())], names=["id", "hash", "key", "fp", "fp2", "n"])
 
-    return rows.mapInArrow(run, "key long, set binary" if whole else f"id {kind}, hash long, key long, fp long")
+    return rows.mapInArrow(run, "key long, set binary" if whole else f"id {kind}, hash long, key long, fp long, fp2 long, n long")
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 11, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 11, shingle: int = 5, similarity: float = 0.8, second: int = 20) -> DataFrame:
     """One row of docs for each component of near-duplicates: texts whose sets of shingles have fingerprints within radius bits
-    and a Jaccard similarity of at least similarity, exactly.
+    and a Jaccard similarity of at least similarity, exactly. A second fingerprint, within second bits for all but some of 10,000 such
+    pairs, keeps chance neighbours of a large table out of the candidates.
 
     The row that stays has the smallest id (nulls last) and, of rows alike in it, the least hash of the text; of rows alike in
     both, one. Ids don't join components: rows that share one, or have none, each stay if their texts aren't linked. Texts
@@ -231,11 +256,12 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
     made = keep(_sets(rows, shingle, False))
-    each = keep(made.groupBy("key").agg(first_row(), F.first("fp").alias("fp")))
-    # whatever the radius connects is a superset: only there are sets compared
-    roots = keep(components(links(each.select("fp").distinct(), radius)))
-    group = each.join(roots, each.fp == roots.node, "left").select("key", "first", "fp", F.coalesce("root", "fp").alias("root"))
-    several = group.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select(F.col("root").alias("_root"), F.ceil(F.col("n") / SETS).alias("n"))
+    each = keep(made.groupBy("key").agg(first_row(), *[F.first(c).alias(c) for c in ("fp", "fp2", "n")]))
+    # whatever the fingerprints connect is a superset: only there are sets compared
+    roots = keep(components(links(each.select(F.col("key").alias("id"), "fp", "fp2", "n"), radius, second, similarity)))
+    group = keep(each.join(roots, each.key == roots.node, "left").select("key", "first", "fp", F.coalesce("root", "key").alias("root")))
+    # written first, so that a join by a common root can be split
+    several = keep(group.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select(F.col("root").alias("_root"), F.ceil(F.col("n") / SETS).alias("n")))
     group = keep(group.join(several, F.col("root") == F.col("_root")).select("key", "first.hash", "fp", "root", "n"))
     # large groups in pieces, each with itself and every later one
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda k: F.struct(F.least(k, "piece").alias("a"), F.greatest(k, "piece").alias("b")))
