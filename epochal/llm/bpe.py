@@ -21,7 +21,7 @@ from .bytebpe import ByteBpe, pieces
 #: Pieces whose ids a worker keeps; it starts anew when full, which changes no result.
 KEPT_PIECES = 300_000
 #: Characters of text that are encoded together.
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 _encoders: dict[str, Encoder] = {}
 
 
