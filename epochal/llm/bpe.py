@@ -19,7 +19,7 @@ from pyspark.sql.types import StructType
 from .bytebpe import ByteBpe, pieces
 
 #: Pieces whose ids a worker keeps; it starts anew when full, which changes no result.
-KEPT_PIECES = 300_000
+KEPT_PIECES = 100_000
 #: Characters of text that are encoded together.
 BLOCK = 2_000_000
 _encoders: dict[str, Encoder] = {}
