@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, licenses, mixing, ngram_trie, quality, simhash, token_counts, topk, urls
+from . import bpe, exact_dedup, langid, licenses, mixing, ngram_trie, prefix_trie, quality, simhash, token_counts, topk, turn_repair, turns_sql, urls
 from .common import LOWER, UPPER, read
 
 
@@ -74,8 +74,30 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(docs).drop("text", "failed_rule")  # which rule came first depends on what the sample cost
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations begin with turns of the one whose id ends their block of 20, see prefix_trie.spliced."""
+    nodes, ends = prefix_trie.trie(*prefix_trie.spliced(prefix_trie.coded(read(spark, sf_dir, "conversations"))))
+    told = prefix_trie.ends_digests(ends).withColumnRenamed("node", "conv_id")
+    return nodes.join(told, ["depth", "conv_id"], "left").withColumn("ends_sha256", F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose crc32(doc_id) is even are the history; the others are looked up in its index."""
+    history = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    return exact_dedup.decided(read(spark, sf_dir, "documents"), history).drop("member")
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read(spark, sf_dir, "conversations")
+    found = turn_repair.repaired(turn_repair.damaged(conversations))
+    found = found.select(F.col("conv_id").alias("c"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2(F.array_join("repaired", "\n"), 256).alias("repaired_sha256"))
+    out = conversations.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("c")), "left").drop("c")
+    zero = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")}
+    return out.withColumns(zero | {"audit": F.coalesce("audit", F.lit("")), "repaired_sha256": F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256))})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_counts, op2_language_id, op3_lm_scores, op4_url_filters, op5_top_k, op6_simhash, op7_bpe, op8_license_scan, op9_source_mix, op10_quality_rules]
+    found = [op1_token_counts, op2_language_id, op3_lm_scores, op4_url_filters, op5_top_k, op6_simhash, op7_bpe, op8_license_scan, op9_source_mix, op10_quality_rules, op11_prefix_trie, op12_exact_dedup, op13_turn_repair]
     return {f.__name__: f for f in found}
 
 
@@ -111,6 +133,9 @@ _QUALITY_SQL = r"""
 def oracle_sql() -> dict[str, str]:
     return {
         "op8_license_scan": _license_sql(),
+        "op11_prefix_trie": turns_sql.TRIE,
+        "op12_exact_dedup": turns_sql.DEDUP,
+        "op13_turn_repair": turns_sql.REPAIR,
         "op10_quality_rules": _QUALITY_SQL,
         "op5_top_k": """
             WITH v AS (
