@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from ..functions.columns import folded
 from ..plans.ordered import matches, neighbours, once
+from .lowess import lowess as lowess  # noqa: PLC0414  one of the smoothers
 
 
 def moving_average(df: DataFrame, x: str, weights: Sequence[float], order: str, name: str, by: Sequence[str] = (), ends: str = "shrink") -> DataFrame:
@@ -65,36 +66,6 @@ def resistant(df: DataFrame, x: str, order: str, name: str, steps: str = "3H", b
     return df
 
 
-def lowess(df: DataFrame, x: str, y: str, by: Sequence[str], share: float = 0.5, robust: int = 3) -> DataFrame:
-    """Locally weighted lines with tricube weights over the nearest share of a series, reweighted by bisquare: by, x, y, smooth. A series is handled in one task."""
-
-    def one(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(x, kind="stable")
-        xs, ys = f[x].to_numpy(float), f[y].to_numpy(float)
-        n, k = len(xs), max(2, min(len(xs), int(np.ceil(share * len(xs)))))
-        trust, out = np.ones(n), ys.copy()
-        for _ in range(robust + 1):
-            for i in range(n):
-                d = np.abs(xs - xs[i])
-                h = np.partition(d, k - 1)[k - 1]
-                w = trust * (np.clip(1 - (d / h) ** 3, 0, None) ** 3 if h > 0 else (d == 0))
-                s = w.sum()
-                if s <= 0:
-                    continue
-                mx, my = (w @ xs) / s, (w @ ys) / s
-                v = w @ (xs - mx) ** 2
-                out[i] = my + ((w @ ((xs - mx) * (ys - my))) / v * (xs[i] - mx) if v > 1e-12 else 0)
-            r = np.abs(ys - out)
-            m = 6 * np.median(r)
-            if m <= 0:
-                break
-            trust = np.clip(1 - (r / m) ** 2, 0, None) ** 2
-        return f.assign(smooth=out)[[*by, x, y, "smooth"]]
-
-    rows = df.dropna(subset=[x, y]).select(*by, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y))
-    return rows.groupBy(*by).applyInPandas(one, StructType([*rows.schema.fields]).add("smooth", "double"))
-
-
 def exponential(df: DataFrame, x: str, share: float, order: str, name: str, by: Sequence[str]) -> DataFrame:
     """Each value is share of the new one and the rest of the one before, folded over an array of each series."""
     started = F.lit(None).cast("double")

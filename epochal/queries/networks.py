@@ -1,10 +1,10 @@
-"""Queries of blocks, cut nodes, bridges and cycles, over conversations as a graph."""
+"""Queries of blocks, cut nodes, cycles and faces of graphs of conversations, of long series and of tall matrices."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import blocks, graphs
+from ..operators import blocks, graphs, planar, smoothing, tall
 from ..plans.ordered import positions
 from ..plans.iterate import settled
 from .registry import plain, query, table
@@ -70,3 +70,57 @@ def fundamental_cycles(spark, sf_dir):
     closed = F.count_if((F.col("along") == F.col("n")) & (F.col("nodes") == F.col("n")) & (F.col("n") > 2))
     of = graphs.components(e).select(F.col("node").alias("i"), "component")
     return plain(ok.join(of, "i").groupBy("component").agg(F.count("*").alias("cycles"), closed.alias("closed")))
+
+
+@query("""
+    WITH n AS (SELECT conv_id, count(*) AS n FROM conversations WHERE conv_id >= 0 GROUP BY conv_id), v AS (SELECT DISTINCT conv_id // 16 AS b, 1 + conv_id % 16 * 6 + n % 20 * 0.25::DOUBLE AS x FROM n),
+    f AS (SELECT b, x, lead(x) OVER (PARTITION BY b ORDER BY x) AS y FROM v)
+    SELECT round(x, 4) AS x_min, (b * 10)::DOUBLE AS y_min, round(y, 4) AS x_max, (b * 10 + 5)::DOUBLE AS y_max, round(5 * (y - x), 4) AS area, 4::BIGINT AS nodes FROM f WHERE y IS NOT NULL""")
+def enclosed_polygons(spark, sf_dir):
+    """For sixteen conversations two long lines, and for each a line across both, placed by its number of turns; no line ends where another one does."""
+    n = table(spark, sf_dir, "conversations").where("conv_id >= 0").groupBy("conv_id").agg(F.count("*").alias("n"))
+    x, y = 1 + F.col("conv_id") % 16 * 6 + F.col("n") % 20 * 0.25, F.floor(F.col("conv_id") / 16) * 10
+    line = lambda *c: F.struct(*[v.cast("double").alias(k) for k, v in zip(("x1", "y1", "x2", "y2"), c)])
+    lines = F.array(line(x, y - 1, x, y + 6), line(F.lit(0), y, F.lit(100), y), line(F.lit(0), y + 5, F.lit(100), y + 5))
+    found = planar.areas(planar.polygons(n.select(F.explode(lines).alias("s")).select("s.*")))
+    return plain(found.select("x_min", "y_min", "x_max", "y_max", "area", "nodes"), 4)
+
+
+_SERIES = "SELECT lang, doc_id::DOUBLE AS x, ln(n_chars + 1) AS y FROM documents WHERE doc_id IS NOT NULL AND n_chars IS NOT NULL"
+_LOCAL = """
+    f{n} AS (SELECT id, CASE WHEN h > 0 AND w2 - w1 * w1 / w0 > 1e-12 THEN v0 / w0 - (v1 - w1 * v0 / w0) / (w2 - w1 * w1 / w0) * w1 / w0 ELSE v0 / w0 END AS fit FROM (
+      SELECT a.id, any_value(h) AS h, sum(w) AS w0, sum(w * d) AS w1, sum(w * d * d) AS w2, sum(w * y) AS v0, sum(w * d * y) AS v1
+      FROM (SELECT a.id, h, b.y, b.x - a.x AS d, t.t * CASE WHEN h > 0 THEN greatest(1 - pow(abs(b.x - a.x) / h, 3), 0) ^ 3 ELSE (b.x = a.x)::INT END AS w FROM h a JOIN s b ON b.lang IS NOT DISTINCT FROM a.lang JOIN {trust} t ON t.id = b.id) a GROUP BY a.id))"""
+
+
+@query(f"""
+    WITH s AS (SELECT row_number() OVER () AS id, * FROM ({_SERIES})), k AS (SELECT lang, greatest(2, least(count(*), ceil(0.3::DOUBLE * count(*)))) AS k FROM s GROUP BY lang),
+    h AS (SELECT a.id, a.lang, a.x, list_sort(list(abs(b.x - a.x)))[any_value(k.k)::BIGINT] AS h FROM s a JOIN s b ON b.lang IS NOT DISTINCT FROM a.lang JOIN k ON k.lang IS NOT DISTINCT FROM a.lang GROUP BY a.id, a.lang, a.x),
+    t0 AS (SELECT id, 1.0::DOUBLE AS t FROM s), {_LOCAL.format(n=0, trust="t0")},
+    m AS (SELECT lang, 6 * median(abs(y - fit)) AS m FROM s JOIN f0 USING (id) GROUP BY lang), t1 AS (SELECT id, greatest(1 - pow((y - fit) / m, 2), 0) ^ 2 AS t FROM s JOIN f0 USING (id) JOIN m ON m.lang IS NOT DISTINCT FROM s.lang), {_LOCAL.format(n=1, trust="t1")}
+    SELECT lang, round(x, 4) AS doc, round(fit, 5) AS smooth FROM s JOIN f1 USING (id)""")
+def local_lines(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("lang", F.col("doc_id").cast("double").alias("doc"), F.log(F.col("n_chars") + 1.0).alias("y"))
+    return plain(smoothing.lowess(d, "doc", "y", ["lang"], 0.3, 1).select("lang", "doc", "smooth"), 5)
+
+
+_VECTORS = "SELECT embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM embeddings"
+
+
+def vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(*[F.get("embedding", F.lit(k)).cast("double").alias(c) for k, c in enumerate("abc")])
+
+
+@query(f"WITH g AS (SELECT sum(a * a) AS p, sum(b * b) AS q, sum(a * b) AS r FROM ({_VECTORS}) WHERE a IS NOT NULL AND b IS NOT NULL) SELECT k, round(sqrt((p + q + CASE k WHEN 1 THEN 1 ELSE -1 END * sqrt((p - q) ^ 2 + 4 * r * r)) / 2), 6) AS value FROM g, (VALUES (1::BIGINT), (2::BIGINT)) v(k)")
+def singular_values(spark, sf_dir):
+    s, _ = tall.singular_values(vectors(spark, sf_dir), ["a", "b"])
+    return plain(spark.createDataFrame([(k + 1, float(x)) for k, x in enumerate(s)], "k long, value double"))
+
+
+@query(f"""
+    WITH v AS (SELECT * FROM ({_VECTORS}) WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL), g AS (SELECT var_samp(a) AS aa, var_samp(b) AS bb, covar_samp(a, b) AS ab, covar_samp(a, c) AS ac, covar_samp(b, c) AS bc FROM v)
+    SELECT round((bb * ac - ab * bc) / (aa * bb - ab * ab), 6) AS slope_a, round((aa * bc - ab * ac) / (aa * bb - ab * ab), 6) AS slope_b FROM g""")
+def stable_least_squares(spark, sf_dir):
+    """c from a and a + b / 10^7, which are nearly the same; the slopes of a and b that follow."""
+    fit = tall.least_squares(vectors(spark, sf_dir).withColumn("near", F.col("a") + F.col("b") * 1e-7), "c", ["a", "near"])
+    return plain(spark.createDataFrame([(float(fit.coef[1] + fit.coef[2]), float(fit.coef[2] * 1e-7))], "slope_a double, slope_b double"))
