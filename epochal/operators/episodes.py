@@ -62,8 +62,17 @@ def split(episodes: DataFrame, columns: Sequence[str] = (), times: Sequence[floa
 
 
 def periods(episodes: DataFrame, points: Sequence[float]) -> DataFrame:
-    """Episodes cut at points, with period: the number of the last point at or before the start, from 0."""
+    """Episodes cut at points, with period: the number of the last point at or before the start, from 0.
+
+    A period holds its first moment, not its last: an episode that ends with an event at a point has a piece without length there, and the event is its.
+    """
     out = split(episodes, times=points)
+    at_point = (F.col("des") != F.col("org")) & F.col("tf").isin([float(p) for p in points]) & (F.col("ts") < F.col("tf"))
+    others = [c for c in out.columns if c not in ("des", "ts", "split_no")]
+    piece = lambda des, ts, no: F.struct(des.alias("des"), ts.cast("double").alias("ts"), no.alias("split_no"))
+    whole = piece(F.col("des"), F.col("ts"), F.col("split_no"))
+    before, then = piece(F.col("org").cast(out.schema["des"].dataType), F.col("ts"), F.col("split_no")), piece(F.col("des"), F.col("tf"), F.col("split_no") + 1)
+    out = out.select(*others, F.explode(F.when(at_point, F.array(before, then)).otherwise(F.array(whole))).alias("_p")).select(*others, "_p.*")
     place = F.lit(-1)
     for p in points:
         place = place + F.when(F.col("ts") >= float(p), 1).otherwise(0)

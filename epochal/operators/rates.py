@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import _gamma_sides, np_log_gamma
-from ..plans.fitting import Fit, by_predictors, maximise
-from ..plans.iterate import settled
+from ..plans.fitting import Fit, by_predictors, maximise, summed
+from ..plans.iterate import discard, settled
 from ..plans.ordered import running
 from .episodes import periods
 from .regression import _log_normal_cdf, glm
@@ -49,14 +49,37 @@ def occurrence_rates(episodes: DataFrame, points: Sequence[float], by: Sequence[
 
 
 def piecewise(episodes: DataFrame, points: Sequence[float], columns: Sequence[str] = (), des: int | None = None, specific: bool = False) -> Fit:
-    """Rates constant in periods: one constant for each period and, with specific, coefficients of its own too. points begin with 0."""
+    """Rates constant in periods, which hold their first moment: one constant for each period and, with specific, coefficients of its own too. points begin with 0.
+    Terms are the first period's constant and the others' differences from it."""
     rows = periods(episodes, points)
     flags = {f"period_{k}": F.when(F.col("period") == k, 1.0).otherwise(0.0) for k in range(1, len(points))}
     rows, names = rows.withColumns(flags), [*flags, *columns]
     if specific:
         more = {f"{c}_{k}": F.when(F.col("period") == k, F.col(c)).otherwise(0.0) for k in range(1, len(points)) for c in columns}
         rows, names = rows.withColumns(more), [*names, *more]
-    return exponential(rows, names, des)
+    return _constant(rows.withColumns({"_d": _event(des), "_x": F.col("tf") - F.col("ts")}), names)
+
+
+def _constant(rows: DataFrame, columns: Sequence[str]) -> Fit:
+    """Constant rates exp(constant + x coef) of _d events in the exposure _x. Rows alike in columns are added up first; a row may have an event and no exposure."""
+    cells = settled(rows.groupBy(*[F.col(c).cast("double").alias(c) for c in columns]).agg(F.sum("_d").alias("_d"), F.sum(F.col("_x").cast("double")).alias("_x")))
+    p = 1 + len(columns)
+    total = cells.agg(F.sum("_d"), F.sum("_x")).first()
+
+    def sums(b: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        def batch(f) -> np.ndarray:
+            x = np.column_stack([np.ones(len(f)), *(f[c].to_numpy(float) for c in columns)])
+            eta, d = x @ b, f["_d"].to_numpy(float)
+            expected = np.exp(eta) * f["_x"].to_numpy(float)
+            return np.concatenate([[d @ eta - expected.sum()], x.T @ (d - expected), ((x.T * expected) @ x).ravel()])
+
+        s = summed(cells, 1 + p + p * p, batch)
+        return float(s[0]), s[1 : 1 + p], s[1 + p :].reshape(p, p)
+
+    start = [float(np.log(max(total[0] or 0, 0.5) / (total[1] or 1))), *([0.0] * len(columns))]
+    fit = maximise(sums, start, ["constant", *columns])
+    discard(cells)
+    return fit
 
 
 def _weibull(xa, xb, d, ts, tf):
@@ -105,6 +128,15 @@ def _log_normal(xa, xb, d, ts, tf):
     return d * (density - survive(tf)) + survive(tf) - survive(ts)
 
 
+def _log_normal_shifted(xa, xb, xc, d, ts, tf):
+    c = np.exp(xc)
+    inside = lambda t: np.real(t - c) > 0
+    z = lambda t: (np.log(np.where(inside(t), t - c, 1.0)) - xa) / np.exp(xb)
+    survive = lambda t: np.where(inside(t), _log_normal_cdf(-z(t)), 0.0)
+    density = np.where(inside(tf), -z(tf) * z(tf) / 2 - 0.5 * np.log(2 * np.pi) - xb - np.log(np.where(inside(tf), tf - c, 1.0)), -np.inf)
+    return np.where(d > 0, density - survive(tf), 0.0) * d + survive(tf) - survive(ts)
+
+
 def _mixed(xa, xb, d, ts, tf):
     v = np.exp(xb)
     grown = lambda t: np.log1p(v * np.exp(xa) * t)
@@ -185,6 +217,7 @@ FAMILIES = {
     "gompertz": (2, _gompertz2),  # r = b exp(c t)
     "sickle": (2, _sickle),  # r = a t exp(-t / b)
     "log_normal": (2, _log_normal),  # S = 1 - Phi((ln t - xa) / b)
+    "log_normal_shifted": (3, _log_normal_shifted),  # S = 1 - Phi((ln(t - c) - xa) / b) from c = exp on; no event is before c
 }
 
 
@@ -205,10 +238,10 @@ def parametric(episodes: DataFrame, family: str, columns: Sequence[Sequence[str]
         if start is None:
             n, t = F.col("_w"), F.col("tf")
             mean = lambda v: F.sum(n * v) / F.sum(n)
-            one = rows.agg(F.sum(n * F.col("_d")).alias("e"), F.sum(n * (t - F.col("ts"))).alias("x"), mean(F.log(t)).alias("m"), F.sqrt(F.greatest(mean(F.log(t) * F.log(t)) - mean(F.log(t)) * mean(F.log(t)), F.lit(0.0))).alias("s"), mean(1 / t).alias("h"), mean(t).alias("w")).first()
+            one = rows.agg(F.sum(n * F.col("_d")).alias("e"), F.sum(n * (t - F.col("ts"))).alias("x"), mean(F.log(t)).alias("m"), F.sqrt(F.greatest(mean(F.log(t) * F.log(t)) - mean(F.log(t)) * mean(F.log(t)), F.lit(0.0))).alias("s"), mean(1 / t).alias("h"), mean(t).alias("w"), F.min(F.when(F.col("_d") > 0, t)).alias("z")).first()
             rate = np.log(max(one.e, 0.5) / one.x)
             spread = np.log(max(one.s or 1.0, 0.1))
-            first = {"inverse_gaussian": [rate, 0.5 * np.log(max(one.h - 1 / one.w, 1e-6))], "generalised_gamma": [one.m, spread], "weibull_mixture": [rate, 0.0, -1.0], "log_logistic_mixture": [rate, 0.0, -1.0], "sickle_mixture": [2 * rate, -rate, -1.0], "exponential_mixture": [rate, -1.0], "weibull": [rate, 0.0], "log_logistic": [rate, 0.0], "log_logistic_2": [rate, 0.0, rate], "gompertz_makeham": [rate - 2, rate, -1e-3 * np.exp(rate)], "gompertz": [rate, 0.0], "sickle": [2 * rate, -rate], "log_normal": [one.m, spread]}[family]
+            first = {"inverse_gaussian": [rate, 0.5 * np.log(max(one.h - 1 / one.w, 1e-6))], "generalised_gamma": [one.m, spread], "weibull_mixture": [rate, 0.0, -1.0], "log_logistic_mixture": [rate, 0.0, -1.0], "sickle_mixture": [2 * rate, -rate, -1.0], "exponential_mixture": [rate, -1.0], "weibull": [rate, 0.0], "log_logistic": [rate, 0.0], "log_logistic_2": [rate, 0.0, rate], "gompertz_makeham": [rate - 2, rate, -1e-3 * np.exp(rate)], "gompertz": [rate, 0.0], "sickle": [2 * rate, -rate], "log_normal": [one.m, spread], "log_normal_shifted": [one.m, spread, np.log(max(one.z or 1.0, 1e-6) / 2)]}[family]
             start = [v for k, d in enumerate(designs) for v in [first[k], *([0.0] * len(d))]]
         names = [f"{t}:{n}" for t, d in zip("ABC", designs) for n in ["constant", *d]]
         with np.errstate(all="ignore"):
@@ -221,27 +254,36 @@ _NODES, _WEIGHTS = np.polynomial.legendre.leggauss(24)
 
 
 def polynomial(episodes: DataFrame, columns: Sequence[str] = (), degree: int = 1, exponent: bool = False, des: int | None = None) -> Fit:
-    """r = a + sum of c_k t^k or, with exponent, exp(x coef_A + sum of c_k t^k), whose integral is taken by Gauss and Legendre's rule over each episode."""
-
-    def loglik(*args):
-        (xa, *c), (d, ts, tf) = args[:-3], args[-3:]
-        if not exponent:
-            a = np.exp(xa)
-            rate = a + sum(b * tf**k for k, b in enumerate(c, 1))
-            return d * np.log(rate) - a * (tf - ts) - sum(b * (tf ** (k + 1) - ts ** (k + 1)) / (k + 1) for k, b in enumerate(c, 1))
-        line = lambda t: xa + sum(b * t**k for k, b in enumerate(c, 1))
-        half = (tf - ts) / 2
-        return d * line(tf) - half * sum(w * np.exp(line(ts + half * (1 + x))) for x, w in zip(_NODES, _WEIGHTS))
+    """r = a + sum of c_k t^k or, with exponent, exp(x coef_A + sum of c_k t^k), whose integral is taken by Gauss and Legendre's rule over each episode.
 
+    A rate that is not positive at the end of every episode is no model. The fit is of times as shares of the longest one, so that steps are alike for all powers whatever the unit; coefficients are those of the times given.
+    """
     rows = _alike(episodes, des, columns).persist()
     try:
-        one = rows.agg(F.sum(F.col("_w") * F.col("_d")).alias("e"), F.sum(F.col("_w") * (F.col("tf") - F.col("ts"))).alias("x")).first()
-        start = [np.log(max(one.e, 0.5) / one.x), *([0.0] * (len(columns) + degree))]
+        w = F.col("_w")
+        one = rows.agg(F.sum(w * F.col("_d")).alias("e"), F.sum(w * (F.col("tf") - F.col("ts"))).alias("x"), F.max("tf").alias("t")).first()
+        unit, rate = float(one.t or 1.0), max(one.e or 0, 0.5) / (one.x or 1.0)
+
+        def loglik(*args):
+            (xa, *c), (d, ts, tf) = args[:-3], args[-3:]
+            if not exponent:  # the c_k are in units of the constant rate
+                a = np.exp(xa)
+                slope = lambda t, more: sum(rate * b * (t / unit) ** k * (t / (k + 1) if more else 1) for k, b in enumerate(c, 1))
+                r = a + slope(tf, False)
+                return d * np.log(np.where(np.real(r) > 0, r, np.nan)) - a * (tf - ts) - slope(tf, True) + slope(ts, True)
+            line = lambda t: xa + sum(b * (t / unit) ** k for k, b in enumerate(c, 1))
+            half = (tf - ts) / 2
+            return d * line(tf) - half * sum(g * np.exp(line(ts + half * (1 + x))) for x, g in zip(_NODES, _WEIGHTS))
+
+        start = [np.log(rate), *([0.0] * (len(columns) + degree))]
         names = ["constant", *columns, *[f"time_{k}" for k in range(1, degree + 1)]]
         with np.errstate(all="ignore"):
-            return maximise(by_predictors(rows, [list(columns), *([[]] * degree)], loglik, ["_d", "ts", "tf"], "_w"), start, names, steps=100)
+            fit = maximise(by_predictors(rows, [list(columns), *([[]] * degree)], loglik, ["_d", "ts", "tf"], "_w"), start, names, steps=100)
     finally:
         rows.unpersist()
+    back = np.array([1.0] * (1 + len(columns)) + [(1.0 if exponent else rate) / unit**k for k in range(1, degree + 1)])
+    fit.coef, fit.covariance = fit.coef * back, fit.covariance * np.outer(back, back)
+    return fit
 
 
 def discrete_time(episodes: DataFrame, columns: Sequence[str] = (), degree: int = 1, link: str = "logit", des: int | None = None) -> Fit:

@@ -5,6 +5,7 @@ The rows stay distributed; the driver sees sums as many as the square of the par
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -16,13 +17,14 @@ from pyspark.sql import functions as F
 
 @dataclass
 class Fit:
-    """names, coef and covariance of the estimates, the log-likelihood at them, and the steps taken."""
+    """names, coef and covariance of the estimates, the log-likelihood at them, the steps taken, and whether they have settled."""
 
     names: list[str]
     coef: np.ndarray
     covariance: np.ndarray
     loglik: float
     steps: int
+    converged: bool = True
 
     @property
     def se(self) -> np.ndarray:
@@ -34,8 +36,11 @@ class Fit:
 
 
 def maximise(sums: Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray]], start: Sequence[float], names: Sequence[str], steps: int = 50, tol: float = 1e-9) -> Fit:
-    """Newton steps, halved while the value falls. sums(b): value, gradient, information (minus the second derivatives)."""
-    b = np.asarray(start, float)
+    """Newton steps, halved while the value falls. sums(b): value, gradient, information (minus the second derivatives).
+
+    Steps that have not settled, at the last one or where no part of one raises the value, are told by converged and a warning.
+    """
+    b, settled = np.asarray(start, float), False
     value, grad, info = sums(b)
     k = 0
     for k in range(1, steps + 1):
@@ -52,16 +57,20 @@ def maximise(sums: Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray]],
         scale = 1.0
         for _ in range(30):
             trial = sums(b + scale * move)
-            if np.isfinite(trial[0]) and trial[0] >= value - 1e-9 * (1 + abs(value)):
+            if all(np.isfinite(x).all() for x in trial) and trial[0] >= value - 1e-9 * (1 + abs(value)):
                 break
             scale /= 2
         else:
+            settled = abs(grad @ move) <= 1e-6 * (1 + abs(value))  # nothing more to gain
             break
         b, gain = b + scale * move, trial[0] - value
         value, grad, info = trial
         if abs(gain) <= tol * (1 + abs(value)) and np.abs(scale * move).max() <= 1e-6 * (1 + np.abs(b).max()):
+            settled = True
             break
-    return Fit(list(names), b, np.linalg.pinv(info), float(value), k)
+    if not settled:
+        warnings.warn(f"the estimates have not settled after {k} steps", RuntimeWarning, stacklevel=2)
+    return Fit(list(names), b, np.linalg.pinv(info), float(value), k, settled)
 
 
 def gram(df: DataFrame, columns: Sequence[Column], weight: Column | None = None) -> np.ndarray:

@@ -141,7 +141,7 @@ def constant_rates(spark, sf_dir):
 
 @query(f"""
     WITH e AS ({_EPISODES}), p AS (SELECT * FROM (VALUES (0, 0.0, 200.0), (1, 200.0, 600.0), (2, 600.0, 1e9)) v(period, a, b))
-    SELECT period::BIGINT AS period, a::DOUBLE AS start, sum(CASE WHEN tf <= b THEN d ELSE 0 END)::DOUBLE AS events, round(sum(least(tf, b) - a), 3) AS exposure, round(sum(CASE WHEN tf <= b THEN d ELSE 0 END) / sum(least(tf, b) - a), 10) AS rate FROM e JOIN p ON tf > a GROUP BY period, a""")
+    SELECT period::BIGINT AS period, a::DOUBLE AS start, sum(CASE WHEN a <= tf AND tf < b THEN d ELSE 0 END)::DOUBLE AS events, round(sum(least(tf, b) - a), 3) AS exposure, round(sum(CASE WHEN a <= tf AND tf < b THEN d ELSE 0 END) / sum(least(tf, b) - a), 10) AS rate FROM e JOIN p ON tf >= a GROUP BY period, a""")
 def rates_by_period(spark, sf_dir):
     out = rates.occurrence_rates(shipping(spark, sf_dir), [0, 200, 600])
     return plain(out.withColumn("exposure", F.round("exposure", 3)), 10)
@@ -156,7 +156,7 @@ def exponential_model(spark, sf_dir):
 
 
 @query(f"""
-    WITH e AS ({_EPISODES}), p AS (SELECT * FROM (VALUES (0, 0.0, 200.0), (1, 200.0, 600.0), (2, 600.0, 1e9)) v(k, a, b)), r AS (SELECT k, ln(sum(CASE WHEN tf <= b THEN d ELSE 0 END) / sum(least(tf, b) - a)) AS r FROM e JOIN p ON tf > a GROUP BY k)
+    WITH e AS ({_EPISODES}), p AS (SELECT * FROM (VALUES (0, 0.0, 200.0), (1, 200.0, 600.0), (2, 600.0, 1e9)) v(k, a, b)), r AS (SELECT k, ln(sum(CASE WHEN a <= tf AND tf < b THEN d ELSE 0 END) / sum(least(tf, b) - a)) AS r FROM e JOIN p ON tf >= a GROUP BY k)
     SELECT CASE k WHEN 0 THEN 'constant' ELSE 'period_' || k END AS term, round(CASE k WHEN 0 THEN r ELSE r - (SELECT r FROM r WHERE k = 0) END, 5) AS coef FROM r""")
 def piecewise_model(spark, sf_dir):
     return plain(rates.piecewise(shipping(spark, sf_dir), [0, 200, 600]).table(spark).select("term", "coef"), 5)
@@ -176,8 +176,7 @@ def discrete_time_model(spark, sf_dir):
 
 @query()
 def polynomial_model(spark, sf_dir):
-    e = shipping(spark, sf_dir).withColumn("tf", F.col("tf") / 1000)
-    return plain(rates.polynomial(e, exponent=True).table(spark), 3)
+    return plain(rates.polynomial(shipping(spark, sf_dir), exponent=True).table(spark).select("term", "ratio"), 2)
 
 
 @query()

@@ -34,20 +34,21 @@ def graph_blocks(spark, sf_dir):
     return blocks.blocks(talks(spark, sf_dir))
 
 
-# Conversations in one chain by their order, and for each thousand of them a hub linked to those of an even number of turns.
+# Conversations in one chain by their order; for each thousand of them a hub linked to those of an even number of turns; and a node of its own for each with 3, 6, ... turns.
 _CHAIN = "p AS (SELECT row_number() OVER (ORDER BY conv_id) AS p, n FROM (SELECT conv_id, count(*) AS n FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id))"
 
 
 @query(f"""
     WITH {_CHAIN}, h AS (SELECT p // 1000 AS hub, min(p) AS first, max(p) AS last FROM p WHERE n % 2 = 0 GROUP BY 1),
-    x AS (SELECT p AS node, (p > 1)::INT + (p < (SELECT count(*) FROM p))::INT + coalesce(first = p AND last = p, false)::INT AS blocks, coalesce(first < p AND p < last, false) AS passed FROM p LEFT JOIN h ON hub = p // 1000)
-    SELECT node, blocks::BIGINT AS blocks FROM x WHERE blocks > 1 AND NOT passed""")
+    x AS (SELECT p AS node, (n % 3 = 0)::INT + CASE WHEN coalesce(first < p AND p < last, false) THEN 1 ELSE (p > 1)::INT + (p < (SELECT count(*) FROM p))::INT + coalesce(first = p AND last = p, false)::INT END AS blocks FROM p LEFT JOIN h ON hub = p // 1000)
+    SELECT node, blocks::BIGINT AS blocks FROM x WHERE blocks > 1""")
 def cut_nodes(spark, sf_dir):
     n = table(spark, sf_dir, "conversations").where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.count("*").alias("n"))
     p = settled(positions(n, "conv_id", "p"))
     link = p.join(p.select((F.col("p") - 1).alias("p")), "p").select(F.col("p").alias("i"), (F.col("p") + 1).alias("j"))
     hubs = p.where("n % 2 = 0").select((-1 - F.floor(F.col("p") / 1000)).alias("i"), F.col("p").alias("j"))
-    return blocks.cut_nodes(blocks.blocks(link.unionByName(hubs)))
+    own = p.where("n % 3 = 0").select((-1_000_000_000 - F.col("p")).alias("i"), F.col("p").alias("j"))
+    return blocks.cut_nodes(blocks.blocks(link.unionByName(hubs).unionByName(own)))
 
 
 @query(f"WITH RECURSIVE {_WITHOUT} SELECT i, j FROM e WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.v = e.i AND r.node = e.j AND r.s <> e.j)")

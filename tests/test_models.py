@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from epochal.operators import clusters, describe, episodes, graphs, intervals, rates, regression, sequences, smoothing, survival
+from epochal.plans.fitting import maximise
 
 #: Remission of leukaemia patients (weeks, 1 = relapse), the classic two groups.
 TREATED = [(6, 1), (6, 1), (6, 1), (6, 0), (7, 1), (9, 0), (10, 1), (10, 0), (11, 0), (13, 1), (16, 1), (17, 0), (19, 0), (20, 0), (22, 1), (23, 1), (25, 0), (32, 0), (32, 0), (34, 0), (35, 0)]
@@ -294,3 +295,69 @@ def test_smoothers(spark):
     assert [r.smooth for r in smoothing.lowess(df, "k", "x", ["g"]).orderBy("k").collect()] == pytest.approx(range(20), abs=1e-8)
     assert [r.s for r in smoothing.resistant(df, "x", "k", "s", "3H", ["g"]).orderBy("k").collect()] == pytest.approx(range(20))
     assert [r.smooth for r in smoothing.spline(df, "k", "x", ["g"]).orderBy("k").collect()] == pytest.approx(range(20), abs=1e-3)
+
+
+def test_events_at_the_ends_of_periods(spark):
+    rows = [(1, 12.0, 1), (2, 12.0, 0), (3, 24.0, 1), (4, 5.0, 1), (5, 30.0, 1), (6, 30.0, 0), (7, 11.0, 1)]
+    e = episodes.checked(episodes.define(spark.createDataFrame(rows, "id long, tf double, d int"), F.lit(0), "tf", 0, "d", "id"))
+    got = {r.period: (r.events, r.exposure) for r in rates.occurrence_rates(e, [0, 12, 24]).collect()}
+    assert got == {0: (2, 5 + 11 + 5 * 12), 1: (1, 3 * 12), 2: (2, 12)}  # events at 12 and 24 are those of the periods that begin there
+    fit = rates.piecewise(e, [0, 12, 24])
+    log = [np.log(d / x) for d, x in got.values()]
+    assert fit.coef == pytest.approx([log[0], log[1] - log[0], log[2] - log[0]], abs=1e-7)
+    assert fit.loglik == pytest.approx(sum(d * np.log(d / x) - d for d, x in got.values()))
+    x = e.withColumn("x", F.when(F.col("id") % 2 == 0, 1.0).otherwise(0.0))
+    by = rates.piecewise(x, [0, 12], ["x"], specific=True)
+    for z in (0, 1):
+        cell = {r.period: np.log(r.rate) for r in rates.occurrence_rates(x.where(F.col("x") == z), [0, 12]).where("events > 0").collect()}
+        b = dict(zip(by.names, by.coef))
+        for k, v in cell.items():
+            assert b["constant"] + z * b["x"] + (b["period_1"] + z * b["x_1"] if k else 0) == pytest.approx(v, abs=1e-6)
+
+
+def test_polynomials_of_long_times(spark):
+    """Estimates and their errors don't depend on the unit of time, in which t^2 may be 10^6."""
+    rng = np.random.default_rng(12)
+    u = rng.random(3000)
+    rows = [(k, float(np.round(min(t, 900.0), 1)) + 0.1, int(t <= 900.0), float(k % 2)) for k, t in enumerate(-np.log(u) / 0.004)]
+    df = spark.createDataFrame(rows, "id long, tf double, d int, x double")
+    of = lambda unit: episodes.checked(episodes.define(df.withColumn("tf", F.col("tf") / unit), F.lit(0), "tf", 0, "d", "id", keep=["x"]))
+    for exponent in (False, True):
+        long_, short = (rates.polynomial(of(unit), ["x"], 2, exponent) for unit in (1.0, 1000.0))
+        assert long_.converged and short.converged
+        back = np.array([1, 1, 1e3, 1e6]) if exponent else np.array([1, 1, 1e6, 1e9])
+        move = np.array([np.log(1000.0), 0, 0, 0])
+        assert long_.coef * back + move == pytest.approx(short.coef, rel=1e-4, abs=1e-5)
+        assert long_.se * back == pytest.approx(short.se, rel=1e-4)
+    # against sums by numpy: the score of exp(a + b t) at the estimate is 0
+    fit = rates.polynomial(of(1.0), [], 1, True)
+    a, b = fit.coef
+    tf, d = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    grown = (np.exp(a + b * tf) - np.exp(a)) / b
+    assert d.sum() == pytest.approx(grown.sum(), rel=1e-6)
+    assert (d * tf).sum() == pytest.approx((tf * np.exp(a + b * tf) / b - grown / b).sum(), rel=1e-5)
+
+
+def test_estimates_that_do_not_settle(spark):
+    """Exponential times have no constant besides b exp(c t): its log falls for ever."""
+    u = np.random.default_rng(3).random(400)
+    e = simulated(spark, -np.log(u) * 3, np.zeros(400)).withColumn("tf", F.col("tf") * 1.0)
+    with pytest.warns(RuntimeWarning, match="not settled"):
+        fit = maximise(lambda b: (-float(np.exp(-b[0])), np.exp(-b), np.diag(np.exp(-b))), [0.0], ["b"], steps=20)
+    assert not fit.converged
+    assert rates.exponential(e).converged
+
+
+def test_more_families(spark):
+    rng = np.random.default_rng(17)
+    n, x = 4000, np.zeros(4000)
+    u = rng.random(n)
+    # S = (1 + (a t)^b)^(-c / a), a = 1/2, b = 2, c = 1/3
+    times = ((u ** (-0.5 / (1 / 3)) - 1) ** 0.5) / 0.5
+    fit = rates.parametric(simulated(spark, times, x), "log_logistic_2")
+    assert fit.converged and np.exp(fit.coef) == pytest.approx([0.5, 2, 1 / 3], rel=0.2)
+    shifted = 0.5 + np.exp(0.3 + 0.6 * rng.normal(size=n))
+    fit = rates.parametric(simulated(spark, shifted, x), "log_normal_shifted")
+    assert fit.converged and fit.coef == pytest.approx([0.3, np.log(0.6), np.log(0.5)], abs=0.15)
+    plain = rates.parametric(simulated(spark, shifted, x), "log_normal")
+    assert fit.loglik > plain.loglik
