@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from epochal.operators import blocks, planar, smoothing, tall
+from epochal.functions.special import np_bivariate_normal
+from epochal.operators import blocks, orthants, planar, regression, smoothing, tall
 
 rng = random.Random(11)
 GRAPHS = {
@@ -181,3 +182,50 @@ def test_tall(spark):
     rows = np.array([(r.u1, r.u2) for r in tall.left_vectors(df, ["a", "b", "c"]).select("u1", "u2").collect()])
     assert rows.T @ rows == pytest.approx(np.eye(2), abs=1e-8)
     assert tall.singular_values(df.limit(0), ["a", "b"])[0] == pytest.approx([0, 0])
+
+
+def test_normal_distribution_of_several_dimensions(spark):
+    bounds = np.array([[0.3, -0.5], [1.0, 2.0], [-3.0, 0.1], [0.0, 0.0]])
+    r = np.array([[1, 0.6], [0.6, 1]])
+    assert orthants.np_orthant(bounds, r, np.zeros(4)) == pytest.approx(np_bivariate_normal(bounds[:, 0], bounds[:, 1], np.full(4, 0.6)), abs=1e-5)
+    for m in (1, 2, 3, 4, 5):  # of equal correlations of a half, at 0
+        got = orthants.np_orthant(np.zeros((3, m)), np.full((m, m), 0.5) + 0.5 * np.eye(m), np.array([0.1, 0.5, 0.9]))
+        assert got == pytest.approx(np.full(3, 1 / (m + 1)), rel=0.005)
+    df = spark.createDataFrame([(0.0, 0.0, 0.0), (None, 0.0, 1.0), (1.0, 1.0, 9.0)], "a double, b double, c double")
+    got = [x.p for x in df.select(orthants.multivariate_normal(["a", "b", "c"], np.eye(3)).alias("p")).collect()]
+    assert got[0] == pytest.approx(1 / 8, abs=1e-6) and got[1] is None and got[2] == pytest.approx(0.8413447**2, abs=1e-5)
+    assert np.isnan(orthants.np_orthant(np.zeros((1, 2)), np.array([[1.0, 2.0], [2.0, 1.0]]), np.zeros(1))).all()
+
+
+def test_simultaneous_probit(spark):
+    draw = np.random.default_rng(5)
+    n = 1500
+    x = draw.normal(size=n).round(1)
+    e = draw.multivariate_normal([0, 0], [[1, 0.5], [0.5, 1]], n)
+    rows = [(float(v), int(0.3 + 0.8 * v + a > 0), int(-0.2 - 0.5 * v + b > 0)) for v, (a, b) in zip(x, e)]
+    df = spark.createDataFrame([*rows, (None, 1, 0)], "x double, a int, b int")
+    fit = orthants.simultaneous_probit(df, [("a", ["x"]), ("b", ["x"])])
+    assert fit.converged and np.abs(fit.coef - [0.3, 0.8, -0.2, -0.5, 0.5]).max() < 0.15
+    assert (np.abs(fit.coef - [0.3, 0.8, -0.2, -0.5, 0.5]) < 3.5 * fit.se).all()
+    apart = orthants.simultaneous_probit(df, [("a", ["x"]), ("b", ["x"])], correlated=[])
+    single = [regression.probit(df, y, ["x"]) for y in "ab"]
+    assert apart.coef == pytest.approx(np.concatenate([s.coef for s in single]), abs=1e-4)
+    assert apart.se == pytest.approx(np.concatenate([s.se for s in single]), rel=1e-3)
+    assert apart.loglik == pytest.approx(sum(s.loglik for s in single), abs=1e-4) and fit.loglik > apart.loglik
+
+
+def test_multinomial_probit(spark):
+    draw = np.random.default_rng(5)
+    n = 600
+    x, z = draw.normal(size=n).round(1), draw.normal(size=(n, 3)).round(1)
+    e = draw.multivariate_normal([0, 0, 0], [[1, 0, 0], [0, 1, 0.6], [0, 0.6, 1]], n)
+    use = np.column_stack([np.zeros(n), 0.4 + 0.7 * x, -0.3 - 0.4 * x]) + 0.8 * z + e
+    df = spark.createDataFrame([(float(v), int(k) + 1, *map(float, w)) for v, k, w in zip(x, use.argmax(1), z)], "x double, y int, z1 double, z2 double, z3 double")
+    fit = orthants.multinomial_probit(df, "y", ["x"], [1, 2, 3], [(1, 2)], {"z": ["z1", "z2", "z3"]})
+    assert fit.names == ["2:constant", "2:x", "3:constant", "3:x", "z", "correlation_1_2"] and fit.converged
+    assert (np.abs(fit.coef - [0.4, 0.7, -0.3, -0.4, 0.8, 0.6]) < 3.5 * fit.se).all()
+    # of two categories it is a probit of half the variance
+    two = df.where("y < 3")
+    fit = orthants.multinomial_probit(two, "y", ["x"], [1, 2])
+    one = regression.probit(two.withColumn("y", F.col("y") - 1), "y", ["x"])
+    assert fit.coef == pytest.approx(one.coef * np.sqrt(2), abs=1e-4) and fit.loglik == pytest.approx(one.loglik, abs=1e-5)
