@@ -1,4 +1,4 @@
-"""Blocks, cut nodes, bridges and fundamental cycles of undirected graphs of any size.
+"""Blocks, cut nodes, bridges, fundamental cycles and cliques of undirected graphs of any size.
 
 A spanning forest grows by parts that hook onto each other; its Euler tour is a linked list of arcs whose places are found by
 pointer doubling. A node's subtree is then a range of places, and what a search in depth would carry along is an aggregate over
@@ -7,11 +7,12 @@ ranges, which are cut into blocks of powers of two. Every round is a few joins o
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.iterate import discard, settled
-from .graphs import components, nodes
+from .graphs import _tri, components, nodes
 
 #: The neighbours of a node are dealt into so many lists, which are linked: a hub is no single group.
 LISTS = 64
@@ -198,3 +199,51 @@ def cycles(edges: DataFrame) -> DataFrame:
         upper = rows.where(more).join(ups[k], "v").select("i", "j", F.col("up").alias("v"), (F.col("n") - step).alias("n"), (F.col("place") + step * F.col("way")).alias("place"), "way")
         rows = settled(rows.withColumn("n", F.least("n", F.lit(step).cast("long"))).unionByName(upper), rows)
     return rows.select("i", "j", "place", F.col("v").alias("node"))
+
+
+def _grown(near: dict[int, set[int]]) -> list[list[int]]:
+    """All maximal cliques of a small graph given as neighbours of each node; a pivot leaves out what its neighbours lead to."""
+    out, todo = [], [([], set(near), set())]
+    while todo:
+        held, may, done = todo.pop()
+        if not may and not done:
+            out.append(held)
+            continue
+        pivot = max(may | done, key=lambda v: len(near[v] & may))
+        for v in list(may - near[pivot]):
+            todo.append(([*held, v], may & near[v], done & near[v]))
+            may.remove(v)
+            done.add(v)
+    return out
+
+
+def cliques(edges: DataFrame, least: int = 2) -> DataFrame:
+    """clique (sorted array of nodes) and size of all maximal cliques of least nodes or more.
+
+    Edges point to their end of the higher degree (ties to the larger node), so that a node has at most the root of twice the edges after
+    it. A clique is found at its first node, in the graph of the nodes after it, which one task holds; it is maximal unless a node before that one is
+    linked to all of it. Their number may be exponential in the most nodes after one.
+    """
+    e = settled(undirected(edges))
+    deg = e.select(F.explode(F.array("i", "j")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
+    of = lambda c: deg.select(F.col("node").alias(c), F.col("d").alias(f"d{c}"))
+    first = F.struct("di", "i") < F.struct("dj", "j")
+    arcs = settled(e.join(of("i"), "i").join(of("j"), "j").select(F.when(first, F.col("i")).otherwise(F.col("j")).alias("a"), F.when(first, F.col("j")).otherwise(F.col("i")).alias("b")))
+    inner = _tri(e.select("i", "j")).select("a", "b", "c")
+    rows = arcs.select("a", "b", F.lit(None).cast("long").alias("c")).unionByName(inner)
+
+    def found(f: pd.DataFrame) -> pd.DataFrame:
+        near: dict[int, set[int]] = {int(v): set() for v in f["b"]}
+        for b, c in f.dropna(subset=["c"])[["b", "c"]].astype("int64").itertuples(index=False):
+            near[b].add(c)
+            near[c].add(b)
+        a = int(f["a"].iloc[0])
+        return pd.DataFrame({"a": a, "rest": [sorted(c) for c in _grown(near)]})
+
+    got = settled(rows.groupBy("a").applyInPandas(found, "a long, rest array<long>").withColumn("id", F.monotonically_increasing_id()))
+    before = got.select("id", "a", "rest").join(arcs.select(F.col("b").alias("a"), F.col("a").alias("x")), "a")
+    links = before.select("id", "x", F.size("rest").alias("n"), F.explode("rest").alias("w"))
+    links = links.join(e.select("i", "j"), (F.least("x", "w") == F.col("i")) & (F.greatest("x", "w") == F.col("j")))
+    wider = links.groupBy("id", "x").agg(F.first("n").alias("n"), F.count("*").alias("seen")).where("seen = n").select("id").distinct()
+    out = got.join(wider, "id", "left_anti").select(F.array_sort(F.concat(F.array("a"), "rest")).alias("clique"))
+    return out.withColumn("size", F.size("clique")).where(F.col("size") >= least)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import blocks, graphs, planar, smoothing, tall
+from ..operators import blocks, graphs, orthants, planar, smoothing, tall
 from ..plans.ordered import positions
 from ..plans.iterate import settled
 from .registry import plain, query, table
@@ -87,6 +87,25 @@ def enclosed_polygons(spark, sf_dir):
     return plain(found.select("x_min", "y_min", "x_max", "y_max", "area", "nodes"), 4)
 
 
+# Conversations of the same eight are linked unless their product, with the number of turns of the smaller one, is a multiple of three.
+_EIGHTS = """
+    SELECT a.conv_id AS i, b.conv_id AS j FROM (SELECT conv_id, count(*) AS n FROM conversations WHERE conv_id >= 0 GROUP BY conv_id) a
+    JOIN (SELECT DISTINCT conv_id FROM conversations) b ON b.conv_id > a.conv_id AND b.conv_id // 8 = a.conv_id // 8 WHERE (a.conv_id * b.conv_id + a.n) % 3 <> 0"""
+
+
+@query(f"""
+    WITH RECURSIVE e AS ({_EIGHTS}), l AS (SELECT node, list(other) AS near FROM (SELECT i AS node, j AS other FROM e UNION ALL SELECT j, i FROM e) GROUP BY node),
+    c(k) AS (SELECT [i, j] FROM e UNION ALL SELECT list_append(c.k, m.node) FROM c JOIN e ON e.i = c.k[-1] JOIN l m ON m.node = e.j WHERE len(list_intersect(c.k, m.near)) = len(c.k))
+    SELECT array_to_string(k, '-') AS clique, len(k)::BIGINT AS size FROM c WHERE NOT EXISTS (SELECT 1 FROM l WHERE len(list_intersect(c.k, l.near)) = len(c.k))""")
+def maximal_cliques(spark, sf_dir):
+    n = table(spark, sf_dir, "conversations").where("conv_id >= 0").groupBy("conv_id").agg(F.count("*").alias("n"))
+    n = settled(n)
+    eight = F.floor(F.col("conv_id") / 8) * 8
+    near = n.select("conv_id", "n", F.explode(F.sequence(eight, eight + 7)).alias("j")).where("j > conv_id").join(n.select(F.col("conv_id").alias("j")), "j")
+    e = near.where((F.col("conv_id") * F.col("j") + F.col("n")) % 3 != 0).select(F.col("conv_id").alias("i"), "j")
+    return plain(blocks.cliques(e).select(F.array_join(F.col("clique").cast("array<string>"), "-").alias("clique"), "size"))
+
+
 _SERIES = "SELECT lang, doc_id::DOUBLE AS x, ln(n_chars + 1) AS y FROM documents WHERE doc_id IS NOT NULL AND n_chars IS NOT NULL"
 _LOCAL = """
     f{n} AS (SELECT id, CASE WHEN h > 0 AND w2 - w1 * w1 / w0 > 1e-12 THEN v0 / w0 - (v1 - w1 * v0 / w0) / (w2 - w1 * w1 / w0) * w1 / w0 ELSE v0 / w0 END AS fit FROM (
@@ -125,3 +144,11 @@ def stable_least_squares(spark, sf_dir):
     """c from a and a + b / 10^7, which are nearly the same; the slopes of a and b that follow."""
     fit = tall.least_squares(vectors(spark, sf_dir).withColumn("near", F.col("a") + F.col("b") * 1e-7), "c", ["a", "near"])
     return plain(spark.createDataFrame([(float(fit.coef[1] + fit.coef[2]), float(fit.coef[2] * 1e-7))], "slope_a double, slope_b double"))
+
+
+@query()
+def joint_outcomes(spark, sf_dir):
+    """Quality and toxicity of labelled documents by their length, with errors that are correlated."""
+    d = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", F.round(F.log(F.col("n_chars") + 1.0)).alias("length")), "doc_id")
+    fit = orthants.simultaneous_probit(d.select("quality", "toxic", (F.col("length") / 10).alias("length")), [("quality", ["length"]), ("toxic", ["length"])])
+    return plain(fit.table(spark), 4)

@@ -87,6 +87,24 @@ def test_cycles(spark, name):
     assert len(walks) == len(edges) - len(part) + sum(part[v] == v for v in part)
 
 
+@pytest.mark.parametrize("name", sorted(GRAPHS))
+def test_cliques(spark, name):
+    edges = simple(GRAPHS[name] + [(a, b) for a in range(5, 12) for b in range(a) if (a, b) not in ((7, 3), (9, 5))] * (name == "random"))
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    grown, want = [[v] for v in sorted(near)], set()
+    while grown:
+        c = grown.pop()
+        common = set.intersection(*(near[v] for v in c))
+        if not common:
+            want.add(tuple(c))
+        grown += [[*c, v] for v in common if v > c[-1]]
+    got = [tuple(r.clique) for r in blocks.cliques(spark.createDataFrame(edges, "i long, j long")).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_no_edges(spark):
     none = spark.createDataFrame([(1, 1)], "i long, j long")
     assert blocks.blocks(none).collect() == [] and blocks.cycles(none).collect() == []
