@@ -122,14 +122,13 @@ def averaged_ends(df: DataFrame, lo: str = "lo", hi: str = "hi") -> DataFrame:
     return out.withColumnsRenamed({"a": "lo", "b": "hi"})
 
 
-
 def variance_bounds(df: DataFrame, lo: str = "lo", hi: str = "hi", rounds: int = 50) -> DataFrame:
     """One row: n, mean_lo, mean_hi, the variances (by n) of all lower and of all upper ends, the least variance, the mean at it, and the most.
 
     The least is that of values as near to one mean as their intervals let them: the mean where the sum of what they lack changes its
     sign, found by running sums over distinct ends. For the most, values go to the end away from the mean: an interval whose middle is
     outside the range of the mean has its end fixed, which narrows the range, an aggregate a round. Where intervals stay open the
-    most is null.
+    most is null; largest_variance has it or bounds of it then.
     """
     spark = df.sparkSession
     rows = df.where(F.col(lo) <= F.col(hi)).select(F.col(lo).cast("double").alias("a"), F.col(hi).cast("double").alias("b"))
@@ -159,6 +158,63 @@ def variance_bounds(df: DataFrame, lo: str = "lo", hi: str = "hi", rounds: int =
     return spark.createDataFrame([(one.n, one.ma, one.mb, one.va, one.vb, least, mean, most)], shape)
 
 
+#: Choices of open ends that are tried one by one.
+CHOICES = 2**18
+
+
+def largest_variance(df: DataFrame, lo: str = "lo", hi: str = "hi") -> DataFrame:
+    """One row: n, the largest variance (by n) that is found of values in their intervals, a bound that none exceeds, and whether both are one (exact).
+
+    Values are at ends: with F(c) the mean square distance from c of the ends that are further from c, no variance is above the least F. F's least is
+    at a mean of such ends, and then is a variance, or at a middle c, about which ends are open. Both come from running sums over distinct
+    middles. The mean of the best values is within root(sum of squared widths) / n of c, so that an interval whose middle is farther off by its width / 2 n has
+    its end fixed; where the open ones leave up to CHOICES choices, or are equal to each other, the best is told. Else both are given as they are.
+    """
+    spark, shape = df.sparkSession, "n long, largest double, at_most double, exact boolean"
+    rows = df.where(F.col(lo) <= F.col(hi)).select(F.col(lo).cast("double").alias("a"), F.col(hi).cast("double").alias("b"))
+    one = rows.agg(F.count("*").alias("n"), F.avg((F.col("a") + F.col("b")) / 2).alias("at"), F.sum((F.col("b") - F.col("a")) * (F.col("b") - F.col("a"))).alias("w2")).first()
+    if not one.n:
+        return spark.createDataFrame([], shape)
+    n, r = one.n, float(np.sqrt(one.w2)) / one.n
+    cells = settled(rows.select((F.col("a") - one.at).alias("a"), (F.col("b") - one.at).alias("b")).groupBy("a", "b").agg(F.count("*").alias("c")))  # about 0: squares keep their digits
+    c, square = F.col("c"), lambda x: F.col(x) * F.col(x)
+    middle = (F.col("a") + F.col("b")) / 2
+    all_ = cells.agg(F.sum(c * F.col("b")).alias("b"), F.sum(c * square("b")).alias("b2"), F.min(middle).alias("first")).first()
+    steps = cells.groupBy(middle.alias("m")).agg(F.sum(c * (F.col("a") - F.col("b"))).alias("d"), F.sum(c * (square("a") - square("b"))).alias("d2"))
+    steps = running(settled(steps), "m", {"s": F.col("d"), "q": F.col("d2")})  # what changes when all up to m are at their lower ends
+    mean, mean2 = (all_.b + F.col("s")) / n, (all_.b2 + F.col("q")) / n
+    # from m on to the next middle F is mean2 - 2 c mean + c^2
+    steps = neighbours(steps.select("m", mean.alias("u"), mean2.alias("u2")), "m", {"to": ("m", 1)})
+    at = F.greatest("m", F.least("u", F.coalesce("to", "u")))
+    least = steps.select((F.col("u2") - 2 * at * F.col("u") + at * at).alias("f"), at.alias("c"), (F.col("u2") - F.col("u") * F.col("u")).alias("v"))
+    got = least.agg(F.min(F.struct("f", "c")).alias("low"), F.max("v").alias("v")).first()
+    start = min(all_.first, all_.b / n)  # before the first middle
+    bound, near, best = min((got.low.f, got.low.c), (all_.b2 / n - 2 * start * all_.b / n + start * start, start)) + (max(got.v, all_.b2 / n - (all_.b / n) ** 2),)
+    exact = bound - best <= 1e-12 * (1 + abs(bound))
+    if not exact:
+        far = F.abs(middle - near) > r + (F.col("b") - F.col("a")) / (2 * n) + 1e-12
+        fixed = F.when(far, F.when(middle > near, F.col("b")).otherwise(F.col("a")))
+        held = cells.agg(F.coalesce(F.sum(c * fixed), F.lit(0.0)).alias("s"), F.coalesce(F.sum(c * fixed * fixed), F.lit(0.0)).alias("q")).first()
+        ends = cells.where(~far).limit(int(np.log2(CHOICES)) + 1).collect()  # more than these are too many in any case
+        if np.prod([float(e.c + 1) for e in ends]) <= CHOICES:
+            s, q = np.array([held.s]), np.array([held.q])
+            for e in ends:
+                k = np.arange(e.c + 1)  # so many at the lower end
+                s = (s[:, None] + k * e.a + (e.c - k) * e.b).ravel()
+                q = (q[:, None] + k * e.a**2 + (e.c - k) * e.b**2).ravel()
+            best = bound = max(best, float((q / n - (s / n) ** 2).max()))
+            exact = True
+        elif len(ends) == 1:  # equal intervals: the variance is concave in the number at the lower end
+            (e,) = ends
+            top = (e.a + e.b) * n / (2 * (e.a - e.b)) - (held.s + e.c * e.b) / (e.a - e.b)
+            k = np.clip(np.array([np.floor(top), np.ceil(top)]), 0, e.c)
+            s, q = held.s + k * e.a + (e.c - k) * e.b, held.q + k * e.a**2 + (e.c - k) * e.b**2
+            best = bound = max(best, float((q / n - (s / n) ** 2).max()))
+            exact = True
+    discard(cells)
+    return spark.createDataFrame([(n, float(best), float(max(bound, best)), bool(exact))], shape)
+
+
 def means_above(df: DataFrame, lo: str = "lo", hi: str = "hi") -> DataFrame:
     """x and mean: for each distinct lower end the mean of what lies above it, values being spread evenly over their intervals; null
     where nothing does. Sums from the far end over the lines of the mean distribution."""

@@ -1,5 +1,7 @@
 """Functions that no query calls, against plain Python."""
 
+import itertools
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -241,3 +243,28 @@ def test_linkages(spark, linkage):
             parts[r.a] = parts[r.a] + parts.pop(r.b)
             assert r.size == len(parts[r.a])
         assert len(parts) == 1
+
+
+def test_largest_variance(spark):
+    """All choices of ends by brute force; where it isn't exact, the best is between what is found and the bound."""
+    rng = np.random.default_rng(8)
+    cases = [[(0, 4), (1, 2), (1, 5), (3, 3.5)], [(0, 2)] * 5, [(1, 1)], [(0, 2), (-1, 3), (-2, 4), (1, 1)], [(5, 5)] * 4]
+    for n in (3, 8, 12):
+        a = rng.integers(0, 12, n) * 1.0
+        cases.append(list(zip(a, a + rng.integers(0, 8, n))))
+    shift = 1e6 + rng.random(12) * 3
+    cases.append(list(zip(shift, shift + rng.random(12))))
+    for case in cases:
+        got = intervals.largest_variance(spark.createDataFrame([(float(a), float(b)) for a, b in case], "lo double, hi double")).first()
+        want = max(np.var(x) for x in itertools.product(*case))
+        assert got.exact and (got.n, got.largest) == (len(case), pytest.approx(want, rel=1e-9, abs=1e-9)), case
+    a = rng.random(400) * 10
+    many = spark.createDataFrame([(float(x), float(x + 3 * w)) for x, w in zip(a, rng.random(400))], "lo double, hi double")
+    got = intervals.largest_variance(many).first()
+    assert got.largest <= got.at_most <= got.largest + 9 / 20
+    same = spark.range(300_000).select(F.lit(1.0).alias("lo"), F.lit(4.0).alias("hi"))
+    got = intervals.largest_variance(same.union(spark.createDataFrame([(9.0, 9.0)], "lo double, hi double"))).first()
+    k = np.arange(300_001)
+    total, squares = 9 + k + (300_000 - k) * 4.0, 81 + k + (300_000 - k) * 16.0
+    assert got.exact and got.largest == pytest.approx((squares / 300_001 - (total / 300_001) ** 2).max(), rel=1e-12)
+    assert intervals.largest_variance(many.limit(0)).count() == 0
