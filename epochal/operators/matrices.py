@@ -185,6 +185,14 @@ def tail_means(vector: DataFrame) -> DataFrame:
     return out.select("i", F.when(F.col("_w") != 0, F.col("_wa") / F.col("_w")).otherwise(F.col("a").cast("double")).alias("v"))
 
 
+def means_above(vector: DataFrame) -> DataFrame:
+    """vector: i, a, w, t. For each i the mean of a weighted by w over the rows of a larger t; a itself where there is no weight: i, v."""
+    w, a = F.col("w").cast("double"), F.col("a").cast("double")
+    sums = vector.groupBy("t").agg(F.sum(w).alias("_w"), F.sum(w * a).alias("_wa"))
+    above = running(settled(sums), "t", {"_ws": F.col("_w"), "_was": F.col("_wa")}, descending=True, exclusive=True).select("t", "_ws", "_was")
+    return vector.join(above, "t").select("i", F.when(F.col("_ws") != 0, F.col("_was") / F.col("_ws")).otherwise(a).alias("v"))
+
+
 def fitted_to_margins(m: DataFrame, rows: DataFrame, columns: DataFrame, rounds: int = 100, eps: float = 1e-9) -> DataFrame:
     """Rows and columns scaled in turn until sums are those of rows (i, v) and columns (j, v)."""
     a = settled(m.select("i", "j", F.col("v").cast("double").alias("v")))

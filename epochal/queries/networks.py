@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import blocks, graphs, orthants, planar, smoothing, tall
+from ..operators import blocks, correspondence, graphs, matrices, orthants, planar, smoothing, tall
 from ..plans.ordered import positions
 from ..plans.iterate import settled
 from .registry import plain, query, table
@@ -152,3 +152,19 @@ def joint_outcomes(spark, sf_dir):
     d = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", F.round(F.log(F.col("n_chars") + 1.0)).alias("length")), "doc_id")
     fit = orthants.simultaneous_probit(d.select("quality", "toxic", (F.col("length") / 10).alias("length")), [("quality", ["length"]), ("toxic", ["length"])])
     return plain(fit.table(spark), 4)
+
+
+@query("""
+    WITH t AS (SELECT doc_id % 7 AS i, source AS j, count(*)::DOUBLE AS n FROM documents WHERE doc_id IS NOT NULL AND source IS NOT NULL GROUP BY ALL), r AS (SELECT i, sum(n) AS r FROM t GROUP BY i), c AS (SELECT j, sum(n) AS c FROM t GROUP BY j)
+    SELECT round(sum(n * n / r / c) - 1, 8) AS inertia, round(sum(n * n / r / c) - 1, 8) AS squares FROM t JOIN r USING (i) JOIN c USING (j)""")
+def table_inertia(spark, sf_dir):
+    """The squares of all singular values of the table of sources by remainders of ids, and its inertia, which they make up."""
+    d = table(spark, sf_dir, "documents").select((F.col("doc_id") % 7).alias("i"), F.col("source").alias("j"), F.lit(1).alias("n"))
+    values, inertia, _, _ = correspondence.correspondence(d, 6)
+    return plain(spark.createDataFrame([(inertia, float((values**2).sum()))], "inertia double, squares double"), 8)
+
+
+@query("SELECT o_orderkey AS i, round(coalesce(sum(o_totalprice * (o_custkey % 3)) OVER x / nullif(sum(o_custkey % 3) OVER x, 0), o_totalprice), 1) AS v FROM orders WINDOW x AS (ORDER BY o_custkey RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)")
+def means_above(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i"), F.col("o_totalprice").alias("a"), (F.col("o_custkey") % 3).alias("w"), F.col("o_custkey").alias("t"))
+    return plain(matrices.means_above(o), 1)

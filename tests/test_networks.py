@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from epochal.functions.special import np_bivariate_normal
-from epochal.operators import blocks, orthants, planar, regression, smoothing, tall
+from epochal.operators import blocks, correspondence, orthants, planar, regression, smoothing, tall
 
 rng = random.Random(11)
 GRAPHS = {
@@ -247,3 +247,18 @@ def test_multinomial_probit(spark):
     fit = orthants.multinomial_probit(two, "y", ["x"], [1, 2])
     one = regression.probit(two.withColumn("y", F.col("y") - 1), "y", ["x"])
     assert fit.coef == pytest.approx(one.coef * np.sqrt(2), abs=1e-4) and fit.loglik == pytest.approx(one.loglik, abs=1e-5)
+
+
+def test_correspondence(spark):
+    n = np.random.default_rng(4).poisson(3, (40, 9)) * 1.0
+    n[0], n[:, 0] = n[0] + 40, n[:, 0] * 5
+    cells = [(i, f"c{j}", float(v)) for (i, j), v in np.ndenumerate(n)] + [(None, "c1", 5.0), (3, None, 5.0)]
+    values, inertia, rows, columns = correspondence.correspondence(spark.createDataFrame(cells, "i long, j string, n double"), 3)
+    p = n / n.sum()
+    r, c = p.sum(1), p.sum(0)
+    u, s, v = np.linalg.svd((p - np.outer(r, c)) / np.sqrt(np.outer(r, c)))
+    assert values == pytest.approx(s[:3], abs=1e-8) and inertia == pytest.approx((s**2).sum())
+    got = np.array([[x[f"d{k + 1}"] for k in range(3)] for x in sorted(rows.collect())])
+    assert np.abs(got) == pytest.approx(np.abs(u[:, :3] * s[:3] / np.sqrt(r)[:, None]), abs=1e-3)
+    got = np.array([[x[f"d{k + 1}"] for k in range(3)] for x in sorted(columns.collect())])
+    assert np.abs(got) == pytest.approx(np.abs(v[:3].T * s[:3] / np.sqrt(c)[:, None]), abs=1e-3)
