@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import blocks, correspondence, graphs, matrices, orthants, planar, smoothing, tall
+from ..operators import blocks, correspondence, delaunay, graphs, matrices, orthants, planar, smoothing, tall
 from ..plans.ordered import positions
 from ..plans.iterate import settled
 from .registry import plain, query, table
@@ -168,3 +168,23 @@ def table_inertia(spark, sf_dir):
 def means_above(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i"), F.col("o_totalprice").alias("a"), (F.col("o_custkey") % 3).alias("w"), F.col("o_custkey").alias("t"))
     return plain(matrices.means_above(o), 1)
+
+
+def _in_circle(p):
+    """Positive where p is in the circle of a, b, c."""
+    q = {k: [f"({k}.{c} - {p}.{c})" for c in "xy"] for k in "abc"}
+    square = {k: f"({x} * {x} + {y} * {y})" for k, (x, y) in q.items()}
+    cross = lambda u, v: f"({q[u][0]} * {q[v][1]} - {q[u][1]} * {q[v][0]})"
+    return f"{square['a']} * {cross('b', 'c')} + {square['b']} * {cross('c', 'a')} + {square['c']} * {cross('a', 'b')}"
+
+
+@query(f"""
+    WITH p AS (SELECT DISTINCT (conv_id * 7919 % 10007)::DOUBLE AS x, ((conv_id * 104729 + n * 31) % 9973)::DOUBLE AS y FROM (SELECT conv_id, count(*) AS n FROM conversations WHERE conv_id >= 0 GROUP BY conv_id))
+    SELECT a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by, c.x AS cx, c.y AS cy
+    FROM p a JOIN p b ON (a.x, a.y) < (b.x, b.y) JOIN p c ON (a.x, a.y) < (c.x, c.y) AND (b.x - a.x) * (c.y - a.y) > (b.y - a.y) * (c.x - a.x)
+    WHERE NOT EXISTS (SELECT 1 FROM p d WHERE {_in_circle("d")} > 0)""")
+def delaunay_triangles(spark, sf_dir):
+    """Conversations as points spread over a square."""
+    n = table(spark, sf_dir, "conversations").where("conv_id >= 0").groupBy("conv_id").agg(F.count("*").alias("n"))
+    at = n.select((F.col("conv_id") * 7919 % 10007).alias("x"), ((F.col("conv_id") * 104729 + F.col("n") * 31) % 9973).alias("y"))
+    return plain(delaunay.triangles(at))

@@ -1,5 +1,6 @@
 """Blocks, cycles, polygons, long series and tall matrices against brute force."""
 
+import itertools
 import random
 import sys
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from epochal.functions.special import np_bivariate_normal
-from epochal.operators import blocks, correspondence, orthants, planar, regression, smoothing, tall
+from epochal.operators import blocks, correspondence, delaunay, orthants, planar, regression, smoothing, tall
 
 rng = random.Random(11)
 GRAPHS = {
@@ -262,3 +263,48 @@ def test_correspondence(spark):
     assert np.abs(got) == pytest.approx(np.abs(u[:, :3] * s[:3] / np.sqrt(r)[:, None]), abs=1e-3)
     got = np.array([[x[f"d{k + 1}"] for k in range(3)] for x in sorted(columns.collect())])
     assert np.abs(got) == pytest.approx(np.abs(v[:3].T * s[:3] / np.sqrt(c)[:, None]), abs=1e-3)
+
+
+def empty_circles(p):
+    """All triangles of p with no other point in their circle."""
+    three = np.array(list(itertools.combinations(range(len(p)), 3)))
+    a, b, c = (p[three[:, k]] for k in range(3))
+    side = lambda b, c: (b - a)[:, 0] * (c - a)[:, 1] - (b - a)[:, 1] * (c - a)[:, 0]
+    turned = (side(b, c) > 0)[:, None]
+    b, c = np.where(turned, b, c), np.where(turned, c, b)
+    ok = side(b, c) != 0
+    for k in range(len(p)):
+        inside = np.linalg.det(np.stack([np.column_stack([q - p[k], ((q - p[k]) ** 2).sum(1)]) for q in (a, b, c)], 1)) > 0
+        ok &= ~(inside & (three != k).all(1))
+    return {tuple(sorted(map(tuple, p[t]))) for t in three[ok]}
+
+
+@pytest.mark.parametrize("kind", ["even", "clustered", "ring"])
+def test_triangles(spark, kind):
+    draw = np.random.default_rng(6)
+    turn = np.arange(40)
+    p = {
+        "even": draw.random((80, 2)), "clustered": np.concatenate([draw.random((40, 2)) / 1000, draw.random((40, 2)) * [1, 30]]),
+        "ring": np.column_stack([np.cos(turn), np.sin(turn)]) * (1 + draw.random((40, 1)) / 10),
+    }[kind]
+    df = spark.createDataFrame([*(tuple(map(float, r)) for r in [*p, *p[:5]]), (None, 1.0), (float("inf"), 1.0)], "x double, y double")
+    want = empty_circles(p)
+    for per_cell in (6, 1000):  # the same for any number of cells
+        found = delaunay.triangles(df, per_cell=per_cell).collect()
+        assert {tuple(sorted([(r.ax, r.ay), (r.bx, r.by), (r.cx, r.cy)])) for r in found} == want and len(found) == len(want)
+        assert all((r.bx - r.ax) * (r.cy - r.ay) > (r.by - r.ay) * (r.cx - r.ax) and (r.ax, r.ay) < min((r.bx, r.by), (r.cx, r.cy)) for r in found)
+    corners = delaunay.voronoi(spark.createDataFrame(found)).collect()
+    for r in corners:
+        far = np.sort(((p - [r.vx, r.vy]) ** 2).sum(1))
+        assert ((r.x - r.vx) ** 2 + (r.y - r.vy) ** 2, far[2]) == pytest.approx((far[0], far[0]), rel=1e-6)
+
+
+def test_triangles_of_a_grid_and_of_a_line(spark):
+    """Four points on a circle everywhere: some triangulation of the square, the same for any cells."""
+    df = spark.range(36).select((F.col("id") % 6).alias("x"), F.floor(F.col("id") / 6).alias("y"))
+    got = [sorted(map(tuple, delaunay.triangles(df, per_cell=n).collect())) for n in (5, 100)]
+    flat = lambda t: abs((t[2] - t[0]) * (t[5] - t[1]) - (t[3] - t[1]) * (t[4] - t[0]))
+    solid = [[t for t in g if flat(t) > 0] for g in got]
+    assert solid[0] == solid[1] and len(solid[0]) == 50 and sum(map(flat, solid[0])) == 50
+    line = spark.range(9).select(F.col("id").alias("x"), F.lit(2).alias("y"))
+    assert all(flat(t) == 0 for t in map(tuple, delaunay.triangles(line).collect())) and delaunay.triangles(line.limit(0)).count() == 0
