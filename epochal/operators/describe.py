@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.fitting import gram
-from ..plans.ordered import bucket_of, cuts, matches, once, running
+from ..plans.ordered import bucket_of, cuts, matches, once, running, sums_before
 
 
 def _w(weight: str | None) -> Column:
@@ -71,8 +71,8 @@ def frequencies(df: DataFrame, columns: Sequence[str], weight: str | None = None
     cells = df.groupBy(*columns).agg((F.count("*") if weight is None else F.sum(_w(weight))).alias("n"))
     heads = cells.groupBy(first).agg(F.sum("n").alias("_n"))
     dense = heads.where(F.col(first).isNotNull())
-    if dict(df.dtypes)[first] == "string":  # strings have no numeric cut points: the table of the first column's values is put in order
-        before = dense.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    if dict(df.dtypes)[first] == "string":  # strings have no numeric cut points
+        before = sums_before(dense, first, {"_before": "_n"})
     else:
         before = running(dense, first, {"_before": F.col("_n")}, exclusive=True)
     cells = cells.join(before.drop("_n"), first)

@@ -105,6 +105,21 @@ def running(df: DataFrame, order: str, sums: dict[str, Column | str], by: Sequen
     return out.withColumns({k: F.col(f"_i_{k}") + F.col(f"_b_{k}") for k in expr}).drop("_bucket", *[f"_{s}_{k}" for s in "bi" for k in expr])
 
 
+def sums_before(df: DataFrame, order: str, sums: dict[str, Column | str]) -> DataFrame:
+    """df with the sum over the rows before for each name of sums, in the order of a column of any type whose values are unique.
+
+    Rows are dealt by ranges that Spark samples; sums run inside a range, and the totals of ranges before, a row each, are added.
+    """
+    expr = {k: F.col(v) if isinstance(v, str) else v for k, v in sums.items()}
+    placed = settled(df.repartitionByRange(order).withColumn("_range", F.spark_partition_id()))
+    inside = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    along = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("_range").agg(*[F.sum(v).alias(f"_t_{k}") for k, v in expr.items()])
+    totals = totals.select("_range", *[F.coalesce(F.sum(f"_t_{k}").over(along), F.lit(0)).alias(f"_t_{k}") for k in expr])
+    out = placed.withColumns({k: F.coalesce(F.sum(v).over(inside), F.lit(0)) for k, v in expr.items()}).join(F.broadcast(totals), "_range")  # as many rows as partitions
+    return out.withColumns({k: F.col(k) + F.col(f"_t_{k}") for k in expr}).drop("_range", *[f"_t_{k}" for k in expr])
+
+
 def positions(df: DataFrame, order: str, name: str = "position", by: Sequence[str] = ()) -> DataFrame:
     """df with the place of each row, from 1."""
     return running(df, order, {name: F.lit(1).cast("long")}, by)

@@ -268,3 +268,19 @@ def test_largest_variance(spark):
     total, squares = 9 + k + (300_000 - k) * 4.0, 81 + k + (300_000 - k) * 16.0
     assert got.exact and got.largest == pytest.approx((squares / 300_001 - (total / 300_001) ** 2).max(), rel=1e-12)
     assert intervals.largest_variance(many.limit(0)).count() == 0
+
+
+def test_sums_before_in_the_order_of_strings(spark):
+    names = [f"{chr(97 + k % 26)}{k * 7919 % 1009}" for k in range(3000)]
+    rows = sorted(set(names))
+    df = spark.createDataFrame([(w, float(k % 5)) for k, w in enumerate(rows)], "w string, v double").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows are one range
+    try:
+        got = {r.w: (r.n, r.s) for r in ordered.sums_before(df, "w", {"n": F.lit(1), "s": "v"}).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    total = 0.0
+    for k, w in enumerate(rows):
+        assert got[w] == (k, total)
+        total += k % 5
+    assert ordered.sums_before(df.limit(0), "w", {"n": F.lit(1)}).count() == 0
