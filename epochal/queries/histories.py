@@ -262,3 +262,17 @@ def optimal_matching(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.pmod(F.xxhash64("role"), F.lit(7)).cast("int").alias("role"))
     pairs, _ = sequences.optimal_matching(sequences.from_long(rows, "conv_id", ["turn", "role"], "role"))
     return pairs
+
+
+@query("""
+    WITH s AS (SELECT conv_id, string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' ELSE 'a' END, '' ORDER BY turn) AS w FROM conversations GROUP BY conv_id), d AS (SELECT w, min(conv_id) AS first FROM s GROUP BY w)
+    SELECT x.first AS a, y.first AS b, levenshtein(x.w, y.w)::DOUBLE AS distance FROM d x JOIN d y ON x.first < y.first""")
+def edit_distances(spark, sf_dir):
+    """Roles of conversations by turns: the least number of insertions, deletions and replacements between any two that differ, each named by its first conversation."""
+    role = F.when(F.col("role") == "system", 0).when(F.col("role") == "user", 1).otherwise(2)
+    seq = sequences.from_long(table(spark, sf_dir, "conversations").select("conv_id", "turn", role.alias("role")), "conv_id", "turn", "role")
+    pairs, members = sequences.optimal_matching(seq, substitution=1.0)
+    first = members.groupBy("number").agg(F.min("id").alias("first"))
+    named = lambda c: first.select(F.col("number").alias(c), F.col("first").alias(f"_{c}"))
+    out = pairs.join(named("a"), "a").join(named("b"), "b")
+    return plain(out.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), "distance"))

@@ -155,13 +155,14 @@ def joint_outcomes(spark, sf_dir):
 
 
 @query("""
-    WITH t AS (SELECT doc_id % 7 AS i, source AS j, count(*)::DOUBLE AS n FROM documents WHERE doc_id IS NOT NULL AND source IS NOT NULL GROUP BY ALL), r AS (SELECT i, sum(n) AS r FROM t GROUP BY i), c AS (SELECT j, sum(n) AS c FROM t GROUP BY j)
-    SELECT round(sum(n * n / r / c) - 1, 8) AS inertia, round(sum(n * n / r / c) - 1, 8) AS squares FROM t JOIN r USING (i) JOIN c USING (j)""")
-def table_inertia(spark, sf_dir):
-    """The squares of all singular values of the table of sources by remainders of ids, and its inertia, which they make up."""
-    d = table(spark, sf_dir, "documents").select((F.col("doc_id") % 7).alias("i"), F.col("source").alias("j"), F.lit(1).alias("n"))
-    values, inertia, _, _ = correspondence.correspondence(d, 6)
-    return plain(spark.createDataFrame([(inertia, float((values**2).sum()))], "inertia double, squares double"), 8)
+    WITH t AS (SELECT doc_id // 50 AS i, source AS j, count(*)::DOUBLE AS n FROM documents WHERE doc_id IS NOT NULL AND source IS NOT NULL GROUP BY ALL), s AS (SELECT sum(n) AS s FROM t), r AS (SELECT i, sum(n) AS r FROM t GROUP BY i), c AS (SELECT j, sum(n) / any_value(s) AS c FROM t, s GROUP BY j)
+    SELECT r.i::BIGINT AS i, round(any_value(r / s), 8) AS mass, round(sum((coalesce(n, 0) / r - c) ** 2 / c), 6) AS distance FROM r CROSS JOIN c CROSS JOIN s LEFT JOIN t ON t.i = r.i AND t.j = c.j GROUP BY r.i""")
+def profile_distances(spark, sf_dir):
+    """Fifties of documents by their sources: the squared distance of each from the whole, which all dimensions' coordinates make up."""
+    d = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 50).alias("i"), F.col("source").alias("j"), F.lit(1).alias("n"))
+    _, _, rows, _ = correspondence.correspondence(d, 19)
+    square = sum((F.col(f"d{k}") * F.col(f"d{k}") for k in range(1, 20)), F.lit(0.0))
+    return plain(rows.select("i", F.round("mass", 8).alias("mass"), F.round(square, 6).alias("distance")), 8)
 
 
 @query("SELECT o_orderkey AS i, round(coalesce(sum(o_totalprice * (o_custkey % 3)) OVER x / nullif(sum(o_custkey % 3) OVER x, 0), o_totalprice), 1) AS v FROM orders WINDOW x AS (ORDER BY o_custkey RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)")
