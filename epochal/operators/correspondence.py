@@ -23,7 +23,7 @@ def _turned(df: DataFrame, key: str, names: list[str], by: np.ndarray) -> DataFr
     return df.select(key, "mass", *[v.alias(c) for c, v in new.items()])
 
 
-def correspondence(cells: DataFrame, dimensions: int = 2, rounds: int = 300, eps: float = 1e-10) -> tuple[np.ndarray, float, DataFrame, DataFrame]:
+def correspondence(cells: DataFrame, dimensions: int = 2, rounds: int = 300, eps: float = 1e-13) -> tuple[np.ndarray, float, DataFrame, DataFrame]:
     """Singular values, total inertia (chi-square over n), and the principal coordinates of rows (i, mass, d1, d2, ...) and columns (j, mass, d1, ...).
 
     cells: i, j and n, a weight that isn't negative; repeated cells are added up, those of 0 or with a null left out. Beyond the rank of the table
@@ -57,7 +57,7 @@ def correspondence(cells: DataFrame, dimensions: int = 2, rounds: int = 300, eps
         size, turn = np.linalg.eigh(gram(y, [F.col(c) for c in names]))
         size, turn = np.clip(size[::-1], 0, None), turn[:, ::-1]
         new = np.sqrt(size)
-        still = np.abs(new - values)[:dimensions].max(initial=0) <= eps * max(new.max(), 1e-300)
+        still = np.abs(new**2 - values**2)[:dimensions].max(initial=0) <= eps * max(new.max() ** 2, 1e-300)  # squares: what is 0 stays below
         values = new
         if still:
             break

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import warnings
 from collections.abc import Sequence
 
 import numpy as np
@@ -122,13 +123,17 @@ def _alike(df: DataFrame, names: Sequence[str], weight: str | None) -> DataFrame
 
 
 def _fitted(rows: DataFrame, loglik, names: Sequence[str], last: int) -> Fit:
-    """loglik(batch, parameters): of each row. The last parameters are held at 0 first, as scores can't tell them from constants at the start. Steps by outer products of scores, taken by differences; errors from second differences at the estimate."""
+    """loglik(batch, parameters): of each row. The last parameters are held at 0 first, as scores can't tell them from constants at the start. First steps are by
+    outer products of scores, which are cheap and always upwards; the last ones, and errors, by second differences."""
     p, kept = len(names), settled(rows)
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+
+    def scores(f: pd.DataFrame, b: np.ndarray) -> np.ndarray:
+        return np.column_stack([(loglik(f, b + 1e-5 * e) - loglik(f, b - 1e-5 * e)) / 2e-5 for e in np.eye(p)])
 
     def sums(b: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         def batch(f: pd.DataFrame) -> np.ndarray:
-            w, h = f["_w"].to_numpy(float), 1e-5
-            score = np.column_stack([(loglik(f, b + h * e) - loglik(f, b - h * e)) / (2 * h) for e in np.eye(p)])
+            w, score = f["_w"].to_numpy(float), scores(f, b)
             return np.concatenate([[w @ loglik(f, b)], w @ score, ((score.T * w) @ score).ravel()])
 
         s = summed(kept, 1 + p + p * p, batch)
@@ -138,25 +143,28 @@ def _fitted(rows: DataFrame, loglik, names: Sequence[str], last: int) -> Fit:
         value, grad, info = sums(np.concatenate([b, np.zeros(last)]))
         return value, grad[: p - last], info[: p - last, : p - last]
 
+    def bent(b: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        def batch(f: pd.DataFrame) -> np.ndarray:
+            w, h = f["_w"].to_numpy(float), 1e-3
+            e = np.eye(p) * h
+            at = lambda i, j, x, y: w @ loglik(f, b + x * e[i] + y * e[j])
+            second = [(at(i, j, 1, 1) - at(i, j, 1, -1) - at(i, j, -1, 1) + at(i, j, -1, -1)) / (4 * h * h) for i, j in pairs]
+            return np.concatenate([[w @ loglik(f, b)], w @ scores(f, b), second])
+
+        s = summed(kept, 1 + p + len(pairs), batch)
+        info = np.zeros((p, p))
+        for (i, j), v in zip(pairs, s[1 + p :]):
+            info[i, j] = info[j, i] = -v
+        return float(s[0]), s[1 : 1 + p], info
+
     with np.errstate(all="ignore"):
-        fit = maximise(without, np.zeros(p - last), names[: p - last], steps=100)
-        if last:
-            fit = maximise(sums, [*fit.coef, *([0.0] * last)], names, steps=100)
-    pairs, h = [(i, j) for i in range(p) for j in range(i, p)], 1e-3
-
-    def bends(f: pd.DataFrame) -> np.ndarray:
-        w, e, out = f["_w"].to_numpy(float), np.eye(p) * h, []
-        for i, j in pairs:
-            at = lambda a, c: w @ loglik(f, fit.coef + a * e[i] + c * e[j])  # noqa: E731, B023
-            out.append((at(1, 1) - at(1, -1) - at(-1, 1) + at(-1, -1)) / (4 * h * h))
-        return np.array(out)
-
-    second = summed(kept, len(pairs), bends)
-    info = np.zeros((p, p))
-    for (i, j), v in zip(pairs, second):
-        info[i, j] = info[j, i] = -v
+        with warnings.catch_warnings():  # whether they have settled is for the last steps to say
+            warnings.simplefilter("ignore", RuntimeWarning)
+            start = [*maximise(without, np.zeros(p - last), names[: p - last], steps=12).coef, *([0.0] * last)]
+            if last:
+                start = maximise(sums, start, names, steps=12).coef
+        fit = maximise(bent, start, names, steps=30)
     discard(kept)
-    fit.covariance = np.linalg.pinv(info)
     return fit
 
 
