@@ -6,11 +6,14 @@ and made orthogonal by the matrix of their products, which alone reaches the dri
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fitting import gram
+from ..plans.fitting import summed
 from ..plans.iterate import discard, settled
 
 #: Vectors beyond those asked for: the more, the fewer rounds.
@@ -19,8 +22,24 @@ SPARE = 3
 
 def _turned(df: DataFrame, key: str, names: list[str], by: np.ndarray) -> DataFrame:
     """The vectors names times a small matrix."""
-    new = {c: sum((F.col(n) * float(by[k, m]) for k, n in enumerate(names)), F.lit(0.0)) for m, c in enumerate(names)}
-    return df.select(key, "mass", *[v.alias(c) for c, v in new.items()])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            new = pd.DataFrame(f[names].to_numpy(float) @ by, columns=names, index=f.index)
+            yield pd.concat([f[[key, "mass"]], new], axis=1)
+
+    df = df.select(key, "mass", *names)
+    return df.mapInPandas(run, df.schema)
+
+
+def _products(df: DataFrame, names: list[str]) -> np.ndarray:
+    """The matrix of products of the vectors names."""
+
+    def batch(f: pd.DataFrame) -> np.ndarray:
+        x = f.to_numpy(float)
+        return (x.T @ x).ravel()
+
+    return summed(df.select(*names), len(names) ** 2, batch).reshape(len(names), len(names))
 
 
 def correspondence(cells: DataFrame, dimensions: int = 2, rounds: int = 300, eps: float = 1e-13) -> tuple[np.ndarray, float, DataFrame, DataFrame]:
@@ -49,12 +68,12 @@ def correspondence(cells: DataFrame, dimensions: int = 2, rounds: int = 300, eps
     was, values = None, np.zeros(len(names))
     for _ in range(rounds):
         x = settled(sent(y, "j", "i"))
-        size, turn = np.linalg.eigh(gram(x, [F.col(c) for c in names]))
+        size, turn = np.linalg.eigh(_products(x, names))
         keep = size > 1e-24 * max(size.max(), 1e-300)
         x = _turned(x, "i", names, np.where(keep, turn / np.sqrt(np.where(keep, size, 1.0)), 0.0))
         y = settled(sent(x, "i", "j"), None if was is None else was)
         was = y
-        size, turn = np.linalg.eigh(gram(y, [F.col(c) for c in names]))
+        size, turn = np.linalg.eigh(_products(y, names))
         size, turn = np.clip(size[::-1], 0, None), turn[:, ::-1]
         new = np.sqrt(size)
         still = np.abs(new**2 - values**2)[:dimensions].max(initial=0) <= eps * max(new.max() ** 2, 1e-300)  # squares: what is 0 stays below
