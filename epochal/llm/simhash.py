@@ -205,32 +205,38 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rad
     return fps.join(each, fps.fp == each._fp).select(id_col, "fp", "component_id")
 
 
-def _resembling(sets: list[np.ndarray], fps: np.ndarray, radius: int, similarity: float) -> list[tuple[int, int]]:
-    """Edges that connect whatever the pairs of at least similarity connect of those whose fingerprints are within radius."""
+def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+
+def _resembling(sets: list[np.ndarray], fps: np.ndarray, radius: int, similarity: float, n: int) -> list[tuple[int, int]]:
+    """Edges that connect whatever pairs of at least similarity connect, of the first n with all others, with fingerprints within radius."""
     size, part, out = np.array([len(s) for s in sets]), np.arange(len(sets)), []
-    for i in range(len(sets) - 1):
+    for i in range(min(n, len(sets) - 1)):
         least, most = np.minimum(size[i], size[i + 1 :]), np.maximum(size[i], size[i + 1 :])
         near = np.bitwise_count((fps[i + 1 :] ^ fps[i]).view(np.uint64)) <= radius
         for j in i + 1 + np.flatnonzero(near & (part[i + 1 :] != part[i]) & (least >= similarity * most)):
             if part[j] == part[i]:
                 continue
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if both >= similarity * (size[i] + size[j] - both) - 1e-9:
+            if _alike(sets[i], sets[j], similarity):
                 part[part == part[j]] = part[i]
                 out.append((i, int(j)))
     return out
 
 
-def _again(h: np.ndarray) -> np.ndarray:
-    """Other hashes of the same shingles."""
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
+def _again(h: np.ndarray, k: int) -> np.ndarray:
+    """Other hashes of the same shingles, for each k > 0; those themselves for 0."""
+    for _ in range(k):
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = h ^ (h >> np.uint64(32))
+    return h
 
 
-def _sets(rows: DataFrame, shingle: int, whole: bool) -> DataFrame:
-    """rows: id, text, hash. key names a text's set of shingles, of n; fp and fp2 are fingerprints of the set. With whole: key and the set."""
-    kind = rows.schema["id"].dataType.simpleString()
+def _sets(rows: DataFrame, shingle: int, whole: bool, count: int = 1) -> DataFrame:
+    """rows: id, text, hash. key names a text's set of shingles, of n; fp0, fp1 ... are count fingerprints of the set. With whole: key and the set."""
+    kind, names = rows.schema["id"].dataType.simpleString(), [f"fp{k}" for k in range(count)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -239,50 +245,93 @@ def _sets(rows: DataFrame, shingle: int, whole: bool) -> DataFrame:
             if whole:
                 yield pa.RecordBatch.from_arrays([key, pa.array([h.tobytes() for h in sets], pa.binary())], names=["key", "set"])
             else:
-                fps = [pa.array(np.array([majority(f(h)) for h in sets], np.uint64).view(np.int64)) for f in (lambda h: h, _again)]
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("hash"), key, *fps, pa.array([len(h) for h in sets], pa.int64())], names=["id", "hash", "key", "fp", "fp2", "n"])
+                fps = [pa.array(np.array([majority(_again(h, k)) for h in sets], np.uint64).view(np.int64)) for k in range(count)]
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("hash"), key, *fps, pa.array([len(h) for h in sets], pa.int64())], names=["id", "hash", "key", *names, "n"])
+
+    return rows.mapInArrow(run, "key long, set binary" if whole else f"id {kind}, hash long, key long, {' long, '.join(names)} long, n long")
 
-    return rows.mapInArrow(run, "key long, set binary" if whole else f"id {kind}, hash long, key long, fp long, fp2 long, n long")
 
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 11, shingle: int = 5, similarity: float = 0.8, second: int = 20, prints: int = 3) -> DataFrame:
+    """One row of docs for each component of near-duplicates: texts whose sets of shingles have a Jaccard similarity of at
+    least similarity, exactly, and fingerprints within radius bits under one of several independent hashings (prints, two at least).
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 11, shingle: int = 5, similarity: float = 0.8, second: int = 20) -> DataFrame:
-    """One row of docs for each component of near-duplicates: texts whose sets of shingles have fingerprints within radius bits
-    and a Jaccard similarity of at least similarity, exactly. A second fingerprint, within second bits for all but some of 10,000 such
-    pairs, keeps chance neighbours of a large table out of the candidates.
+    One fingerprint has a pair of similarity 0.8 within 11 bits with a probability of about 0.74, one of three with 0.98; at 0.85
+    with 0.88 and 0.998. The fingerprint after the one that is near must be within second bits, as it is for all but some of
+    10,000 such pairs: that keeps chance neighbours of a large table out of the candidates.
 
     The row that stays has the smallest id (nulls last) and, of rows alike in it, the least hash of the text; of rows alike in
     both, one. Ids don't join components: rows that share one, or have none, each stay if their texts aren't linked. Texts
     without words (null or empty too) are alike. Extra columns stay as they are; an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
-    made = keep(_sets(rows, shingle, False))
-    each = keep(made.groupBy("key").agg(first_row(), *[F.first(c).alias(c) for c in ("fp", "fp2", "n")]))
-    # whatever the fingerprints connect is a superset: only there are sets compared
-    roots = keep(components(links(each.select(F.col("key").alias("id"), "fp", "fp2", "n"), radius, second, similarity)))
-    group = keep(each.join(roots, each.key == roots.node, "left").select("key", "first", "fp", F.coalesce("root", "key").alias("root")))
-    # written first, so that a join by a common root can be split
-    several = keep(group.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select(F.col("root").alias("_root"), F.ceil(F.col("n") / SETS).alias("n")))
-    group = keep(group.join(several, F.col("root") == F.col("_root")).select("key", "first.hash", "fp", "root", "n"))
-    # large groups in pieces, each with itself and every later one
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda k: F.struct(F.least(k, "piece").alias("a"), F.greatest(k, "piece").alias("b")))
-    members = group.withColumn("piece", F.pmod(F.xxhash64("key"), F.col("n"))).select("key", "fp", "root", F.explode(pairs).alias("p")).select("key", "fp", F.xxhash64("root", "p.a", "p.b").alias("bucket"))
+    made = keep(_sets(rows, shingle, False, prints))
+    each = keep(made.groupBy("key").agg(first_row(), *[F.first(c).alias(c) for c in made.columns if c[:2] == "fp" or c == "n"]))
+    # whatever the fingerprints connect is a superset: only there are sets compared. One after the other, so that their shuffles don't add up
+    candidates = None
+    for k in range(prints):
+        near = each.select(F.col("key").alias("id"), F.col(f"fp{k}").alias("fp"), F.col(f"fp{(k + 1) % prints}").alias("fp2"), "n")
+        found = keep(links(near, radius, second, similarity))
+        candidates = found if candidates is None else candidates.union(found)
+    roots = keep(components(candidates.distinct()))
+    # only sets with a neighbour; written first, so that a join by a common root can be split
+    group = keep(each.join(roots, each.key == roots.node).select("key", "first.hash", F.col("fp0").alias("fp"), "root"))
     wanted = group.select(F.col("hash").alias("_hash")).distinct()
     texts = rows.join(wanted, F.col("hash") == F.col("_hash"), "left_semi").select("id", "text", "hash").dropDuplicates(["hash"])
     sets = keep(_sets(texts, shingle, True))
-    groups = members.join(sets, "key").groupBy("bucket").agg(F.collect_list(F.struct("key", "fp", "set")).alias("of")).select("of")
+    roots = components(_similar(group, sets, second, similarity))
+    top = each.select("key", "first").join(roots, each.key == roots.node, "left").groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("first").alias("first"))
+    return chosen(docs, made, keep(top.select("first.*")), id_col, text_col)
+
+
+def _similar(group: DataFrame, sets: DataFrame, bits: int, similarity: float) -> DataFrame:
+    """group: key, hash, fp, root; sets: key, set. Edges (a, b) that connect whatever the pairs of one root connect that have at least
+    similarity and first fingerprints within bits.
+
+    A root of over SETS sets is met by one of them first, its pivot: sets similar to it are connected already, and only the
+    others are compared with all, in pieces. So a group of copies costs about as many comparisons as it has sets.
+    """
+    count = group.groupBy("root").agg(F.count("*").alias("n"), F.min("key").alias("pivot"))
+    count = keep(count.select(F.col("root").alias("_root"), F.ceil(F.col("n") / SETS).alias("n"), "pivot"))
+    small = keep(group.join(count.where("n = 1"), F.col("root") == F.col("_root")).select("key", "fp", F.lit(True).alias("open"), F.xxhash64("root").alias("bucket")))
+    large = keep(group.join(count.where("n > 1"), F.col("root") == F.col("_root")).select("key", "fp", "root", "pivot", "n"))
+    edges = _compared(small, sets, bits, similarity)
+    if large.isEmpty():
+        return edges.distinct()
+    own = sets.select(F.col("key").alias("pivot"), F.col("set").alias("_other"))
+    meet = large.where("key <> pivot").join(sets, "key").join(large.select("pivot").distinct().join(own, "pivot"), "pivot")
+
+    def against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hit = [_alike(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), similarity) for x, y in zip(b.column("set"), b.column("_other"))]
+            yield pa.RecordBatch.from_arrays([b.column("pivot"), b.column("key")], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
+
+    star = keep(meet.mapInArrow(against, "a long, b long"))
+    # the sets left over, in pieces of their own, each with every piece of the root
+    done = star.select(F.col("b").alias("_done"))
+    left = keep(large.join(done, F.col("key") == F.col("_done"), "left_anti").where("key <> pivot"))
+    many = keep(left.groupBy("root").agg(F.ceil(F.count("*") / SETS).alias("m")).select(F.col("root").alias("_root"), "m"))
+    piece = F.pmod(F.xxhash64("key"), F.col("n"))
+    every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.col(m) - 1))
+    asks = left.join(many, F.col("root") == F.col("_root")).withColumn("i", F.pmod(F.xxhash64("key"), F.col("m"))).withColumn("j", every("n"))
+    told = large.join(many, F.col("root") == F.col("_root")).withColumn("j", piece).withColumn("i", every("m"))
+    row = lambda df, is_open: df.select("key", "fp", F.lit(is_open).alias("open"), F.xxhash64("root", "i", "j").alias("bucket"))
+    return edges.union(star).union(_compared(row(asks, True).union(row(told, False)), sets, bits, similarity)).distinct()
+
+
+def _compared(members: DataFrame, sets: DataFrame, bits: int, similarity: float) -> DataFrame:
+    """members: key, fp, open, bucket. In each bucket, open sets are compared with all."""
+    groups = members.join(sets, "key").groupBy("bucket").agg(F.collect_list(F.struct("key", "fp", "open", "set")).alias("of")).select("of")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             edges = []
             for group in b.column(0):
-                group = group.as_py()
-                found = _resembling([np.frombuffer(g["set"], np.uint64) for g in group], np.array([g["fp"] for g in group], np.int64), radius, similarity)
+                group = sorted(group.as_py(), key=lambda g: not g["open"])
+                found = _resembling([np.frombuffer(g["set"], np.uint64) for g in group], np.array([g["fp"] for g in group], np.int64), bits, similarity, sum(g["open"] for g in group))
                 edges += [(group[i]["key"], group[j]["key"]) for i, j in found]
             yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
 
-    roots = components(groups.mapInArrow(compare, "a long, b long").distinct())
-    top = each.select("key", "first").join(roots, each.key == roots.node, "left").groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("first").alias("first"))
-    return chosen(docs, made, keep(top.select("first.*")), id_col, text_col)
+    return groups.mapInArrow(compare, "a long, b long")
 
 
 def first_row():
