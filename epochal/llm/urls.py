@@ -37,10 +37,13 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
 
 
 def _levels(host: Column, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> dict[str, Column]:
-    bare = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$|\.+$", "")
+    """Host without user, port and closing dots, its registered domain and suffix. An address, of four numbers or in brackets, is
+    its own domain and suffix: it shares no level with another but the whole."""
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", ""), r"\.+$", "")
+    address = bare.rlike(r"^([0-9]+(\.[0-9]+){3}|\[.*\])$")
     two = F.substring_index(bare, ".", -2)
-    suffix = F.when(two.isin(*suffixes), two).otherwise(F.substring_index(bare, ".", -1))
-    domain = F.when(two.isin(*suffixes), F.substring_index(bare, ".", -3)).otherwise(two)
+    suffix = F.when(address, bare).when(two.isin(*suffixes), two).otherwise(F.substring_index(bare, ".", -1))
+    domain = F.when(address, bare).when(two.isin(*suffixes), F.substring_index(bare, ".", -3)).otherwise(two)
     return {"_bare": bare, "_domain": domain, "_suffix": suffix}
 
 
