@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, free
 
 SYMBOLS = r"[#*$%&|<>]"
 #: Rows of the sample, about, at any size of the table, and the partitions that they are spread over.
@@ -71,34 +71,35 @@ def first_failed(order: list[str], rules: dict[str, Rule] = RULES, text: str = "
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (all long).
 
-    A null text has none of each. Windows of eight words are compared by 64-bit hashes.
-    Columns of docs that have one of these names are replaced.
+    A null, empty or wordless text has none of each; texts of any length are measured whole, repeated rows alike, and an empty
+    table gives an empty result. Windows of eight words are compared by 64-bit hashes. Columns of docs that have one of these
+    five names are replaced; others keep their values, whatever they are called.
     """
     docs = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     names = docs.columns
+    words, split, wins, sides, found = (free(c, names) for c in ("_words", "_lines", "_windows", "_sides", "_found"))
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD))
-    step = docs.withColumns({"_words": F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), "n_symbols": F.regexp_count(t, F.lit(SYMBOLS)).cast("long"), "_lines": lines})
-    n = F.size("_words")
-    windows = F.when(n >= 8, F.transform(F.sequence(F.lit(1), F.greatest(n - 7, F.lit(1))), lambda i: F.xxhash64(F.slice(F.col("_words"), i, 8)))).otherwise(F.array().cast("array<bigint>"))
+    step = docs.withColumns({words: F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), "n_symbols": F.regexp_count(t, F.lit(SYMBOLS)).cast("long"), split: lines})
+    n = F.size(words)
+    windows = F.when(n >= 8, F.transform(F.sequence(F.lit(1), F.greatest(n - 7, F.lit(1))), lambda i: F.xxhash64(F.slice(F.col(words), i, 8)))).otherwise(F.array().cast("array<bigint>"))
     step = step.select(
         *names,
         n.cast("long").alias("n_words"),
-        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
         "n_symbols",
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        windows.alias("_windows"),
+        (F.size(split) - F.size(F.array_distinct(split))).cast("long").alias("n_dup_lines"),
+        windows.alias(wins),
     )
-    repeats = F.size(F.array_distinct("_windows")) < F.size("_windows")
+    repeats = F.size(F.array_distinct(wins)) < F.size(wins)
     # where a text repeats a window: hashes with their places, sorted, so that equals stand side by side
-    sides = F.when(repeats, F.array_sort(F.transform("_windows", lambda x, i: F.struct(x.alias("h"), i.alias("p")))))
-    step = step.withColumn("_sides", sides)
-    size = F.size("_sides")
-    at = lambda j: F.get("_sides", j)["h"]
-    found = F.filter(F.sequence(F.lit(0), size - 1), lambda j: (F.coalesce(at(j) == at(j - 1), F.lit(False))) | (F.coalesce(at(j) == at(j + 1), F.lit(False))))
-    step = step.withColumn("_found", F.when(F.col("_sides").isNotNull(), F.array_sort(F.transform(found, lambda j: F.get("_sides", j)["p"]))))
-    k = F.size("_found")
-    gaps = F.zip_with(F.slice("_found", 1, k - 1), F.slice("_found", 2, k - 1), lambda a, b: F.least(b - a, F.lit(8)))
+    step = step.withColumn(sides, F.when(repeats, F.array_sort(F.transform(wins, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))))
+    size = F.size(sides)
+    at = lambda j: F.get(sides, j)["h"]
+    twice = F.filter(F.sequence(F.lit(0), size - 1), lambda j: (F.coalesce(at(j) == at(j - 1), F.lit(False))) | (F.coalesce(at(j) == at(j + 1), F.lit(False))))
+    step = step.withColumn(found, F.when(F.col(sides).isNotNull(), F.array_sort(F.transform(twice, lambda j: F.get(sides, j)["p"]))))
+    k = F.size(found)
+    gaps = F.zip_with(F.slice(found, 1, k - 1), F.slice(found, 2, k - 1), lambda a, b: F.least(b - a, F.lit(8)))
     covered = F.when(k > 0, F.aggregate(gaps, F.lit(8), lambda s, x: s + x)).otherwise(0)
     return step.withColumn("n_repeat_words", covered.cast("long")).select(*names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -110,8 +111,9 @@ def judged(docs: DataFrame, text: str = "text", rules: dict[str, Rule] = RULES)
     """
     names = [c for c in docs.columns if c not in ("base_failed", "failed_rule", "kept", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     order = [n for n, _, _ in plan(docs, rules, text)]
-    filled = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    filled = filled.withColumn("failed_rule", first_failed(order, rules, "_text")).drop("_text")
+    whole = free("_text", docs.columns)
+    filled = docs.withColumn(whole, F.coalesce(F.col(text), F.lit("")))
+    filled = filled.withColumn("failed_rule", first_failed(order, rules, whole)).drop(whole)
     out = measures(filled, text)
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     out = out.withColumn("base_failed", base)
