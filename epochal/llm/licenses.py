@@ -1,9 +1,9 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with templates.
 
 Tokens of the templates are ordered by how many documents hold them, rarest first. Blocks are lines
-and, as long notices are wrapped, overlapping windows of words: twice as many as the longest template has, beginning
+and, as notices are wrapped, overlapping windows of words for each length of a template: twice as many words as it has, beginning
 every so many as it has. A block contains a template if it holds enough of its distinct tokens; windows are compared
-with templates of LONG tokens and more. A block with a template must hold one of the template's first tokens (prefix filter), have enough tokens (length filter)
+with the templates of their length. A block with a template must hold one of the template's first tokens (prefix filter), have enough tokens (length filter)
 and enough room behind the first shared one (positional filter). What passes is verified.
 DataFrame functions only; templates are a bounded list.
 """
@@ -35,8 +35,6 @@ TEMPLATES = (
     ("cc-by-sa", "licensed under cc by sa 4 0"),
 )
 THRESHOLD = 0.8
-#: Distinct tokens of a template that is also looked for across lines.
-LONG = 12
 
 
 def _tokens(text: Column) -> Column:
@@ -56,7 +54,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     distinct, sorted and comma-joined, empty if there are none. A null text counts as empty.
     Repeated rows get the same; other columns are ignored; an empty table gives an empty result.
     """
-    sets = [(label, sorted(set(text.split()))) for label, text in templates]
+    sets, lengths = [(label, sorted(set(text.split()))) for label, text in templates], [len(text.split()) for _, text in templates]
     need = [math.ceil(threshold * len(s) - 1e-9) for _, s in sets]
     universe = sorted({t for _, s in sets for t in s})
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -85,18 +83,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     held = {r[0]: r[1] for r in kept.select(F.explode("_present").alias("t")).groupBy("t").count().collect()}  # as many as the templates have tokens
     order = sorted(universe, key=lambda t: (held.get(t, 0), t))
     place = {t: k for k, t in enumerate(order)}
-    index = [(t, k, i, label, len(s), least, sorted(s, key=place.get), len(s) >= LONG) for k, ((label, s), least) in enumerate(zip(sets, need)) for i, t in enumerate(sorted(s, key=place.get)[: len(s) - least + 1])]
-    prefixes = docs.sparkSession.createDataFrame(index or [("", 0, 0, "", 1, 1, [""], False)], "_token string, _template int, _i int, _label string, _size int, _least int, _set array<string>, _long boolean")
-    longest = max((len(text.split()) for _, text in templates), default=1)
+    index = [(t, k, i, label, len(s), least, sorted(s, key=place.get), long) for k, ((label, s), least, long) in enumerate(zip(sets, need, lengths)) for i, t in enumerate(sorted(s, key=place.get)[: len(s) - least + 1])]
+    prefixes = docs.sparkSession.createDataFrame(index or [("", 0, 0, "", 1, 1, [""], 1)], "_token string, _template int, _i int, _label string, _size int, _least int, _set array<string>, _length int")
     block = lambda tokens, window: F.struct(F.array_distinct(tokens).alias("all"), F.lit(window).alias("window"))
-    lines = F.transform(F.filter(F.split("_text", "\n"), lambda x: x != ""), lambda x: block(_tokens(x), False))
-    starts = F.sequence(F.lit(1), F.greatest(F.size("_words"), F.lit(1)), F.lit(longest))
-    windows = F.transform(starts, lambda i: block(F.slice("_words", i, 2 * longest), True))
-    blocks = kept.where("_text is not null").select("_id", "_hash", "_text", _tokens(F.col("_text")).alias("_words")).select("_id", "_hash", F.explode(F.concat(lines, windows)).alias("_block"))
+    lines = F.transform(F.filter(F.split("_text", "\n"), lambda x: x != ""), lambda x: block(_tokens(x), 0))
+    starts = lambda k: F.sequence(F.lit(1), F.greatest(F.size("_words"), F.lit(1)), F.lit(k))
+    across = lambda k: F.transform(starts(k), lambda i: block(F.slice("_words", i, 2 * k), k))
+    windows = [across(k) for k in sorted(set(lengths))]
+    blocks = kept.where("_text is not null").select("_id", "_hash", "_text", _tokens(F.col("_text")).alias("_words")).select("_id", "_hash", F.explode(F.concat(lines, *windows)).alias("_block"))
     blocks = blocks.select("_id", "_hash", F.col("_block.all").alias("_all"), F.col("_block.window").alias("_window")).withColumn("_ordered", F.array_intersect(_strings(order), F.col("_all")))
     blocks = blocks.select("_id", "_hash", "_window", F.size("_all").alias("_n"), "_ordered", F.posexplode("_ordered").alias("_j", "_token"))
     near = blocks.join(F.broadcast(prefixes), "_token")  # as many rows as the templates have prefix tokens
-    near = near.where(F.col("_long") | ~F.col("_window")).where((F.col("_n") >= F.col("_least")) & (1 + F.least(F.col("_size") - F.col("_i"), F.size("_ordered") - F.col("_j")) - 1 >= F.col("_least")))
+    near = near.where(F.col("_window").isin(0) | (F.col("_window") == F.col("_length"))).where((F.col("_n") >= F.col("_least")) & (1 + F.least(F.col("_size") - F.col("_i"), F.size("_ordered") - F.col("_j")) - 1 >= F.col("_least")))
     near = near.withColumn("_share", F.size(F.array_intersect("_ordered", "_set"))).where("_share >= _least")
     near = near.groupBy("_id", "_hash").agg(F.collect_set("_label").alias("_more"), F.max(F.col("_share") / F.col("_size")).alias("score"))
     near = near.select(F.col("_id").alias("_id2"), F.col("_hash").alias("_hash2"), "_more", "score")

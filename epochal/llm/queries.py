@@ -102,17 +102,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def _license_sql() -> str:
-    sets = [(label, sorted(set(text.split()))) for label, text in licenses.TEMPLATES]
+    sets, lengths = [(label, sorted(set(text.split()))) for label, text in licenses.TEMPLATES], [len(text.split()) for _, text in licenses.TEMPLATES]
     words = lambda x: f"regexp_extract_all(translate({x}, '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
-    rows = ", ".join(f"('{label}', {s!r}, {math.ceil(licenses.THRESHOLD * len(s) - 1e-9)})" for label, s in sets)
-    longest = max(len(text.split()) for _, text in licenses.TEMPLATES)
+    rows = ", ".join(f"('{label}', {s!r}, {math.ceil(licenses.THRESHOLD * len(s) - 1e-9)}, {k})" for (label, s), k in zip(sets, lengths))
+    each = ", ".join(f"({k})" for k in sorted(set(lengths)))
     phrase = lambda p: " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p.split()))
     base = " UNION ALL ".join(f"SELECT r, i - 1 AS p, '{label}' AS label FROM pl WHERE {phrase(p)}" for p, label in licenses.PHRASES)
     return f"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), m AS (SELECT r, doc_id, t, {words('t')} AS w FROM d),
         pl AS (SELECT r, w, unnest(generate_series(1, len(w))) AS i FROM m WHERE len(w) > 0), b AS ({base}), bb AS (SELECT r, count(*) AS n, min(p) AS first, max(p) AS last FROM b GROUP BY r),
-        l AS (SELECT DISTINCT r, list_distinct({words('line')}) AS s, false AS across FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) UNION SELECT r, list_distinct(w[i:i + {2 * longest - 1}]), true FROM (SELECT r, w, unnest(generate_series(1, len(w), {longest})) AS i FROM m)), t AS (SELECT * FROM (VALUES {rows}) v(label, s, least)),
-        h AS (SELECT l.r, t.label, len(list_intersect(t.s, l.s)) / len(t.s) AS share FROM l, t WHERE len(list_intersect(t.s, l.s)) >= t.least AND (NOT across OR len(t.s) >= {licenses.LONG})), hh AS (SELECT r, max(share) AS score FROM h GROUP BY r),
+        l AS (SELECT DISTINCT r, list_distinct({words('line')}) AS s, 0 AS across FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) UNION SELECT r, list_distinct(w[i:i + 2 * k - 1]), k FROM (SELECT r, w, k, unnest(generate_series(1, len(w), k)) AS i FROM m, (VALUES {each}) z(k))), t AS (SELECT * FROM (VALUES {rows}) v(label, s, least, words)),
+        h AS (SELECT l.r, t.label, len(list_intersect(t.s, l.s)) / len(t.s) AS share FROM l, t WHERE len(list_intersect(t.s, l.s)) >= t.least AND across IN (0, t.words)), hh AS (SELECT r, max(share) AS score FROM h GROUP BY r),
         bl AS (SELECT r, string_agg(label, ',' ORDER BY label) AS x FROM (SELECT DISTINCT r, label FROM b) GROUP BY r), al AS (SELECT r, string_agg(label, ',' ORDER BY label) AS x FROM (SELECT r, label FROM b UNION SELECT r, label FROM h) GROUP BY r)
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(bb.n, 0)::BIGINT AS n_base, bb.first::BIGINT AS first_word, bb.last::BIGINT AS last_word, coalesce(bl.x, '') AS base_labels, coalesce(al.x, '') AS labels, coalesce(hh.score, 0)::DOUBLE AS score
         FROM m LEFT JOIN bb USING (r) LEFT JOIN bl USING (r) LEFT JOIN al USING (r) LEFT JOIN hh USING (r)"""

@@ -352,13 +352,14 @@ def brute_license(t):
 def brute_templates(t):
     labels, best = set(), 0.0
     words = lambda x: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", x.translate(UPPER))
-    longest = max(len(x.split()) for _, x in licenses.TEMPLATES)
     w = words(t)
-    blocks = [(set(words(line)), False) for line in t.split("\n")] + [(set(w[k : k + 2 * longest]), True) for k in range(0, len(w), longest)]
+    blocks = [(set(words(line)), 0) for line in t.split("\n")]
+    for long in {len(x.split()) for _, x in licenses.TEMPLATES}:
+        blocks += [(set(w[k : k + 2 * long]), long) for k in range(0, len(w), long)]
     for have, across in blocks:
         for lab, text in licenses.TEMPLATES:
             s = set(text.split())
-            if across and len(s) < licenses.LONG:
+            if across not in (0, len(text.split())):
                 continue
             share = len(s & have) / len(s)
             if len(s & have) >= math.ceil(0.8 * len(s) - 1e-9):
