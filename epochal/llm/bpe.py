@@ -18,10 +18,10 @@ from pyspark.sql.types import StructType
 
 from .bytebpe import ByteBpe, pieces
 
-#: Pieces whose ids a worker keeps; it starts anew when full, which changes no result.
-KEPT_PIECES = 100_000
+#: Bytes, about, of pieces and ids that a worker keeps; it starts anew when full, which changes no result.
+KEPT_BYTES = 24_000_000
 #: Characters of text that are encoded together.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 _encoders: dict[str, Encoder] = {}
 
 
@@ -90,12 +90,12 @@ class Encoder:
     """Ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, bpe: ByteBpe):
-        self.bpe, self.kept = bpe, {}
+        self.bpe, self.kept, self.size = bpe, {}, 0
         self.special = {s: np.uint32(i).tobytes() for s, i in bpe.added.items()}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.kept) >= KEPT_PIECES:
-            self.kept.clear()
+        if self.size >= KEPT_BYTES:
+            self.kept, self.size = {}, 0
         kept, parted, new = self.kept, [], {}
         for text in texts:
             parted.append(parts := self.bpe.segments(text))
@@ -109,6 +109,8 @@ class Encoder:
         for x in new:
             if len(x) > 64:
                 del kept[x]
+            else:
+                self.size += 220 + len(x) + len(kept[x])  # an entry and the heads of two objects
         return out
 
     def _new(self, found: list[str]) -> None:
@@ -137,8 +139,9 @@ def blocks(texts: list[str]) -> Iterator[list[str]]:
         yield block
 
 
-def encode(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
-    """docs with three more columns: token_ids (binary, little-endian unsigned 32-bit), n_tokens and decoded (string).
+def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", check: bool = False) -> DataFrame:
+    """docs with three more columns: token_ids (binary, little-endian unsigned 32-bit), n_tokens and decoded (string). With
+    check, round_trip (boolean: the ids decode to the text, or to an empty one for null) takes the place of decoded.
 
     A null text encodes as an empty one. An empty table gives an empty result. Repeated rows
     stay. Columns of docs that have one of the three names are replaced. Texts are taken
@@ -146,10 +149,11 @@ def encode(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame
     """
     spark = docs.sparkSession
     tables = spark.sparkContext.broadcast(ByteBpe.load(tokenizer))
-    docs = docs.drop("token_ids", "n_tokens", "decoded")
+    last, kind = ("round_trip", "boolean") if check else ("decoded", "string")
+    docs = docs.drop("token_ids", "n_tokens", last)
     names = docs.columns
     at = names.index(text_col)
-    schema = StructType([*docs.schema.fields]).add("token_ids", "binary").add("n_tokens", "long").add("decoded", "string")
+    schema = StructType([*docs.schema.fields]).add("token_ids", "binary").add("n_tokens", "long").add(last, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.get(tokenizer)
@@ -162,8 +166,9 @@ def encode(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame
                 batch = whole.slice(done, len(block))
                 done += len(block)
                 ids = encoder.encode(block)
-                more = [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(encoder.decode, ids), pa.string())]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*names, "token_ids", "n_tokens", "decoded"])
+                told = pa.array([encoder.decode(x) == t for x, t in zip(ids, block)], pa.bool_()) if check else pa.array(map(encoder.decode, ids), pa.string())
+                more = [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), told]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*names, "token_ids", "n_tokens", last])
 
     return docs.mapInArrow(run, schema)
 
