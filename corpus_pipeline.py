@@ -17,6 +17,8 @@ from epochal.llm.queries import tokenizer
 
 #: A language is believed from this score on; documents without letters or below it go.
 LEAST_SCORE = 0.4
+#: Bytes of a batch of rows between the JVM and Python. Both sides hold a few, for each task; 64 MB is usual.
+BATCH_BYTES = 8 << 20
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +38,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates stays: that of the smallest doc_id. Texts are linked if their SimHash
-    fingerprints differ in 11 bits or fewer and their distinct runs of five words have a Jaccard similarity of 0.8 or more. Texts
+    """One document of each component of near-duplicates stays: that of the smallest doc_id. Texts are linked if their distinct
+    runs of five words have a Jaccard similarity of 0.8 or more and one of three SimHash fingerprints differs in 11 bits or fewer. Texts
     without words are alike, null ones too; rows of a null or repeated doc_id each stay if their texts aren't linked."""
     return simhash.representatives(docs)
 
@@ -51,8 +53,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with token_ids, n_tokens and round_trip: whether the ids decode to the text. A null text is an empty one;
     columns of docs that have one of these names are replaced; an empty table gives an empty result."""
-    out = bpe.encode(docs, tokenizer())
-    return out.withColumn("round_trip", F.col("decoded") == F.coalesce("text", F.lit(""))).drop("decoded")
+    return bpe.encode(docs, tokenizer(), check=True)
 
 
 STAGES = [("quality", quality_rules), ("language", language), ("near_duplicates", near_duplicates), ("mix", source_mix), ("bpe", tokens)]
@@ -62,6 +63,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     docs = read(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
