@@ -51,8 +51,8 @@ def means(df: DataFrame, columns: Sequence[str], k: int, rounds: int = 50, seed:
 
 
 def nearest(edges: DataFrame, k: int = 1) -> DataFrame:
-    """i, j, v: of each node the k edges of least v, ties to the smaller node."""
-    w = Window.partitionBy("i").orderBy("v", "j")
+    """i, j, v: of each node the k edges of least v (null: the largest), ties to the smaller node."""
+    w = Window.partitionBy("i").orderBy(F.col("v").asc_nulls_last(), "j")
     return both_ways(edges).where("i <> j").withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k).drop("_k")
 
 

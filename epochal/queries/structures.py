@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import clusters, graphs, intervals, joins, matrices, regression, sequences, smoothing, spatial
@@ -416,12 +417,23 @@ def partition_by_means(spark, sf_dir):
 _NEAR = "SELECT a.s_suppkey AS i, b.s_suppkey AS j, abs(a.s_acctbal - b.s_acctbal) AS v FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey"
 
 
-def apart(spark, sf_dir, steps: int):
-    """Distances of suppliers to the next ones in the order of their balance, which hold the nearest."""
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", (F.col("s_acctbal") * 1e7 + F.col("s_suppkey")).alias("order"))
-    s = ordered.neighbours(s, "order", {f"{c}{k}": (c, k) for k in range(1, steps + 1) for c in ("s_suppkey", "s_acctbal")})
-    pairs = F.array(*[F.struct(F.col(f"s_suppkey{k}").alias("j"), F.abs(F.col(f"s_acctbal{k}") - F.col("s_acctbal")).alias("v")) for k in range(1, steps + 1)])
-    return s.select(F.col("s_suppkey").alias("i"), F.explode(pairs).alias("p")).select("i", "p.*").where("j is not null")
+def apart(spark, sf_dir, k: int):
+    """Distances of suppliers, each pair once, that hold the k nearest of each by balance, ties to the smaller key: of its own balance and of the k next ones
+    on either side, the smallest keys. Null balances are the farthest from all."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
+    first = s.withColumn("_k", F.row_number().over(Window.partitionBy("s_acctbal").orderBy("s_suppkey"))).where((F.col("_k") <= k + 1) & F.col("s_acctbal").isNotNull())
+    levels = first.groupBy("s_acctbal").agg(F.sort_array(F.collect_list("s_suppkey")).alias("keys")).withColumn("near", F.struct("s_acctbal", "keys"))
+    steps = [n for n in range(-k, k + 1) if n]
+    levels = ordered.neighbours(levels, "s_acctbal", {f"near{n}": ("near", n) for n in steps})
+    groups = F.array("near", *[F.col(f"near{n}") for n in steps])
+    near = levels.select("s_acctbal", F.explode(F.filter(groups, lambda g: g.isNotNull())).alias("g")).select("s_acctbal", F.col("g.s_acctbal").alias("b"), F.explode("g.keys").alias("j"))
+    pairs = s.join(near, "s_acctbal").select(F.col("s_suppkey").alias("i"), "j", F.abs(F.col("s_acctbal") - F.col("b")).alias("v"))
+    # the first keys of all are near one without balance, the first without balance near all
+    null, far = F.col("s_acctbal").isNull(), F.lit(None).cast("double").alias("v")
+    lowest = lambda rows: F.broadcast(rows.orderBy("s_suppkey").limit(k + 1).select(F.col("s_suppkey").alias("j")))
+    for rows, to in ((s.where(null), s), (s.where(~null), s.where(null))):
+        pairs = pairs.unionByName(rows.crossJoin(lowest(to)).select(F.col("s_suppkey").alias("i"), "j", far))
+    return pairs.where("i <> j").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "v").distinct()
 
 
 @query(f"""
