@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,8 @@ from pyspark.sql.types import StructType
 
 from .bytebpe import ByteBpe, pieces
 
-#: Bytes, about, of pieces and ids that a worker keeps; it starts anew when full, which changes no result.
-KEPT_BYTES = 24_000_000
+#: Bytes, about, of pieces, words and ids that a worker keeps, half of them older ones; which are kept changes no result.
+KEPT_BYTES = 96_000_000
 #: Characters of text that are encoded together.
 BLOCK = 1_000_000
 _encoders: dict[str, Encoder] = {}
@@ -87,40 +88,62 @@ def merge_all(words: list[bytes], bpe: ByteBpe) -> tuple[np.ndarray, np.ndarray]
 
 
 class Encoder:
-    """Ids as little-endian unsigned 32-bit integers."""
+    """Ids as little-endian unsigned 32-bit integers.
+
+    Pieces and the words in them are kept in two halves: a full newer half takes the place of the older one, and what is met again moves to the newer.
+    """
 
     def __init__(self, bpe: ByteBpe):
-        self.bpe, self.kept, self.size = bpe, {}, 0
+        self.bpe, self.size = bpe, 0
+        self.kept, self.old, self.words, self.old_words = {}, {}, {}, {}
         self.special = {s: np.uint32(i).tobytes() for s, i in bpe.added.items()}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if self.size >= KEPT_BYTES:
-            self.kept, self.size = {}, 0
-        kept, parted, new = self.kept, [], {}
+        if self.size >= KEPT_BYTES // 2:
+            self.old, self.kept, self.old_words, self.words, self.size = self.kept, {}, self.words, {}, 0
+        kept, parted, seen = self.kept, [], set()
         for text in texts:
             parted.append(parts := self.bpe.segments(text))
             for k in range(0, len(parts), 2):
                 parts[k] = x = pieces(parts[k])
-                x[0] = "\0" + x[0]  # without an opening space
-                new.update([(p, None) for p in x if p not in kept])
-        self._new(list(new))
+                x[0] = " " + x[0]  # without an opening space; no other piece begins with one
+                seen.update(x)
+        new = self._unknown(seen, kept, self.old)
+        self._new(new)
         get = kept.__getitem__
         out = [b"".join([self.special[p] if isinstance(p, str) else b"".join(map(get, p)) for p in parts]) for parts in parted]
+        self._keep(new, kept)
+        return out
+
+    def _unknown(self, seen: set[str], kept: dict[str, bytes], old: dict[str, bytes]) -> list[str]:
+        """Those of seen that no half has."""
+        out = []
+        for x in seen.difference(kept):
+            if (ids := old.get(x)) is None:
+                out.append(x)
+            else:
+                kept[x] = ids
+                self.size += 220 + len(x) + len(ids)
+        return out
+
+    def _keep(self, new: list[str], kept: dict[str, bytes]) -> None:
         for x in new:
             if len(x) > 64:
                 del kept[x]
             else:
                 self.size += 220 + len(x) + len(kept[x])  # an entry and the heads of two objects
-        return out
 
     def _new(self, found: list[str]) -> None:
-        words, ends, split = [], [0], self.bpe.pre_tokens
+        split, parted = self.bpe.pre_tokens, []
         for x in found:
-            words += split(x[1:] if x[:1] == "\0" else " " + x)
-            ends.append(len(words))
-        ids, starts = merge_all([w.encode() for w in words], self.bpe)
-        whole, cuts = ids.tobytes(), (starts[ends] * 4).tolist()
-        self.kept.update(zip(found, [whole[s:e] for s, e in zip(cuts, cuts[1:])]))
+            parted.append(split(x[1:] if x[:1] == " " else " " + x))
+        new = self._unknown(set(chain.from_iterable(parted)), self.words, self.old_words)
+        ids, starts = merge_all([w.encode() for w in new], self.bpe)
+        whole, cuts = ids.tobytes(), (starts * 4).tolist()
+        self.words.update(zip(new, [whole[s:e] for s, e in zip(cuts, cuts[1:])]))
+        get = self.words.__getitem__
+        self.kept.update(zip(found, [get(p[0]) if len(p) == 1 else b"".join(map(get, p)) for p in parted]))
+        self._keep(new, self.words)
 
     def decode(self, ids: bytes) -> str:
         tokens = self.bpe.tokens

@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 
 from .common import WORD, free
 
-SYMBOLS = r"[#*$%&|<>]"
+SYMBOLS, _SPACE = "#*$%&|<>", r"\x20\x09-\x0D"
 #: Rows of the sample, about, at any size of the table, and the partitions that they are spread over.
 SAMPLE_ROWS, SAMPLE_PARTS = 2000, 8
 
+#: From a word's start on, so that none is looked at from each of its characters.
+LONG_WORD = rf"(?<![^{_SPACE}])[^{_SPACE}]{{41,}}+"
+
 Rule = Callable[[str], Column]
 
 
@@ -26,6 +29,20 @@ def _words(text: str) -> Column:
     return F.regexp_count(text, F.lit(WORD))
 
 
+def _of(text: Column | str, others: str) -> Column:
+    """How many characters are left without runs of others, a class: regexp_count would make a string of each."""
+    return F.length(F.regexp_replace(text, f"{others}+", ""))
+
+
+def _letters(text: str) -> Column:
+    return _of(text, r"\P{L}")
+
+
+def _beyond(some: Column, count: Column, share: float, text: str) -> Column:
+    """count, which is 0 unless some, is over that share of the words; these are counted only then."""
+    return some & (count > share * _words(text))
+
+
 def _lines(text: str) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
 
@@ -33,12 +50,12 @@ def _lines(text: str) -> Column:
 #: Name: the condition under which a non-null text is rejected. Each needs the text alone.
 RULES: dict[str, Rule] = {
     "few_words": lambda t: _words(t) < 20,
-    "symbols": lambda t: F.regexp_count(t, F.lit(SYMBOLS)) > 0.1 * _words(t),
+    "symbols": lambda t: _beyond(F.col(t).rlike(f"[{SYMBOLS}]"), _of(t, f"[^{SYMBOLS}]"), 0.1, t),
     "repeated_lines": lambda t: F.size(_lines(t)) - F.size(F.array_distinct(_lines(t))) > 0.3 * F.size(_lines(t)),
-    "exclamations": lambda t: F.regexp_count(t, F.lit("!")) > 0.3 * _words(t),
-    "capitals": lambda t: F.regexp_count(t, F.lit(r"\p{Lu}")) > 0.5 * F.regexp_count(t, F.lit(r"\p{L}")),
-    "few_letters": lambda t: F.regexp_count(t, F.lit(r"\p{L}")) < 0.5 * F.regexp_count(t, F.lit(r"[^\x20\x09-\x0D]")),
-    "long_words": lambda t: F.regexp_count(t, F.lit(r"[^\x20\x09-\x0D]{41,}")) > 0.1 * _words(t),
+    "exclamations": lambda t: _beyond(F.contains(F.col(t), F.lit("!")), _of(t, "[^!]"), 0.3, t),
+    "capitals": lambda t: _of(t, r"\P{Lu}") > 0.5 * _letters(t),
+    "few_letters": lambda t: _letters(t) < 0.5 * _of(t, f"[{_SPACE}]"),
+    "long_words": lambda t: _beyond(F.col(t).rlike(LONG_WORD), F.regexp_count(t, F.lit(LONG_WORD)), 0.1, t),
 }
 
 
@@ -72,7 +89,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (all long).
 
     A null, empty or wordless text has none of each; texts of any length are measured whole, repeated rows alike, and an empty
-    table gives an empty result. Windows of eight words are compared by 64-bit hashes. Columns of docs that have one of these
+    table gives an empty result. Windows of eight words are compared by 64-bit hashes of hashes of halves. Columns of docs that have one of these
     five names are replaced; others keep their values, whatever they are called.
     """
     docs = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -80,17 +97,19 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     words, split, wins, sides, found = (free(c, names) for c in ("_words", "_lines", "_windows", "_sides", "_found"))
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD))
-    step = docs.withColumns({words: F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), "n_symbols": F.regexp_count(t, F.lit(SYMBOLS)).cast("long"), split: lines})
+    step = docs.withColumns({words: F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), "n_symbols": _of(t, f"[^{SYMBOLS}]").cast("long"), split: lines})
     n = F.size(words)
-    windows = F.when(n >= 8, F.transform(F.sequence(F.lit(1), F.greatest(n - 7, F.lit(1))), lambda i: F.xxhash64(F.slice(F.col(words), i, 8)))).otherwise(F.array().cast("array<bigint>"))
     step = step.select(
         *names,
         n.cast("long").alias("n_words"),
         F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
         "n_symbols",
         (F.size(split) - F.size(F.array_distinct(split))).cast("long").alias("n_dup_lines"),
-        windows.alias(wins),
+        F.transform(words, lambda x: F.xxhash64(x)).alias(wins),
     )
+    for k in (1, 2, 4):  # of words, pairs, fours, eights
+        rest = F.greatest(F.size(wins) - k, F.lit(0))
+        step = step.withColumn(wins, F.zip_with(F.slice(wins, F.lit(1), rest), F.slice(wins, F.lit(k + 1), rest), lambda x, y: F.xxhash64(x, y)))
     repeats = F.size(F.array_distinct(wins)) < F.size(wins)
     # where a text repeats a window: hashes with their places, sorted, so that equals stand side by side
     step = step.withColumn(sides, F.when(repeats, F.array_sort(F.transform(wins, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))))

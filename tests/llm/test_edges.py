@@ -48,3 +48,32 @@ def test_round_trips_are_told(spark, monkeypatch):
     monkeypatch.setattr(bpe, "KEPT_BYTES", 1)
     got = bpe.encode(df.repartition(1), queries.tokenizer(), check=True).collect()
     assert {r.doc_id: bytes(r.token_ids) for r in got} == want and all(r.round_trip for r in got) and "decoded" not in got[0].asDict()
+
+
+def test_counts_without_strings(spark):
+    """Rules count characters by what is left of a text; the same documents fail as by counting matches."""
+    word = F.lit(r"[^\x20\x09-\x0D]+")
+    n = F.regexp_count("text", word)
+    plain = {
+        "symbols": F.regexp_count("text", F.lit(r"[#*$%&|<>]")) > 0.1 * n,
+        "exclamations": F.regexp_count("text", F.lit("!")) > 0.3 * n,
+        "capitals": F.regexp_count("text", F.lit(r"\p{Lu}")) > 0.5 * F.regexp_count("text", F.lit(r"\p{L}")),
+        "few_letters": F.regexp_count("text", F.lit(r"\p{L}")) < 0.5 * F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]")),
+        "long_words": F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]{41,}")) > 0.1 * n,
+    }
+    odd = ["", "  \t\n", "!", "a ! b!", "ÀÉ𝔘 x", "𝔘𝔘 ÄB c d", "x" * 40, "x" * 41 + " y", "ab " * 9 + "x" * 130, "1 2 3 a", "# a b", "#$ " + "w " * 20, "# " + "w " * 9, "# " + "w " * 10, "É" * 41 + "\x0b!", "\0!!"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(odd)], "doc_id long, text string")
+    got = docs.select("text", *[quality.RULES[k]("text").alias(k) for k in plain], *[v.alias(f"_{k}") for k, v in plain.items()]).collect()
+    for r in got:
+        for k in plain:
+            assert r[k] == r[f"_{k}"], (k, r.text)
+
+
+def test_pieces_that_begin_with_a_null_character(spark):
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    texts = ["a \0bc", "bc \0bc", "\0bc", " bc", "", "  bc"]
+    ids = bpe.Encoder(bpe.ByteBpe.load(queries.tokenizer())).encode(texts)
+    whole = Tokenizer.from_file(queries.tokenizer())
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
