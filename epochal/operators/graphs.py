@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.iterate import discard, settled
 
+#: Edges that a task looks at together.
+CHUNK = 200_000
+
 
 def define(edges: DataFrame, i: str = "i", j: str = "j", v: str | None = None, directed: bool = True, merge: str = "sum", least: float | None = None) -> DataFrame:
     """Edges i, j, v, one for each pair (undirected: i <= j), values of repeated ones merged by min, max or sum; those below least are dropped."""
@@ -97,13 +102,81 @@ def neighbourhoods(edges: DataFrame) -> DataFrame:
     return out.withColumn("density", 2 * F.col("edges") / (F.col("size") * (F.col("size") - 1)))
 
 
+def _joined(a: np.ndarray, b: np.ndarray, n: int) -> tuple[list[int], list[int]]:
+    """Which of the edges a to b between nodes below n join two parts, taken in turn, and the smallest node of each node's part."""
+    up, taken = list(range(n)), []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        while up[y] != y:
+            up[y] = y = up[up[y]]
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            taken.append(k)
+    for x in range(n):  # a node's next one up is smaller
+        up[x] = up[up[x]]
+    return taken, up
+
+
+def _chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held, size = [], 0
+    for f in frames:
+        held.append(f)
+        size += len(f)
+        if size >= CHUNK:
+            yield pd.concat(held, ignore_index=True)
+            held, size = [], 0
+    if size:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _stars(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Edges u, v of a chunk as links of its nodes to the smallest one that they reach in it."""
+    for f in _chunks(frames):
+        names, codes = np.unique(f[["u", "v"]].to_numpy().ravel(), return_inverse=True)
+        _, up = _joined(codes[::2], codes[1::2], len(names))
+        out = pd.DataFrame({"u": names, "v": names[up]})
+        yield out[out["u"] != out["v"]]
+
+
+def _without_worst(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Edges i, j, v of a chunk but those that are the last, by v, i and j, of a cycle in it: no least forest of the whole holds them."""
+    for f in _chunks(frames):
+        if f["v"].isna().any():
+            yield f
+            continue
+        f = f.sort_values(["v", "i", "j"], ignore_index=True)
+        names, codes = np.unique(f[["i", "j"]].to_numpy().ravel(), return_inverse=True)
+        yield f.iloc[_joined(codes[::2], codes[1::2], len(names))[0]]
+
+
+def _near(e: DataFrame, by: str) -> DataFrame:
+    """e, a table, with rows of near values of by together."""
+    return e.repartitionByRange(by).sortWithinPartitions(by)
+
+
+def _whole_numbers(e: DataFrame, *names: str) -> bool:
+    return all(dict(e.dtypes)[c] in ("int", "bigint") for c in names)
+
+
 def components(edges: DataFrame, all_nodes: DataFrame | None = None, rounds: int = 100) -> DataFrame:
     """node and component: the smallest node connected with it, whatever the edges' directions.
 
-    Rounds of two rewritings: a node links its larger neighbours to its smallest one, then its smaller neighbours and itself to
+    Where nodes are whole numbers, tasks first link the nodes of chunks of edges to the smallest ones there: graphs whose near nodes
+    have near numbers are then nearly done, and what no other chunk shares a node with is left alone. Rounds of two rewritings: a node links its larger neighbours to its smallest one, then its smaller neighbours and itself to
     the smallest. Edges stay as many as they were at most; when nothing changes, each node is linked to its root.
     """
-    e = settled(edges.where("i <> j").select(F.greatest("i", "j").alias("u"), F.least("i", "j").alias("v")).distinct())
+    e = edges.where("i <> j").select(F.greatest("i", "j").alias("u"), F.least("i", "j").alias("v"))
+    if _whole_numbers(e, "u", "v"):
+        e = settled(e)
+        e = settled(_near(e, "v").mapInPandas(_stars, e.schema), e)
+        marks = e.select("u", "v").union(e.select("v", "v"))
+        shared = marks.groupBy("u").agg(F.min("v").alias("a"), F.max("v").alias("b")).where("a <> b").select("u")
+        open_ = settled(marks.join(shared, "u", "left_semi").select("v").distinct())
+        done = e.join(open_, "v", "left_anti").select("u", "v")
+        e = settled(e.join(open_, "v", "left_semi").select("u", "v").distinct())
+    else:
+        done, e = None, settled(e.distinct())
 
     def signature(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -124,7 +197,7 @@ def components(edges: DataFrame, all_nodes: DataFrame | None = None, rounds: int
         was = now
     else:
         raise RuntimeError("components did not settle")
-    named = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    named = (e if done is None else e.unionByName(done.distinct())).select(F.col("u").alias("node"), F.col("v").alias("component"))
     every = nodes(edges) if all_nodes is None else all_nodes.select("node")
     return every.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
@@ -221,18 +294,28 @@ def topological(edges: DataFrame, most: int = 10_000) -> DataFrame:
 
 def spanning_tree(edges: DataFrame, largest: bool = False) -> DataFrame:
     """The edges i, j, v of a minimum (or maximum) spanning forest of an undirected graph: in each round every part takes its best edge
-    outwards, ties going to the smaller ends, and the parts so joined become one."""
-    e = settled(edges.where("i <> j").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), (-F.col("v") if largest else F.col("v")).alias("v")).groupBy("i", "j").agg(F.min("v").alias("v")).select("i", "j", "v", F.col("i").alias("a"), F.col("j").alias("b")))
-    taken = None
+    outwards, ties going to the smaller ends, and the parts so joined become one.
+
+    Tasks first leave out the worst edge of each cycle in a chunk of edges (nodes whole numbers, values doubles); components that are trees then
+    are taken whole, and only the others go through rounds.
+    """
+    e = settled(edges.where("i <> j").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), (-F.col("v") if largest else F.col("v")).alias("v")).groupBy("i", "j").agg(F.min("v").alias("v")))
+    if _whole_numbers(e, "i", "j") and dict(e.dtypes)["v"] == "double":
+        e = settled(_near(e, "i").mapInPandas(_without_worst, e.schema), e)
+    part = components(e).select(F.col("node").alias("i"), F.col("component").alias("part"))
+    named = settled(part.join(e, "i", "left"))  # a row for each node without an edge, or for each of its edges
+    size = named.groupBy("part").agg(F.count_distinct("i").alias("nodes"), F.count("j").alias("edges"))
+    size = settled(size.select("part", (F.col("edges") < F.col("nodes")).alias("tree")))
+    named = named.where("j IS NOT NULL").join(size, "part")
+    taken = settled(named.where("tree").select("i", "j", "v"))
+    e = settled(named.where("NOT tree").select("i", "j", "v", F.col("i").alias("a"), F.col("j").alias("b")))
     while not e.isEmpty():
         ends = e.select(F.col("a").alias("p"), F.struct("v", "i", "j", "a", "b").alias("x")).union(e.select(F.col("b"), F.struct("v", "i", "j", "a", "b")))
         best = settled(ends.groupBy("p").agg(F.min("x").alias("x")).select("x.*").distinct())
-        taken = best.select("i", "j", "v") if taken is None else taken.union(best.select("i", "j", "v"))
+        taken = taken.union(best.select("i", "j", "v"))
         parts = components(best.select(F.col("a").alias("i"), F.col("b").alias("j"), "v"))
         joined = e.join(parts.select(F.col("node").alias("a"), F.col("component").alias("_a")), "a", "left").join(parts.select(F.col("node").alias("b"), F.col("component").alias("_b")), "b", "left")
         e = settled(joined.select("i", "j", "v", F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).where("a <> b"), e)
-    if taken is None:
-        return edges.select("i", "j", "v").limit(0)
     return taken.distinct().select("i", "j", (-F.col("v") if largest else F.col("v")).alias("v"))
 
 

@@ -5,11 +5,12 @@ import random
 import sys
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from epochal.functions.special import np_bivariate_normal
-from epochal.operators import blocks, correspondence, delaunay, orthants, planar, regression, smoothing, tall
+from epochal.operators import blocks, correspondence, delaunay, graphs, orthants, planar, regression, smoothing, tall
 
 rng = random.Random(11)
 GRAPHS = {
@@ -308,3 +309,36 @@ def test_triangles_of_a_grid_and_of_a_line(spark):
     assert solid[0] == solid[1] and len(solid[0]) == 50 and sum(map(flat, solid[0])) == 50
     line = spark.range(9).select(F.col("id").alias("x"), F.lit(2).alias("y"))
     assert all(flat(t) == 0 for t in map(tuple, delaunay.triangles(line).collect())) and delaunay.triangles(line.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("chunk", [5, 200_000])
+def test_spanning_forest_by_chunks(spark, monkeypatch, chunk):
+    """Chunks of any size give the one forest whose edges come first by value and ends; its trees are taken whole, and so fit in few jobs."""
+    monkeypatch.setattr(graphs, "CHUNK", chunk)
+    r = np.random.default_rng(4)
+    pairs = {(int(min(a, b)), int(max(a, b))) for a, b in np.concatenate([r.integers(0, 300, (300, 2)), r.integers(1000, 1040, (200, 2))]) if a != b}
+    rows = [(a, b, float((a * 7 + b * 13) % 11)) for a, b in sorted(pairs)]
+    for largest in (False, True):
+        up, want = {}, set()
+
+        def root(x, up=up):
+            while up.setdefault(x, x) != x:
+                x = up[x]
+            return x
+
+        for a, b, v in sorted(rows, key=lambda e: (-e[2] if largest else e[2], e[0], e[1])):
+            if root(a) != root(b):
+                up[root(a)] = root(b)
+                want.add((a, b, v))
+        got = graphs.spanning_tree(spark.createDataFrame(rows, "i long, j long, v double"), largest)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert graphs.spanning_tree(spark.createDataFrame([], "i long, j long, v double")).count() == 0
+    links = np.array([(a, b) for a, b, _ in rows])
+    of, _ = zip(*[(n, c) for n, c in graphs.components(spark.createDataFrame(rows, "i long, j long, v double")).collect()])
+    assert sorted(of) == sorted(set(links.ravel().tolist()))
+
+
+def test_links_of_a_chunk():
+    f = pd.DataFrame({"u": [5, 9, 7, 3], "v": [2, 7, 5, 1]})
+    out = pd.concat(graphs._stars(iter([f])))
+    assert sorted(map(tuple, out.to_numpy().tolist())) == [(3, 1), (5, 2), (7, 2), (9, 2)]
