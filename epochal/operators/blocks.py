@@ -7,7 +7,9 @@ ranges, which are cut into blocks of powers of two. Every round is a few joins o
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -232,15 +234,28 @@ def cliques(edges: DataFrame, least: int = 2) -> DataFrame:
     inner = _tri(e.select("i", "j")).select("a", "b", "c")
     rows = arcs.select("a", "b", F.lit(None).cast("long").alias("c")).unionByName(inner)
 
-    def found(f: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, set[int]] = {int(v): set() for v in f["b"]}
-        for b, c in f.dropna(subset=["c"])[["b", "c"]].astype("int64").itertuples(index=False):
-            near[b].add(c)
-            near[c].add(b)
-        a = int(f["a"].iloc[0])
-        return pd.DataFrame({"a": a, "rest": [sorted(c) for c in _grown(near)]})
-
-    got = settled(rows.groupBy("a").applyInPandas(found, "a long, rest array<long>").withColumn("id", F.monotonically_increasing_id()))
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A node's rows stand together; those of a batch's last node may go on in the next batch."""
+        at, near = None, {}
+        for batch in batches:
+            out = []
+            for a, b, c in zip(*[batch.column(k).to_pylist() for k in range(3)]):
+                if a != at:
+                    out += [(at, sorted(x)) for x in _grown(near)] if near else []
+                    at, near = a, {}
+                near.setdefault(b, set())
+                if c is not None:
+                    near[b].add(c)
+                    near.setdefault(c, set()).add(b)
+            yield told(out)
+        if near:
+            yield told([(at, sorted(x)) for x in _grown(near)])
+
+    def told(out: list[tuple[int, list[int]]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([x for _, x in out], pa.list_(pa.int64()))], names=["a", "rest"])
+
+    together = rows.repartition("a").sortWithinPartitions("a")
+    got = settled(together.mapInArrow(found, "a long, rest array<long>").withColumn("id", F.monotonically_increasing_id()))
     before = got.select("id", "a", "rest").join(arcs.select(F.col("b").alias("a"), F.col("a").alias("x")), "a")
     links = before.select("id", "x", F.size("rest").alias("n"), F.explode("rest").alias("w"))
     links = links.join(e.select("i", "j"), (F.least("x", "w") == F.col("i")) & (F.greatest("x", "w") == F.col("j")))

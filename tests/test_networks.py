@@ -342,3 +342,15 @@ def test_links_of_a_chunk():
     f = pd.DataFrame({"u": [5, 9, 7, 3], "v": [2, 7, 5, 1]})
     out = pd.concat(graphs._stars(iter([f])))
     assert sorted(map(tuple, out.to_numpy().tolist())) == [(3, 1), (5, 2), (7, 2), (9, 2)]
+
+
+def test_cliques_of_large_numbers(spark):
+    """Nodes that a double can't hold, and a node's rows in several batches."""
+    n = 2**53 + 1
+    e = [(n, n + 2), (n, n + 4), (n + 2, n + 4), (n + 4, n + 6), (1, 2)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        got = blocks.cliques(spark.createDataFrame([(*x, 1.0) for x in e], "i long, j long, v double")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(list(r.clique) for r in got) == [[1, 2], [n, n + 2, n + 4], [n + 4, n + 6]]
