@@ -1,37 +1,41 @@
 """Locally weighted lines through series of any length.
 
 A fit at x needs sums over the nearest rows with weights (1 - |d / h|^3)^3, a polynomial in the distance on either side. So rows
-are reduced to moments of aligned blocks of the order: a range is a few blocks, each of which gives its sums by a shift of its
-moments to x. Blocks, widths h and medians of the residuals are joins and grouped sums; no task sees a whole series.
+are reduced to moments of aligned blocks of the order, which give their sums by a shift of their moments to x. Values are fitted a
+chunk at a time: its windows begin and end in a few chunks, whose values are weighed one by one, and what is whole between them is
+one range of blocks for all of the chunk. Blocks, widths h and medians of the residuals are joins and grouped sums; no task sees a
+whole series.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.iterate import discard, settled
 from ..plans.ordered import matches, positions, running
 from .blocks import _whole
 
-#: Blocks of 2 to the power BITS values are built in one task, and again that many of those in the next round.
-BITS = 10
+#: 2 to the power CHUNK values are fitted together; 2 to the power BITS chunks are added up to blocks in one task, and again that many of those in the next round.
+CHUNK, BITS = 9, 10
 #: Moments of the weights and of the weighted values that a fit reads.
 _W, _V = 12, 11
 _PASCAL = np.array([[comb(p, j) for j in range(_W)] for p in range(_W)], float)
+#: Kinds of what a chunk is sent: its own windows, values of a chunk; from 0, blocks of 2^k chunks.
+_WINDOWS, _VALUES = -2, -1
 
 
 def _shifted(m: np.ndarray, e: np.ndarray, s: np.ndarray) -> np.ndarray:
     """Moments of e + s z from moments m (rows by powers) of z."""
-    p = m.shape[1]
-    powers = np.arange(p)[:, None] - np.arange(p)[None, :]
-    up = np.where(powers >= 0, np.power(e[:, None, None], np.maximum(powers, 0)), 0.0)
-    return np.einsum("pj,npj,nj,nj->np", _PASCAL[:p, :p], up, np.power(s[:, None], np.arange(p)), m)
+    n = m.shape[1]
+    up = e[:, None] ** np.arange(n)
+    m = m * s[:, None] ** np.arange(n)
+    return np.column_stack([(up[:, p::-1] * m[:, : p + 1]) @ _PASCAL[p, : p + 1] for p in range(n)])
 
 
 def _halved(f: pd.DataFrame, level: int, bits: int) -> pd.DataFrame:
@@ -54,11 +58,34 @@ def _halved(f: pd.DataFrame, level: int, bits: int) -> pd.DataFrame:
     return pd.concat(out)
 
 
-def _blocks(values: DataFrame, most: int) -> DataFrame:
-    """_s, k, b, c, r, w, v of all aligned blocks of 2^k values; values: _s, q (place from 0), x, t and ty (sums of weights and of weighted values)."""
+def _chunk(place: Column) -> Column:
+    return F.shiftright(place, CHUNK)
+
+
+def _parts(df: DataFrame, chunks: int) -> int:
+    """Partitions for so many chunks: their work is more than their bytes tell."""
+    return max(1, min(chunks, max(2 * df.sparkSession.sparkContext.defaultParallelism, chunks // 64)))
+
+
+def _chunks(values: DataFrame, chunks: int) -> DataFrame:
+    """_s, b, data of all chunks of values (_s, q: place from 0, x, t and ty: sums of weights and of weighted values): x, t and ty in the order of places, one after the other."""
+    packed = values.repartition(_parts(values, chunks), "_s", _chunk(F.col("q"))).groupBy("_s", _chunk(F.col("q")).alias("b")).agg(F.array_sort(F.collect_list(F.struct("q", "x", "t", "ty"))).alias("z"))
+    return packed.select("_s", "b", F.concat("z.x", "z.t", "z.ty").alias("data"))
+
+
+def _blocks(held: DataFrame, most: int) -> DataFrame:
+    """_s, k, b, c, r, w, v of all aligned blocks of 2^k chunks; held: chunks (_s, b, data), at most so many in a series."""
     kind = "_s long, k int, b long, c double, r double, w array<double>, v array<double>"
-    tail = lambda n: F.array_repeat(F.lit(0.0), n - 1)
-    leaf = values.select("_s", F.lit(0).alias("k"), F.col("q").alias("b"), F.col("x").alias("c"), F.lit(0.0).alias("r"), F.concat(F.array("t"), tail(_W)).alias("w"), F.concat(F.array("ty"), tail(_V)).alias("v"))
+
+    def leaf(frames):
+        for f in frames:
+            out = []
+            for d in f["data"]:
+                x, t, ty = d.reshape(3, -1)
+                c, r = (x[0] + x[-1]) / 2, (x[-1] - x[0]) / 2
+                z = ((x - c) / (r or 1.0))[:, None] ** np.arange(_W)
+                out.append((c, r, t @ z, ty @ z[:, :_V]))
+            yield pd.DataFrame({"_s": f["_s"], "k": 0, "b": f["b"]} | {n: [o[i] for o in out] for i, n in enumerate("crwv")})
 
     def above(level: int):
         def run(f: pd.DataFrame) -> pd.DataFrame:
@@ -68,7 +95,8 @@ def _blocks(values: DataFrame, most: int) -> DataFrame:
 
         return run
 
-    found, last, level = leaf, leaf, 0
+    found = last = settled(held.mapInPandas(leaf, kind))
+    level = 0
     while 1 << level < most:
         new = settled(last.groupBy("_s", F.shiftright("b", BITS)).applyInPandas(above(level), kind))
         found, last, level = found.unionByName(new), new.where(F.col("k") == level + BITS), level + BITS
@@ -101,27 +129,79 @@ def _windows(values: DataFrame, sizes: DataFrame) -> DataFrame:
     return out.select("_s", "q", "x", F.least(back, ahead).alias("h"), F.when(ahead_is, F.col("c_to")).otherwise(F.col("a_to")).alias("left"), F.when(ahead_is, F.col("d_to")).otherwise(F.col("b_to")).alias("right"))
 
 
-def _fitted(values: DataFrame, windows: DataFrame, most: int) -> DataFrame:
-    """_s, q and fit (null where no row has weight)."""
-    side = lambda way, low, high: F.when(low <= high, F.struct(F.lit(way).alias("way"), low.alias("low"), high.alias("high")))
-    sides = F.filter(F.array(side(-1.0, F.col("left"), F.col("q") - 1), side(1.0, F.col("q"), F.col("right"))), lambda z: z.isNotNull())
-    asked = windows.where("h > 0").select("_s", "q", "x", "h", F.explode(sides).alias("d"))
-    asked = asked.select("_s", "q", "x", "h", "d.way", F.explode(_whole(F.col("d.low"), F.col("d.high"))).alias("z")).select("_s", "q", "x", "h", "way", "z.k", "z.b")
-
-    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if not len(f):
-                continue
-            x, h, way = f["x"].to_numpy(), f["h"].to_numpy(), f["way"].to_numpy()
-            e, s = (f["c"].to_numpy() - x) / h, f["r"].to_numpy() / h
-            w, v = _shifted(np.stack(f["w"].to_list()), e, s), _shifted(np.stack(f["v"].to_list()), e, s)
-            of = lambda m, p: m[:, p] - 3 * way * m[:, p + 3] + 3 * m[:, p + 6] - way * m[:, p + 9]
-            yield pd.DataFrame({"_s": f["_s"], "q": f["q"], "w0": of(w, 0), "w1": of(w, 1), "w2": of(w, 2), "v0": of(v, 0), "v1": of(v, 1)})
-
-    met = asked.join(_blocks(values, most), ["_s", "k", "b"]).select("_s", "q", "x", "h", "way", "c", "r", "w", "v")
-    parts = met.mapInPandas(sums, "_s long, q long, w0 double, w1 double, w2 double, v0 double, v1 double")
-    total = parts.groupBy("_s", "q").agg(*[F.sum(c).alias(c) for c in ("w0", "w1", "w2", "v0", "v1")])
-    out = windows.select("_s", "q", "h").join(total, ["_s", "q"], "left").join(values.select("_s", "q", "t", "ty"), ["_s", "q"])
+def _needs(windows: DataFrame) -> DataFrame:
+    """_s, at, k, b: what each chunk (at) is sent: the values of the chunks in which its windows begin or end and its own, and blocks for the ranges of chunks between."""
+    at = _chunk(F.col("q"))
+    ends = windows.where("h > 0").select("_s", at.alias("at"), _chunk(F.col("left")).alias("low"), _chunk(F.col("right")).alias("high")).distinct()
+    ends = settled(ends)
+    values = ends.select("_s", "at", F.lit(_VALUES).alias("k"), F.explode(F.array("low", "at", "high")).alias("b"))
+    between = lambda low, high: F.struct(low.alias("low"), high.alias("high"))
+    ranges = ends.select("_s", "at", F.explode(F.array(between(F.col("low") + 1, F.col("at") - 1), between(F.col("at") + 1, F.col("high") - 1))).alias("r")).where("r.low <= r.high").distinct()
+    blocks = ranges.select("_s", "at", F.explode(_whole(F.col("r.low"), F.col("r.high"))).alias("z")).select("_s", "at", F.col("z.k").cast("int").alias("k"), "z.b")
+    return values.unionByName(blocks).distinct()
+
+
+def _aligned(low: int, high: int) -> list[tuple[int, int]]:
+    """The blocks that _whole gives of low to high."""
+    out, k, high = [], 0, high + 1
+    while low < high:
+        if low & 1:
+            out.append((k, low))
+            low += 1
+        if high & 1:
+            high -= 1
+            out.append((k, high))
+        low, high, k = low >> 1, high >> 1, k + 1
+    return out
+
+
+def _sums(f: pd.DataFrame) -> pd.DataFrame:
+    """_s, q and the sums w0 to v1 of one chunk; f: at, and what it was sent (k, b, data)."""
+    at = int(f["at"].iloc[0])
+    sent = {(k, b): d for k, b, d in zip(f["k"], f["b"], f["data"])}
+    q, x, h, left, right = sent.pop((_WINDOWS, at)).reshape(5, -1)
+    low, high = left.astype("int64") >> CHUNK, right.astype("int64") >> CHUNK
+    total = np.zeros((len(q), 5))
+    for (k, b), data in sent.items():
+        of = np.flatnonzero((low == b) | (high == b) | (b == at)) if k == _VALUES else []
+        if not len(of):
+            continue
+        xs, t, ty = data.reshape(3, -1)
+        place = (b << CHUNK) + np.arange(len(xs))
+        d = (xs - x[of, None]) / h[of, None]
+        size = np.abs(d)
+        weight = np.maximum(1 - size * size * size, 0.0)
+        weight = np.where((place >= left[of, None]) & (place <= right[of, None]), weight * weight * weight, 0.0)
+        first = weight * d
+        total[of] += np.column_stack([weight @ t, first @ t, (first * d) @ t, weight @ ty, first @ ty])
+    for way, begin, end in ((-1.0, low + 1, np.full(len(q), at - 1)), (1.0, np.full(len(q), at + 1), high - 1)):
+        for a, z in {(a, z) for a, z in zip(begin.tolist(), end.tolist()) if a <= z}:
+            of = np.flatnonzero((begin == a) & (end == z))
+            m = np.stack([sent[key] for key in _aligned(a, z)])
+            c, r = m[:, 0], m[:, 1]
+            least, most = (c - r).min(), (c + r).max()
+            middle, radius = (least + most) / 2, (most - least) / 2
+            e, s = (c - middle) / (radius or 1.0), r / (radius or 1.0)
+            e, s, w, v = (middle - x[of]) / h[of], radius / h[of], _shifted(m[:, 2 : 2 + _W], e, s).sum(0), _shifted(m[:, 2 + _W :], e, s).sum(0)
+            w, v = _shifted(np.tile(w, (len(of), 1)), e, s), _shifted(np.tile(v, (len(of), 1)), e, s)
+            sums = lambda m, p: m[:, p] - 3 * way * m[:, p + 3] + 3 * m[:, p + 6] - way * m[:, p + 9]  # noqa: B023, E731
+            total[of] += np.column_stack([sums(w, 0), sums(w, 1), sums(w, 2), sums(v, 0), sums(v, 1)])
+    return pd.DataFrame({"_s": f["_s"].iloc[0], "q": q.astype("int64")} | {c: total[:, i] for i, c in enumerate(("w0", "w1", "w2", "v0", "v1"))})
+
+
+def _fitted(values: DataFrame, windows: DataFrame, needs: DataFrame, most: int, chunks: int) -> DataFrame:
+    """_s, q and fit (null where no row has weight). most: values of a series at most; chunks: of all series."""
+    at = _chunk(F.col("q"))
+    held = settled(_chunks(values, chunks))
+    blocks = _blocks(held, (most >> CHUNK) + 1).select("_s", "k", "b", F.concat(F.array("c", "r"), "w", "v").alias("data"))
+    kept = blocks.unionByName(held.select("_s", F.lit(_VALUES).alias("k"), "b", "data"))
+    own = windows.where("h > 0").groupBy("_s", at.alias("at")).agg(F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in ("q", "x", "h", "left", "right")])).alias("z"))
+    own = own.select("_s", "at", F.lit(_WINDOWS).alias("k"), F.col("at").alias("b"), F.concat("z.q", "z.x", "z.h", "z.left", "z.right").alias("data"))
+    # blocks and chunks are long rows: they are dealt out, not sent to the driver
+    sent = needs.join(kept.hint("merge"), ["_s", "k", "b"]).select("_s", "at", "k", "b", "data").unionByName(own)
+    sums = sent.repartition(_parts(values, chunks), "_s", "at").groupBy("_s", "at").applyInPandas(_sums, "_s long, q long, w0 double, w1 double, w2 double, v0 double, v1 double")
+    total = settled(sums)
+    out = windows.select("_s", "q", "h").join(total.hint("merge"), ["_s", "q"], "left").join(values.select("_s", "q", "t", "ty").hint("merge"), ["_s", "q"])
     middle, level = F.col("w1") / F.col("w0"), F.col("v0") / F.col("w0")
     spread, tilt = F.col("w2") - F.col("w1") * middle, F.col("v1") - middle * F.col("v0")
     line = level - F.when(spread * F.col("h") * F.col("h") > 1e-12, tilt / spread * middle).otherwise(0.0)
@@ -155,13 +235,15 @@ def lowess(df: DataFrame, x: str, y: str, by: Sequence[str] = (), share: float =
     sizes = sizes.select("_s", F.least("n", "rows").alias("n"))
     values = rows.groupBy("_s", "x").agg(F.count("*").alias("rows"))
     values = settled(positions(running(settled(values), "x", {"after": F.col("rows")}, by=["_s"]), "x", "q", by=["_s"]).withColumn("q", F.col("q") - 1))
-    most = (values.agg(F.max("q")).first()[0] or 0) + 1
+    size = values.agg(F.max("q").alias("last"), F.count_if(F.col("q") % (1 << CHUNK) == 0).alias("chunks")).first()
+    most, chunks = (size.last or 0) + 1, max(size.chunks, 1)
     windows = settled(_windows(values, sizes))
+    needs = settled(_needs(windows))
     places = values.select("_s", "x", "q")
     rows = settled(rows.join(places, ["_s", "x"]).select(*by, "_s", "x", "y", "q", F.lit(1.0).alias("trust"), F.col("y").alias("smooth")), rows)
     for k in range(robust + 1):
         weighed = rows.groupBy("_s", "q").agg(F.first("x").alias("x"), F.sum("trust").alias("t"), F.sum(F.col("trust") * F.col("y")).alias("ty"))
-        fit = _fitted(settled(weighed), windows, most)
+        fit = _fitted(settled(weighed), windows, needs, most, chunks)
         out = rows.join(fit, ["_s", "q"]).withColumn("smooth", F.coalesce("fit", "smooth")).drop("fit")
         rows = settled(out, rows)
         if k < robust:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from epochal.functions.special import np_bivariate_normal
-from epochal.operators import blocks, correspondence, delaunay, graphs, orthants, planar, regression, smoothing, tall
+from epochal.operators import blocks, correspondence, delaunay, graphs, lowess, orthants, planar, regression, smoothing, tall
 
 rng = random.Random(11)
 GRAPHS = {
@@ -185,6 +185,20 @@ def test_lowess(spark):
         assert np.array(sorted(got[s])) == pytest.approx(np.array(w), abs=1e-9), s
 
 
+def test_lowess_by_chunks(spark):
+    """Windows of a chunk begin and end in many chunks where values jump, in few otherwise; blocks are asked for by chunks, not by values."""
+    draw = np.random.default_rng(8)
+    x = np.concatenate([draw.uniform(0, 1, 1500), draw.uniform(90, 91, 700), 91 + np.arange(900) ** 2 / 10.0])
+    y = np.cos(x) + draw.normal(0, 0.2, len(x))
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double").repartition(3)
+    got = sorted(map(tuple, smoothing.lowess(df, "x", "y", [], 0.4, 1).collect()))
+    assert np.array(got) == pytest.approx(np.array(dense(x, y, 0.4, 1)), abs=1e-9)
+    n = 40_000
+    ends = [F.lit(0).cast("long").alias("_s"), F.col("id").alias("q"), F.lit(1.0).alias("h"), F.greatest(F.col("id") - n // 6, F.lit(0)).alias("left"), F.least(F.col("id") + n // 6, F.lit(n - 1)).alias("right")]
+    needs = lowess._needs(spark.range(n).select(*ends))
+    assert needs.count() < n / 20 and needs.groupBy("_s", "at").count().agg(F.max("count")).first()[0] < 40
+
+
 def test_tall(spark):
     draw = np.random.default_rng(3)
     x = draw.normal(size=(4000, 3))
