@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.iterate import discard, settled
+from ..plans.iterate import dealt, discard, settled
 from .graphs import _tri, components, nodes
 
 #: The neighbours of a node are dealt into so many lists, which are linked: a hub is no single group.
@@ -31,7 +31,7 @@ def jumped(pointers: DataFrame) -> DataFrame:
     now = settled(pointers.select("x", "p", F.lit(True).alias("moved")))
     while not now.where("moved").isEmpty():
         to = now.select(F.col("x").alias("p"), F.col("p").alias("q"))
-        now = settled(now.join(to, "p").select("x", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved")), now)
+        now = settled(now.join(dealt(to), "p").select("x", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved")), now)
     return now
 
 
@@ -47,7 +47,7 @@ def ranked(following: DataFrame) -> DataFrame:
         if open_.isEmpty():
             return now.select("a", F.col("b").alias("end"), F.col("d").alias("rank"))
         to = now.select(F.col("a").alias("b"), F.col("b").alias("_b"), F.col("d").alias("_d"), F.col("done").alias("_done"))
-        step = open_.join(to, "b").select("a", F.col("_b").alias("b"), (F.col("d") + F.col("_d")).alias("d"), F.col("_done").alias("done"))
+        step = open_.join(dealt(to), "b").select("a", F.col("_b").alias("b"), (F.col("d") + F.col("_d")).alias("d"), F.col("_done").alias("done"))
         now = settled(now.where("done").unionByName(step), now)
 
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.iterate import discard, settled
+from ..plans.iterate import dealt, discard, settled
 from ..plans.ordered import matches, positions, running
 from .blocks import _whole
 
@@ -197,11 +197,10 @@ def _fitted(values: DataFrame, windows: DataFrame, needs: DataFrame, most: int,
     kept = blocks.unionByName(held.select("_s", F.lit(_VALUES).alias("k"), "b", "data"))
     own = windows.where("h > 0").groupBy("_s", at.alias("at")).agg(F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in ("q", "x", "h", "left", "right")])).alias("z"))
     own = own.select("_s", "at", F.lit(_WINDOWS).alias("k"), F.col("at").alias("b"), F.concat("z.q", "z.x", "z.h", "z.left", "z.right").alias("data"))
-    # blocks and chunks are long rows: they are dealt out, not sent to the driver
-    sent = needs.join(kept.hint("merge"), ["_s", "k", "b"]).select("_s", "at", "k", "b", "data").unionByName(own)
+    sent = needs.join(dealt(kept), ["_s", "k", "b"]).select("_s", "at", "k", "b", "data").unionByName(own)
     sums = sent.repartition(_parts(values, chunks), "_s", "at").groupBy("_s", "at").applyInPandas(_sums, "_s long, q long, w0 double, w1 double, w2 double, v0 double, v1 double")
     total = settled(sums)
-    out = windows.select("_s", "q", "h").join(total.hint("merge"), ["_s", "q"], "left").join(values.select("_s", "q", "t", "ty").hint("merge"), ["_s", "q"])
+    out = windows.select("_s", "q", "h").join(dealt(total), ["_s", "q"], "left").join(dealt(values.select("_s", "q", "t", "ty")), ["_s", "q"])
     middle, level = F.col("w1") / F.col("w0"), F.col("v0") / F.col("w0")
     spread, tilt = F.col("w2") - F.col("w1") * middle, F.col("v1") - middle * F.col("v0")
     line = level - F.when(spread * F.col("h") * F.col("h") > 1e-12, tilt / spread * middle).otherwise(0.0)

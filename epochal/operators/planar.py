@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.iterate import discard, settled
+from ..plans.iterate import dealt, discard, settled
 from .blocks import ranked
 
 #: The edges of a node are dealt into so many sectors, whose ends are linked: a node of many edges is no single group.
@@ -42,7 +42,7 @@ def meetings(segments: DataFrame, tol: float = 1e-9) -> DataFrame:
     asks = s.select("*", longer.alias("at")).select("*", F.explode(_cells(size, *box)).alias("c")).select("*", "c.cx", "c.cy").drop("c", "level")
     two = {c: f"b_{c}" for c in ("id", "x1", "y1", "x2", "y2")}
     other = held.select("at", "cx", "cy", "level", *[F.col(c).alias(n) for c, n in two.items()])
-    pairs = asks.join(other, ["at", "cx", "cy"]).where(F.col("id") != F.col("b_id"))
+    pairs = asks.join(dealt(other), ["at", "cx", "cy"]).where(F.col("id") != F.col("b_id"))
     overlap = lambda u: (F.least(f"{u}1", f"{u}2") <= F.greatest(f"b_{u}1", f"b_{u}2") + tol) & (F.least(f"b_{u}1", f"b_{u}2") <= F.greatest(f"{u}1", f"{u}2") + tol)
     pairs = pairs.where(overlap("x") & overlap("y"))
     ax, ay = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
@@ -76,7 +76,7 @@ def pieces(segments: DataFrame, x1: str = "x1", y1: str = "y1", x2: str = "x2",
     ends = s.select("id", F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t"))
     cuts = meetings(s, tol / 2).unionByName(ends).distinct()
     along = Window.partitionBy("id").orderBy("t")
-    cuts = cuts.withColumn("next", F.lead("t").over(along)).where("next IS NOT NULL").join(s, "id")
+    cuts = cuts.withColumn("next", F.lead("t").over(along)).where("next IS NOT NULL").join(dealt(s), "id")
     at = lambda t, a, b: F.col(a) + F.col(t) * (F.col(b) - F.col(a))
     cuts = cuts.select(at("t", "x1", "x2").alias("ax"), at("t", "y1", "y2").alias("ay"), at("next", "x1", "x2").alias("bx"), at("next", "y1", "y2").alias("by"))
     key = lambda c: F.round(F.col(c) / tol).cast("long").alias(f"k{c}")
@@ -85,7 +85,7 @@ def pieces(segments: DataFrame, x1: str = "x1", y1: str = "y1", x2: str = "x2",
     where = points.groupBy("kx", "ky").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
     a, b = (F.struct(F.col(f"k{n}x").alias("x"), F.col(f"k{n}y").alias("y")) for n in "ab")
     e = cuts.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
-    of = lambda n: where.select(F.struct(F.col("kx").alias("x"), F.col("ky").alias("y")).alias(n), F.col("x").alias(f"{n}x"), F.col("y").alias(f"{n}y"))
+    of = lambda n: dealt(where.select(F.struct(F.col("kx").alias("x"), F.col("ky").alias("y")).alias(n), F.col("x").alias(f"{n}x"), F.col("y").alias(f"{n}y")))
     return e.join(of("a"), "a").join(of("b"), "b").select("ax", "ay", "bx", "by")
 
 
@@ -99,7 +99,7 @@ def _followed(half: DataFrame) -> DataFrame:
     ends = out.groupBy("u", "sector").agg(F.min(order)["h"].alias("h"), F.max(order)["h"].alias("tail"))
     whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     links = ends.select("h", F.coalesce(F.lag("tail").over(along), F.last("tail").over(whole)).alias("over"))
-    before = out.withColumn("before", F.lag("h").over(inside)).join(links, "h", "left").select("h", F.coalesce("before", "over").alias("before"))
+    before = out.withColumn("before", F.lag("h").over(inside)).join(dealt(links), "h", "left").select("h", F.coalesce("before", "over").alias("before"))
     flip = F.when(F.col("h") % 2 == 0, F.col("h") + 1).otherwise(F.col("h") - 1)
     return before.select(flip.alias("h"), F.col("before").alias("next"))
 
@@ -109,7 +109,7 @@ def cycles_of(following: DataFrame, a: str = "h", b: str = "next") -> DataFrame:
     now = settled(following.select(F.col(a).alias("a"), F.col(b).alias("b"), F.least(a, b).alias("m"), F.lit(True).alias("moved")))
     while not now.where("moved").isEmpty():
         to = now.select(F.col("a").alias("b"), F.col("b").alias("_b"), F.col("m").alias("_m"))
-        now = settled(now.join(to, "b").select("a", F.col("_b").alias("b"), F.least("m", "_m").alias("m"), (F.col("_m") < F.col("m")).alias("moved")), now)
+        now = settled(now.join(dealt(to), "b").select("a", F.col("_b").alias("b"), F.least("m", "_m").alias("m"), (F.col("_m") < F.col("m")).alias("moved")), now)
     return now.select(F.col("a").alias(a), F.col("m").alias("cycle"))
 
 
@@ -120,26 +120,26 @@ def faces(edges: DataFrame) -> DataFrame:
     e = edges.select(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")).alias("a"), F.struct(F.col("bx").alias("x"), F.col("by").alias("y")).alias("b"))
     names = e.select(F.explode(F.array("a", "b")).alias("p")).distinct()
     names = settled(names.withColumn("node", F.monotonically_increasing_id()))
-    of = lambda n: names.select(F.col("p").alias(n), F.col("node").alias(f"n{n}"))
+    of = lambda n: dealt(names.select(F.col("p").alias(n), F.col("node").alias(f"n{n}")))
     e = settled(e.join(of("a"), "a").join(of("b"), "b").withColumn("h", F.monotonically_increasing_id()))
     one = lambda h, a, b: e.select(h.alias("h"), F.col(f"n{a}").alias("u"), F.col(f"n{b}").alias("v"), F.col(a).alias("p"), F.atan2(F.col(f"{b}.y") - F.col(f"{a}.y"), F.col(f"{b}.x") - F.col(f"{a}.x")).alias("angle"), F.col(b).alias("q"))
     half = settled(one(F.col("h") * 2, "a", "b").unionByName(one(F.col("h") * 2 + 1, "b", "a")))
     first = cycles_of(_followed(half))
     both = first.groupBy(F.floor(F.col("h") / 2).alias("k")).agg(F.min("cycle").alias("one"), F.max("cycle").alias("other"))
-    kept = settled(half.withColumn("k", F.floor(F.col("h") / 2)).join(both.where("one <> other").select("k"), "k", "left_semi").drop("k"))
+    kept = settled(half.withColumn("k", F.floor(F.col("h") / 2)).join(dealt(both.where("one <> other").select("k")), "k", "left_semi").drop("k"))
     follow = settled(_followed(kept))
-    around = kept.join(cycles_of(follow), "h")
+    around = kept.join(dealt(cycles_of(follow)), "h")
     # the area about a point of the face itself: coordinates far from 0 lose no digits
     corner = around.groupBy("cycle").agg(F.min(F.struct(F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.col("h"))).alias("low"))
-    placed = settled(around.join(corner, "cycle"))
+    placed = settled(around.join(dealt(corner), "cycle"))
     x = lambda c: F.col(f"{c}.x") - F.col("low.x")
     y = lambda c: F.col(f"{c}.y") - F.col("low.y")
     area = F.sum(x("p") * y("q") - y("p") * x("q")) / 2
     inner = placed.groupBy("cycle").agg(area.alias("area"), F.count("*").alias("n")).where("area > 0")
-    placed = placed.join(inner, "cycle")
-    lists = placed.join(follow, "h").select(F.col("h").alias("a"), F.when(F.col("next") != F.col("low.h"), F.col("next")).alias("b"))
+    placed = placed.join(dealt(inner), "cycle")
+    lists = placed.join(dealt(follow), "h").select(F.col("h").alias("a"), F.when(F.col("next") != F.col("low.h"), F.col("next")).alias("b"))
     rank = ranked(lists).select(F.col("a").alias("h"), "rank")
-    out = placed.join(rank, "h").select(F.col("cycle").alias("polygon"), (F.col("n") - 1 - F.col("rank")).alias("place"), F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+    out = placed.join(dealt(rank), "h").select(F.col("cycle").alias("polygon"), (F.col("n") - 1 - F.col("rank")).alias("place"), F.col("p.x").alias("x"), F.col("p.y").alias("y"))
     out = settled(out)
     for t in (half, kept, follow, placed):
         discard(t)
@@ -154,7 +154,7 @@ def polygons(segments: DataFrame, x1: str = "x1", y1: str = "y1", x2: str = "x2"
 def areas(found: DataFrame) -> DataFrame:
     """polygon, nodes, area and the box of polygons given as polygon, place, x, y."""
     low = found.groupBy("polygon").agg(F.min("x").alias("x_min"), F.min("y").alias("y_min"), F.max("x").alias("x_max"), F.max("y").alias("y_max"), F.count("*").alias("nodes"))
-    p = found.join(low, "polygon").select("*", (F.col("x") - F.col("x_min")).alias("u"), (F.col("y") - F.col("y_min")).alias("v"))
+    p = found.join(dealt(low), "polygon").select("*", (F.col("x") - F.col("x_min")).alias("u"), (F.col("y") - F.col("y_min")).alias("v"))
     after = p.select("polygon", ((F.col("place") + F.col("nodes") - 1) % F.col("nodes")).alias("place"), F.col("u").alias("_u"), F.col("v").alias("_v"))
-    both = p.join(after, ["polygon", "place"])
+    both = p.join(dealt(after), ["polygon", "place"])
     return both.groupBy("polygon").agg(F.max("nodes").alias("nodes"), (F.sum(F.col("u") * F.col("_v") - F.col("v") * F.col("_u")) / 2).alias("area"), *[F.max(c).alias(c) for c in ("x_min", "y_min", "x_max", "y_max")])

@@ -144,6 +144,23 @@ def test_faces_of_random_lines(spark):
     assert areas.agg(F.sum("area")).first()[0] == pytest.approx(100)
 
 
+def test_polygons_keep_off_the_driver(spark, monkeypatch):
+    """No side of a join is sent to the driver, however small it is here."""
+    plans, settled = [], planar.settled
+
+    def seen(df, *args):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return settled(df, *args)
+
+    monkeypatch.setattr(planar, "settled", seen)
+    monkeypatch.setattr(blocks, "settled", seen)
+    df = spark.createDataFrame([(0.0, 1.0, 9.0, 1.0), (0.0, 5.0, 9.0, 5.0), (2.0, 0.0, 2.0, 6.0), (7.0, 0.0, 7.0, 6.0)], "x1 double, y1 double, x2 double, y2 double")
+    found = planar.areas(planar.polygons(df))
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert [(r.nodes, r.area) for r in found.collect()] == [(4, 20.0)]
+    assert sum("Join" in p for p in plans) > 5 and not any("Broadcast" in p for p in plans)
+
+
 def dense(xs, ys, share, robust):
     """Fits of all rows with all others."""
     order = np.argsort(xs, kind="stable")
