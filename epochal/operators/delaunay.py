@@ -1,6 +1,6 @@
 """Delaunay triangles and Voronoi cells of any number of points, cell by cell.
 
-Points are cut into strips and cells of about equal numbers. A cell triangulates its own points with those of the cells around; each triangle at a point
+Points are cut into strips and cells of about equal numbers. A cell triangulates its own points with the nearer ones of the cells around; each triangle at a point
 of its own, and each edge of the outline, then goes to all cells that its circle (or the side beyond the edge) touches, which name a point of theirs
 inside, if they have one. Cells that are told of points take them in and go on; when none is told of any, all triangles stand.
 """
@@ -14,13 +14,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.iterate import settled
+from ..plans.iterate import dealt, settled
 from ..plans.ordered import bucket_of, cuts
 
 #: Points of a cell, and cells at most: their bounds, a number each, go with every task.
 CELL, CELLS = 150, 2**20
 #: Points are moved by up to this part of the extent, by a hash of them: four on one circle then have one triangulation, the same in every cell.
 MOVED = 1e-9
+#: A cell takes in the points around it up to this part of its neighbour's width or height; more where it is told of them.
+MARGIN = 0.4
 _BEYOND = -1
 
 
@@ -37,27 +39,86 @@ def _within(a: np.ndarray, b: np.ndarray, c: np.ndarray, p: np.ndarray) -> np.nd
     return square(a) * cross(b, c) + square(b) * cross(c, a) + square(c) * cross(a, b)
 
 
+def _turns(p: np.ndarray) -> np.ndarray:
+    """An order of points in which each is near the one before and every part of a doubling sequence is spread over all."""
+    order, out, end = np.random.default_rng(1).permutation(len(p)), [], len(p)
+    place = (p - p.min(0)) / np.maximum(np.ptp(p, 0), 1e-300)
+    while end > 0:
+        begin = end // 2 if end > 16 else 0
+        part = order[begin:end]
+        rows = np.floor(place[part, 1] * np.sqrt(len(part) / 2))
+        out.append(part[np.lexsort((np.where(rows % 2 == 0, 1, -1) * place[part, 0], rows))])
+        end = begin
+    return np.concatenate(out[::-1]) if out else order
+
+
 def _triangulated(p: np.ndarray) -> np.ndarray:
     """Triangles (rows of three places) of points, among them (u, v, -1) for each edge of the outline, which has no point to its left. Points are taken in one by one:
-    what they fall into goes, and the edges around the gap are joined with them. None if all are on a line."""
-    start = [0, 1, *np.flatnonzero(np.abs(_side(p[0], p[1], p)) > 0)[:1]] if len(p) > 2 else []
+    from the last triangle made, a walk leads to the one that a point falls into; what about it has the point in its circle goes, and the edges around the gap are
+    joined with the point. None if all are on a line."""
+    start = [0, 1, *np.flatnonzero(np.abs(_side(p[0], p[1], p)) > 0)[:1].tolist()] if len(p) > 2 else []
     if len(start) < 3:
         return np.zeros((0, 3), np.int64)
     a, b, c = start if _side(p[start[0]], p[start[1]], p[start[2]]) > 0 else (start[1], start[0], start[2])
-    t = np.array([[a, b, c], [b, a, _BEYOND], [c, b, _BEYOND], [a, c, _BEYOND]])
-    for k in range(len(p)):
+    xs, ys = p[:, 0].tolist(), p[:, 1].tolist()
+    apex: dict[tuple[int, int], int] = {}  # of the triangle to the left of an edge
+
+    def put(u, v, w):
+        apex[u, v], apex[v, w], apex[w, u] = w, u, v
+
+    def side(u, v, x, y):
+        return (xs[v] - xs[u]) * (y - ys[u]) - (ys[v] - ys[u]) * (x - xs[u])
+
+    def hit(u, v, w, x, y):
+        if w == _BEYOND:
+            return side(u, v, x, y) > 0
+        if u == _BEYOND:
+            return side(v, w, x, y) > 0
+        if v == _BEYOND:
+            return side(w, u, x, y) > 0
+        ux, uy, vx, vy, wx, wy = xs[u] - x, ys[u] - y, xs[v] - x, ys[v] - y, xs[w] - x, ys[w] - y
+        return (ux * ux + uy * uy) * (vx * wy - vy * wx) + (vx * vx + vy * vy) * (wx * uy - wy * ux) + (wx * wx + wy * wy) * (ux * vy - uy * vx) > 0
+
+    for t in ((a, b, c), (b, a, _BEYOND), (c, b, _BEYOND), (a, c, _BEYOND)):
+        put(*t)
+    for k in _turns(p).tolist():
         if k in start:
             continue
-        outer = t[:, 2] == _BEYOND
-        hit = np.where(outer, _side(p[t[:, 0]], p[t[:, 1]], p[k]), _within(p[t[:, 0]], p[t[:, 1]], p[t[:, 2]], p[k])) > 0
-        gone = t[hit]
-        edges = np.concatenate([gone[:, [0, 1]], gone[:, [1, 2]], gone[:, [2, 0]]])
-        names = edges @ np.array([len(p) + 1, 1])
-        free = edges[~np.isin(names, edges[:, ::-1] @ np.array([len(p) + 1, 1]))]
-        x, y, new = free[:, 0], free[:, 1], np.full(len(free), k)
-        fresh = np.where((x == _BEYOND)[:, None], np.column_stack([y, new, x]), np.where((y == _BEYOND)[:, None], np.column_stack([new, x, y]), np.column_stack([x, y, new])))
-        t = np.concatenate([t[~hit], fresh])
-    return t
+        x, y = xs[k], ys[k]
+        for _ in range(4 * len(p)):
+            if side(a, b, x, y) < 0:
+                b, a = a, b
+            elif side(b, c, x, y) < 0:
+                a, b = c, b
+            elif side(c, a, x, y) < 0:
+                a, b = a, c
+            else:
+                break
+            c = apex[a, b]
+            if c == _BEYOND:
+                break
+        if not hit(a, b, c, x, y):  # on a corner or an edge: any triangle that has the point in its circle
+            a, b, c = next(((u, v, w) for (u, v), w in apex.items() if hit(u, v, w, x, y)), (None, None, None))
+            if a is None:
+                a, b, c = next((u, v, w) for (u, v), w in apex.items() if min(u, v, w) >= 0)
+                continue
+        del apex[a, b], apex[b, c], apex[c, a]
+        open_, free = [(a, b), (b, c), (c, a)], []
+        while open_:
+            u, v = open_.pop()
+            w = apex.get((v, u))
+            if w is None:
+                continue  # both sides are gone
+            if hit(v, u, w, x, y):
+                del apex[v, u], apex[u, w], apex[w, v]
+                open_ += [(u, w), (w, v)]
+            else:
+                free.append((u, v))
+        for u, v in free:
+            put(u, v, k)
+            if u != _BEYOND and v != _BEYOND:
+                a, b, c = u, v, k
+    return np.array([(u, v, w) for (u, v), w in apex.items() if w == _BEYOND or (0 <= u < v and u < w)], np.int64)
 
 
 def triangles(points: DataFrame, x: str = "x", y: str = "y", per_cell: int = CELL, rounds: int = 100) -> DataFrame:
@@ -84,20 +145,25 @@ def triangles(points: DataFrame, x: str = "x", y: str = "y", per_cell: int = CEL
     y_ends = [y_ends.get(s, np.zeros(0)) for s in range(len(x_ends) + 1)]
     borders = np.concatenate([[-np.inf], x_ends, [np.inf]])
     width, box = sides + 1, 2 * extent + 1
+    # cells are few bytes and much work: the number of their partitions is given, so that none are put together
+    tasks = max(1, min(one.n // per_cell, max(2 * spark.sparkContext.defaultParallelism, one.n // (64 * per_cell))))
 
     def around(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Each point for its cell and for those about it."""
+        """Each point for its cell and for those about it that it is near."""
+        low, high = np.clip(borders[:-1], 0, extent), np.clip(borders[1:], 0, extent)
         for f in frames:
-            out = []
-            for by in (-1, 0, 1):
-                s = f["strip"].to_numpy() + by
-                ok = (s >= 0) & (s < len(y_ends))
+            out, strip, px, py = [], f["strip"].to_numpy(), f["px"].to_numpy(), f["py"].to_numpy()
+            reach = MARGIN * (high - low)[strip]
+            for by, far in ((-1, px - low[strip]), (0, 0.0), (1, high[strip] - px)):
+                s = strip + by
+                ok = (s >= 0) & (s < len(y_ends)) & (far <= reach)
                 for t in np.unique(s[ok]):
-                    g = f[ok & (s == t)]
-                    row = np.searchsorted(y_ends[t], g["py"].to_numpy())
-                    for up in (-1, 0, 1):
+                    g, y = f[ok & (s == t)], py[ok & (s == t)]
+                    row = np.searchsorted(y_ends[t], y)
+                    lows, highs = np.concatenate([[0.0], y_ends[t]])[row], np.concatenate([y_ends[t], [extent]])[row]
+                    for up, away in ((-1, y - lows), (0, 0.0), (1, highs - y)):
                         r = row + up
-                        use = (r >= 0) & (r <= len(y_ends[t]))
+                        use = (r >= 0) & (r <= len(y_ends[t])) & (away <= MARGIN * (highs - lows))
                         out.append(g[use].assign(cell=t * width + r[use], own=by == 0 and up == 0))
             yield pd.concat(out)[["cell", "own", "x", "y", "px", "py"]]
 
@@ -110,9 +176,11 @@ def triangles(points: DataFrame, x: str = "x", y: str = "y", per_cell: int = CEL
     def local(f: pd.DataFrame) -> pd.DataFrame:
         f = f.drop_duplicates(["x", "y"]).sort_values(["x", "y"], ignore_index=True)
         at, mine = f[["px", "py"]].to_numpy(), f["own"].to_numpy()
-        order = np.random.default_rng(1).permutation(len(at))
-        t = _triangulated(at[order])
-        t = np.where(t == _BEYOND, _BEYOND, order[t])
+        t = _triangulated(at)
+        if not len(t) and mine.any():  # too few points for a triangle: the cell asks for points on either side of one of its own
+            x, y, px, py = f.loc[mine.argmax(), ["x", "y", "px", "py"]]
+            a, b = (x, y, px, py), (x, y, px, py + extent)
+            return pd.DataFrame([(f["cell"].iloc[0], True, False, *u, *v, *u) for u, v in ((a, b), (b, a))], columns=["cell", "outer", "mine", *corner])
         real = np.where(t == _BEYOND, t[:, :1], t)
         t, real = t[mine[real].any(1)], real[mine[real].any(1)]
         first = real.argmin(1)
@@ -133,8 +201,16 @@ def triangles(points: DataFrame, x: str = "x", y: str = "y", per_cell: int = CEL
             with np.errstate(all="ignore"):
                 mid = a + np.column_stack([v[:, 1] * (u * u).sum(1) - u[:, 1] * (v * v).sum(1), u[:, 0] * (v * v).sum(1) - v[:, 0] * (u * u).sum(1)]) / d[:, None]
                 r = np.sqrt(((mid - a) ** 2).sum(1)) * (1 + 1e-9)
-            out, outer = [], f["outer"].to_numpy()
-            for s in range(len(y_ends)):
+            out, everything = [], f
+            outer = f["outer"].to_numpy()
+            begin = np.where(outer, 0, np.searchsorted(x_ends, mid[:, 0] - r))
+            end = np.where(outer, len(x_ends), np.searchsorted(x_ends, mid[:, 0] + r, "right"))
+            all_ = a, u, mid, r, outer
+            for s in range(begin.min(initial=0), end.max(initial=-1) + 1):
+                here = np.flatnonzero((begin <= s) & (s <= end))
+                if not len(here):
+                    continue
+                f, (a, u, mid, r, outer) = everything.iloc[here], (z[here] for z in all_)
                 left, right = max(borders[s], -1.0), min(borders[s + 1], box)
                 with np.errstate(all="ignore"):
                     near = np.clip(mid[:, 0], left, right) - mid[:, 0]
@@ -149,7 +225,8 @@ def triangles(points: DataFrame, x: str = "x", y: str = "y", per_cell: int = CEL
                 g = f.iloc[np.repeat(touch, many)]
                 rows = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
                 out.append(g.assign(to=s * width + rows))
-            yield pd.concat(out)[["to", *f.columns]]
+            if out:
+                yield pd.concat(out)[["to", *everything.columns]]
 
     def inside(mine: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
         if mine.empty or f.empty:
@@ -171,9 +248,10 @@ def triangles(points: DataFrame, x: str = "x", y: str = "y", per_cell: int = CEL
     final = None
     active = held
     for _ in range(rounds):
-        found = settled(active.groupBy("cell").applyInPandas(local, told))
+        found = settled(active.repartition(tasks, "cell").groupBy("cell").applyInPandas(local, told))
         to = found.mapInPandas(asked, "to long, " + told)
-        more = settled(own.groupBy("cell").cogroup(to.groupBy("to")).applyInPandas(inside, kind).distinct())
+        more = (own.repartition(tasks, "cell").groupBy("cell").cogroup(to.repartition(tasks, "to").groupBy("to")).applyInPandas(inside, kind).distinct())
+        more = settled(more.join(dealt(active.select("cell", "x", "y")), ["cell", "x", "y"], "left_anti").select(*held.columns))  # rounding may name a point that is held already
         again = more.select("cell").distinct()
         done = found.join(again, "cell", "left_anti").where("mine")
         final = done if final is None else final.unionByName(done)

@@ -3,6 +3,7 @@
 import itertools
 import random
 import sys
+import time
 
 import numpy as np
 import pandas as pd
@@ -331,6 +332,23 @@ def test_triangles(spark, kind):
         assert ((r.x - r.vx) ** 2 + (r.y - r.vy) ** 2, far[2]) == pytest.approx((far[0], far[0]), rel=1e-6)
 
 
+def test_triangles_of_many_points_and_of_cells_with_few(spark):
+    """Points of a cell are taken in without a look at all triangles, and a cell of few points still finds all of its triangles."""
+    p = np.random.default_rng(6).uniform(0, 100, (3000, 2))
+    start = time.perf_counter()
+    t = delaunay._triangulated(p)
+    assert time.perf_counter() - start < 2  # some 6 s if every point meets all triangles
+    inner = t[t[:, 2] >= 0]
+    assert len(inner) == 2 * len(p) - 2 - (len(t) - len(inner))  # Euler
+    for k in range(0, len(inner), 37):
+        assert (delaunay._within(*p[inner[k]], np.delete(p, inner[k], 0)) < 0).all()
+    few = p[:160]
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in few], "x double, y double")
+    want = {tuple(sorted(map(tuple, few[c].tolist()))) for c in delaunay._triangulated(few) if c[2] >= 0}
+    got = [tuple(sorted([(r.ax, r.ay), (r.bx, r.by), (r.cx, r.cy)])) for r in delaunay.triangles(df, per_cell=2).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_triangles_of_a_grid_and_of_a_line(spark):
     """Four points on a circle everywhere: some triangulation of the square, the same for any cells."""
     df = spark.range(36).select((F.col("id") % 6).alias("x"), F.floor(F.col("id") / 6).alias("y"))
