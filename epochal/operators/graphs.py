@@ -13,16 +13,23 @@ from ..plans.iterate import discard, settled
 
 #: Edges that a task looks at together.
 CHUNK = 200_000
+#: Rows of which a task merges pairs, where their number is known.
+PAIRS = 500_000
 
 
-def define(edges: DataFrame, i: str = "i", j: str = "j", v: str | None = None, directed: bool = True, merge: str = "sum", least: float | None = None) -> DataFrame:
-    """Edges i, j, v, one for each pair (undirected: i <= j), values of repeated ones merged by min, max or sum; those below least are dropped."""
+def define(edges: DataFrame, i: str = "i", j: str = "j", v: str | None = None, directed: bool = True, merge: str = "sum", least: float | None = None, rows: int | None = None) -> DataFrame:
+    """Edges i, j, v, one for each pair (undirected: i <= j), values of repeated ones merged by min, max or sum; those below least are dropped.
+
+    rows: how many edges there are, if known and few are of the same pair. They are then dealt out before they are merged, to as many tasks as they need:
+    a first merge where they are read would only hold them all, and Spark puts partitions together by their bytes, not by what merging them takes."""
     value = F.lit(1.0) if v is None else F.col(v).cast("double")
     e = edges.select(F.col(i).alias("i"), F.col(j).alias("j"), value.alias("v")).dropna(subset=["i", "j"])
     if least is not None:
         e = e.where(F.col("v") >= least)
     if not directed:
         e = e.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "v")
+    if rows is not None:
+        e = e.repartition(max(1, -(-rows // PAIRS)), "i", "j")
     if v is None:
         return e.distinct()
     return e.groupBy("i", "j").agg({"min": F.min, "max": F.max, "sum": F.sum}[merge]("v").alias("v"))
@@ -61,8 +68,8 @@ def aggregated(edges: DataFrame, mapping: DataFrame, directed: bool = True) -> D
 
 def degrees(edges: DataFrame, all_nodes: DataFrame | None = None) -> DataFrame:
     """node, out_degree, in_degree, isolated (no edge but to itself)."""
-    ends = edges.select(F.col("i").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("n"), F.when(F.col("i") != F.col("j"), 1).otherwise(0).alias("x"))
-    ends = ends.union(edges.select(F.col("j"), F.lit(0), F.lit(1), F.when(F.col("i") != F.col("j"), 1).otherwise(0)))
+    end = lambda c, o, n: F.struct(F.col(c).alias("node"), F.lit(o).alias("o"), F.lit(n).alias("n"))
+    ends = edges.select(F.when(F.col("i") != F.col("j"), 1).otherwise(0).alias("x"), F.explode(F.array(end("i", 1, 0), end("j", 0, 1))).alias("e")).select("e.*", "x")  # both from one reading of the edges
     got = ends.groupBy("node").agg(F.sum("o").alias("out_degree"), F.sum("n").alias("in_degree"), F.sum("x").alias("_x"))
     if all_nodes is not None:
         got = all_nodes.select("node").join(got, "node", "left")

@@ -84,7 +84,8 @@ _SPARSE = "SELECT DISTINCT least(a, b) AS i, greatest(a, b) AS j FROM (SELECT o_
 
 
 def trade(spark, sf_dir):
-    return graphs.define(table(spark, sf_dir, "lineitem").select((F.col("l_partkey") * 2 + 1).alias("i"), (F.col("l_suppkey") * 2).alias("j"), "l_quantity"), v="l_quantity")
+    lines = table(spark, sf_dir, "lineitem")
+    return graphs.define(lines.select((F.col("l_partkey") * 2 + 1).alias("i"), (F.col("l_suppkey") * 2).alias("j"), "l_quantity"), v="l_quantity", rows=lines.count())
 
 
 def sparse(spark, sf_dir):

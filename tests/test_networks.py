@@ -403,3 +403,16 @@ def test_cliques_of_large_numbers(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted(list(r.clique) for r in got) == [[1, 2], [n, n + 2, n + 4], [n + 4, n + 6]]
+
+
+def test_degrees_of_edges_that_are_dealt_out(spark, monkeypatch):
+    """Edges whose number is known are merged by tasks of a given size, which Spark doesn't put together; one reading of them gives both ends."""
+    monkeypatch.setattr(graphs, "PAIRS", 50)
+    df = spark.range(500).select((F.col("id") % 30).cast("int").alias("i"), (F.col("id") * 7 % 40).alias("j"), F.lit(2).alias("v"))
+    e = graphs.define(df, v="v", rows=500)
+    assert e.rdd.getNumPartitions() == 10 and sorted(map(tuple, e.collect())) == sorted(map(tuple, graphs.define(df, v="v").collect()))
+    pairs = {(k % 30, k * 7 % 40) for k in range(500)}
+    want = {n: (sum(i == n for i, _ in pairs), sum(j == n for _, j in pairs), int(all(i == j for i, j in pairs if n in (i, j)))) for p in pairs for n in p}
+    got = graphs.degrees(e)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Range") == 1
+    assert {r.node: (r.out_degree, r.in_degree, r.isolated) for r in got.collect()} == want
